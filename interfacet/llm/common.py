@@ -40,3 +40,69 @@ def rows(batch) -> Iterator[tuple]:
     columns = batch.columns
     for i in range(batch.num_rows):
         yield tuple(c[i].as_py() for c in columns)
+
+
+NO_ID = -(1 << 63)  # stands for a null doc_id in join keys
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds id and h, the join key of a row: repeated rows share it, rows that only share doc_id don't."""
+    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "h": F.xxhash64("text")})
+
+
+def byte_slices(batch, name: str, limit: int = 1 << 20):
+    """(first row, offsets, bytes) of parts of a text column of about `limit` bytes, or one longer text; nulls are empty."""
+    import numpy as np
+    import pyarrow as pa
+
+    col = batch.column(batch.schema.get_field_index(name))
+    col = col.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = col.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(col) + 1, 8 * col.offset)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(col):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        j = min(j, len(col))
+        yield i, offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
+        i = j
+
+
+def mix(x):
+    """Finalizer of a 64-bit hash on a numpy uint64 array."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+class Rolling:
+    """Prefix polynomial hashes modulo 2**64 over random byte values: O(1) hash of any substring."""
+
+    BASE = 0x5851F42D4C957F2D
+
+    def __init__(self):
+        import numpy as np
+
+        self.values = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        import numpy as np
+
+        if len(self.up) <= n:
+            inverse = pow(self.BASE, -1, 1 << 64)
+            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, b, np.uint64)]), dtype=np.uint64) for b in (self.BASE, inverse))
+
+    def prefix(self, data):
+        import numpy as np
+
+        self.grow(len(data) + 1)
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.up[: len(data)], out=out[1:])
+        return out
+
+    def of(self, prefix, start, end):
+        """Hashes of the substrings [start, end)."""
+        return (prefix[end] - prefix[start]) * self.down[start]
