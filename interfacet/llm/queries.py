@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, rans
+from . import minhash, packing, rans, suffix_dedup
 from .common import table
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85)
 
@@ -23,7 +27,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_minmax_near_duplicates, op9_rans_tokens, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op4_suffix_dedup, op6_minmax_near_duplicates, op9_rans_tokens, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
