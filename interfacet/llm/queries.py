@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minhash, packing, rans, suffix_dedup
+from . import chat, decontaminate, minhash, packing, quality, rans, secrets, site_tree, suffix_dedup, toxicity
 from .common import table
 
 
@@ -37,10 +37,27 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
+
+
 def op6_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85)
 
@@ -71,6 +88,16 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -80,7 +107,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op4_suffix_dedup, op6_minmax_near_duplicates, op7_winnowed_contamination, op9_rans_tokens, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_secret_scan, op4_suffix_dedup, op5_toxicity, op6_minmax_near_duplicates, op7_winnowed_contamination, op8_site_style_tree, op9_rans_tokens, op10_best_fit_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
