@@ -20,6 +20,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import materialize, rows
 
@@ -226,7 +227,7 @@ def scored(docs: DataFrame, auto: Automaton, w: np.ndarray) -> DataFrame:
             z = [float(np.dot(w, features(*hits(auto, classes, t.as_py() or "")))) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z], pa.float64())], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def reject(docs: DataFrame, auto: Automaton, w: np.ndarray, threshold: float = 0.7) -> DataFrame:
