@@ -22,12 +22,13 @@ class Encoder:
     any other run of white space goes to the library whole. At `cache` entries the cache starts anew.
     """
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.letters, self.cache = self.whole.model, byte_letters(), cache
+        self.marks = {c: self.word(c) for c in ".,;:!?"}
         self.clear()
 
     def clear(self) -> None:
@@ -42,8 +43,10 @@ class Encoder:
         body = text[1:] if text[:1] == " " else text
         if body.isalpha():
             return self.word(text)
-        if body[:-1].isalpha() and body[-1] in ".,;:!?":
-            return self.word(text[:-1]) + self.word(text[-1])
+        if body[-1:] in self.marks and body[:-1].isalpha():
+            code = self.codes.get(body[:-1]) if len(text) > len(body) else None  # the word alone is often known
+            known = self.flat[self.starts[code] : self.starts[code] + self.lengths[code]].tolist() if code else self.word(text[:-1])
+            return known + self.marks[body[-1]]
         return self.whole.encode(text, add_special_tokens=False).ids
 
     def learn(self, chunk: str) -> int:
