@@ -40,6 +40,14 @@ def rows(batch) -> Iterator[tuple]:
     columns = batch.columns
     for i in range(batch.num_rows):
         yield tuple(c[i].as_py() for c in columns)
+    release()
+
+
+def release() -> None:
+    """Give freed Arrow buffers back: idle Python workers live on beside those of later stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
 
 
 NO_ID = -(1 << 63)  # stands for a null doc_id in join keys
@@ -66,6 +74,7 @@ def byte_slices(batch, name: str, limit: int = 1 << 20):
         j = min(j, len(col))
         yield i, offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
         i = j
+    release()
 
 
 def mix(x):

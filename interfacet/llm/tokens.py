@@ -22,7 +22,7 @@ class Encoder:
     any other run of white space goes to the library whole. At `cache` entries the cache starts anew.
     """
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 300_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
