@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialize
+
 
 def adjacency(faces: DataFrame) -> DataFrame:
     """mesh_id, u, v (edge), f1, f2: pairs of faces at edges that have exactly two."""
@@ -33,3 +35,101 @@ def measured(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 def surface(faces: DataFrame) -> DataFrame:
     """mesh_id, area and area-weighted centroid, from measured faces."""
     return faces.groupBy("mesh_id").agg(F.sum("area").alias("area"), *[(F.sum(F.col("area") * F.col(f"g{k}")) / F.sum("area")).alias(f"c{k}") for k in "xyz"])
+
+
+def corners(faces: DataFrame, *keep: str) -> DataFrame:
+    """mesh_id, vid and the columns of keep, a row for each corner of each face."""
+    return faces.select("mesh_id", *keep, F.explode(F.array("a", "b", "c")).alias("vid"))
+
+
+def valid_faces(faces: DataFrame, vertices: DataFrame, least_area: float = 1e-9) -> DataFrame:
+    """Faces of an area above least_area, each set of vertices once (the lowest fid stays)."""
+    large = measured(faces, vertices).where(F.col("area") > least_area).select("mesh_id", "fid")
+    key = F.array_sort(F.array("a", "b", "c"))
+    once = faces.join(large, ["mesh_id", "fid"]).groupBy("mesh_id", key.alias("k")).agg(F.min_by(F.struct("a", "b", "c"), "fid").alias("t"), F.min("fid").alias("fid"))
+    return once.select("mesh_id", "fid", "t.a", "t.b", "t.c")
+
+
+def merged(faces: DataFrame, vertices: DataFrame, step: float = 1e-8) -> tuple[DataFrame, DataFrame]:
+    """Faces and vertices after vertices equal to within step became the one of the lowest vid."""
+    at = [F.round(F.col(k) / step).alias(f"r{k}") for k in "xyz"]
+    same = vertices.select("mesh_id", "vid", *at)
+    first = same.groupBy("mesh_id", "rx", "ry", "rz").agg(F.min("vid").alias("to"))
+    names = same.join(first, ["mesh_id", "rx", "ry", "rz"]).select("mesh_id", "vid", "to")
+    out = faces
+    for p in ("a", "b", "c"):
+        out = out.join(names.withColumnRenamed("vid", p).withColumnRenamed("to", f"{p}1"), ["mesh_id", p]).drop(p).withColumnRenamed(f"{p}1", p)
+    kept = vertices.join(names.where("vid = to").select("mesh_id", "vid"), ["mesh_id", "vid"], "left_semi")
+    return out.select("mesh_id", "fid", "a", "b", "c"), kept
+
+
+def used_vertices(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    return vertices.join(corners(faces), ["mesh_id", "vid"], "left_semi")
+
+
+def touched_faces(faces: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Faces with any vertex in chosen(mesh_id, vid)."""
+    hit = corners(faces, "fid").join(chosen, ["mesh_id", "vid"], "left_semi").select("mesh_id", "fid")
+    return faces.join(hit, ["mesh_id", "fid"], "left_semi")
+
+
+def components(faces: DataFrame) -> DataFrame:
+    """mesh_id, fid, component (lowest fid reached over shared edges), by alternating large and small stars.
+
+    Each round is written to the shared folder; the loop ends when a round changes nothing.
+    """
+    star = ["mesh_id", "hub"]
+    links = materialize(adjacency(faces).select("mesh_id", F.col("f1").alias("lo"), F.col("f2").alias("hi")).distinct())
+    while True:
+        both = links.select("mesh_id", F.col("lo").alias("hub"), F.col("hi").alias("n")).union(links.select("mesh_id", F.col("hi"), F.col("lo")))
+        least = both.groupBy(*star).agg(F.least(F.min("n"), F.first("hub")).alias("m"))
+        large = both.join(least, star).where("n > hub").select("mesh_id", F.col("n").alias("hub"), F.col("m").alias("n")).distinct()
+        least = large.groupBy(*star).agg(F.min("n").alias("m"))
+        small = large.join(least, star)
+        pairs = small.select("mesh_id", F.col("m").alias("lo"), F.col("n").alias("hi")).union(small.select("mesh_id", "m", "hub"))
+        new = materialize(pairs.where("lo < hi").distinct())
+        changed = new.exceptAll(links).limit(1).count() or links.exceptAll(new).limit(1).count()
+        links = new
+        if not changed:
+            break
+    root = links.groupBy("mesh_id", F.col("hi").alias("fid")).agg(F.min("lo").alias("component"))
+    return faces.select("mesh_id", "fid").join(root, ["mesh_id", "fid"], "left").withColumn("component", F.coalesce("component", "fid"))
+
+
+def patches(faces: DataFrame, least_vertices: int = 50) -> DataFrame:
+    """Faces with patch_id and original_index: components of enough vertices, numbered by their lowest vid; the index counts dropped ones."""
+    part = faces.join(components(faces), ["mesh_id", "fid"])
+    sizes = corners(part, "component").groupBy("mesh_id", "component").agg(F.count_distinct("vid").alias("vertices"), F.min("vid").alias("low"))
+    order = Window.partitionBy("mesh_id").orderBy("low", "component")
+    kept = sizes.withColumn("original_index", F.row_number().over(order)).where(F.col("vertices") >= least_vertices)
+    return part.join(kept.withColumn("patch_id", F.row_number().over(order)), ["mesh_id", "component"]).select("mesh_id", "patch_id", "original_index", "vertices", "fid", "a", "b", "c")
+
+
+def volume(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """mesh_id, volume: sum of v0 . (v1 x v2) / 6."""
+    out = faces
+    for p in ("a", "b", "c"):
+        out = out.join(vertices.select("mesh_id", F.col("vid").alias(p), *[F.col(k).alias(f"{p}{k}") for k in "xyz"]), ["mesh_id", p])
+    det = F.expr("ax*(by*cz-bz*cy) + ay*(bz*cx-bx*cz) + az*(bx*cy-by*cx)")
+    return out.groupBy("mesh_id").agg((F.sum(det) / 6).alias("volume"))
+
+
+def relaxed(faces: DataFrame, vertices: DataFrame, weight: float = 0.5) -> DataFrame:
+    """Vertices moved by weight towards the mean of their neighbours; vertices without any stay."""
+    pairs = F.explode(F.array(*[F.struct(F.col(p).alias("vid"), F.col(q).alias("n")) for p in "abc" for q in "abc" if p != q]))
+    links = faces.select("mesh_id", pairs.alias("e")).select("mesh_id", "e.vid", "e.n").distinct()
+    near = vertices.select("mesh_id", F.col("vid").alias("n"), *[F.col(k).alias(f"n{k}") for k in "xyz"])
+    mean = links.join(near, ["mesh_id", "n"]).groupBy("mesh_id", "vid").agg(*[F.avg(f"n{k}").alias(f"n{k}") for k in "xyz"])
+    return vertices.join(mean, ["mesh_id", "vid"], "left").select("mesh_id", "vid", *[F.coalesce(F.col(k) + weight * (F.col(f"n{k}") - F.col(k)), F.col(k)).alias(k) for k in "xyz"])
+
+
+def smoothed(faces: DataFrame, vertices: DataFrame, rounds: int = 3) -> DataFrame:
+    """rounds of `relaxed`, each scaled about the origin to the volume before; a mesh with a value that isn't finite keeps its vertices."""
+    out, was = vertices, volume(faces, vertices).withColumnRenamed("volume", "v0")
+    for _ in range(rounds):
+        moved = relaxed(faces, out)
+        ratio = was.join(volume(faces, moved), "mesh_id").select("mesh_id", F.pow(F.col("v0") / F.col("volume"), F.lit(1.0 / 3)).alias("s"))
+        out = materialize(moved.join(ratio, "mesh_id").select("mesh_id", "vid", *[(F.col(k) * F.col("s")).alias(k) for k in "xyz"]))
+    bad = out.where("isnan(x) or isnan(y) or isnan(z) or x is null or abs(x) = double('infinity')").select("mesh_id").distinct()
+    good = out.join(bad, "mesh_id", "left_anti")
+    return good.unionByName(vertices.select("mesh_id", "vid", "x", "y", "z").join(good.select("mesh_id").distinct(), "mesh_id", "left_anti"))

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chemistry import INTERACTIONS, PEPTIDES, RAW_TYPES
-from ..operators import contacts, density, mesh, spatial, structure
+from ..operators import contacts, density, isosurface, mesh, project, spatial, structure
+from ..sources import structures
+from ..sources.storage import materialize, shared_dir
+from . import sweeps
 from .fixtures import VIEWS, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +171,145 @@ CROSS = "sqrt(((q.y-p.y)*(r.z-p.z)-(q.z-p.z)*(r.y-p.y))*((q.y-p.y)*(r.z-p.z)-(q.
 def a6_a14_surface(spark, sf_dir):
     s = mesh.surface(mesh.measured(view(spark, sf_dir, "mesh_faces"), view(spark, sf_dir, "mesh_vertices")))
     return s.select("mesh_id", *[F.round(c, 6).alias(c) for c in ("area", "cx", "cy", "cz")])
+
+
+def meshes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return view(spark, sf_dir, "mesh_faces"), view(spark, sf_dir, "mesh_vertices")
+
+
+ADJ = f"{EDGES}, j AS (SELECT mesh_id, min(fid) AS f1, max(fid) AS f2 FROM e GROUP BY mesh_id, u, v HAVING count(*)=2), s AS (SELECT mesh_id, f1 AS p, f2 AS q FROM j UNION SELECT mesh_id, f2, f1 FROM j), r AS (SELECT mesh_id, fid, fid AS root FROM mesh_faces UNION SELECT r.mesh_id, s.q, r.root FROM r JOIN s ON r.mesh_id=s.mesh_id AND r.fid=s.p), comp AS (SELECT mesh_id, fid, min(root) AS component FROM r GROUP BY 1, 2)"
+
+
+@query(f"WITH RECURSIVE {ADJ} SELECT * FROM comp", "mesh_faces")
+def g4_components(spark, sf_dir):
+    return mesh.components(view(spark, sf_dir, "mesh_faces"))
+
+
+@query(f"WITH RECURSIVE {ADJ}, k AS (SELECT c.mesh_id, component, unnest([a, b, c.c]) AS vid FROM (SELECT * FROM mesh_faces JOIN comp USING (mesh_id, fid)) c), z AS (SELECT mesh_id, component, count(DISTINCT vid) AS vertices, min(vid) AS low FROM k GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY low) AS original_index FROM z) SELECT mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY low) AS patch_id, original_index, vertices FROM o WHERE vertices >= 50", "mesh_faces")
+def f8_w8_patches(spark, sf_dir):
+    return mesh.patches(view(spark, sf_dir, "mesh_faces"), 50).select("mesh_id", "patch_id", "original_index", "vertices").distinct()
+
+
+@query("SELECT f.* FROM mesh_faces f WHERE EXISTS (SELECT 1 FROM mesh_vertices v WHERE v.mesh_id=f.mesh_id AND v.z < 0.1 AND v.vid IN (f.a, f.b, f.c))", "mesh_faces", "mesh_vertices")
+def f7_j5_touched_faces(spark, sf_dir):
+    faces, points = meshes(spark, sf_dir)
+    return mesh.touched_faces(faces, points.where("z < 0.1").select("mesh_id", "vid"))
+
+
+def area_sql(p: str = "") -> str:
+    return f"SELECT f.mesh_id, f.fid, f.a, f.b, f.c, {CROSS} AS area{p} FROM mesh_faces f JOIN mesh_vertices p ON f.mesh_id=p.mesh_id AND f.a=p.vid JOIN mesh_vertices q ON f.mesh_id=q.mesh_id AND f.b=q.vid JOIN mesh_vertices r ON f.mesh_id=r.mesh_id AND f.c=r.vid"
+
+
+@query(f"WITH m AS ({area_sql()}) SELECT mesh_id, min(fid) AS fid, list_sort([a, b, c])[1] AS lowest FROM m WHERE area > 0.55 GROUP BY mesh_id, list_sort([a, b, c])", "mesh_faces", "mesh_vertices")
+def f9_f10_valid_faces(spark, sf_dir):
+    faces, points = meshes(spark, sf_dir)
+    twice = faces.unionByName(faces.selectExpr("mesh_id", "fid + 1000000 AS fid", "b AS a", "c AS b", "a AS c"))
+    return mesh.valid_faces(twice, points, 0.55).select("mesh_id", "fid", F.least("a", "b", "c").alias("lowest"))
+
+
+@query("SELECT DISTINCT mesh_id, unnest([a, b, c]) AS vid FROM mesh_faces", "mesh_faces")
+def a7_f11_merged_vertices(spark, sf_dir):
+    faces, points = meshes(spark, sf_dir)
+    copies = points.selectExpr("mesh_id", "vid + 1000 AS vid", "x", "y", "z")
+    moved = faces.selectExpr("mesh_id", "fid", "a", "b", "c + 1000 AS c")
+    faces, points = mesh.merged(moved, points.unionByName(copies))
+    return mesh.used_vertices(faces, points).select("mesh_id", "vid")
+
+
+@query("SELECT f.mesh_id, round(sum(p.x*(q.y*r.z-q.z*r.y)+p.y*(q.z*r.x-q.x*r.z)+p.z*(q.x*r.y-q.y*r.x))/6, 6) AS volume FROM mesh_faces f JOIN mesh_vertices p ON f.mesh_id=p.mesh_id AND f.a=p.vid JOIN mesh_vertices q ON f.mesh_id=q.mesh_id AND f.b=q.vid JOIN mesh_vertices r ON f.mesh_id=r.mesh_id AND f.c=r.vid GROUP BY 1", "mesh_faces", "mesh_vertices")
+def a17_volume(spark, sf_dir):
+    return mesh.volume(*meshes(spark, sf_dir)).withColumn("volume", F.round("volume", 6))
+
+
+@query("WITH n AS (SELECT mesh_id, a AS i, b AS j FROM mesh_faces UNION SELECT mesh_id, b, a FROM mesh_faces UNION SELECT mesh_id, b, c FROM mesh_faces UNION SELECT mesh_id, c, b FROM mesh_faces UNION SELECT mesh_id, c, a FROM mesh_faces UNION SELECT mesh_id, a, c FROM mesh_faces), m AS (SELECT n.mesh_id, n.i, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM n JOIN mesh_vertices v ON v.mesh_id=n.mesh_id AND v.vid=n.j GROUP BY 1, 2) SELECT v.mesh_id, v.vid, round((v.x+coalesce(m.x, v.x))/2, 8) AS x, round((v.y+coalesce(m.y, v.y))/2, 8) AS y, round((v.z+coalesce(m.z, v.z))/2, 8) AS z FROM mesh_vertices v LEFT JOIN m ON m.mesh_id=v.mesh_id AND m.i=v.vid", "mesh_faces", "mesh_vertices")
+def g3_relaxed_once(spark, sf_dir):
+    return mesh.relaxed(*meshes(spark, sf_dir)).select("mesh_id", "vid", *[F.round(k, 8).alias(k) for k in "xyz"])
+
+
+@query(f"WITH {smoothing_sql()}, t AS (SELECT structure_id, CASE WHEN max(d) <= 0.1 THEN max(d)/2 ELSE 0.1 END AS l FROM v3 GROUP BY 1), ax(axis, dx, dy, dz) AS (VALUES (0, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0, 1)), g0 AS (SELECT structure_id, ix, iy, iz, axis, d AS d0, 0.0::DOUBLE AS d1 FROM v3, ax UNION ALL SELECT structure_id, ix-dx, iy-dy, iz-dz, axis, 0.0::DOUBLE, d FROM v3, ax), g1 AS (SELECT structure_id, ix, iy, iz, axis, sum(d0) AS d0, sum(d1) AS d1 FROM g0 GROUP BY 1, 2, 3, 4, 5), w AS (SELECT g1.*, l, lox, loy, loz, (l-d0)/(d1-d0) AS s FROM g1 JOIN t USING (structure_id) JOIN n USING (structure_id) JOIN ax USING (axis) WHERE least(ix, iy, iz) >= 0 AND ix+dx < nx AND iy+dy < ny AND iz+dz < nz AND (d0>l) <> (d1>l)) SELECT structure_id, count(*) AS n_vertices, round(sum(lox+ix+CASE WHEN axis=0 THEN s ELSE 0 END), 3) AS sx, round(sum(loy+iy+CASE WHEN axis=1 THEN s ELSE 0 END), 3) AS sy, round(sum(loz+iz+CASE WHEN axis=2 THEN s ELSE 0 END), 3) AS sz FROM w GROUP BY 1", "atoms")
+def a5_g1_isosurface_vertices(spark, sf_dir):
+    a, _ = sides(spark, sf_dir)
+    cells, grid = chain_a_voxels(spark, sf_dir)
+    cells = materialize(density.smooth(cells, grid))
+    edges = isosurface.crossing_edges(cells, grid)
+    points = isosurface.vertices(edges, isosurface.levels(edges, cells, a))
+    return points.groupBy(F.col("mesh_id").alias("structure_id")).agg(F.count("*").alias("n_vertices"), *[F.round(F.sum(k), 3).alias(f"s{k}") for k in "xyz"])
+
+
+@query("WITH b AS (SELECT mesh_id, min(y) AS ly, max(y)-min(y) AS ry, min(z) AS lz, max(z)-min(z) AS rz FROM mesh_vertices GROUP BY 1) SELECT mesh_id, vid, round((y-ly)/ry, 6) AS pu, round((z-lz)/rz, 6) AS pv, round((atan2(y, x)+pi())/(2*pi()), 6) AS su, round(acos(z/CASE WHEN x=0 AND y=0 AND z=0 THEN 1e-9 ELSE sqrt(x*x+y*y+z*z) END)/pi(), 6) AS sv, round((z-lz)/rz, 6) AS cv FROM mesh_vertices JOIN b USING (mesh_id)", "mesh_vertices")
+def g10_g11_g12_projections(spark, sf_dir):
+    points = view(spark, sf_dir, "mesh_vertices")
+    key = ["mesh_id", "vid"]
+    both = project.planar(points).withColumnsRenamed({"u": "pu", "v": "pv"}).join(project.spherical(points).withColumnsRenamed({"u": "su", "v": "sv"}), key)
+    both = both.join(project.cylindrical(points).select(*key, F.col("v").alias("cv")), key)
+    return both.select(*key, *[F.round(c, 6).alias(c) for c in ("pu", "pv", "su", "sv", "cv")])
+
+
+@query("SELECT mesh_id, vid, round((x-min(x) OVER w)/(max(x) OVER w-min(x) OVER w), 6) AS u, round((y-min(y) OVER w)/(max(y) OVER w-min(y) OVER w), 6) AS v FROM mesh_vertices WINDOW w AS (PARTITION BY mesh_id)", "mesh_vertices")
+def g8_normal_uv(spark, sf_dir):
+    uv = project.normal_uv(view(spark, sf_dir, "mesh_vertices").selectExpr("mesh_id", "vid", "x AS u", "y AS v"))
+    return uv.select("mesh_id", "vid", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
+
+
+def angle_sql(p: str, q: str, r: str, cols: str) -> str:
+    dots = lambda s, t: "+".join(f"({s}.{k}-{p}.{k})*({t}.{k}-{p}.{k})" for k in cols)
+    return f"degrees(acos(greatest(-1, least(1, ({dots(q, r)})/(sqrt({dots(q, q)})*sqrt({dots(r, r)}))))))"
+
+
+OFF = "+".join(f"abs({angle_sql(*t, 'xyz')}-{angle_sql(*t, 'uv')})" for t in ("pqr", "qrp", "rpq"))
+
+
+@query(f"WITH v AS (SELECT *, x/9 AS u, y/9 AS v FROM mesh_vertices), m AS (SELECT f.mesh_id, abs((q.u-p.u)*(r.v-p.v)-(q.v-p.v)*(r.u-p.u))/2/({CROSS}) AS ratio, ({OFF})/3 AS off FROM mesh_faces f JOIN v p ON f.mesh_id=p.mesh_id AND f.a=p.vid JOIN v q ON f.mesh_id=q.mesh_id AND f.b=q.vid JOIN v r ON f.mesh_id=r.mesh_id AND f.c=r.vid) SELECT mesh_id, round(stddev_pop(ratio)/avg(ratio), 4) AS area_std, round(avg(off), 2) AS angle_mae FROM m GROUP BY 1", "mesh_vertices", "mesh_faces")
+def a9_a10_distortion(spark, sf_dir):
+    faces, points = meshes(spark, sf_dir)
+    d = project.distortion(faces, points, points.selectExpr("mesh_id", "vid", "x/9 AS u", "y/9 AS v"))
+    return d.select("mesh_id", F.round("area_std", 4).alias("area_std"), F.round("angle_mae", 2).alias("angle_mae"))
+
+
+@query("SELECT structure_id, serial % 100000 AS serial, 1 AS model, record, chain_id, res_seq, res_name, atom_name, element, x, y, z FROM atoms", "atoms")
+def s1_s8_pdb_files(spark, sf_dir):
+    root = shared_dir(spark)
+    structures.write_pdb_text(view(spark, sf_dir, "atoms"), root)
+    return structures.read_atoms(spark, root).select("structure_id", "serial", "model", "record", "chain_id", "res_seq", "res_name", "atom_name", "element", "x", "y", "z")
+
+
+@query("SELECT structure_id, serial, model, record, chain_id, res_seq, res_name, atom_name, element, x, y, z FROM atoms", "atoms")
+def s2_mmcif_text(spark, sf_dir):
+    names = [options[0] for _, options, _ in structures.CIF_FIELDS]
+    cell = {"altloc": F.lit("."), "icode": F.lit("?"), "occupancy": F.lit("1.00")}
+    line = F.concat_ws(" ", *[cell[c] if c in cell else F.col(c).cast("string") for c, _, _ in structures.CIF_FIELDS])
+    atoms = view(spark, sf_dir, "atoms").select("structure_id", "serial", line.alias("line"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("serial", "line"))), lambda r: r["line"]), "\n")  # one structure is one file
+    head = "data_x\nloop_\n" + "".join(f"_atom_site.{n}\n" for n in names)
+    whole = atoms.groupBy("structure_id").agg(F.concat(F.lit(head), body, F.lit("\n#\n")).alias("value"))
+    return structures.parse_mmcif(whole).select("structure_id", "serial", "model", "record", "chain_id", "res_seq", "res_name", "atom_name", "element", "x", "y", "z")
+
+
+@query("SELECT structure_id, bgn_chain, bgn_seq, end_chain, end_seq, raw_type FROM contacts UNION ALL SELECT structure_id, bgn_chain, bgn_seq, end_chain, end_seq, 'vdw' FROM contacts WHERE bgn_chain='A'", "contacts")
+def s3_contact_json(spark, sf_dir):
+    rows = view(spark, sf_dir, "contacts")
+    kind = F.when(F.col("bgn_chain") == "A", F.format_string('["%s","vdw"]', "raw_type")).otherwise(F.format_string('"%s"', "raw_type"))
+    item = F.format_string('{"bgn":{"auth_asym_id":"%s","auth_seq_id":"%s"},"end":{"auth_asym_id":"%s","auth_seq_id":"%s"},"type":%s}', "bgn_chain", "bgn_seq", "end_chain", "end_seq", kind)
+    listed = rows.groupBy("structure_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("list"))
+    odd = F.substring("structure_id", 2, 9).cast("int") % 2 == 1
+    return structures.parse_contacts(listed.select("structure_id", F.when(odd, F.concat(F.lit('{"interactions":'), F.col("list"), F.lit("}"))).otherwise(F.col("list")).alias("value")))
+
+
+def unchecked(f: Query) -> Query:
+    """Registers a query that SQL can't state; tests hold it against properties."""
+    QUERIES[f.__name__] = f
+    return f
+
+
+@unchecked
+def p3_sweep_cutoff(spark, sf_dir):
+    a, b = sides(spark, sf_dir)
+    return sweeps.sweep_cutoff(a, points(b))
+
+
+@unchecked
+def p2_distortion_report(spark, sf_dir):
+    a, b = sides(spark, sf_dir)
+    faces, at = sweeps.surface(a)
+    patches = materialize(sweeps.interface(faces, sweeps.distances(at, points(b), 5.0), 5.0))
+    return project.distortion_report(patches, at)

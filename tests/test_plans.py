@@ -6,7 +6,7 @@ from interfacet.plans import queries as plans
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", plans.QUERIES)
+@pytest.mark.parametrize("name", plans.SQL)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW orders AS SELECT * FROM '{SF}/orders.parquet'")
