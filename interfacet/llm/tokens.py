@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+CACHE = 1_000_000  # entries; a job whose Python workers live on for other stages takes fewer
 ODD = 0  # code of a piece that can't be encoded apart from its neighbours
 
 
@@ -19,16 +20,18 @@ class Encoder:
 
     The pre-tokenizer of the vocabulary always cuts before a single space between two visible
     characters, so the parts between such spaces are encoded once and then looked up. A text with
-    any other run of white space goes to the library whole. At `cache` entries the cache starts anew.
+    any other run of white space goes to the library whole. At `cache` entries (about 250 bytes each)
+    the cache starts anew.
     """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.letters, self.cache = self.whole.model, byte_letters(), cache
         self.marks = {c: self.word(c) for c in ".,;:!?"}
+        self.line = self.word("\n")
         self.clear()
 
     def clear(self) -> None:
@@ -47,6 +50,9 @@ class Encoder:
             code = self.codes.get(body[:-1]) if len(text) > len(body) else None  # the word alone is often known
             known = self.flat[self.starts[code] : self.starts[code] + self.lengths[code]].tolist() if code else self.word(text[:-1])
             return known + self.marks[body[-1]]
+        head, line, tail = text.partition("\n")
+        if head and tail and not head[-1].isspace() and not tail[0].isspace():  # a lone line end is a piece of its own
+            return self.piece(head) + self.line + self.piece(tail)
         return self.whole.encode(text, add_special_tokens=False).ids
 
     def learn(self, chunk: str) -> int:
@@ -71,9 +77,11 @@ class Encoder:
             self.clear()
         first, *chunks = text.split(" ")
         codes = list(map(self.codes.get, chunks))
-        if None in codes:
-            get, learn = self.codes.get, self.learn
-            codes = [learn(x) if (code := get(x)) is None else code for x in chunks]
+        at, unknown = -1, codes.count(None)
+        for _ in range(unknown):
+            at = codes.index(None, at + 1)
+            code = self.codes.get(chunks[at])  # it may have been learnt earlier in this text
+            codes[at] = self.learn(chunks[at]) if code is None else code
         if ODD in codes or not first or first[0].isspace() or first[-1].isspace():
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16)
         head = np.array(self.piece(first), np.uint16)
@@ -86,14 +94,14 @@ class Encoder:
         return np.concatenate([head, self.flat[at]])
 
 
-_open: dict[str, Encoder] = {}
+_open: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and vocabulary."""
-    if path not in _open:
-        _open[path] = Encoder(path)
-    return _open[path]
+def encoder(path: str, cache: int = CACHE) -> Encoder:
+    """One encoder for each Python worker, vocabulary and size of cache."""
+    if (path, cache) not in _open:
+        _open[path, cache] = Encoder(path, cache)
+    return _open[path, cache]
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
