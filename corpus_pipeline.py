@@ -39,7 +39,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, cache=300_000)  # the workers of this stage live on beside those of others
 
 
 STAGES = [
