@@ -12,6 +12,11 @@ RAW_TYPES = {
     "hbond": ["hbond", "weak_hbond", "polar", "weak_polar"], "halogen_bond": ["xbond", "halogen_bond"], "sulfur_pi": ["sulfur_pi", "pi_sulfur"],
     "hydrophobic": ["hydrophobic", "aromatic"], "metal_complex": ["metal_complex", "covalent"], "default": ["vdw", "vdw_clash", "clash", "proximal", "atom-atom"],
 }
+# The colour of each interaction type.
+COLORS = {
+    "default": "#008080", "salt_bridge": "#FFA500", "cation_pi": "#FF4500", "pi_stack": "#8A2BE2", "hbond": "#0000FF",
+    "sulfur_pi": "#FFD700", "hydrophobic": "#808080", "halogen_bond": "#00CED1", "metal_complex": "#A52A2A",
+}
 PEPTIDES = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL UNK".split()
 
 

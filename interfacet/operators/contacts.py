@@ -31,3 +31,12 @@ def annotated_types(contacts: DataFrame, a: str = "A", b: str = "B") -> DataFram
     number = sequence_number(seq)
     rows = contacts.where(ends == wanted).select("structure_id", number.alias("res_seq"), canonical(F.col("raw_type")).alias("type"))
     return rows.where("type IS NOT NULL AND res_seq IS NOT NULL").groupBy("structure_id", "res_seq").agg(F.sort_array(F.collect_set("type")).alias("types"))
+
+
+def diagnostics(contacts: DataFrame, a: str = "A", b: str = "B") -> DataFrame:
+    """structure_id, chain_pairs, raw_types (sorted), mapped: what annotations hold; where mapped is 0, use distances."""
+    pair = F.concat_ws("-", F.array_sort(F.array(F.trim("bgn_chain"), F.trim("end_chain"))))
+    ends = F.array_sort(F.array_distinct(F.array(F.trim("bgn_chain"), F.trim("end_chain"))))
+    wanted = ends == F.array_sort(F.array_distinct(F.array(F.lit(a), F.lit(b))))
+    used = F.coalesce(wanted & canonical(F.col("raw_type")).isNotNull(), F.lit(False))
+    return contacts.groupBy("structure_id").agg(F.sort_array(F.collect_set(pair)).alias("chain_pairs"), F.sort_array(F.collect_set("raw_type")).alias("raw_types"), F.sum(used.cast("long")).alias("mapped"))

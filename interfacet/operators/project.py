@@ -130,26 +130,3 @@ def distortion(faces: DataFrame, vertices: DataFrame, uv: DataFrame) -> DataFram
     every = faces.select("mesh_id").distinct().join(got, "mesh_id", "left")
     status = F.when(F.col("area_std").isNull(), "undefined").otherwise("ok")
     return every.select("mesh_id", F.coalesce("area_std", zero).alias("area_std"), F.coalesce("angle_mae", zero).alias("angle_mae"), status.alias("status"))
-
-
-def distortion_report(patches: DataFrame, vertices: DataFrame) -> DataFrame:
-    """structure_id, patch_id, vertices and the metrics of three projections: a row for each patch, `weighted_avg` and `largest`.
-
-    patches: structure_id, patch_id, fid, a, b, c. The average weighs patches by their vertices.
-    """
-    faces = patches.select(F.struct("structure_id", "patch_id").alias("mesh_id"), "fid", "a", "b", "c")
-    named = faces.select("mesh_id", F.explode(F.array("a", "b", "c")).alias("vid")).distinct()
-    at = vertices.select(F.col("mesh_id").alias("structure_id"), "vid", "x", "y", "z")
-    points = materialize(named.withColumn("structure_id", F.col("mesh_id.structure_id")).join(at, ["structure_id", "vid"]).select("mesh_id", "vid", "x", "y", "z"))
-    frame = principal_frame(faces, points)
-    out = points.groupBy("mesh_id").agg(F.count("*").alias("vertices"))
-    for name, project in (("planar", planar), ("spherical", spherical), ("cylindrical", cylindrical)):
-        d = distortion(faces, points, project(frame))
-        out = out.join(d.select("mesh_id", *[F.col(m).alias(f"{name}_{m}") for m in METRICS]), "mesh_id")
-    values = [f"{n}_{m}" for n in ("planar", "spherical", "cylindrical") for m in METRICS]
-    rows = out.select("mesh_id.structure_id", F.col("mesh_id.patch_id").alias("patch"), "vertices", *values)
-    mean = rows.groupBy("structure_id").agg(F.lit("weighted_avg").alias("patch_id"), F.sum("vertices").alias("vertices"), *[(F.sum(F.col(v) * F.col("vertices")) / F.sum("vertices")).alias(v) for v in values])
-    top = rows.groupBy("structure_id").agg(F.max_by(F.struct("vertices", *values), F.struct("vertices", -F.col("patch"))).alias("t")).select("structure_id", F.lit("largest").alias("patch_id"), "t.*")
-    each = rows.withColumn("patch_id", F.col("patch").cast("string")).drop("patch")
-    every = each.unionByName(mean).unionByName(top)
-    return every.select("structure_id", "patch_id", "vertices", *[F.round(v, 4 if v.endswith("std") else 2).alias(v) for v in values])

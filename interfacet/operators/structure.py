@@ -48,3 +48,47 @@ def normal_chains(atoms: DataFrame) -> DataFrame:
 def residue_dictionary(atoms: DataFrame) -> DataFrame:
     kind = F.when(F.col("res_name").isin(*PEPTIDES), "L-peptide linking").when(F.col("res_name") == "HOH", "water").otherwise("non-polymer")
     return atoms.select("structure_id", "res_name").distinct().withColumn("kind", kind)
+
+
+def resolved(atoms: DataFrame) -> DataFrame:
+    """One row for each atom name of a residue: the highest occupancy, the lowest serial on ties."""
+    best = Window.partitionBy("structure_id", "model", "chain_id", "record", "res_seq", "icode", "atom_name").orderBy(F.desc_nulls_last("occupancy"), "serial")
+    return atoms.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+
+
+def catalogue(entries: DataFrame, lineage: str = "Homo sapiens", entities: int = 2, limit: int | None = None) -> DataFrame:
+    """entry_id of entries(entry_id, lineage array, protein_entities) with that lineage and number of entities; a limit keeps the lowest ids."""
+    out = entries.where(F.array_contains("lineage", lineage) & (F.col("protein_entities") == entities)).select("entry_id")
+    return out if limit is None else out.orderBy("entry_id").limit(limit)
+
+
+def rename_conflicts(atoms: DataFrame) -> DataFrame:
+    """structure_id of two-chain structures whose shorter chain is called A already, so that the longer one can't take that name first."""
+    return normal_chains(atoms).where("chain_id = 'A' and new_id = 'B'").select("structure_id")
+
+
+def normalized_dimers(atoms: DataFrame, on_conflict: str = "drop") -> tuple[DataFrame, DataFrame]:
+    """(atoms, status): standard residues of the first model of two-chain structures, chains called A and B.
+
+    status has structure_id, stage, reason for each structure left out. on_conflict='swap' keeps those
+    whose shorter chain is A.
+    """
+    first = first_model(atoms)
+    names = normal_chains(first)
+    lost = rename_conflicts(first) if on_conflict == "drop" else names.where("false").select("structure_id")
+    names = names.join(lost, "structure_id", "left_anti")
+    kept = standard(first).join(names.select("structure_id", "chain_id", "new_id"), ["structure_id", "chain_id"])
+    kept = kept.withColumn("chain_id", F.col("new_id")).drop("new_id").select(*atoms.columns)
+    other = atoms.select("structure_id").distinct().join(names.select("structure_id"), "structure_id", "left_anti").join(lost, "structure_id", "left_anti")
+    reason = lambda df, text: df.select("structure_id", F.lit("normalize").alias("stage"), F.lit(text).alias("reason"))
+    return kept, reason(other, "not two chains").unionByName(reason(lost, "name conflict"))
+
+
+def missing_chains(atoms: DataFrame, targets: DataFrame) -> DataFrame:
+    """structure_id, stage, reason for targets(structure_id, chain_a, chain_b) that lack their file or a chain."""
+    have = atoms.select("structure_id", "chain_id").distinct()
+    want = targets.select("structure_id", F.explode(F.array("chain_a", "chain_b")).alias("chain_id")).distinct()
+    files = have.select("structure_id").distinct()
+    no_file = targets.select("structure_id").distinct().join(files, "structure_id", "left_anti").select("structure_id", F.lit("load").alias("stage"), F.lit("no file").alias("reason"))
+    lost = want.join(files, "structure_id", "left_semi").join(have, ["structure_id", "chain_id"], "left_anti")
+    return no_file.unionByName(lost.select("structure_id", F.lit("load").alias("stage"), F.concat(F.lit("no chain "), "chain_id").alias("reason")))

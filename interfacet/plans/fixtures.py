@@ -52,6 +52,8 @@ def with_views(sql: str, *names: str) -> str:
     """sql with the named views as common table expressions before its own."""
     head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
     sql = sql.strip()
+    if not names:
+        return sql
     if sql.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {head}, {sql[15:]}"
     return f"WITH {head}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {head} {sql}"

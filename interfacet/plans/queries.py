@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chemistry import INTERACTIONS, PEPTIDES, RAW_TYPES
-from ..operators import contacts, density, isosurface, mesh, project, spatial, structure
+from ..operators import contacts, density, flatten, isosurface, mapview, mesh, project, spatial, structure
 from ..sources import structures
 from ..sources.storage import materialize, shared_dir
-from . import sweeps
+from . import reports, sweeps
 from .fixtures import VIEWS, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,6 +295,99 @@ def s3_contact_json(spark, sf_dir):
     return structures.parse_contacts(listed.select("structure_id", F.when(odd, F.concat(F.lit('{"interactions":'), F.col("list"), F.lit("}"))).otherwise(F.col("list")).alias("value")))
 
 
+@query("SELECT structure_id, model, chain_id, record, res_seq, atom_name, CASE WHEN serial % 82 = 0 THEN serial + 100000000 ELSE serial END AS serial, round(CASE WHEN serial % 82 = 0 THEN x + 0.3 ELSE x END, 3) AS x FROM atoms", "atoms")
+def f4_resolved(spark, sf_dir):
+    atoms = view(spark, sf_dir, "atoms").withColumns({"icode": F.lit(""), "occupancy": F.when(F.col("serial") % 82 == 0, 0.3).otherwise(1.0)})
+    other = atoms.where("serial % 41 = 0").withColumns({"serial": F.col("serial") + 100000000, "x": F.col("x") + 0.3, "occupancy": F.lit(0.4)})
+    return structure.resolved(atoms.unionByName(other)).select("structure_id", "model", "chain_id", "record", "res_seq", "atom_name", "serial", F.round("x", 3).alias("x"))
+
+
+@query("SELECT o_orderkey AS entry_id FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 4 = 2")
+def f5_catalogue(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    human = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("Eukaryota"), F.lit("Homo sapiens"))).otherwise(F.array(F.lit("Eukaryota")))
+    return structure.catalogue(orders.select(F.col("o_orderkey").alias("entry_id"), human.alias("lineage"), (F.col("o_orderkey") % 4).cast("int").alias("protein_entities")))
+
+
+@query("SELECT structure_id, string_agg(DISTINCT least(bgn_chain, end_chain) || '-' || greatest(bgn_chain, end_chain), ',' ORDER BY least(bgn_chain, end_chain) || '-' || greatest(bgn_chain, end_chain)) AS chain_pairs, string_agg(DISTINCT raw_type, ',' ORDER BY raw_type) AS raw_types, CAST(sum(CASE WHEN raw_type <> 'unmapped' AND bgn_chain <> end_chain THEN 1 ELSE 0 END) AS BIGINT) AS mapped FROM contacts GROUP BY 1", "contacts")
+def a18_diagnostics(spark, sf_dir):
+    d = contacts.diagnostics(view(spark, sf_dir, "contacts"))
+    return d.withColumns({"chain_pairs": F.array_join("chain_pairs", ","), "raw_types": F.array_join("raw_types", ",")})
+
+
+@query("WITH s AS (SELECT *, CAST(substr(structure_id, 2) AS INT) % 3 AS kind FROM atoms) SELECT structure_id, serial, CASE WHEN kind = 2 THEN CASE WHEN chain_id = 'A' THEN 'B' ELSE 'A' END ELSE chain_id END AS chain_id, res_seq, res_name FROM s WHERE record = 'ATOM'", "atoms")
+def p5_w1_normalized_dimers(spark, sf_dir):
+    kind = F.substring("structure_id", 2, 9).cast("int") % 3
+    first = F.col("chain_id") == "A"
+    name = F.when(kind == 0, F.col("chain_id")).when(kind == 1, F.when(first, "X").otherwise("Y")).otherwise(F.when(first, "L").otherwise("H"))
+    atoms = view(spark, sf_dir, "atoms").withColumn("chain_id", name)
+    second = atoms.withColumn("model", F.lit(2))
+    return structure.normalized_dimers(atoms.unionByName(second))[0].select("structure_id", "serial", "chain_id", "res_seq", "res_name")
+
+
+@query("SELECT structure_id, 'load' AS stage, 'no chain C' AS reason FROM atoms GROUP BY 1 UNION ALL SELECT DISTINCT structure_id || 'x', 'load', 'no file' FROM atoms", "atoms")
+def f3_j8_missing(spark, sf_dir):
+    atoms = view(spark, sf_dir, "atoms")
+    one = atoms.select("structure_id", F.lit("A").alias("chain_a"), F.lit("C").alias("chain_b")).distinct()
+    return structure.missing_chains(atoms, one.unionByName(one.withColumn("structure_id", F.concat("structure_id", F.lit("x")))))
+
+
+PLACED = f"{SIDES}, n AS (SELECT a.structure_id, a.serial, a.res_seq, a.res_name, arg_min(b.serial, ({DIST}, b.serial)) AS vid FROM a JOIN b ON a.structure_id=b.structure_id WHERE {DIST} < 4 GROUP BY 1, 2, 3, 4), r AS (SELECT n.structure_id, n.res_seq, min(n.res_name) AS res_name, avg(b.x/12) AS u, avg(b.y/12) AS v FROM n JOIN b ON n.structure_id=b.structure_id AND n.vid=b.serial GROUP BY 1, 2)"
+
+
+def placed(spark, sf_dir):
+    """Residues of chain A on a patch whose vertices are the atoms of chain B."""
+    a, b = sides(spark, sf_dir)
+    patch = b.select("structure_id", F.lit(1).alias("patch_id"), F.col("serial").alias("vid"), "x", "y", "z")
+    uv = patch.select("structure_id", "patch_id", "vid", (F.col("x") / 12).alias("u"), (F.col("y") / 12).alias("v"))
+    return mapview.placed_residues(mapview.on_patch(mapview.close_atoms(a, b), patch, 4.0), a, uv)
+
+
+@query(f"WITH {PLACED} SELECT structure_id, res_seq, res_name, round(u, 6) AS u, round(v, 6) AS v FROM r", "atoms")
+def a8_f14_f15_placed_residues(spark, sf_dir):
+    return placed(spark, sf_dir).select("structure_id", "res_seq", "res_name", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {PLACED}, c AS (SELECT structure_id, TRY_CAST(nullif(regexp_extract(CASE WHEN bgn_chain='A' THEN bgn_seq ELSE end_seq END, '^\\s*(-?\\d+)', 1), '') AS INT) AS res_seq, {MAPPED} AS type FROM contacts WHERE least(bgn_chain, end_chain)='A' AND greatest(bgn_chain, end_chain)='B'), t AS (SELECT structure_id, res_seq, arg_min(type, list_position([{quoted(INTERACTIONS)}], type)) AS type FROM c WHERE type IN ('pi_stack', 'hbond') GROUP BY 1, 2) SELECT structure_id, res_name || res_seq AS label, '1_' || res_name || res_seq AS uid, type, CASE type WHEN 'pi_stack' THEN '#8A2BE2' ELSE '#0000FF' END AS color FROM r JOIN t USING (structure_id, res_seq)", "atoms", "contacts")
+def f17_j7_p7_styled_points(spark, sf_dir):
+    types = contacts.annotated_types(view(spark, sf_dir, "contacts"))
+    points = mapview.styled(placed(spark, sf_dir).join(types, ["structure_id", "res_seq"], "left"), active=["pi_stack", "hbond"])
+    return points.select("structure_id", "label", "uid", "type", "color")
+
+
+LOOPS = f"{EDGES}, d AS (SELECT mesh_id, a AS p, b AS q FROM mesh_faces UNION ALL SELECT mesh_id, b, c FROM mesh_faces UNION ALL SELECT mesh_id, c, a FROM mesh_faces), o AS (SELECT d.* FROM d LEFT JOIN d r ON d.mesh_id=r.mesh_id AND d.p=r.q AND d.q=r.p WHERE r.p IS NULL), w AS (SELECT mesh_id, p AS root, p AS vid, 0 AS pos FROM o UNION ALL SELECT w.mesh_id, w.root, o.q, w.pos+1 FROM w JOIN o ON o.mesh_id=w.mesh_id AND o.p=w.vid WHERE o.q <> w.root), k AS (SELECT mesh_id, root, min(vid) AS low, count(*) AS n FROM w GROUP BY 1, 2), lp AS (SELECT w.mesh_id, w.root AS loop, CAST(w.pos AS BIGINT) AS pos, n, w.vid FROM w JOIN k ON k.mesh_id=w.mesh_id AND k.root=w.root AND k.low=w.root), best AS (SELECT mesh_id, arg_max(loop, (n, -loop)) AS loop FROM lp GROUP BY 1), l1 AS (SELECT lp.* FROM lp JOIN best USING (mesh_id, loop))"
+
+
+@query(f"WITH RECURSIVE {LOOPS} SELECT mesh_id, loop, pos, n, vid FROM lp", "mesh_faces")
+def g5_boundary_loops(spark, sf_dir):
+    return flatten.boundary_loops(view(spark, sf_dir, "mesh_faces"))
+
+
+@query(f"WITH RECURSIVE {LOOPS}, z AS (SELECT l1.mesh_id, l1.pos, l1.vid, x, y, z FROM l1 JOIN mesh_vertices v ON v.mesh_id=l1.mesh_id AND v.vid=l1.vid) SELECT f.mesh_id, f.vid AS first, arg_max(t.vid, ((t.x-f.x)*(t.x-f.x)+(t.y-f.y)*(t.y-f.y)+(t.z-f.z)*(t.z-f.z), -t.vid)) AS far FROM z f JOIN z t ON f.mesh_id=t.mesh_id AND f.pos=0 GROUP BY 1, 2", "mesh_faces", "mesh_vertices")
+def w5_w6_farthest(spark, sf_dir):
+    faces, at = meshes(spark, sf_dir)
+    return flatten.farthest(flatten.longest_loop(flatten.boundary_loops(faces)), at)
+
+
+@query(f"WITH RECURSIVE {LOOPS}, z AS (SELECT l1.mesh_id, l1.pos, l1.n, l1.vid, x, y, z FROM l1 JOIN mesh_vertices v ON v.mesh_id=l1.mesh_id AND v.vid=l1.vid), s AS (SELECT z.mesh_id, z.vid, z.pos, sqrt((z.x-y.x)*(z.x-y.x)+(z.y-y.y)*(z.y-y.y)+(z.z-y.z)*(z.z-y.z)) AS len FROM z JOIN z y ON z.mesh_id=y.mesh_id AND y.pos=(z.pos+1)%z.n), c AS (SELECT mesh_id, vid, coalesce(sum(len) OVER (PARTITION BY mesh_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS arc, sum(len) OVER (PARTITION BY mesh_id) AS total FROM s) SELECT mesh_id, vid, round(arc, 6) AS arc, round(cos(2*pi()*arc/total), 6) + 0.0 AS u, round(sin(2*pi()*arc/total), 6) + 0.0 AS v FROM c", "mesh_faces", "mesh_vertices")
+def w7_circle(spark, sf_dir):
+    faces, at = meshes(spark, sf_dir)
+    c = flatten.circle(flatten.longest_loop(flatten.boundary_loops(faces)), at)
+    return c.select("mesh_id", "vid", F.round("arc", 6).alias("arc"), *[(F.round(k, 6) + 0.0).alias(k) for k in "uv"])
+
+
+@query(f"WITH RECURSIVE {ADJ}, k AS (SELECT c.mesh_id, component, unnest([a, b, c.c]) AS vid FROM (SELECT * FROM mesh_faces JOIN comp USING (mesh_id, fid)) c), m AS (SELECT mesh_id, component, count(DISTINCT vid) AS n, min(vid) AS low FROM k GROUP BY 1, 2), best AS (SELECT mesh_id, arg_max(component, (n, -low)) AS component FROM m GROUP BY 1) SELECT f.mesh_id, f.fid, f.a, f.b, f.c FROM mesh_faces f JOIN comp USING (mesh_id, fid) JOIN best USING (mesh_id, component)", "mesh_faces")
+def f12_largest_component(spark, sf_dir):
+    return flatten.largest_component(view(spark, sf_dir, "mesh_faces"))
+
+
+@query("WITH k AS (SELECT mesh_id, unnest([a, b, c]) AS vid FROM mesh_faces WHERE a < 2 + mesh_id % 2), n AS (SELECT mesh_id, count(DISTINCT vid) AS n_vertices FROM k GROUP BY 1) SELECT * FROM n WHERE n_vertices >= 3", "mesh_faces")
+def f11_f13_viable(spark, sf_dir):
+    faces, at = meshes(spark, sf_dir)
+    _, points = flatten.cleaned(faces.where("a < 2 + mesh_id % 2"), at)
+    return points.groupBy("mesh_id").agg(F.count("*").alias("n_vertices"))
+
+
 def unchecked(f: Query) -> Query:
     """Registers a query that SQL can't state; tests hold it against properties."""
     QUERIES[f.__name__] = f
@@ -312,4 +405,29 @@ def p2_distortion_report(spark, sf_dir):
     a, b = sides(spark, sf_dir)
     faces, at = sweeps.surface(a)
     patches = materialize(sweeps.interface(faces, sweeps.distances(at, points(b), 5.0), 5.0))
-    return project.distortion_report(patches, at)
+    return reports.distortion_report(patches, at)
+
+
+@unchecked
+def p4_sweep_sigma(spark, sf_dir):
+    a, b = sides(spark, sf_dir)
+    return sweeps.sweep_sigma(a, points(b))
+
+
+@unchecked
+def g6_harmonic(spark, sf_dir):
+    faces, at = flatten.cleaned(*meshes(spark, sf_dir))
+    return flatten.harmonic(faces, at, materialize(flatten.longest_loop(flatten.boundary_loops(faces))))
+
+
+@unchecked
+def g7_conformal(spark, sf_dir):
+    return flatten.flattened(*flatten.cleaned(*meshes(spark, sf_dir)))
+
+
+@unchecked
+def p1_interface_map(spark, sf_dir):
+    a, b = sides(spark, sf_dir)
+    faces, at = sweeps.surface(a)
+    patches = materialize(sweeps.interface(faces, sweeps.distances(at, points(b), 5.0), 5.0))
+    return reports.maps_of(patches, at, a, b).points

@@ -14,7 +14,11 @@ from ..sources.storage import materialize
 def surface(a: DataFrame, sigma: float = 1.5, res: float = 1.0, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """(faces, vertices) of the smoothed isosurface of each structure, both written to the shared folder."""
     grid = density.grids(a, res)
-    cells = materialize(density.smooth(density.voxels(a, grid), grid, sigma))
+    return surface_of(materialize(density.smooth(density.voxels(a, grid), grid, sigma)), grid, a, res, rounds)
+
+
+def surface_of(cells: DataFrame, grid: DataFrame, a: DataFrame, res: float = 1.0, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(faces, vertices) of smoothed densities, written already; structure_id may be any key that cells, grid and a share."""
     edges = isosurface.crossing_edges(cells, grid)
     level = materialize(isosurface.levels(edges, cells, a))
     points = materialize(isosurface.vertices(edges, level, res))
@@ -34,13 +38,6 @@ def interface(faces: DataFrame, near: DataFrame, cutoff: float, least_vertices:
     return mesh.patches(part, least_vertices).withColumnRenamed("mesh_id", "structure_id")
 
 
-def area(a: DataFrame, patches: DataFrame, points: DataFrame, param: str, value: float) -> DataFrame:
-    """structure_id, param, value, area of all patches, 0.0 where there is none."""
-    total = mesh.measured(patches.withColumnRenamed("structure_id", "mesh_id"), points).groupBy(F.col("mesh_id").alias("structure_id")).agg(F.sum("area").alias("area"))
-    every = a.select("structure_id").distinct().join(total, "structure_id", "left")
-    return every.select("structure_id", F.lit(param).alias("param"), F.lit(value).alias("value"), F.coalesce("area", F.lit(0.0)).alias("area"))
-
-
 def sweep_cutoff(a: DataFrame, b: DataFrame, values=tuple(3 + i / 2 for i in range(11)), least_vertices: int = 10) -> DataFrame:
     """Interface area for each cutoff; distances are joined once, at the largest, and all cutoffs share one component search."""
     faces, points = surface(a)
@@ -58,10 +55,21 @@ def sweep_cutoff(a: DataFrame, b: DataFrame, values=tuple(3 + i / 2 for i in ran
 
 
 def sweep_sigma(a: DataFrame, b: DataFrame, values=(0.5, 1.0, 1.5, 2.0, 2.5, 3.0), cutoff: float = 5.0, least_vertices: int = 10) -> DataFrame:
-    """Interface area for each width of the kernel; a structure without a surface has 0.0."""
-    out = []
-    for sigma in values:
-        faces, points = surface(a, sigma)
-        near = materialize(distances(points, b, cutoff))
-        out.append(area(a, interface(faces, near, cutoff, least_vertices), points, "sigma", sigma))
-    return reduce(DataFrame.unionByName, out)
+    """Interface area for each width of the kernel; a structure without a surface has 0.0.
+
+    Voxels are counted once; the surfaces of all widths go through one plan keyed by structure and width.
+    """
+    both = lambda value: F.struct("structure_id", value.cast("double").alias("value")).alias("structure_id")
+    keyed = lambda df, value: df.select(both(value), *[c for c in df.columns if c not in ("structure_id", "value")])
+    grid = materialize(density.grids(a))
+    voxels = materialize(density.voxels(a, grid))
+    cells = reduce(DataFrame.unionByName, [keyed(density.smooth(voxels, grid, sigma), F.lit(sigma)) for sigma in values])
+    steps = F.explode(F.array(*map(F.lit, values)))
+    grids, atoms = (keyed(df.withColumn("value", steps), F.col("value")) for df in (grid, a))
+    faces, points = surface_of(materialize(cells), grids, atoms)
+    at = points.select(F.col("mesh_id.structure_id").alias("structure_id"), F.struct("mesh_id", "vid").alias("id"), "x", "y", "z")
+    near = spatial.nearest(at, b, ["structure_id"], "id", cutoff, "b_serial").select("id.mesh_id", "id.vid", "dist")
+    patches = interface(faces, materialize(near), cutoff, least_vertices).withColumnRenamed("structure_id", "mesh_id")
+    total = mesh.measured(patches, points).groupBy("mesh_id.structure_id", "mesh_id.value").agg(F.sum("area").alias("area"))
+    every = a.select("structure_id").distinct().withColumn("value", steps)
+    return every.join(total, ["structure_id", "value"], "left").select("structure_id", F.lit("sigma").alias("param"), "value", F.coalesce("area", F.lit(0.0)).alias("area"))
