@@ -315,7 +315,7 @@ def a18_diagnostics(spark, sf_dir):
     return d.withColumns({"chain_pairs": F.array_join("chain_pairs", ","), "raw_types": F.array_join("raw_types", ",")})
 
 
-@query("WITH s AS (SELECT *, CAST(substr(structure_id, 2) AS INT) % 3 AS kind FROM atoms) SELECT structure_id, serial, CASE WHEN kind = 2 THEN CASE WHEN chain_id = 'A' THEN 'B' ELSE 'A' END ELSE chain_id END AS chain_id, res_seq, res_name FROM s WHERE record = 'ATOM'", "atoms")
+@query("WITH n AS (SELECT structure_id, chain_id, count(DISTINCT (record, res_seq)) AS c, min(serial) AS f FROM atoms GROUP BY 1, 2), l AS (SELECT structure_id, arg_max(chain_id, (c, -f)) AS longest FROM n GROUP BY 1), s AS (SELECT *, CAST(substr(structure_id, 2) AS INT) % 3 AS kind FROM atoms JOIN l USING (structure_id)) SELECT structure_id, serial, CASE kind WHEN 0 THEN chain_id WHEN 1 THEN CASE WHEN chain_id = longest THEN 'A' ELSE 'B' END ELSE CASE WHEN chain_id = 'A' THEN 'B' ELSE 'A' END END AS chain_id, res_seq, res_name FROM s WHERE record = 'ATOM'", "atoms")
 def p5_w1_normalized_dimers(spark, sf_dir):
     kind = F.substring("structure_id", 2, 9).cast("int") % 3
     first = F.col("chain_id") == "A"
@@ -343,9 +343,9 @@ def placed(spark, sf_dir):
     return mapview.placed_residues(mapview.on_patch(mapview.close_atoms(a, b), patch, 4.0), a, uv)
 
 
-@query(f"WITH {PLACED} SELECT structure_id, res_seq, res_name, round(u, 6) AS u, round(v, 6) AS v FROM r", "atoms")
+@query(f"WITH {PLACED} SELECT structure_id, res_seq, res_name, round(u, 9) AS u, round(v, 9) AS v FROM r", "atoms")
 def a8_f14_f15_placed_residues(spark, sf_dir):
-    return placed(spark, sf_dir).select("structure_id", "res_seq", "res_name", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
+    return placed(spark, sf_dir).select("structure_id", "res_seq", "res_name", F.round("u", 9).alias("u"), F.round("v", 9).alias("v"))
 
 
 @query(f"WITH {PLACED}, c AS (SELECT structure_id, TRY_CAST(nullif(regexp_extract(CASE WHEN bgn_chain='A' THEN bgn_seq ELSE end_seq END, '^\\s*(-?\\d+)', 1), '') AS INT) AS res_seq, {MAPPED} AS type FROM contacts WHERE least(bgn_chain, end_chain)='A' AND greatest(bgn_chain, end_chain)='B'), t AS (SELECT structure_id, res_seq, arg_min(type, list_position([{quoted(INTERACTIONS)}], type)) AS type FROM c WHERE type IN ('pi_stack', 'hbond') GROUP BY 1, 2) SELECT structure_id, res_name || res_seq AS label, '1_' || res_name || res_seq AS uid, type, CASE type WHEN 'pi_stack' THEN '#8A2BE2' ELSE '#0000FF' END AS color FROM r JOIN t USING (structure_id, res_seq)", "atoms", "contacts")
