@@ -1,9 +1,11 @@
 """Secret scans: rules find the base spans, a character convolutional network adds others.
 
-Candidates of the network are long tokens of letters and digits together that no rule covers. It sees
-the token and the characters around it, is trained in numpy on findings labelled by the rules (the
-rules' own spans against ordinary tokens of the same texts, whose trigger words are blanked half of
-the time), calibrated on other findings, and its threshold keeps at least `recall` of those.
+The network scores every long token, those that a rule covers too; base spans stay whatever it says,
+and each token it finds is a span of its own, whole even where a rule covers a part. It sees the token
+and the characters around it and is trained in numpy on findings labelled by the rules: the rules' own
+values, and values drawn anew from the letters that the rules allow, against ordinary tokens, words and
+words run together of the same texts (trigger words are blanked half of the time). It is calibrated on
+other findings, and its threshold keeps at least `recall` of those.
 
 Null and empty texts have no spans; repeated rows get equal spans; without findings to learn from
 nothing is added; an empty table gives an empty result; columns other than those named are ignored.
@@ -12,6 +14,7 @@ nothing is added; an empty table gives an empty result; columns other than those
 from __future__ import annotations
 
 import re
+from string import ascii_letters, ascii_lowercase, ascii_uppercase, digits
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,6 +30,7 @@ KINDS = ("assign", "access", "hex", "model")
 TRIGGERS = ("pass", "secret", "token", "api")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SIDE, BODY = 16, 40
+ALPHABETS = (ascii_letters, ascii_lowercase, ascii_uppercase + digits, "ABCDEF" + digits, ascii_letters + digits, ascii_letters + digits + "+/", ascii_letters + digits + "_-")  # of values drawn anew
 SAMPLE = 4000  # texts to learn from at most
 
 
@@ -41,17 +45,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def likely(token: str) -> bool:
-    digits = sum(c.isdigit() for c in token)
-    return digits >= 4 and sum(c.isalpha() for c in token) >= 4
-
-
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    out = []
-    for m in TOKEN.finditer(text):
-        if likely(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in base):
-            out.append(m.span())
-    return out
+def candidates(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in TOKEN.finditer(text)]
 
 
 def view(text: str, start: int, end: int) -> np.ndarray:
@@ -109,48 +104,83 @@ class CharCNN:
         """Platt scaling on findings that the training hasn't seen."""
         from .toxicity import fit
 
-        z = self.forward(x)[3]
+        z = self.logits(x)
         w = fit(np.stack([z, np.ones_like(z)], 1), y, 0.01)
         self.scale = w
 
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.forward(x[i : i + 1024])[3] for i in range(0, len(x), 1024)])
+
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.forward(x)[3] * self.scale[0] + self.scale[1], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(x) * self.scale[0] + self.scale[1], -30, 30)))
+
+
+def drawn(r: np.random.Generator) -> str:
+    """A random value of one of ALPHABETS, padded like base64 now and then."""
+    letters = ALPHABETS[r.integers(len(ALPHABETS))]
+    return "".join(letters[i] for i in r.integers(len(letters), size=r.integers(16, 65))) + "=" * (int(r.integers(3)) if "+" in letters else 0)
+
+
+def examples(text: str, h: int) -> list[tuple[bytes, int]]:
+    """Views with labels from one text: 1 for findings of the rules, 2 for values drawn in their places and those of words, 0 for ordinary tokens."""
+    base, out = base_spans(text), []
+    r = np.random.default_rng(h & 0xFFFFFFFF)
+
+    def put(before: str, token: str, after: str, label: int) -> None:
+        seen = before[-SIDE:]
+        out.append((view(seen + token + after[:SIDE], len(seen), len(seen) + len(token)).astype(np.uint8).tobytes(), label))
+
+    free = lambda pattern: [m.span() for m in re.finditer(pattern, text[:20000]) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+    words = free(r"[A-Za-z]{2,}")
+    for start, kind, end in base[:4]:
+        m = ASSIGN.match(text, start) if kind == 0 else None
+        a, b = m.span(2) if m else (start, end)
+        seen = text[max(0, a - SIDE) : a]
+        blank = re.sub(r"[A-Za-z]", " ", seen)
+        for before in (seen, blank):
+            put(before, text[a:b], text[b : b + SIDE], 1)
+        put(blank if r.random() < 0.5 else seen, drawn(r), text[b : b + SIDE], 2)
+        for a, b in [words[i] for i in r.integers(len(words), size=2)] if words else []:
+            put(text[max(0, a - SIDE) : a], drawn(r), text[b : b + SIDE], 2)
+    for found in (free(TOKEN), free(r"\S{6,}")):
+        for i in r.permutation(len(found))[:4]:
+            a, b = found[i]
+            put(text[max(0, a - SIDE) : a], text[a:b], text[b : b + SIDE], 0)
+    for i in r.permutation(max(0, len(words) - 5))[:6]:  # words run together, as in names and paths, and rules of one sign
+        joined = ("", "_", "-", "/")[r.integers(4)].join(text[a:b] for a, b in words[i : i + 6])
+        kind = r.integers(8)
+        joined = joined.upper() if kind < 2 else "=-_+/"[r.integers(5)] * 64 if kind == 2 else joined
+        put(text[max(0, words[i][0] - SIDE) : words[i][0]], joined[: r.integers(16, 65)], text[words[i][1] :][:SIDE], 0)
+    return out
 
 
-def labelled(docs: DataFrame, sample: int) -> list[tuple[list[int], int]]:
-    """Views with labels from at most `sample` texts with findings and as many views of each label, chosen by hash."""
+def labelled(docs: DataFrame, sample: int) -> list[tuple[bytes, int]]:
+    """The examples of at most `sample` texts with findings, chosen by hash."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for text, h in rows(batch):
-                base = base_spans(text)
-                r = np.random.default_rng(h & 0xFFFFFFFF)
-                for start, kind, end in base[:4]:
-                    m = ASSIGN.match(text, start) if kind == 0 else None
-                    a, b = m.span(2) if m else (start, end)
-                    if likely(text[a:b]):
-                        seen = re.sub(r"[A-Za-z]", " ", text[:a][-SIDE:]) if r.random() < 0.5 else text[:a][-SIDE:]
-                        out.append((view(seen + text[a : b + SIDE], len(seen), len(seen) + b - a).tolist(), 1))
-                words = [m.span() for m in re.finditer(r"\S{6,}", text[:20000]) if not any(s < m.end() and m.start() < e for s, _, e in base)]
-                for i in r.permutation(len(words))[:4]:
-                    out.append((view(text, *words[i]).tolist(), 0))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.list_(pa.int64())), pa.array([o[1] for o in out], pa.int32())], names=["x", "y"])
+            out = [o for text, h in rows(batch) for o in examples(text, h)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32())], names=["x", "y"])
 
     hinted = docs.where(F.col("text").rlike("[0-9a-f]{16}|AKIA") | F.lower("text").rlike(r"(password|passwd|secret|token|api_?key)[\"']? *[:=]"))
     chosen = hinted.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample)
-    return [(r["x"], r["y"]) for r in chosen.mapInArrow(run, "x array<long>, y int").collect()]
+    return [(bytes(r["x"]), r["y"]) for r in chosen.mapInArrow(run, "x binary, y int").collect()]
 
 
 def train(docs: DataFrame, recall: float, sample: int) -> tuple[CharCNN, float]:
-    """Network and threshold; the threshold keeps `recall` of the calibration findings, and passes no ordinary token of them."""
-    rows_ = sorted(labelled(docs, sample))
-    y = np.array([r[1] for r in rows_], float)
+    """Network and threshold, learned from docs."""
+    return fitted(sorted(labelled(docs, sample)), recall)
+
+
+def fitted(rows_: list[tuple[bytes, int]], recall: float) -> tuple[CharCNN, float]:
+    """Network and threshold; the threshold keeps `recall` of the calibration findings, found and drawn each, and passes no ordinary token of them where the classes part."""
+    kind = np.array([r[1] for r in rows_], int)
+    y = (kind > 0).astype(float)
     if len(set(y.tolist())) < 2 or y.sum() < 8:
         return CharCNN(), 2.0
-    x = np.array([r[0] for r in rows_])
+    x = np.frombuffer(b"".join(r[0] for r in rows_), np.uint8).reshape(len(rows_), -1)
     later = np.random.default_rng(8).random(len(y)) < 0.3
     net = CharCNN()
     net.train(x[~later], y[~later])
@@ -158,7 +188,7 @@ def train(docs: DataFrame, recall: float, sample: int) -> tuple[CharCNN, float]:
         return net, 0.9
     net.calibrate(x[later], y[later])
     p = net.probability(x[later])
-    keep = float(np.quantile(p[y[later] == 1], 1 - recall, method="lower"))
+    keep = min(float(np.quantile(p[kind[later] == k], 1 - recall, method="lower")) for k in set(kind[later].tolist()) - {0})
     clean = float(p[y[later] == 0].max())
     return net, keep if clean >= keep else (keep + clean) / 2  # recall first; between the classes where they part
 
@@ -166,7 +196,7 @@ def train(docs: DataFrame, recall: float, sample: int) -> tuple[CharCNN, float]:
 def spans_of(text: str, net: CharCNN, threshold: float) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the rules and the network."""
     base = base_spans(text)
-    more = candidates(text, base)
+    more = candidates(text)
     if not more:
         return base
     p = np.concatenate([net.probability(np.array([view(text, *m) for m in more[i : i + 1024]])) for i in range(0, len(more), 1024)])

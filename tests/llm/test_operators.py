@@ -181,3 +181,22 @@ def test_pages(spark):
     got = {r["page_id"]: r["text"] for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == "T&t\n\nOne two\n\nthree" and got[2] == got[3] == ""
     assert all(got[i] == f"text {i}" for i in range(10, 20))
+
+
+def test_secret_network_scores_every_token(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice(["tion", "er", "the", "an", "re", "ing", "on"]) for _ in range(r.randint(1, 3)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    learn = [f'{prose(40)} token = "{draw("0123456789abcdef", 40)}" {prose(40)} {draw(["tion", "er", "the", "ing"], 6)} {prose(9)}' for _ in range(400)]
+    plain = [f"{prose(20)} {draw(['tion', 'er', 'the', 'ing'], 6)} {prose(20)}" for _ in range(50)]
+    keys = [draw(letters, 32) for _ in range(50)]
+    part = [f"{draw(letters, 20)}{draw('0123456789abcdef', 16)}{draw(letters, 12)}" for _ in range(20)]
+    texts = [*learn, *plain, *(f"{prose(20)} {k} {prose(20)}" for k in [*keys, *part])]
+    got = {x["doc_id"]: x["spans"] for x in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    model = lambda i: [texts[i][s["start"] : s["end"]] for s in got[i] if s["kind"] == "model"]
+    assert all([(s["start"], secrets.KINDS.index(s["kind"]), s["end"]) for s in got[i] if s["kind"] != "model"] == secrets.base_spans(t) for i, t in enumerate(texts))
+    assert sum(k in model(450 + i) for i, k in enumerate(keys)) >= 40  # letters alone
+    assert sum(k in model(500 + i) for i, k in enumerate(part)) >= 16  # whole, not only the part of a rule
+    assert sum(len(model(i)) for i in range(400)) >= 340 and sum(len(model(i)) for i in range(400, 450)) <= 2
