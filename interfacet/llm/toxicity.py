@@ -2,7 +2,9 @@
 
 Terms (words, and stems that open words) are learned from labelled rows by an exact binomial test.
 A trie of the terms is intersected with the Levenshtein automaton of distance 1 and made
-deterministic, so that all words of a batch walk one transition table together. Hits between
+deterministic, so that all words of a batch walk one transition table together. Words and stems of
+5 letters or more may hold one edit, in the learned lexicon at the first letter too; shorter ones
+must be exact, as must those whose edited forms are ordinary words of clean training texts. Hits between
 quotation marks count less than others (context window); a logistic model turns the counts into a
 score. Only the text is an input of a score.
 
@@ -27,6 +29,7 @@ from .common import materialize, rows
 SAMPLE = 20_000  # labelled rows to learn from at most; see learn()
 WINDOW, QUOTES, QUOTED = 30, "\"“”„«»‹›", 0.3
 STEMS = range(4, 8)  # lengths of stems
+EDITS = 64  # see ordinary()
 SEP, OTHER = 0, 1
 
 
@@ -35,9 +38,9 @@ def is_training(doc_id):
 
 
 class Automaton:
-    """Deterministic product of the trie of `terms` (a stem ends in *) with distance 1."""
+    """Deterministic product of the trie of `terms` (a stem ends in *) with distance 1; `first` allows the edit at the first letter; `exact` terms take none."""
 
-    def __init__(self, terms: list[str], fuzzy_from: int = 5):
+    def __init__(self, terms: list[str], fuzzy_from: int = 5, first: bool = False, exact: frozenset[str] = frozenset()):
         self.letters = {c: i + 2 for i, c in enumerate(sorted({c for t in terms for c in t.rstrip("*")}))}
         trie, ends = [{}], {}
         for t in terms:
@@ -47,25 +50,32 @@ class Automaton:
                     trie.append({})
                     trie[at][c] = len(trie) - 1
                 at = trie[at][c]
-            ends.setdefault(at, set()).add("stem" if t.endswith("*") else "fuzzy" if len(t) >= fuzzy_from else "word")
+            ends.setdefault(at, set()).add(("fuzzy " if len(t.rstrip("*")) >= fuzzy_from and t not in exact else "") + ("stem" if t.endswith("*") else "word"))
+        free = lambda node: first or node
+        begun = (-1, 1)  # a stem with one edit has opened the word
 
         def close(states):
             """A letter left out costs an edit and reads nothing."""
-            return frozenset(states) | {(child, 1) for node, e in states if e == 0 and node for child in trie[node].values()}
+            out = set(states) | {(child, 1) for node, e in states if e == 0 and free(node) for child in trie[node].values()}
+            return frozenset(out | {begun} if any(e and "fuzzy stem" in ends.get(node, ()) for node, e in out) else out)
 
         def step(states, c):
             out = set()
             for node, e in states:
+                if (node, e) == begun:
+                    out.add(begun)
+                    continue
                 if c in trie[node]:
                     out.add((trie[node][c], e))
-                if e == 0 and node:  # the first letter must be right
+                if e == 0 and free(node):
                     out.add((node, 1))
                     out.update((child, 1) for child in trie[node].values())
             return close(out)
 
         def kind(states):
             kinds = {(k, e) for node, e in states for k in ends.get(node, ())}
-            return 3 if ("stem", 0) in kinds else 1 if kinds & {("word", 0), ("fuzzy", 0)} else 2 if ("fuzzy", 1) in kinds else 0
+            right = lambda name: kinds & {(name, 0), ("fuzzy " + name, 0)}
+            return 3 if right("stem") else 1 if right("word") else 2 if begun in states or ("fuzzy word", 1) in kinds else 0
 
         start = close({(0, 0)})
         names, todo, table, kinds = {frozenset(): 0, start: 1}, [start], {0: [0] * (len(self.letters) + 2)}, {0: 0, 1: 0}
@@ -95,8 +105,8 @@ class Automaton:
         return out
 
 
-def hits(auto: Automaton, classes: np.ndarray, text: str) -> tuple[np.ndarray, int]:
-    """Weighted counts of hits (exact, one edit, stem), and the number of words."""
+def matches(auto: Automaton, classes: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Code points, place and kind of each hit, and the number of words."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     cls = np.append(classes[np.minimum(code, 0xFFFF)], SEP)
     word = cls != SEP
@@ -113,19 +123,26 @@ def hits(auto: Automaton, classes: np.ndarray, text: str) -> tuple[np.ndarray, i
         state = auto.table[state, c]
         live = (state > 0) & ~over
         state, at, begun = state[live], at[live] + 1, begun[live]
+    none = np.zeros(0, np.int64)
+    return code, np.concatenate([none, *done]), np.concatenate([none, *kinds]), len(starts)
+
+
+def hits(auto: Automaton, classes: np.ndarray, text: str) -> tuple[np.ndarray, int]:
+    """Weighted counts of hits (exact, one edit, stem), and the number of words."""
+    code, where, what, n = matches(auto, classes, text)
     out = np.zeros(3)
-    if done and sum(map(len, done)):
-        where, what = np.concatenate(done), np.concatenate(kinds)
+    if len(where):
         quote = np.concatenate([[0], np.cumsum(np.isin(code, [ord(q) for q in QUOTES]))])
         left = quote[where] > quote[np.maximum(where - WINDOW, 0)]
         right = quote[np.minimum(where + WINDOW, len(code))] > quote[where]
         np.add.at(out, what - 1, np.where(left & right, QUOTED, 1.0))
-    return out, len(starts)
+    return out, n
 
 
 def features(found: np.ndarray, n: int) -> list[float]:
-    total = float(found[0] + found[2])
-    return [1.0, *np.log1p(found), math.log1p(total * 100 / max(n, 20)), float(total > 0)]
+    total = float(found.sum())
+    exact, edits, stems = found
+    return [1.0, *np.log1p([exact + edits, edits, stems]), math.log1p(total * 100 / max(n, 20)), float(total > 0)]
 
 
 def terms_of(text: str) -> set[str]:
@@ -148,6 +165,52 @@ def count_terms(sample: DataFrame, only: frozenset[str] | None) -> DataFrame:
     return sample.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def edited(auto: Automaton, classes: np.ndarray, text: str) -> set[str]:
+    """The words of text that are one edit from a term."""
+    code, where, what, _ = matches(auto, classes, text)
+    out = set()
+    for i in where[what == 2]:
+        end = i
+        while end < len(code) and classes[min(code[end], 0xFFFF)] != SEP:
+            end += 1
+        out.add("".join(map(chr, code[i:end])))
+    return out
+
+
+def count_edits(sample: DataFrame, terms: list[str]) -> dict[str, int]:
+    """For each term how often the texts of sample hold words one edit from it, each word once a text."""
+
+    def words(batches):
+        import pyarrow as pa
+
+        auto, n = Automaton(terms, first=True), Counter()
+        classes = auto.classes()
+        for batch in batches:
+            for (text,) in rows(batch):
+                n.update(edited(auto, classes, text or ""))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+
+    def by_term(batches):
+        import pyarrow as pa
+
+        each = [(t, a, a.classes()) for t in terms for a in [Automaton([t], first=True)]]
+        n: Counter = Counter()
+        for batch in batches:
+            found = dict(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            text = " ".join(found)
+            for t, auto, classes in each:
+                n[t] += sum(found[w] for w in edited(auto, classes, text))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+
+    counted = sample.select("text").mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {r["term"]: r["n"] for r in counted.mapInArrow(by_term, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+
+
+def ordinary(toxic: dict[str, int], edits: dict[str, int], n_toxic: int, n_clean: int) -> frozenset[str]:
+    """Terms that must be exact: clean texts hold words one edit from them, not EDITS times more rarely than toxic texts hold the term."""
+    return frozenset(t for t, b in edits.items() if toxic[t] / n_toxic < EDITS * b / n_clean)
+
+
 def tail(a: int, n: int, p: float) -> float:
     """log10 of the chance of a or more of n, each with chance p."""
     logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p) for k in range(a, min(n, a + 60) + 1)]
@@ -156,7 +219,7 @@ def tail(a: int, n: int, p: float) -> float:
 
 
 def lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, most: int = 150) -> list[str]:
-    """Terms that toxic texts hold far more often than chance allows; a stem stands for its longer forms."""
+    """Terms that toxic texts hold far more often than chance allows: words, and stems that no other stem stands for."""
     p = n_toxic / (n_toxic + n_clean)
     good = {}
     for t, a in toxic.items():
@@ -164,9 +227,9 @@ def lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
         if a / n_toxic >= 8 * b / n_clean and (x := tail(a, a + b, p)) <= -6.5:
             good[t] = x
     chosen: list[str] = []
-    for t in sorted(good, key=lambda t: (good[t], len(t), t)):
+    for t in sorted(good, key=lambda t: (good[t], -len(t), t)):  # of equal stems the longest
         stem = t.rstrip("*")
-        if any(stem.startswith(c[:-1]) for c in chosen if c.endswith("*")) or any(c.startswith(stem) and t.endswith("*") for c in chosen):
+        if t.endswith("*") and any(c.endswith("*") and (stem.startswith(c[:-1]) or c.startswith(stem)) for c in chosen):
             continue
         chosen.append(t)
     return chosen[:most]
@@ -196,7 +259,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Aut
         return Automaton([]), np.zeros(6)
     toxic = {r["term"]: r["n"] for r in count_terms(texts.where("toxic = 1"), None).where("n >= 4").collect()}
     clean = {r["term"]: r["n"] for r in count_terms(texts.where("toxic = 0"), frozenset(toxic)).collect()}
-    auto = Automaton(lexicon(toxic, clean, counts[1], counts[0]))
+    terms = lexicon(toxic, clean, counts[1], counts[0])
+    auto = Automaton(terms, first=True, exact=ordinary(toxic, count_edits(texts.where("toxic = 0"), terms), counts[1], counts[0]))
     found = np.array([[r["toxic"], r["n"], *r["found"]] for r in find(texts.withColumns({"id": F.col("toxic").cast("long"), "h": F.lit(0).cast("long")}), auto).select(F.col("id").alias("toxic"), "n", "found").collect()])
     return auto, fit(np.array([features(r[2:], int(r[1])) for r in found]), found[:, 0])
 

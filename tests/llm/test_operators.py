@@ -200,3 +200,15 @@ def test_secret_network_scores_every_token(spark):
     assert sum(k in model(450 + i) for i, k in enumerate(keys)) >= 40  # letters alone
     assert sum(k in model(500 + i) for i, k in enumerate(part)) >= 16  # whole, not only the part of a rule
     assert sum(len(model(i)) for i in range(400)) >= 340 and sum(len(model(i)) for i in range(400, 450)) <= 2
+
+
+def test_toxicity_finds_misspelled_terms(spark):
+    r = random.Random(12)
+    prose = lambda: " ".join("".join(r.choice("bcdfgh") for _ in range(r.randint(2, 8))) for _ in range(60))
+    forms = ["idiot", "idiots", "worthless", "stupid", "stupidly", "trash", "trashy"]
+    rows = [(i, prose() + (" " + " ".join(r.sample(forms, 2)) if i % 3 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    wrong = ["idxot wrthless", "stuupid trxsh", "xdiot tupid", "idots stpid", "wxrthless rash"]
+    tests = [(1000 + i, prose() + " " + w) for i, w in enumerate(wrong)] + [(2000 + i, prose()) for i in range(20)]
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score(spark.createDataFrame(rows + tests, "doc_id long, text string"), labels).collect()}
+    assert all(got[1000 + i] == 1 for i in range(len(wrong))) and not any(got[2000 + i] for i in range(20))
