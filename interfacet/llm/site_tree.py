@@ -2,8 +2,10 @@
 
 The DOMs of a host are merged into one tree of style nodes (tag, class and id on the path from the
 root). For each node the entropy of what it shows on the host's pages says how much it matters:
-menus and footers show the same again and again, articles don't. Branches of low importance go, as
-do those whose tags or classes name them as boilerplate; inside an article the text stays.
+menus and footers show the same again and again, articles don't. Branches of low importance go,
+inside articles too, as do those whose tags or classes name them as boilerplate; copies of a page
+count once. Beside an article, other text stays where its importance is known and not low. A page
+whose whole article is of low importance keeps it.
 
 Null and empty html gives an empty text; pages without a host form one site; repeated rows get equal
 results; an empty table gives an empty result; columns other than those named are ignored.
@@ -32,7 +34,7 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "p": {"article", "body", "div", "main", "section", "td", "li", "blockquote"}}
 BOILERPLATE = {"ad", "ads", "adv", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "disqus", "footer", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "related", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget"}
 CONTENT = {"article", "main"}
-LOW = 0.3  # importance below which a branch outside the article goes
+LOW = 0.3  # importance below which a branch goes
 PAGES = 4  # pages a node must be on before its importance counts
 
 
@@ -109,18 +111,16 @@ def host(url):
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """host, path, shown (hash of what the node shows on a page): a row for each page and node outside articles."""
+    """host, path, shown (hash of what the node shows on a page), page (hash of the page): a row for each page and node."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            sites, paths, shown = [], [], []
-            for site, page in rows(batch):
+            sites, paths, shown, pages_ = [], [], [], []
+            for site, page, h in rows(batch):
                 nodes: dict[str, int] = {}
-                for path, inside, _, text in blocks(page or ""):
-                    if inside:
-                        continue
+                for path, _, _, text in blocks(page or ""):
                     code = zlib.crc32(text.encode("utf-8", "surrogatepass"))
                     parts = path.split("/")
                     for i in range(2, len(parts) + 1):
@@ -129,35 +129,38 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                 sites += [site] * len(nodes)
                 paths += nodes
                 shown += nodes.values()
-            yield pa.RecordBatch.from_arrays([pa.array(sites, pa.string()), pa.array(paths, pa.string()), pa.array(shown, pa.int64())], names=["host", "path", "shown"])
+                pages_ += [h] * len(nodes)
+            yield pa.RecordBatch.from_arrays([pa.array(sites, pa.string()), pa.array(paths, pa.string()), pa.array(shown, pa.int64()), pa.array(pages_, pa.int64())], names=["host", "path", "shown", "page"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, shown long")
+    return pages.select("host", "html", F.xxhash64("html")).mapInArrow(run, "host string, path string, shown long, page long")
 
 
-def low_nodes(pages: DataFrame) -> DataFrame:
-    """host, low (paths): entropy of what a node shows, as a share of the most it can be, under LOW."""
-    each = style_nodes(pages).groupBy("host", "path", "shown").agg(F.count("*").alias("n"))
+def rated_nodes(pages: DataFrame) -> DataFrame:
+    """host, low and high (paths): entropy of what a node shows, as a share of the most it can be, under LOW or not."""
+    each = style_nodes(pages).groupBy("host", "path", "shown").agg(F.countDistinct("page").alias("n"))
     total = each.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = (F.log("m") - F.col("s") / F.col("m")) / F.log("m")
-    return total.where(F.col("m") >= PAGES).where(entropy < LOW).groupBy("host").agg(F.collect_list("path").alias("low"))
+    return total.where(F.col("m") >= PAGES).withColumn("rare", entropy < LOW).groupBy("host").agg(F.collect_list(F.when(F.col("rare"), F.col("path"))).alias("low"), F.collect_list(F.when(~F.col("rare"), F.col("path"))).alias("high"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every row of pages."""
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host("url").alias("host"))
-    low = materialize(low_nodes(source))
+    rated = materialize(rated_nodes(source))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             ids, urls, texts = [], [], []
-            for page_id, url, page, paths in rows(batch):
+            for page_id, url, page, low, high in rows(batch):
                 found = blocks(page or "")
                 article = any(inside and not bad for _, inside, bad, _ in found)
-                gone = tuple(paths or ())
-                keep = [text for path, inside, bad, text in found if not bad and (inside if article else not any(path == g or path.startswith(g + "/") for g in gone))]
+                low, high = set(low or ()), set(high or ())
+                gone = {path: any("/".join(path.split("/")[:i]) in low for i in range(2, path.count("/") + 2)) for path, _, _, _ in found}
+                whole = article and all(bad or gone[path] for path, inside, bad, _ in found if inside)
+                keep = [text for path, inside, bad, text in found if not bad and (whole and inside or not gone[path] and (inside or not article or path in high))]
                 ids.append(page_id), urls.append(url), texts.append("\n\n".join(keep))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return source.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string")
+    return source.join(rated, "host", "left").select("page_id", "url", "html", "low", "high").mapInArrow(run, "page_id long, url string, text string")

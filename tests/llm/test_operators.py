@@ -212,3 +212,11 @@ def test_toxicity_finds_misspelled_terms(spark):
     tests = [(1000 + i, prose() + " " + w) for i, w in enumerate(wrong)] + [(2000 + i, prose()) for i in range(20)]
     got = {x["doc_id"]: x["predicted"] for x in toxicity.score(spark.createDataFrame(rows + tests, "doc_id long, text string"), labels).collect()}
     assert all(got[1000 + i] == 1 for i in range(len(wrong))) and not any(got[2000 + i] for i in range(20))
+
+
+def test_importance_decides_inside_and_beside_articles(spark):
+    page = lambda i: f"<body><div class=intro>intro {i}</div><div class=top>same</div><article><p>text {i}</p><div class=hint>call us</div></article></body>"
+    copy = "<body><article><p>one text</p></article></body>"
+    rows = [*[(i, "http://s.t/1", page(i)) for i in range(10)], *[(20 + i, "http://c.d/1", copy) for i in range(9)]]
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"intro {i}\n\ntext {i}" for i in range(10)) and all(got[20 + i] == "one text" for i in range(9))
