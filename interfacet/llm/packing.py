@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, rows
-from .tokens import CACHE, encoder, vocabulary
+from .common import materialize, release
+from .tokens import CACHE, encoder, vocabulary, with_ends
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long"
 
@@ -39,141 +40,207 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, cache: int =
         enc, pid, seen = encoder(path, cache), TaskContext.get().partitionId(), {}
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("pid", pa.int32()), ("nth", pa.int64())])
         for batch in batches:
-            out = []
-            for doc_id, text in rows(batch):
-                ids = np.append(enc.ids(text), end_id).astype("<u4")
-                for k, (start, length) in enumerate(cut(len(ids), capacity)):
-                    nth = seen.get(length, 0)
-                    seen[length] = nth + 1
-                    out.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), pid, nth))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)] if out else [pa.array([], t) for t in schema.types], schema=schema)
+            doc_ids = batch.column(0)
+            for i, ids, sizes in enc.column(batch.column(1)):
+                whole, ends = with_ends(ids, sizes, end_id)
+                raw, out = memoryview(whole.view(np.uint8)), []
+                for k, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)):
+                    for piece, (start, length) in enumerate(cut(b - a, capacity)):
+                        nth = seen.get(length, 0)
+                        seen[length] = nth + 1
+                        out.append((i + k, piece, start, length, zlib.crc32(raw[4 * (a + start) : 4 * (a + start + length)]), pid, nth))
+                columns = np.array(out, np.int64).T
+                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(columns[0])), *(pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns[1:], schema.types[1:], strict=True))], schema=schema)
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
-class Stock:
-    """Counts by length, with the lengths that are left in order."""
+def least_bins(count: np.ndarray) -> int:
+    """A lower bound of the sequences that count (pieces by length, capacity last) needs.
 
-    def __init__(self, counts: dict[int, int]):
-        self.count = dict(counts)
-        self.left = sorted(k for k, v in counts.items() if v)
-
-    def take(self, length: int, n: int) -> None:
-        self.count[length] -= n
-        if not self.count[length]:
-            self.left.remove(length)
-
-    def put(self, length: int, n: int) -> None:
-        if not self.count.get(length):
-            self.left.insert(bisect_right(self.left, length), length)
-        self.count[length] = self.count.get(length, 0) + n
-
-    def largest(self, room: int) -> int:
-        """The largest length that is left and fits, 0 if none."""
-        i = bisect_right(self.left, room)
-        return self.left[i - 1] if i else 0
-
-
-def best_fit(stock: Stock, room: int) -> list[int]:
-    """Largest fitting piece again and again."""
+    For every k: pieces over capacity - k stand alone, pieces over half of it need a sequence each, and
+    what those leave open can't hold more of the pieces from k to half than its size.
+    """
+    capacity = len(count) - 1
+    length = np.arange(capacity + 1)
+    n, size = np.cumsum(count), np.cumsum(count * length)
+    half = capacity // 2
+    k = np.arange(half + 1)
+    upto = capacity - k
+    alone, large = n[-1] - n[upto], n[upto] - n[half]
+    room = large * capacity - (size[upto] - size[half])
+    small = size[half] - np.where(k > 0, size[k - 1], 0)
+    return int((alone + large + np.maximum(0, -(-(small - room) // capacity))).max())
+
+
+def best_fit(count: np.ndarray, room: int) -> list[int]:
+    """The largest fitting piece again and again."""
     out: list[int] = []
-    while room and (x := stock.largest(room)):
-        if out.count(x) >= stock.count[x]:
-            i = stock.left.index(x)
-            x = next((y for y in stock.left[:i][::-1] if out.count(y) < stock.count[y]), 0)
-            if not x:
-                break
-        out.append(x)
-        room -= x
+    while room:
+        fits = np.flatnonzero(count[1 : room + 1])
+        if not len(fits):
+            break
+        x = int(fits[-1]) + 1
+        k = min(int(count[x]), room // x)
+        out += [x] * k
+        count = count.copy() if len(out) == k else count
+        count[x] -= k
+        room -= k * x
     return out
 
 
-def completions(stock: Stock, room: int, width: int) -> list[list[int]]:
-    """Undominated fillings of `room`, the least waste first, `width` of them at most.
+def best_fit_plan(count: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a sequence, how many such sequences): the largest piece left with its best fit, as often as they last."""
+    count, out = count.copy(), []
+    while count.any():
+        top = int(np.flatnonzero(count)[-1])
+        count[top] -= 1
+        items = (top, *best_fit(count, len(count) - 1 - top))
+        count[top] += 1
+        n = min(int(count[x]) // items.count(x) for x in set(items))
+        out.append((items, n))
+        np.subtract.at(count, list(items), n)
+    return out
 
-    A filling with a smaller largest piece and no more in sum is dominated by the best fit; for
-    each second largest piece only the closest partner is undominated.
+
+def reachable(count: np.ndarray, room: int) -> tuple[list[int], list[int]]:
+    """The lengths up to room in ascending order, and for each how many of them: bit s of sums[i] is set if some of the first i lengths' pieces sum to s."""
+    lengths = (np.flatnonzero(count[1 : room + 1]) + 1).tolist()
+    mask, sums = (1 << room + 1) - 1, [1]
+    for x in lengths:
+        have, left, step = sums[-1], min(int(count[x]), room // x), 1
+        while left:  # powers of two and a rest give every number of copies
+            k = min(step, left)
+            have |= have << k * x & mask
+            left, step = left - k, 2 * step
+        sums.append(have)
+    return lengths, sums
+
+
+def smeared(bits: int, width: int) -> int:
+    """Bits moved up by 1 .. width."""
+    out, done = bits << 1, 1
+    while done < width:
+        k = min(done, width - done)
+        out, done = out | out << k, done + k
+    return out if width else 0
+
+
+def fillings(count: np.ndarray, room: int, waste: int) -> Iterator[list[int]]:
+    """The undominated fillings of room that leave at most `waste` open, the least open first, each found as it is asked for.
+
+    A filling is dominated if a piece that it leaves out could take the place of some of its pieces
+    that are no larger together (two or more of them, if equal), or fits beside them. Pieces are chosen
+    in falling order, so that a sum of chosen pieces only meets lengths that are decided already, and
+    every choice can still be completed.
     """
-    single = stock.largest(room)
-    found = {tuple(best_fit(stock, room))}
-    if room in stock.count and stock.count[room]:
-        return [[room]]
-    for a in reversed(stock.left[: bisect_right(stock.left, room)]):
-        b = stock.largest(min(a, room - a))
-        if b == a and stock.count[a] < 2:
-            i = bisect_right(stock.left, a) - 2
-            b = stock.left[i] if i >= 0 and stock.left[i] <= room - a else 0
-        if not b:
+    lengths, sums = reachable(count, room)
+    for open_ in range(min(waste, room) + 1):
+        if not sums[-1] >> (room - open_) & 1:
             continue
-        if a + b == room:
-            found.add((a, b))
-            break
-        rest = stock.largest(min(room - a - b, b))
-        three = (a, b, rest) if rest and (a, b, rest).count(rest) <= stock.count[rest] else (a, b)
-        if sum(three) > single:
-            found.add(three)
-        if sum(three) == room:
-            break
-    return [list(x) for x in sorted(found, key=lambda x: (room - sum(x), len(x), x))[:width]]
+        # A level: next index to try below, sum still to fill, copies used of the last length, sums of chosen pieces (all, two or more).
+        chosen: list[int] = []
+        stack = [[len(lengths) - 1, room - open_, 1, 0]]
+        while stack:
+            level = stack[-1]
+            i, need, some, two = level
+            if need == 0:
+                stack.pop()
+                left = sum(1 << x for x in lengths[: bisect_right(lengths, open_)] if count[x] > chosen.count(x)) if open_ else 0
+                if not left:
+                    yield list(chosen)
+                if chosen:
+                    chosen.pop()
+                continue
+            while i >= 0 and not (lengths[i] <= need and sums[i + 1] >> need & 1):
+                i -= 1
+            if i < 0:
+                stack.pop()
+                if chosen:
+                    chosen.pop()
+                continue
+            x = lengths[i]
+            level[0] = i - 1  # the next try at this level is a smaller piece
+            used = chosen.count(x) + 1
+            if used > count[x]:
+                continue
+            both, more = some | some << x, two | (some & ~1) << x | two << x
+            spare = 0
+            for y in lengths[bisect_right(lengths, x) - (used < count[x]) :]:
+                if used < count[x] if y == x else count[y] > chosen.count(y):
+                    spare |= 1 << y
+            if spare & (more | smeared(both & ~1, open_)):
+                continue
+            chosen.append(x)
+            stack.append([i, need - x, both, more])
 
 
-def pack(counts: dict[int, int], capacity: int, width: int = 3, nodes: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
+def pack(counts: dict[int, int], capacity: int, nodes: int = 2_000) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in a sequence, how many such sequences), in all as few sequences as the search finds.
 
-    Bin completion: the largest piece left is completed by undominated fillings, branching over the
-    best `width`; a branch ends when its waste alone rules out beating the incumbent. The best-fit
-    packing is the first incumbent, and the sum bound proves most incumbents best at once. `nodes`
-    bounds the search effort, never the pieces: all are packed at any value.
+    Bin completion: the largest piece left is completed by the undominated fillings, each as often as
+    its pieces last (less often in later branches). A branch ends when the sequences that what is left
+    needs at least rule out beating the incumbent; the best-fit packing is the first incumbent. The
+    search ends when the incumbent meets the lower bound, when no branch is left (both prove it best) or,
+    the problem being NP-hard, after `nodes` fillings beyond those of the first dive: all pieces are
+    packed at any value, and the search is the same whatever the number of lengths.
     """
-    counts = {k: v for k, v in counts.items() if v}
-    total = sum(k * v for k, v in counts.items())
-    least = -(-total // capacity)
-
-    def dive(choose) -> list[tuple[tuple[int, ...], int]]:
-        stock, out = Stock(counts), []
-        while stock.left:
-            top = stock.left[-1]
-            stock.take(top, 1)
-            fill = choose(stock, capacity - top)
-            stock.put(top, 1)
-            items = (top, *fill)
-            times = min(stock.count[x] // items.count(x) for x in set(items))
-            for x in set(items):
-                stock.take(x, times * items.count(x))
-            out.append((items, times))
-        return out
-
+    count = np.zeros(capacity + 1, np.int64)
+    for k, v in counts.items():
+        count[k] = v
+    total = int((count * np.arange(capacity + 1)).sum())
+    least = least_bins(count)
     size = lambda plan: sum(n for _, n in plan)
-    best = min((dive(f) for f in (best_fit, lambda s, r: next(iter(completions(s, r, 1)), []))), key=size)
-    spent = 0
-
-    def search(stock: Stock, plan: list, used: int, waste: int) -> None:
-        nonlocal best, spent
-        spent += 1
-        if not stock.left:
-            if used < size(best):
-                best = list(plan)
-            return
-        top = stock.left[-1]
-        stock.take(top, 1)
-        fills = completions(stock, capacity - top, width) or [[]]
-        stock.put(top, 1)
-        for fill in fills:
-            if size(best) == least or spent >= nodes:
-                return
+
+    def use(items: tuple[int, ...], n: int) -> None:
+        np.subtract.at(count, list(items), n)
+
+    def branches(waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        top = int(np.flatnonzero(count)[-1])
+        use((top,), 1)
+        left = count.copy()
+        use((top,), -1)
+        seen = []
+        for fill in fillings(left, capacity - top, waste):
             items = (top, *fill)
-            times = min(stock.count[x] // items.count(x) for x in set(items))
-            lost = waste + times * (capacity - sum(items))
-            if -(-(total + lost) // capacity) >= size(best):
+            seen.append((items, min((int(left[x]) + (x == top)) // items.count(x) for x in set(items))))
+            yield seen[-1]
+        for items, n in seen:
+            for fewer in range(n - 1, 0, -1):
+                yield items, fewer
+
+    best = best_fit_plan(count)
+    plan: list[tuple[tuple[int, ...], int]] = []
+    used, spent, first = 0, 0, True
+    stack: list[Iterator] = []
+    if size(best) > least:
+        stack.append(branches((size(best) - 1) * capacity - total))
+    while stack and size(best) > least and (first or spent < nodes):
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if plan:
+                items, n = plan.pop()
+                use(items, -n)
+                used -= n
+            continue
+        use(*step)
+        plan.append(step)
+        used += step[1]
+        spent += not first
+        if used + least_bins(count) < size(best):
+            if not count.any():
+                best, first = list(plan), False
+            else:
+                left = int((count * np.arange(capacity + 1)).sum())
+                stack.append(branches((size(best) - 1 - used) * capacity - left))
                 continue
-            for x in set(items):
-                stock.take(x, times * items.count(x))
-            search(stock, [*plan, (items, times)], used + times, lost)
-            for x in set(items):
-                stock.put(x, times * items.count(x))
-
-    if size(best) > least and len(counts) <= 400:  # depth is a multiple of the number of lengths
-        search(Stock(counts), [], 0, 0)
+        else:
+            first = False
+        plan.pop()
+        use(step[0], -step[1])
+        used -= step[1]
     return best
 
 

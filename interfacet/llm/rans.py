@@ -18,20 +18,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rows, shared_dir
-from .tokens import encoder, vocabulary
+from .common import release, rows, shared_dir
+from .tokens import encoder, vocabulary, with_ends
 
 SCALE = 16  # bits of the frequency table
 LOW = np.uint64(1 << 32)  # a lane's state lies in [2**32, 2**48) and moves 16 bits at a time
 WORD = np.uint64(16)
-BLOCK, LANES = 1 << 18, 1024
+BLOCK, LANES = 1 << 19, 2048
 MAGIC = b"RSG1"
 SEGMENT = "part int, seg int, n_tokens long, doc_ids array<long>, doc_tokens array<int>, payload binary"
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and their frequencies, at least 1 each, 2**SCALE in sum."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     freq = np.maximum(1, counts * (1 << SCALE) // counts.sum())
     short = (1 << SCALE) - int(freq.sum())
     for i in np.argsort(-freq, kind="stable"):
@@ -54,7 +56,7 @@ def encode_block(code: np.ndarray, freq: np.ndarray, cum: np.ndarray) -> bytes:
         full = head >= f << np.uint64(32)
         out.append(head[full].astype("<u2"))
         head = np.where(full, head >> WORD, head)
-        q = head // f
+        q = (head / f.astype(np.float64)).astype(np.uint64)  # exact: below 2**32, and apart from the next whole number by 2**-16 or more
         x[: len(s)] = (q << np.uint64(SCALE)) + (head - q * f) + cum[s]
     body = np.concatenate(out[::-1]).tobytes() if out else b""
     data = struct.pack("<II", len(code), lanes) + x.astype("<u8").tobytes() + body
@@ -129,13 +131,16 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in rows(batch):
-                ids = np.append(enc.ids(text), np.uint16(end_id))
-                if held and n + len(ids) > segment:
-                    yield flush()
-                held.append(ids)
-                names.append(doc_id)
-                n += len(ids)
+            doc_ids = batch.column(0).to_pylist()
+            for i, ids, sizes in enc.column(batch.column(1)):
+                whole, ends = with_ends(ids, sizes, end_id)
+                for k, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)):
+                    if held and n + b - a > segment:
+                        yield flush()
+                    held.append(whole[a:b])
+                    names.append(doc_ids[i + k])
+                    n += b - a
+            release()
         if held:
             yield flush()
 

@@ -3,32 +3,10 @@
 import hashlib
 import random
 import re
-import zlib
 
 import numpy as np
 import pytest
-from interfacet.llm import chat, decontaminate, minhash, packing, quality, rans, secrets, site_tree, suffix_dedup, tokens, toxicity
-
-
-def texts(seed=1, n=40):
-    r = random.Random(seed)
-    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7))) for _ in range(400)]
-    base = [" ".join(r.choice(words) for _ in range(r.randint(0, 160))) for _ in range(n)]
-    shared = " ".join(r.choice(words) for _ in range(120))
-    out = [*base, base[3], shared + " x " + base[4], base[5] + "\n" + shared, "", "   ", None, "one", "a b", "tab\tand space  two", "q" * 900]
-    near = base[6].split(" ")
-    return [*out, " ".join(near[:-1] + ["changed"])]
-
-
-@pytest.fixture(scope="module")
-def docs(spark):
-    rows = list(enumerate(texts())) + [(3, texts()[3]), (None, texts()[6])]
-    return spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, h int, id int")
-
-
-@pytest.fixture(scope="module")
-def none(docs):
-    return docs.where("false")
+from interfacet.llm import chat, decontaminate, minhash, quality, rans, secrets, site_tree, suffix_dedup, toxicity
 
 
 def local(docs):
@@ -75,8 +53,8 @@ def test_near_duplicates(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
-def test_contamination(spark, docs, none):
-    items = [(1, " ".join((texts()[7] or "").split()[:30])), (2, "one"), (3, ""), (4, None), (10, texts()[8])]
+def test_contamination(spark, docs, none, texts):
+    items = [(1, " ".join((texts[7] or "").split()[:30])), (2, "one"), (3, ""), (4, None), (10, texts[8])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     split = lambda t: [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if w]
     for r in decontaminate.contamination(docs, bench).collect():
@@ -96,38 +74,6 @@ def test_contamination(spark, docs, none):
     assert decontaminate.contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
-def test_tokens_round_trip_and_packing(docs, none):
-    from tokenizers import Tokenizer
-
-    lib = Tokenizer.from_file(tokens.vocabulary())
-    lib.encode_special_tokens = True
-    enc = tokens.Encoder(tokens.vocabulary(), cache=50)
-    extra = ["don't  stop", "a, b.\nC", " lead", "trail ", "café   x", "<|endoftext|> end", "x" * 5000, "word, word. word"]
-    for t in [t for _, t in local(docs)] + extra:
-        assert enc.ids(t).tolist() == lib.encode(t, add_special_tokens=False).ids
-    rows = sorted(rans.round_trip(docs).collect(), key=lambda r: r["start"])
-    at = 0
-    for r in rows:
-        assert r["start"] == at
-        at += r["n_tokens"]
-    want = sorted(zlib.crc32(np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for _, t in local(docs))
-    assert sorted(r["ids_crc32"] for r in rows) == want
-    bins = {}
-    for r in packing.pack_documents(docs, capacity=64).collect():
-        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for b in bins.values():
-        end = 0
-        for offset, length in sorted(b):
-            assert offset == end
-            end += length
-        assert end <= 64
-    assert rans.round_trip(none).count() == 0 and packing.pack_documents(none).count() == 0
-
-
-def test_packing_search_reaches_the_bound():
-    assert sum(n for _, n in packing.pack({6: 3, 4: 3, 5: 4, 3: 2, 2: 2}, 10)) == 6
-
-
 def test_broken_segment_is_noticed():
     data = bytearray(rans.pack_segment(np.arange(5000) % 77))
     assert (rans.unpack_segment(bytes(data)) == np.arange(5000) % 77).all()
