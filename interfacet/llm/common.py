@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,9 +30,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_key(doc_id: Column, text: Column) -> Column:
-    """Key of a row: repeated rows share it, rows that only share doc_id don't."""
-    return F.struct(doc_id.alias("id"), F.xxhash64(text).alias("h"))
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+
+
+def joined(rows_: DataFrame, counts: DataFrame, key: list[str]) -> DataFrame:
+    """rows_ joined with counts (one row for each key with n, how many of rows_ have it) without a hot task.
+
+    Keys of more than HOT_ROWS rows, and of more than one in HOT_KEYS of all rows, are sent to all
+    executors: HOT_KEYS of them at most, whatever the data. The other keys are shuffled. counts should
+    be a written table.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
+    many = F.broadcast(counts.where(hot))
+    few = rows_.join(F.broadcast(counts.where(hot).select(*key)), key, "left_anti").join(counts.where(~hot), key)
+    return rows_.join(many, key).unionByName(few)
 
 
 def rows(batch) -> Iterator[tuple]:
@@ -91,10 +103,10 @@ class Rolling:
 
     BASE = 0x5851F42D4C957F2D
 
-    def __init__(self):
+    def __init__(self, seed: int = 0):
         import numpy as np
 
-        self.values = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.values = np.random.default_rng(20240607 + seed).integers(1, 1 << 63, 256, dtype=np.uint64)
         self.up = self.down = np.ones(1, np.uint64)
 
     def grow(self, n: int) -> None:

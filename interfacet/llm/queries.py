@@ -51,7 +51,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

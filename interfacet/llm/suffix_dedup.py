@@ -2,11 +2,14 @@
 
 Each document is cut into anchors by the smallest k-gram hash of every `length`-byte window, so that
 equal windows share an anchor at the same place in them: only anchors that occur twice go on.
-Windows around an anchor form its segment. Equal segments are repeated throughout. The other
-segments of an anchor are sorted twice, by what follows the anchor and by what precedes it: a
-vectorised mergesort compares two suffixes by binary search over prefix polynomial hashes, and the
-common extensions of neighbours in the two orders say which windows are shared. Extensions are
-verified against the bytes. Anchors with very many different segments are counted window by window.
+Windows around an anchor form its segment. Of each kind of segment two occurrences at most are
+sorted, by what follows the anchor and by what precedes it: a vectorised mergesort compares two
+suffixes by binary search over prefix polynomial hashes, and the common extensions of neighbours in
+the two orders say which windows are shared. Extensions are verified against the bytes; where hashes
+have lied, the sort is done again with others, in the end by the bytes themselves. Further
+occurrences of a kind whose two are equal byte by byte are repeated throughout. Anchors with very
+many kinds of segments are counted window by window, which gives the same result. Keys with very
+many rows are joined by broadcast, their number being bounded (see `joined`).
 
 Null and empty texts have no bytes; repeated rows repeat each other; equal rows get equal results;
 an empty table gives an empty result; columns other than doc_id and text are ignored.
@@ -20,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_slices, keyed, materialize, mix
+from .common import Rolling, byte_slices, joined, keyed, materialize, mix
 
 U = np.uint64
 GRAM = 40
@@ -88,13 +91,31 @@ def extension(prefix: np.ndarray, rolling: Rolling, a: np.ndarray, b: np.ndarray
     return low
 
 
-def suffix_sort(group: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes (data[start:start+size], by group) and each one's common extension with the one before it.
+def suffix_sort(group: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, tries: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes (data[start:start+size], by group) and each one's common extension with the one before it."""
+    for seed in range(tries):
+        order, ext = hash_sort(group, data, start, size, Rolling(seed))
+        # What the hashes call equal must be, byte by byte; where it isn't, the order can't be trusted either.
+        total = np.cumsum(ext)
+        within = np.arange(total[-1] if len(total) else 0) - np.repeat(total - ext, ext)
+        before, after = np.roll(order, 1), order
+        if (data[np.repeat(start[before], ext) + within] == data[np.repeat(start[after], ext) + within]).all():
+            return order, ext
+    return byte_sort(group, data, start, size)
 
-    Bottom-up mergesort; all merges of a level run together, each element finding its rank in the
-    other run by binary search.
-    """
-    rolling = Rolling()
+
+def byte_sort(group: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same without hashes."""
+    raw = data.tobytes()
+    part = [raw[a : a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+    order = sorted(range(len(part)), key=lambda i: (group[i], part[i], i))
+    same = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+    ext = [same(part[a], part[b]) if group[a] == group[b] else 0 for a, b in zip(order, order[1:], strict=False)]
+    return np.array(order, np.int64), np.array([0, *ext][: len(order)], np.int64)
+
+
+def hash_sort(group: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+    """Bottom-up mergesort; all merges of a level run together, each element finding its rank in the other run by binary search."""
     prefix = rolling.prefix(data)
     n = len(group)
 
@@ -127,11 +148,6 @@ def suffix_sort(group: np.ndarray, data: np.ndarray, start: np.ndarray, size: np
     a, b = order[:-1], order[1:]
     most = np.where(group[a] == group[b], np.minimum(size[a], size[b]), 0)
     ext = extension(prefix, rolling, start[a], start[b], most)
-    # Verify against the bytes: what the hashes call equal is, and the next byte differs.
-    total = np.cumsum(ext)
-    within = np.arange(total[-1] if len(total) else 0) - np.repeat(total - ext, ext)
-    if (data[np.repeat(start[a], ext) + within] != data[np.repeat(start[b], ext) + within]).any():
-        raise ArithmeticError("two different strings share a hash; change the seed of Rolling")
     return order, np.concatenate([[0], ext]) if n else ext
 
 
@@ -168,23 +184,26 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1) for a, b in edge.reshape(-1, 2)]
 
 
-RANGE = "id long, h long, first int, last int"
+SEGMENT = ["g", "s1", "s2", "id", "h", "at", "lo", "hi", "left", "right"]
+FOUND = "g long, s1 long, s2 long, id long, h long, first int, last int"
 
 
-def partial(segments: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of segments(g, id, h, at, lo, hi, left, right), sorted by g in each partition."""
+def sorted_segments(segments: DataFrame, length: int) -> DataFrame:
+    """FOUND: the repeated windows (first, last) of segments, sorted by g in each partition; a kind (g, s1, s2) whose two occurrences are equal has a row with first -1."""
 
     def solve(part: list[tuple]):
         import pyarrow as pa
 
         group = np.unique(np.array([r[0] for r in part]), return_inverse=True)[1]
-        flags = shared_windows(group, [r[6] for r in part], [r[7] for r in part], length)
-        out = []
+        flags = shared_windows(group, [r[8] for r in part], [r[9] for r in part], length)
+        out, kinds = [], {}
         for r, f in zip(part, flags, strict=True):
-            for a, b in runs(f[r[3] - r[5] : r[3] - r[4] + 1]):  # o counts from hi back to lo
-                out.append((r[1], r[2], r[5] - b, r[5] - a + length))
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["id", "h", "first", "last"])
+            body = r[8] + r[9]
+            if kinds.setdefault(r[:3], body) is not body and kinds[r[:3]] == body:
+                out.append((*r[:5], -1, -1))
+            for a, b in runs(f[r[5] - r[7] : r[5] - r[6] + 1]):  # o counts from hi back to lo
+                out.append((*r[:5], r[7] - b, r[7] - a + length))
+        return batch_of(out)
 
     def run(batches):
         from .common import rows
@@ -199,11 +218,18 @@ def partial(segments: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return segments.select("g", "id", "h", "at", "lo", "hi", "left", "right").mapInArrow(run, RANGE)
+    return segments.select(*SEGMENT).mapInArrow(run, FOUND)
+
+
+def batch_of(found: list[tuple]):
+    import pyarrow as pa
+
+    types = [pa.int64()] * 5 + [pa.int32()] * 2
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(types)], names=["g", "s1", "s2", "id", "h", "first", "last"])
 
 
-def window_hashes(segments: DataFrame, length: int) -> DataFrame:
-    """id, h, start, w1, w2: every window of segments, for anchors with too many segments to sort together."""
+def counted_windows(segments: DataFrame, length: int) -> DataFrame:
+    """FOUND, as by `sorted_segments`, of anchors with too many kinds of segments to sort together: every window by its 128-bit hash."""
 
     def run(batches):
         import pyarrow as pa
@@ -212,36 +238,43 @@ def window_hashes(segments: DataFrame, length: int) -> DataFrame:
         from .common import rows
 
         for batch in batches:
-            for g, id_, h, at, lo, hi, left, right in rows(batch):
+            for g, id_, h, lo, hi, left, right in rows(batch):
                 body, n = left + right, hi - lo + 1
-                s = np.frombuffer(b"".join(xxhash.xxh3_128_digest(body[i : i + length]) for i in range(n)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([g] * n, pa.int64()), pa.array([id_] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array(np.arange(lo, hi + 1, dtype=np.int32)), pa.array(np.ascontiguousarray(s[:, 0])), pa.array(np.ascontiguousarray(s[:, 1]))], names=["g", "id", "h", "start", "w1", "w2"])
+                w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(body[i : i + length]) for i in range(n)), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*(pa.array([v] * n, pa.int64()) for v in (g, id_, h)), pa.array(np.arange(lo, hi + 1, dtype=np.int32)), pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1]))], names=["g", "id", "h", "start", "w1", "w2"])
 
-    return segments.select("g", "id", "h", "at", "lo", "hi", "left", "right").mapInArrow(run, "g long, id long, h long, start int, w1 long, w2 long")
+    key, null = ["g", "w1", "w2"], F.lit(None).cast("long")
+    windows = segments.select("g", "id", "h", "lo", "hi", "left", "right").mapInArrow(run, "g long, id long, h long, start int, w1 long, w2 long")
+    windows = materialize(windows)
+    again = joined(windows, materialize(windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")), key)
+    spans = again.select("g", null.alias("s1"), null.alias("s2"), "id", "h", F.col("start").alias("first"), (F.col("start") + length).cast("int").alias("last"))
+    body = F.concat("left", "right")
+    same = segments.groupBy("g", "s1", "s2").agg(F.count("*").alias("n"), F.min(body).alias("a"), F.max(body).alias("b")).where("n > 1 and a = b")
+    return spans.unionByName(same.select("g", "s1", "s2", null.alias("id"), null.alias("h"), F.lit(-1).alias("first"), F.lit(-1).alias("last")))
 
 
-def repeated_ranges(docs: DataFrame, length: int, many: int) -> tuple[DataFrame, DataFrame]:
-    """(id, h, first, last) byte ranges that are repeated, and the texts (id, h, text) that may hold any. docs: keyed."""
+def repeated_ranges(docs: DataFrame, length: int, many: int) -> DataFrame:
+    """id, h, first, last: byte ranges that are repeated. docs: keyed."""
     found = materialize(anchors(docs, length))
-    often = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    twice = materialize(found.join(often, "g"))
-    segs = materialize(twice.groupBy("g", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "at", "lo", "hi")).alias("one")))
-    equal = twice.join(segs.where("n > 1").select("g", "s1", "s2"), ["g", "s1", "s2"]).select("id", "h", F.col("lo").alias("first"), (F.col("hi") + length).cast("int").alias("last"))
-    # A group with two different segments or more, one of them found once, is sorted.
-    mixed = segs.groupBy("g").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("g", "kinds")
-    asked = segs.join(mixed, "g").select("g", "kinds", "one.*")
-    per_doc = asked.groupBy("id", "h").agg(F.collect_list(F.struct("g", "kinds", "at", "lo", "hi")).alias("asked"))
-    touched = twice.select("id", "h").distinct().join(per_doc, ["id", "h"], "left")
-    raw = F.encode("text", "utf-8")
-    texts = docs.select("id", "h", "text").join(touched.hint("shuffle_hash"), ["id", "h"])
-    cut = F.transform("asked", lambda a: F.struct(a["g"].alias("g"), a["kinds"].alias("kinds"), a["at"].alias("at"), a["lo"].alias("lo"), a["hi"].alias("hi"), F.substring(F.col("raw"), a["lo"] + 1, a["at"] - a["lo"]).alias("left"), F.substring(F.col("raw"), a["at"] + 1, a["hi"] + length - a["at"]).alias("right")))
-    texts = materialize(texts.withColumn("raw", raw).select("id", "h", F.col("raw").alias("text"), cut.alias("asked")))
-    pieces = texts.select("id", "h", F.explode("asked").alias("a")).select("id", "h", "a.*")
-    small = pieces.where(F.col("kinds") <= many).repartition("g").sortWithinPartitions("g")
-    large = window_hashes(pieces.where(F.col("kinds") > many), length)
-    again = large.groupBy("w1", "w2", "g").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2", "g")
-    single = large.join(again, ["w1", "w2", "g"]).select("id", "h", F.col("start").alias("first"), (F.col("start") + length).cast("int").alias("last"))
-    return equal.union(partial(small, length)).union(single), texts.select("id", "h", "text")
+    often = materialize(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
+    twice = materialize(joined(found, often, ["g"]).drop("n"))
+    place = F.struct("id", "h", "at", "lo", "hi")
+    kind = ["g", "s1", "s2"]
+    kinds = materialize(twice.groupBy(*kind).agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("two")))
+    each = materialize(kinds.groupBy("g").agg(F.count("*").alias("n")).withColumn("kinds", F.col("n")))
+    asked = joined(kinds.withColumn("both", F.when(F.col("n") > 1, F.array("one", "two")).otherwise(F.array("one"))).drop("n"), each, ["g"])
+    asked = asked.select(*kind, "kinds", F.explode("both").alias("o")).select(*kind, "kinds", "o.*")
+    per_doc = asked.groupBy("id", "h").agg(F.collect_list(F.struct(*kind, "kinds", "at", "lo", "hi")).alias("asked"))  # at most the anchors of one text
+    cut = lambda a: F.struct(*[a[c].alias(c) for c in (*kind, "kinds", "at", "lo", "hi")], F.substring(F.col("raw"), a["lo"] + 1, a["at"] - a["lo"]).alias("left"), F.substring(F.col("raw"), a["at"] + 1, a["hi"] + length - a["at"]).alias("right"))
+    texts = docs.select("id", "h", "text").join(per_doc.hint("shuffle_hash"), ["id", "h"]).dropDuplicates(["id", "h"])
+    pieces = texts.withColumn("raw", F.encode("text", "utf-8")).select("id", "h", F.explode(F.transform("asked", cut)).alias("a")).select("id", "h", "a.*")
+    pieces = materialize(pieces)
+    small = sorted_segments(pieces.where(F.col("kinds") <= many).repartition("g").sortWithinPartitions("g"), length)
+    shared = materialize(small.unionByName(counted_windows(pieces.where(F.col("kinds") > many), length)))
+    # Of kinds with more than two occurrences the others were not sorted; they are equal to the two.
+    same = materialize(shared.where("first < 0").select(*kind).distinct().join(kinds.where("n > 2").select(*kind, "n"), kind))
+    others = joined(twice, same, kind).select("id", "h", F.col("lo").alias("first"), (F.col("hi") + length).cast("int").alias("last"))
+    return shared.where("first >= 0").select("id", "h", "first", "last").unionByName(others)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -255,10 +288,9 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, many: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, null where that is the whole text), kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, which may begin or end within a character)."""
     docs = keyed(docs.select("doc_id", "text"))
-    ranges, texts = repeated_ranges(docs, length, many)
-    spans = ranges.groupBy("id", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spans = repeated_ranges(docs, length, many).groupBy("id", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
     def run(batches):
         import pyarrow as pa
@@ -266,18 +298,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, many: int = 4096) -> Data
         from .common import rows
 
         for batch in batches:
-            out = []
-            for id_, h, text, found in rows(batch):
-                cut, kept, at = merge([(s["first"], s["last"]) for s in found]), [], 0
+            ids, numbers, shas, kept = batch.column(0), [], [], []
+            for _, text, found in rows(batch):
+                raw = (text or "").encode()
+                cut, parts, at = merge([(s["first"], s["last"]) for s in found or ()]), [], 0
                 for a, b in cut:
-                    kept.append(text[at:a])
+                    parts.append(raw[at:a])
                     at = b
-                rest = b"".join([*kept, text[at:]])
-                out.append((id_, h, len(text) - len(rest), len(cut), rest, hashlib.sha256(rest).hexdigest()))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=["id", "h", "n_removed", "n_spans", "kept", "sha"])
-
-    changed = texts.join(spans, ["id", "h"]).select("id", "h", "text", "spans").mapInArrow(run, "id long, h long, n_removed long, n_spans long, kept binary, sha string").dropDuplicates(["id", "h"])
-    whole = docs.select("doc_id", "id", "h", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("own"))
-    zero = F.lit(0).cast("long")
-    return whole.join(changed, ["id", "h"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), "kept", F.coalesce("sha", "own").alias("kept_sha256"))
+                rest = b"".join([*parts, raw[at:]]) if cut else raw
+                numbers.append((len(raw), len(raw) - len(rest), len(cut)))
+                shas.append(hashlib.sha256(rest).hexdigest())
+                kept.append(rest)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([n[i] for n in numbers], pa.int64()) for i in range(3)), pa.array(shas, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    whole = docs.join(spans, ["id", "h"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
+    return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

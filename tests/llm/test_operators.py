@@ -6,16 +6,17 @@ import re
 
 import numpy as np
 import pytest
-from interfacet.llm import chat, decontaminate, minhash, quality, rans, secrets, site_tree, suffix_dedup, toxicity
+from interfacet.llm import chat, common, decontaminate, minhash, quality, rans, secrets, site_tree, suffix_dedup, toxicity
 
 
 def local(docs):
     return [(r["doc_id"], r["text"] or "") for r in docs.collect()]
 
 
-def test_suffix_dedup(docs, none):
+def repeats(rows):
+    """doc_id to its (n_bytes, n_removed, n_spans, kept_sha256), by comparing all strings of 400 bytes."""
     want, seen = {}, {}
-    raw = [(i, t.encode()) for i, t in local(docs)]
+    raw = [(i, t.encode()) for i, t in rows]
     for _, t in raw:
         for k in range(len(t) - 399):
             seen[t[k : k + 400]] = seen.get(t[k : k + 400], 0) + 1
@@ -26,14 +27,46 @@ def test_suffix_dedup(docs, none):
                 cut[k : k + 400] = True
         rest = bytes(np.frombuffer(t, np.uint8)[~cut])
         want.setdefault(i, []).append((len(t), int(cut.sum()), int((np.diff(np.concatenate([[0], cut.astype(int)])) == 1).sum()), hashlib.sha256(rest).hexdigest()))
+    return {k: sorted(v) for k, v in want.items()}
+
+
+def check_repeats(docs, many):
+    got = {}
+    for r in suffix_dedup.remove_repeats(docs, many=many).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
+        assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"]
+    assert {k: sorted(v) for k, v in got.items()} == repeats(local(docs))
+
+
+def test_suffix_dedup(docs, none):
     for many in (4096, 1):  # sorted together, and window by window
-        got = {}
-        for r in suffix_dedup.remove_repeats(docs, many=many).collect():
-            got.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
-        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+        check_repeats(docs, many)
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_sort_when_hashes_lie(monkeypatch):
+    r = np.random.default_rng(2)
+    data = r.integers(97, 99, 3000).astype(np.uint8)
+    start, size, group = r.integers(0, 2500, 200), r.integers(0, 400, 200), r.integers(0, 3, 200)
+    want = suffix_dedup.byte_sort(group, data, start, size)
+    for lie in (False, True):
+        if lie:
+            monkeypatch.setattr(suffix_dedup.Rolling, "of", lambda self, prefix, a, b: np.zeros(len(a), np.uint64))
+        got = suffix_dedup.suffix_sort(group, data, start, size)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_hot_keys_of_repeats(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(70))
+    rows = [(i, f"{' '.join(word() for _ in range(40))} {passage} {' '.join(word() for _ in range(40))}") for i in range(60)] + [(100, "é" * 500), (101, "é" * 500)]
+    rows += [(200 + i, passage) for i in range(20)] + [(300 + i, "ab" * 2000) for i in range(3)]
+    for many in (4096, 5):
+        check_repeats(spark.createDataFrame(rows, "doc_id long, text string"), many)
+
+
 def test_near_duplicates(docs, none):
     sets = {}
     for i, t in local(docs):
