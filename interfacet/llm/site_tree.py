@@ -1,11 +1,15 @@
 """Main text of web pages by a site style tree.
 
-The DOMs of a host are merged into one tree of style nodes (tag, class and id on the path from the
-root). For each node the entropy of what it shows on the host's pages says how much it matters:
-menus and footers show the same again and again, articles don't. Branches of low importance go,
-inside articles too, as do those whose tags or classes name them as boilerplate; copies of a page
-count once. Beside an article, other text stays where its importance is known and not low. A page
-whose whole article is of low importance keeps it.
+The DOMs of a host are merged into one tree of style nodes (tag and class on the path from the root).
+A node's importance joins the entropy of how its children are laid out on the host's pages
+(presentation) and of what it shows there (content), each as a share of the most it can be: menus,
+notices and footers look and read alike on many pages, articles don't. Branches of low importance go
+on every page, inside articles too; copies of a page count once. Beside an article, other text stays
+where its importance is known and not low. A page whose whole article is of low importance keeps it.
+
+Tags and class words that name boilerplate are a prior: such branches go at any importance, since what
+entropy can't part (an advert that is another one on each page) they can. The names around an article
+are not believed where it holds more text than all that no name removes.
 
 Null and empty html gives an empty text; pages without a host form one site; repeated rows get equal
 results; an empty table gives an empty result; columns other than those named are ignored.
@@ -15,12 +19,13 @@ from __future__ import annotations
 
 import html as references
 import re
-import zlib
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows
+from .common import joined, materialize, rows
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -34,36 +39,50 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "p": {"article", "body", "div", "main", "section", "td", "li", "blockquote"}}
 BOILERPLATE = {"ad", "ads", "adv", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "disqus", "footer", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "related", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget"}
 CONTENT = {"article", "main"}
+NEVER = DROPPED - {"form"}  # a form may hold a whole page
 LOW = 0.3  # importance below which a branch goes
 PAGES = 4  # pages a node must be on before its importance counts
+DECAY = 0.9  # what each way of laying a node out takes from the weight of its content
+SENT = 2_000_000  # rated nodes that are sent to all tasks (16 MB); more are joined to their pages
+
+
+class Node(NamedTuple):
+    """An element of a page that can hold blocks; the root has parent -1."""
 
+    parent: int
+    key: int  # of the style node: hash of the path
+    tag: str
+    content: bool  # article or main, or in one
+    bad: int  # 1 where its class words or a form say boilerplate, 2 where its tag does
 
-def path_name(tag: str, attributes: str) -> tuple[str, set[str]]:
+
+def named(tag: str, attributes: str) -> tuple[str, set[str]]:
     """Name of a style node and the words of its class, id and role."""
     found = [(m[1].lower(), next((g for g in m.groups()[1:] if g is not None), "").lower()) for m in NAMED.finditer(attributes)] if attributes else []
     words = {w for _, v in found for w in re.split(r"[^a-z]+", v) if w}
     return tag + "".join(f".{v}" for k, v in found if k == "class"), words
 
 
-def blocks(html: str):
-    """(path, whether in the article, whether named boilerplate, text) of each block in page order."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, in article, boilerplate
-    out: list[tuple[str, bool, bool, str]] = []
+def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
+    """The elements of a page, parents first, and its blocks of text (element, text) in page order."""
+    import xxhash
+
+    nodes = [Node(-1, 0, "", False, 0)]
+    stack: list[tuple[str, int]] = [("", 0)]  # tag, element (of the nearest one that can hold blocks)
+    out: list[tuple[int, str]] = []
     held: list[str] = []
 
     def flush():
         text = " ".join(references.unescape("".join(held)).split())
         held.clear()
         if text:
-            _, path, inside, bad = next((s for s in reversed(stack) if s[0] in BLOCKS or not s[0]))
-            out.append((path, inside, bad, text))
+            out.append((stack[-1][1], text))
 
     def close(upto: int):
         flush()
         del stack[upto:]
 
-    at = 0
-    end = len(html)
+    at, end = 0, len(html)
     while at < end:
         m = TAG.search(html, at)
         if m is None:
@@ -94,73 +113,170 @@ def blocks(html: str):
                     close(i)
                     break
                 i -= 1
-        name, words = path_name(tag, m[3])
-        _, path, inside, bad = stack[-1]
-        bad = bad or tag in DROPPED or bool(words & BOILERPLATE) or (not inside and (tag == "header" or "header" in words))
-        stack.append((tag, f"{path}/{name}" if tag in BLOCKS else path, inside or tag in CONTENT or "main" in words, bad))
+        element = stack[-1][1]
+        if tag in BLOCKS:
+            name, words = named(tag, m[3])
+            above = nodes[element]
+            bad = 2 if tag in NEVER else 1 if tag == "form" or words & BOILERPLATE or (not above.content and (tag == "header" or "header" in words)) else 0
+            nodes.append(Node(element, xxhash.xxh3_64_intdigest(f"{above.key:x}/{name}"), tag, above.content or tag in CONTENT or "main" in words, bad))
+            element = len(nodes) - 1
+        stack.append((tag, element))
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
             at = stop.end() if stop else end
             stack.pop()
     flush()
-    return out
+    return nodes, out
+
+
+def believed(nodes: list[Node], blocks: list[tuple[int, str]]) -> list[bool]:
+    """For each element whether tags and names say boilerplate."""
+    bad: list[int] = []
+    for n in nodes:
+        bad.append(max(n.bad, bad[n.parent] if n.parent >= 0 else 0))
+    clean = sum(len(t) for e, t in blocks if not bad[e])
+    size: dict[int, int] = {}  # text of articles that only names remove, by their outermost element
+    inside: list[int] = []
+    for i, n in enumerate(nodes):
+        above = inside[n.parent] if n.parent >= 0 else -1
+        inside.append(above if above >= 0 else i if n.tag in CONTENT and bad[i] == 1 else -1)
+    for e, t in blocks:
+        if inside[e] >= 0:
+            size[inside[e]] = size.get(inside[e], 0) + len(t)
+    top = max(size, key=lambda i: (size[i], -i), default=-1)
+    if top < 0 or size[top] <= clean:
+        return [b > 0 for b in bad]
+    around = nodes[top].parent
+    while around >= 0:
+        bad[around] = 0
+        around = nodes[around].parent
+    for i, n in enumerate(nodes):
+        if inside[i] == top:
+            bad[i] = 0 if i == top else max(n.bad, bad[n.parent])
+    return [b > 0 for b in bad]
 
 
 def host(url):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
 
 
+def node_key(site: str, key: int) -> int:
+    """Key of a style node of a site, as a signed 64-bit number."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(f"{site}/{key:x}")).astype(np.int64))
+
+
+def shown_by(site: str, html: str) -> dict[int, tuple[int, int]]:
+    """For each style node of a page: hashes of what it shows and of how its children are laid out."""
+    nodes, blocks = parse(html)
+    mask = (1 << 63) - 1
+    from zlib import crc32
+
+    text, style = [0] * len(nodes), [0] * len(nodes)
+    for e, t in blocks:
+        text[e] = (text[e] * 1000003 + crc32(t.encode("utf-8", "surrogatepass")) + 1) & mask
+    for i in range(len(nodes) - 1, 0, -1):  # children before their parents
+        above = nodes[i].parent
+        text[above] = (text[above] * 1000003 + text[i]) & mask
+        style[above] = (style[above] * 1000003 + nodes[i].key) & mask
+    out: dict[int, tuple[int, int]] = {}
+    for n, t, s in zip(nodes[1:], text[1:], style[1:], strict=True):
+        if t:
+            a, b = out.get(n.key, (0, 0))
+            out[n.key] = (a * 31 + t) & mask, (b * 31 + s) & mask
+    return {node_key(site, k): v for k, v in out.items()}
+
+
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """host, path, shown (hash of what the node shows on a page), page (hash of the page): a row for each page and node."""
+    """node, shown, style, page (hash of the page): a row for each page and style node that shows text."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            sites, paths, shown, pages_ = [], [], [], []
+            found, pages_ = [], []
             for site, page, h in rows(batch):
-                nodes: dict[str, int] = {}
-                for path, _, _, text in blocks(page or ""):
-                    code = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-                    parts = path.split("/")
-                    for i in range(2, len(parts) + 1):
-                        node = "/".join(parts[:i])
-                        nodes[node] = (nodes.get(node, 0) * 1000003 + code) & 0x7FFFFFFFFFFFFFFF
-                sites += [site] * len(nodes)
-                paths += nodes
-                shown += nodes.values()
-                pages_ += [h] * len(nodes)
-            yield pa.RecordBatch.from_arrays([pa.array(sites, pa.string()), pa.array(paths, pa.string()), pa.array(shown, pa.int64()), pa.array(pages_, pa.int64())], names=["host", "path", "shown", "page"])
-
-    return pages.select("host", "html", F.xxhash64("html")).mapInArrow(run, "host string, path string, shown long, page long")
-
-
-def rated_nodes(pages: DataFrame) -> DataFrame:
-    """host, low and high (paths): entropy of what a node shows, as a share of the most it can be, under LOW or not."""
-    each = style_nodes(pages).groupBy("host", "path", "shown").agg(F.countDistinct("page").alias("n"))
-    total = each.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    entropy = (F.log("m") - F.col("s") / F.col("m")) / F.log("m")
-    return total.where(F.col("m") >= PAGES).withColumn("rare", entropy < LOW).groupBy("host").agg(F.collect_list(F.when(F.col("rare"), F.col("path"))).alias("low"), F.collect_list(F.when(~F.col("rare"), F.col("path"))).alias("high"))
-
-
-def extract(pages: DataFrame) -> DataFrame:
+                one = shown_by(site, page or "")
+                found += [(k, *v) for k, v in one.items()]
+                pages_ += [h] * len(one)
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[i] for f in found], pa.int64()) for i in range(3)), pa.array(pages_, pa.int64())], names=["node", "shown", "style", "page"])
+
+    return pages.select("host", "html", F.xxhash64("html")).mapInArrow(run, "node long, shown long, style long, page long")
+
+
+def entropy(nodes: DataFrame, what: str) -> DataFrame:
+    """node, m (pages), kinds of `what` and its entropy as a share of the most it can be; pages that are copies count once."""
+    each = nodes.groupBy("node", what).agg(F.countDistinct("page").alias("n"))
+    total = each.groupBy("node").agg(F.sum("n").alias("m"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    return total.select("node", "m", "kinds", F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0).alias(what))
+
+
+def rated(nodes: DataFrame) -> DataFrame:
+    """node, n (pages), low: nodes that enough pages have, and whether their importance is below LOW.
+
+    Importance is (1 - w) times the entropy of presentation and w times that of content, with
+    w = DECAY ** (ways the node is laid out).
+    """
+    style, content = entropy(nodes, "style"), entropy(nodes, "shown").select("node", "shown")
+    w = F.pow(F.lit(DECAY), F.col("kinds"))
+    both = style.where(F.col("m") >= PAGES).join(content, "node")
+    return both.select("node", F.col("m").alias("n"), ((1 - w) * F.col("style") + w * F.col("shown") < LOW).alias("low"))
+
+
+def among(key: np.ndarray, known: np.ndarray) -> list[bool]:
+    """Whether each key is in known, which is sorted."""
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    return (known[at] == key).tolist() if len(known) else [False] * len(key)
+
+
+def main_text(site: str, html: str, low: np.ndarray, high: np.ndarray) -> str:
+    """The text of a page; low and high: sorted keys of the site's nodes of low and of other known importance."""
+    nodes, blocks = parse(html)
+    bad = believed(nodes, blocks)
+    key = np.array([node_key(site, n.key) for n in nodes], np.int64)
+    gone, rare = among(key, low), among(key, high)
+    for i in range(1, len(nodes)):
+        gone[i] |= gone[nodes[i].parent]
+    clean = [(e, t) for e, t in blocks if not bad[e]]
+    article = any(nodes[e].content for e, _ in clean)
+    whole = article and all(gone[e] for e, _ in clean if nodes[e].content)
+    return "\n\n".join(t for e, t in clean if (whole and nodes[e].content) or (not gone[e] and (nodes[e].content or not article or rare[e])))
+
+
+def extract(pages: DataFrame, sent: int = SENT) -> DataFrame:
     """page_id, url, text of every row of pages."""
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host("url").alias("host"))
-    rated = materialize(rated_nodes(source))
+    nodes = materialize(style_nodes(source))
+    known = materialize(rated(nodes))
+    result = "page_id long, url string, text string"
 
-    def run(batches):
+    def texts(batch, sent_to_all=None):
         import pyarrow as pa
 
+        ids, urls, out = [], [], []
+        for page_id, url, page, site, *own in rows(batch):
+            low, high = sent_to_all or (np.sort(np.array(keys or [], np.int64)) for keys in own)
+            ids.append(page_id), urls.append(url), out.append(main_text(site, page or "", low, high))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+    if known.count() <= sent:
+        keys = [np.sort(np.array([r[0] for r in known.where(F.col("low") == flag).select("node").toLocalIterator()], np.int64)) for flag in (True, False)]
+        to_all = pages.sparkSession.sparkContext.broadcast(keys)
+
+        def run(batches):
+            for batch in batches:
+                yield texts(batch, to_all.value)
+
+        return source.select("page_id", "url", "html", "host").mapInArrow(run, result)
+
+    # Too many to send: each page gets the rated nodes that it has.
+    on_page = joined(nodes.select("node", "page").distinct(), known, ["node"])
+    lists = on_page.groupBy("page").agg(*[F.collect_list(F.when(F.col("low") == flag, F.col("node"))).alias(name) for name, flag in (("low", True), ("high", False))])
+    keyed_ = source.withColumn("page", F.xxhash64("html")).join(lists, "page", "left")
+
+    def run_own(batches):
         for batch in batches:
-            ids, urls, texts = [], [], []
-            for page_id, url, page, low, high in rows(batch):
-                found = blocks(page or "")
-                article = any(inside and not bad for _, inside, bad, _ in found)
-                low, high = set(low or ()), set(high or ())
-                gone = {path: any("/".join(path.split("/")[:i]) in low for i in range(2, path.count("/") + 2)) for path, _, _, _ in found}
-                whole = article and all(bad or gone[path] for path, inside, bad, _ in found if inside)
-                keep = [text for path, inside, bad, text in found if not bad and (whole and inside or not gone[path] and (inside or not article or path in high))]
-                ids.append(page_id), urls.append(url), texts.append("\n\n".join(keep))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    return source.join(rated, "host", "left").select("page_id", "url", "html", "low", "high").mapInArrow(run, "page_id long, url string, text string")
+            yield texts(batch)
+
+    return keyed_.select("page_id", "url", "html", "host", "low", "high").mapInArrow(run_own, result)

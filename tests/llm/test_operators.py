@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from interfacet.llm import chat, common, decontaminate, minhash, quality, rans, secrets, site_tree, suffix_dedup, toxicity
+from interfacet.llm import chat, common, decontaminate, minhash, quality, rans, secrets, suffix_dedup, toxicity
 
 
 def local(docs):
@@ -154,14 +154,6 @@ def test_secrets(docs):
     assert secrets.find_secrets(docs).count() == docs.count()
 
 
-def test_pages(spark):
-    page = "<html><head><title>t</title></head><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>T&amp;t</h1><p>One<br>two<p>three<script>x('</p>')</script><div class=comments><p>no</div></article><footer>f</footer>"
-    rows = [(1, "http://a.b/x", page), (2, None, None), (3, "http://a.b/y", ""), *[(i, "http://s.t/1", f"<body><div class=top><p>same here</p></div><div class=body><p>text {i}</p></div>") for i in range(10, 20)]]
-    got = {r["page_id"]: r["text"] for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[1] == "T&t\n\nOne two\n\nthree" and got[2] == got[3] == ""
-    assert all(got[i] == f"text {i}" for i in range(10, 20))
-
-
 def test_secret_network_scores_every_token(spark):
     r = random.Random(11)
     word = lambda: "".join(r.choice(["tion", "er", "the", "an", "re", "ing", "on"]) for _ in range(r.randint(1, 3)))
@@ -191,11 +183,3 @@ def test_toxicity_finds_misspelled_terms(spark):
     tests = [(1000 + i, prose() + " " + w) for i, w in enumerate(wrong)] + [(2000 + i, prose()) for i in range(20)]
     got = {x["doc_id"]: x["predicted"] for x in toxicity.score(spark.createDataFrame(rows + tests, "doc_id long, text string"), labels).collect()}
     assert all(got[1000 + i] == 1 for i in range(len(wrong))) and not any(got[2000 + i] for i in range(20))
-
-
-def test_importance_decides_inside_and_beside_articles(spark):
-    page = lambda i: f"<body><div class=intro>intro {i}</div><div class=top>same</div><article><p>text {i}</p><div class=hint>call us</div></article></body>"
-    copy = "<body><article><p>one text</p></article></body>"
-    rows = [*[(i, "http://s.t/1", page(i)) for i in range(10)], *[(20 + i, "http://c.d/1", copy) for i in range(9)]]
-    got = {r["page_id"]: r["text"] for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i] == f"intro {i}\n\ntext {i}" for i in range(10)) and all(got[20 + i] == "one text" for i in range(9))
