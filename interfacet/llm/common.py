@@ -47,6 +47,21 @@ def joined(rows_: DataFrame, counts: DataFrame, key: list[str]) -> DataFrame:
     return rows_.join(many, key).unionByName(few)
 
 
+def sampled(df: DataFrame, sample: int, *key: str) -> DataFrame:
+    """About `sample` rows of df and no more, chosen by the hash of key: all where df has no more. Only rows below a threshold are ever sorted."""
+    h = F.xxhash64(*key)
+    if (n := df.count()) <= sample:
+        return df
+    share = max(sample - 4 * sample**0.5, 1) / n  # so that more than `sample` hashes below the threshold are as good as never found
+    return df.where(h < int(-(1 << 63) + share * (1 << 64))).orderBy(h, *key).limit(sample)
+
+
+def labelled_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns of known, which has few rows of numbers, one for each doc_id; of several texts of a doc_id the one of lowest hash."""
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return found.groupBy(*known.columns).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", *[c for c in known.columns if c != "doc_id"])
+
+
 def rows(batch) -> Iterator[tuple]:
     """Rows of an Arrow batch one at a time, so that only one long text is a Python object."""
     columns = batch.columns

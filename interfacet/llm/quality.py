@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import labelled_texts, sampled
+
 SAMPLE = 20_000  # labelled rows to learn from at most, chosen by hash
 SPACES = bytes([32, 9, 10, 11, 12, 13])
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_digits long, n_marks long, n_distinct long, n_lines long"
@@ -140,9 +142,14 @@ def verdict(rules: list[Rule]) -> Column:
     return out
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    known = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    stats = text_statistics(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))  # `sample` rows of two numbers
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    stats = text_statistics(labelled_texts(docs, sampled(known, sample, "doc_id")))
+    stats = stats.where(~base_failed())  # the list is for what the base rules leave
     names = list(ratios())
     got = stats.select("doc_id", "quality", *[c.alias(n) for n, c in ratios().items()]).toPandas().sort_values("doc_id", kind="stable")
     bad = got["quality"].to_numpy() == 0
@@ -155,5 +162,4 @@ def apply_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
     """doc_id, the statistics, base_failed and kept."""
     rules = learn(docs, labels, sample)
     stats = text_statistics(docs.select("doc_id", "text"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return stats.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules))
+    return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & verdict(rules))

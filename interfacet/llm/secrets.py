@@ -1,11 +1,14 @@
 """Secret scans: rules find the base spans, a character convolutional network adds others.
 
 The network scores every long token, those that a rule covers too; base spans stay whatever it says,
-and each token it finds is a span of its own, whole even where a rule covers a part. It sees the token
-and the characters around it and is trained in numpy on findings labelled by the rules: the rules' own
-values, and values drawn anew from the letters that the rules allow, against ordinary tokens, words and
-words run together of the same texts (trigger words are blanked half of the time). It is calibrated on
-other findings, and its threshold keeps at least `recall` of those.
+and each token it finds is a span of its own, whole even where a rule covers a part. It sees the whole
+token, in windows where it is long, and the characters around it, and is trained in numpy on labelled
+findings: the rules' own values, and values drawn anew from the letters that the rules allow, against
+ordinary tokens, words and words run together of the same texts (trigger words are blanked half of the
+time). It is calibrated on other findings, and its threshold keeps at least `recall` of those.
+
+It learns from at most `sample` different texts with findings, chosen by hash, and in each from EACH
+findings, tokens and words of every sort, drawn from the whole text.
 
 Null and empty texts have no spans; repeated rows get equal spans; without findings to learn from
 nothing is added; an empty table gives an empty result; columns other than those named are ignored.
@@ -14,13 +17,14 @@ nothing is added; an empty table gives an empty result; columns other than those
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from string import ascii_letters, ascii_lowercase, ascii_uppercase, digits
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows
+from .common import materialize, rows, sampled
 
 # The base rules.
 ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -32,6 +36,7 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SIDE, BODY = 16, 40
 ALPHABETS = (ascii_letters, ascii_lowercase, ascii_uppercase + digits, "ABCDEF" + digits, ascii_letters + digits, ascii_letters + digits + "+/", ascii_letters + digits + "_-")  # of values drawn anew
 SAMPLE = 4000  # texts to learn from at most
+EACH = 4  # findings, tokens, words of each sort to learn from in a text
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -49,12 +54,15 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(text)]
 
 
-def view(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of the token (its ends, if long) between its surroundings: SIDE + BODY + SIDE numbers below 128."""
-    body = text[start:end]
-    body = body if len(body) <= BODY else body[: BODY // 2] + body[-BODY // 2 :]
-    s = text[max(0, start - SIDE) : start].rjust(SIDE, "\0") + body.ljust(BODY, "\0") + text[end : end + SIDE].ljust(SIDE, "\0")
-    return np.array([min(ord(c), 127) for c in s], np.int64)
+def views(text: str, start: int, end: int) -> list[bytes]:
+    """Codes of the token between its surroundings, SIDE + BODY + SIDE numbers below 128; a long token gives windows that overlap by half."""
+    last = max(start, end - BODY)
+    out = []
+    for a in [*range(start, last, BODY // 2), last]:
+        b = min(a + BODY, end)
+        s = text[max(0, a - SIDE) : a].rjust(SIDE, "\0") + text[a:b].ljust(BODY, "\0") + text[b : b + SIDE].ljust(SIDE, "\0")
+        out.append(bytes([min(ord(c), 127) for c in s]))
+    return out
 
 
 class CharCNN:
@@ -125,14 +133,25 @@ def examples(text: str, h: int) -> list[tuple[bytes, int]]:
     """Views with labels from one text: 1 for findings of the rules, 2 for values drawn in their places and those of words, 0 for ordinary tokens."""
     base, out = base_spans(text), []
     r = np.random.default_rng(h & 0xFFFFFFFF)
+    taken: list[tuple[int, int]] = []  # the spans of the rules, merged
+    for s, _, e in base:
+        if taken and s <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
 
     def put(before: str, token: str, after: str, label: int) -> None:
         seen = before[-SIDE:]
-        out.append((view(seen + token + after[:SIDE], len(seen), len(seen) + len(token)).astype(np.uint8).tobytes(), label))
+        out.extend((v, label) for v in views(seen + token + after[:SIDE], len(seen), len(seen) + len(token)))
+
+    def free(pattern) -> list[tuple[int, int]]:
+        found = [m.span() for m in re.finditer(pattern, text)]
+        at = [bisect_left(taken, (b, b)) for _, b in found]  # the rule spans that begin before b
+        return [(a, b) for (a, b), i in zip(found, at, strict=True) if not i or taken[i - 1][1] <= a]
 
-    free = lambda pattern: [m.span() for m in re.finditer(pattern, text[:20000]) if not any(s < m.end() and m.start() < e for s, _, e in base)]
     words = free(r"[A-Za-z]{2,}")
-    for start, kind, end in base[:4]:
+    for i in sorted(r.permutation(len(base))[:EACH]):
+        start, kind, end = base[i]
         m = ASSIGN.match(text, start) if kind == 0 else None
         a, b = m.span(2) if m else (start, end)
         seen = text[max(0, a - SIDE) : a]
@@ -143,19 +162,19 @@ def examples(text: str, h: int) -> list[tuple[bytes, int]]:
         for a, b in [words[i] for i in r.integers(len(words), size=2)] if words else []:
             put(text[max(0, a - SIDE) : a], drawn(r), text[b : b + SIDE], 2)
     for found in (free(TOKEN), free(r"\S{6,}")):
-        for i in r.permutation(len(found))[:4]:
+        for i in r.permutation(len(found))[:EACH]:
             a, b = found[i]
             put(text[max(0, a - SIDE) : a], text[a:b], text[b : b + SIDE], 0)
-    for i in r.permutation(max(0, len(words) - 5))[:6]:  # words run together, as in names and paths, and rules of one sign
+    for i in r.permutation(max(0, len(words) - 5))[: EACH + 2]:  # words run together, as in names and paths, and rules of one sign
         joined = ("", "_", "-", "/")[r.integers(4)].join(text[a:b] for a, b in words[i : i + 6])
         kind = r.integers(8)
         joined = joined.upper() if kind < 2 else "=-_+/"[r.integers(5)] * 64 if kind == 2 else joined
-        put(text[max(0, words[i][0] - SIDE) : words[i][0]], joined[: r.integers(16, 65)], text[words[i][1] :][:SIDE], 0)
+        put(text[max(0, words[i][0] - SIDE) : words[i][0]], joined[: r.integers(16, 65)], text[words[i][1] : words[i][1] + SIDE], 0)
     return out
 
 
 def labelled(docs: DataFrame, sample: int) -> list[tuple[bytes, int]]:
-    """The examples of at most `sample` texts with findings, chosen by hash."""
+    """The examples of at most `sample` different texts with findings, chosen by hash: the texts' hashes are chosen first, the texts fetched then."""
 
     def run(batches):
         import pyarrow as pa
@@ -164,9 +183,11 @@ def labelled(docs: DataFrame, sample: int) -> list[tuple[bytes, int]]:
             out = [o for text, h in rows(batch) for o in examples(text, h)]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32())], names=["x", "y"])
 
-    hinted = docs.where(F.col("text").rlike("[0-9a-f]{16}|AKIA") | F.lower("text").rlike(r"(password|passwd|secret|token|api_?key)[\"']? *[:=]"))
-    chosen = hinted.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample)
-    return [(bytes(r["x"]), r["y"]) for r in chosen.mapInArrow(run, "x binary, y int").collect()]
+    h = F.xxhash64("text").alias("h")
+    hinted = docs.where(F.col("text").rlike("[0-9a-f]{16}|AKIA") | F.lower("text").rlike(r"(password|passwd|secret|token|api_?key)[\"']? *[:=]")).select(h).distinct()
+    chosen = F.broadcast(sampled(materialize(hinted), sample, "h"))  # `sample` numbers
+    texts = docs.select("text", h).join(chosen, "h").groupBy("h").agg(F.first("text").alias("text")).select("text", "h")
+    return [(bytes(r["x"]), r["y"]) for r in texts.mapInArrow(run, "x binary, y int").collect()]
 
 
 def train(docs: DataFrame, recall: float, sample: int) -> tuple[CharCNN, float]:
@@ -194,13 +215,17 @@ def fitted(rows_: list[tuple[bytes, int]], recall: float) -> tuple[CharCNN, floa
 
 
 def spans_of(text: str, net: CharCNN, threshold: float) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the rules and the network."""
+    """(start, kind, end) of the rules and the network; a token counts by the window that scores highest."""
     base = base_spans(text)
+    found = []
     more = candidates(text)
-    if not more:
-        return base
-    p = np.concatenate([net.probability(np.array([view(text, *m) for m in more[i : i + 1024]])) for i in range(0, len(more), 1024)])
-    return sorted(base + [(a, 3, b) for (a, b), q in zip(more, p, strict=True) if q >= threshold])
+    for i in range(0, len(more), 512):
+        part = more[i : i + 512]
+        seen = [views(text, *m) for m in part]
+        first = np.cumsum([0, *map(len, seen)])[:-1]
+        p = np.concatenate([net.probability(np.frombuffer(b"".join(v for vs in seen for v in vs), np.uint8).reshape(-1, 2 * SIDE + BODY)[j : j + 1024]) for j in range(0, sum(map(len, seen)), 1024)])
+        found += [(a, 3, b) for (a, b), q in zip(part, np.maximum.reduceat(p, first), strict=True) if q >= threshold]
+    return sorted(base + found)
 
 
 def find_secrets(docs: DataFrame, recall: float = 0.95, sample: int = SAMPLE) -> DataFrame:

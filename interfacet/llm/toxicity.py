@@ -4,9 +4,12 @@ Terms (words, and stems that open words) are learned from labelled rows by an ex
 A trie of the terms is intersected with the Levenshtein automaton of distance 1 and made
 deterministic, so that all words of a batch walk one transition table together. Words and stems of
 5 letters or more may hold one edit, in the learned lexicon at the first letter too; shorter ones
-must be exact, as must those whose edited forms are ordinary words of clean training texts. Hits between
-quotation marks count less than others (context window); a logistic model turns the counts into a
-score. Only the text is an input of a score.
+must be exact, as must those whose edited forms are ordinary words of clean training texts. Hits with a
+quotation mark on both sides within WINDOW characters are counted apart from others, and a logistic
+model learns what each count weighs in the score. Only the text is an input of a score.
+
+It learns from at most `sample` labelled rows, chosen by hash. Terms are words of 3 to 24 letters and
+their openings; the lexicon has LEXICON terms at most.
 
 Null and empty texts have no hits and get the score of such texts; repeated rows get equal scores;
 without any label of each class the score is 0.5; an empty table gives an empty result; columns
@@ -18,16 +21,18 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import materialize, rows
+from .common import labelled_texts, materialize, rows, sampled
 
 SAMPLE = 20_000  # labelled rows to learn from at most; see learn()
-WINDOW, QUOTES, QUOTED = 30, "\"“”„«»‹›", 0.3
+WINDOW, QUOTES = 30, "\"“”„«»‹›"
+LEXICON = 150
 STEMS = range(4, 8)  # lengths of stems
 EDITS = 64  # see ordinary()
 SEP, OTHER = 0, 1
@@ -37,6 +42,12 @@ def is_training(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) != 1
 
 
+@cache
+def separators() -> np.ndarray:
+    """Class of every code point: a letter or digit of no term, or what stands between words."""
+    return np.fromiter((OTHER if chr(c).isalnum() else SEP for c in range(0x110000)), np.int32, 0x110000)
+
+
 class Automaton:
     """Deterministic product of the trie of `terms` (a stem ends in *) with distance 1; `first` allows the edit at the first letter; `exact` terms take none."""
 
@@ -97,18 +108,17 @@ class Automaton:
         self.kind = np.array([kinds[i] for i in range(len(names))], np.int8)
 
     def classes(self) -> np.ndarray:
-        """Class of each code point below 0x10000; those above are letters of no term."""
-        out = np.array([OTHER if chr(c).isalnum() else SEP for c in range(0x10000)], np.int32)
+        """Class of each code point."""
+        out = separators().copy()
         for c, i in self.letters.items():
-            if ord(c) < 0x10000:
-                out[ord(c)] = i
+            out[ord(c)] = i
         return out
 
 
 def matches(auto: Automaton, classes: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Code points, place and kind of each hit, and the number of words."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    cls = np.append(classes[np.minimum(code, 0xFFFF)], SEP)
+    cls = np.append(classes[code], SEP)
     word = cls != SEP
     starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
     state, at = np.ones(len(starts), np.int32), starts.copy()
@@ -128,21 +138,21 @@ def matches(auto: Automaton, classes: np.ndarray, text: str) -> tuple[np.ndarray
 
 
 def hits(auto: Automaton, classes: np.ndarray, text: str) -> tuple[np.ndarray, int]:
-    """Weighted counts of hits (exact, one edit, stem), and the number of words."""
+    """Counts of hits (exact, one edit, stem, any of these between quotation marks), and the number of words."""
     code, where, what, n = matches(auto, classes, text)
-    out = np.zeros(3)
+    out = np.zeros(4)
     if len(where):
         quote = np.concatenate([[0], np.cumsum(np.isin(code, [ord(q) for q in QUOTES]))])
         left = quote[where] > quote[np.maximum(where - WINDOW, 0)]
         right = quote[np.minimum(where + WINDOW, len(code))] > quote[where]
-        np.add.at(out, what - 1, np.where(left & right, QUOTED, 1.0))
+        np.add.at(out, np.where(left & right, 3, what - 1), 1.0)
     return out, n
 
 
 def features(found: np.ndarray, n: int) -> list[float]:
-    total = float(found.sum())
-    exact, edits, stems = found
-    return [1.0, *np.log1p([exact + edits, edits, stems]), math.log1p(total * 100 / max(n, 20)), float(total > 0)]
+    exact, edits, stems, quoted = found
+    plain = float(exact + edits + stems)
+    return [1.0, *np.log1p([exact + edits, edits, stems, quoted]), math.log1p(plain * 100 / max(n, 20)), float(plain > 0)]
 
 
 def terms_of(text: str) -> set[str]:
@@ -171,7 +181,7 @@ def edited(auto: Automaton, classes: np.ndarray, text: str) -> set[str]:
     out = set()
     for i in where[what == 2]:
         end = i
-        while end < len(code) and classes[min(code[end], 0xFFFF)] != SEP:
+        while end < len(code) and classes[code[end]] != SEP:
             end += 1
         out.add("".join(map(chr, code[i:end])))
     return out
@@ -213,18 +223,19 @@ def ordinary(toxic: dict[str, int], edits: dict[str, int], n_toxic: int, n_clean
 
 def tail(a: int, n: int, p: float) -> float:
     """log10 of the chance of a or more of n, each with chance p."""
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p) for k in range(a, min(n, a + 60) + 1)]
-    top = max(logs)
-    return (top + math.log(sum(math.exp(x - top) for x in logs))) / math.log(10)
+    k = np.arange(a, n + 1)
+    of = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])  # logarithms of factorials
+    logs = of[n] - of[k] - of[n - k] + k * math.log(p) + (n - k) * math.log1p(-p)
+    return float(logs.max() + np.log(np.exp(logs - logs.max()).sum())) / math.log(10)
 
 
-def lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, most: int = 150) -> list[str]:
-    """Terms that toxic texts hold far more often than chance allows: words, and stems that no other stem stands for."""
+def lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, most: int = LEXICON, chance: float = 0.01) -> list[str]:
+    """Terms that toxic texts hold far more often than chance allows for that many terms: words, and stems that no other stem stands for."""
     p = n_toxic / (n_toxic + n_clean)
     good = {}
     for t, a in toxic.items():
         b = clean.get(t, 0)
-        if a / n_toxic >= 8 * b / n_clean and (x := tail(a, a + b, p)) <= -6.5:
+        if a / n_toxic >= 8 * b / n_clean and (x := tail(a, a + b, p)) <= math.log10(chance / len(toxic)):
             good[t] = x
     chosen: list[str] = []
     for t in sorted(good, key=lambda t: (good[t], -len(t), t)):  # of equal stems the longest
@@ -250,13 +261,11 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Automaton, np.ndarray]:
     """Automaton and weights from the training rows of labels, at most `sample` of them, chosen by hash."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & is_training(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # `sample` rows of two numbers
-    texts = materialize(texts)
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & is_training(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
+    texts = materialize(labelled_texts(docs, sampled(known, sample, "doc_id")))
     counts = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(1) or not counts.get(0):
-        return Automaton([]), np.zeros(6)
+        return Automaton([]), np.zeros(7)
     toxic = {r["term"]: r["n"] for r in count_terms(texts.where("toxic = 1"), None).where("n >= 4").collect()}
     clean = {r["term"]: r["n"] for r in count_terms(texts.where("toxic = 0"), frozenset(toxic)).collect()}
     terms = lexicon(toxic, clean, counts[1], counts[0])
@@ -266,7 +275,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Aut
 
 
 def find(docs: DataFrame, auto: Automaton) -> DataFrame:
-    """id, h, n (words), found (weighted hits)."""
+    """id, h, n (words), found (hits)."""
 
     def run(batches):
         import pyarrow as pa
