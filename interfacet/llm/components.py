@@ -9,7 +9,9 @@ from .common import materialize
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (its smallest reachable node) for every node of links(a, b).
+    """node, component (its smallest reachable node) for every node of links(a, b), numbers or structs of them.
+
+    Repeated links and links of a node with itself count for nothing, as do links with a null end; no links, no rows.
 
     Alternating large and small stars (Kiveris et al. 2014): each round points neighbours at the
     smallest known node. Neighbourhoods are only ever reduced to their minimum, so a node with any

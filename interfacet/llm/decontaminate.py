@@ -45,7 +45,12 @@ def with_fingerprints(rows: DataFrame, key: list[str], k: int, width: int) -> Da
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted strings), contaminated: a row for each row of docs.
+    """doc_id, n_words, n_hit, n_items, items (sorted strings), contaminated: a row for each row of docs."""
+    return judged(docs, benchmark, window, percent).drop("id", "h")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
+    """The columns of `contamination`, and id and h, the key of the row (see `keyed`).
 
     A document word inside any occurrence of a window of an item is hit. contaminated: any word is
     hit and the hits are at least `percent` of the words.
@@ -76,5 +81,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
     found = covered.join(named, ["id", "h"])
     total = docs.select("doc_id", "id", "h", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    whole = total.join(found, ["id", "h"], "left").select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return whole.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"))
+    whole = total.join(found, ["id", "h"], "left").select("id", "h", "doc_id", "n_words", hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return whole.select("id", "h", "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"))

@@ -7,23 +7,26 @@ each other in all bands with probability (1 - s**rows)**bands: 4e-7 at 0.85 with
 
 Links are confirmed on full sets. Documents with equal sets are one class from the start; in each
 bucket every class is first confirmed against the smallest one; where that leaves a bucket in more
-than one component, all its classes are compared in blocks inside tasks, and only links come out.
+than one component, the classes outside its largest component are compared with all of it, in blocks
+inside tasks, and only links come out.
 
 Null, empty and blank texts have an empty set and are linked with nothing; repeated rows are one
-document; rows without doc_id are linked with nothing (component_id null, kept); an empty table
-gives an empty result; columns other than doc_id and text are ignored.
+document; different texts that share a doc_id are each linked on their own; rows without doc_id are
+linked with nothing (component_id null, kept); an empty table gives an empty result; columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_slices, materialize, mix
+from .common import Rolling, byte_slices, joined, materialize, mix
 from .components import components
 
 U = np.uint64
+CLASS = "struct<rep:long,s1:long>"  # a class of equal sets: its smallest doc_id and a hash of the set
 BLOCK = 512  # classes of a bucket that one task compares with as many others
 
 
@@ -59,7 +62,7 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, width: int, rolling: Rol
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n, s1 and s2 (hash of the set), keys (of its buckets)."""
+    """doc_id, h (hash of the text), n, s1 and s2 (hash of the set), keys (of its buckets)."""
 
     def run(batches):
         import pyarrow as pa
@@ -88,14 +91,18 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     for j in range(rows):
                         key = mix(key * U(0x9FB21C651E98DF25) + v[:, j])
                     keys.append(key.astype(np.int64))
-                ids = batch.column(batch.schema.get_field_index("doc_id")).slice(i, len(n))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "keys"])
+                ids, hs = (batch.column(batch.schema.get_field_index(c)).slice(i, len(n)) for c in ("doc_id", "h"))
+                yield pa.RecordBatch.from_arrays([ids, hs, pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "s1", "s2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n int, s1 long, s2 long, keys array<long>")
+
+
+def node() -> Column:
+    return F.struct("rep", "s1")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """rep, grams (sorted hashes as bytes) of the documents in wanted(rep, s1)."""
+    """node, grams (sorted hashes as bytes) of the classes wanted(rep, s1)."""
 
     def run(batches):
         import pyarrow as pa
@@ -106,10 +113,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(offsets, data, width, rolling)]
                 sums = [int(mix(np.frombuffer(s, U)).sum().astype(np.int64)) for s in sets]
                 cut = [batch.column(batch.schema.get_field_index(c)).slice(i, len(sets)) for c in ("rep", "s1")]
-                yield pa.RecordBatch.from_arrays([cut[0], cut[1], pa.array(sums, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "s1", "found", "grams"])
+                yield pa.RecordBatch.from_arrays([*cut, pa.array(sums, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "s1", "found", "grams"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.hint("shuffle_hash"), "rep")
-    return texts.mapInArrow(run, "rep long, s1 long, found long, grams binary").where("s1 = found").select("rep", "grams").dropDuplicates(["rep"])
+    found = texts.mapInArrow(run, "rep long, s1 long, found long, grams binary").where("s1 = found")
+    return found.select(node().alias("node"), "grams").dropDuplicates(["node"])
 
 
 def common(a: bytes, b: bytes) -> tuple[int, int]:
@@ -136,21 +144,22 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * union)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("rep").alias("b"), F.col("grams").alias("y"))
-    right = sets.select(F.col("rep").alias("a"), F.col("grams").alias("x"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
+    right = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
+    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, f"a {CLASS}, b {CLASS}")
 
 
 def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Links between different components inside each block of members(key, i, j, rep, comp, grams)."""
+    """Links between different components inside each block of members(key, i, j, node, comp, grams)."""
 
     def run(table):
         import pyarrow as pa
 
-        rep, comp = (table.column(c).to_numpy() for c in ("rep", "comp"))
+        nodes = table.column("node").to_pylist()
+        comp = [(c["rep"], c["s1"]) for c in table.column("comp").to_pylist()]
         sets = [np.frombuffer(g.as_py(), U) for g in table.column("grams")]
         order = np.argsort([len(s) for s in sets], kind="stable")
-        root = {int(c): int(c) for c in comp}
+        root = {c: c for c in comp}
 
         def top(c):
             while root[c] != c:
@@ -163,44 +172,63 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
             for q in order[p + 1 :]:
                 if 100 * len(x) < percent * len(sets[q]):
                     break
-                a, b = top(int(comp[order[p]])), top(int(comp[q]))
+                a, b = top(comp[order[p]]), top(comp[q])
                 if a == b:
                     continue
                 both, union = common(x.tobytes(), sets[q].tobytes())
                 if 100 * both >= percent * union:
-                    out.append((int(rep[order[p]]), int(rep[q])))
+                    out.append((nodes[order[p]], nodes[q]))
                     root[max(a, b)] = min(a, b)
-        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+        kind = pa.struct([("rep", pa.int64()), ("s1", pa.int64())])
+        return pa.table({"a": pa.array([o[0] for o in out], kind), "b": pa.array([o[1] for o in out], kind)})
 
-    return members.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return members.groupBy("key", "i", "j").applyInArrow(run, f"a {CLASS}, b {CLASS}")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 20, rows: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, one row for each row of docs."""
+def meetings(member: DataFrame) -> DataFrame:
+    """key, i, j, node, comp: blocks of each bucket of member(key, node, comp) that has more than one component.
+
+    Blocks i of the classes outside the bucket's largest component meet each other and those inside it.
+    """
+    sizes = member.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    bucket = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("size"), F.count("*").alias("comps")).where("comps > 1")
+    count = lambda n: F.ceil(n / BLOCK).cast("long")
+    rest = member.join(bucket.select("key", "largest", count(F.col("size") - F.col("most")).alias("out"), count(F.col("most")).alias("in")), "key")
+    inside = F.col("comp") == F.col("largest")
+    h = F.xxhash64("node")
+    rest = rest.withColumn("blk", F.when(inside, F.col("out") + F.pmod(h, F.col("in"))).otherwise(F.pmod(h, F.col("out"))))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(inside, F.col("out")).otherwise(F.col("out") + F.col("in")) - 1)))
+    rest = materialize(rest.select("key", "node", "comp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")))
+    # The same classes meet in many bands: each distinct meeting is compared once.
+    met = rest.groupBy("key", "i", "j").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("w")).groupBy("c", "w").agg(F.min(F.struct("key", "i", "j")).alias("m")).select("m.*")
+    return rest.join(met, ["key", "i", "j"])
+
+
+def groups(docs: DataFrame, width: int, percent: int, bands: int = 20, rows: int = 4) -> DataFrame:
+    """doc_id, h (hash of the text), n (size of the set), group (the smallest class reachable over links; null for rows without a set or an id), one row for each row of docs."""
     rowwise = materialize(signatures(docs, width, bands, rows))
     some = rowwise.where("n > 0 and doc_id is not null")
     classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = materialize(classes)
     buckets = classes.select("rep", "s1", "n", F.explode("keys").alias("key"))
-    full = materialize(buckets.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "s1", "n")).alias("lead")).where("size > 1"))
-    shared = materialize(buckets.join(full, "key"))
-    near = f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)"
-    pairs = shared.where(near).where("rep <> lead.rep").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    wanted = shared.select("rep", "s1").distinct()
-    sets = materialize(full_sets(docs, wanted, width))
+    full = materialize(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "s1", "n")).alias("lead")).where("n > 1"))
+    shared = materialize(joined(buckets.withColumnRenamed("n", "size"), full, ["key"]).select("key", "rep", "s1", "size", "lead", F.col("n").alias("members")))
+    near = f"100 * least(size, lead.n) >= {percent} * greatest(size, lead.n)"
+    pairs = shared.select(F.struct("lead.rep", "lead.s1").alias("a"), node().alias("b"), "size", "lead").where(near).where("a <> b").select("a", "b").distinct()
+    sets = materialize(full_sets(docs, shared.select("rep", "s1").distinct(), width))
     links = materialize(confirm(pairs, sets, percent))
     comp = components(links)
     # Buckets that are still in more than one component, of three classes or more.
-    member = shared.where("size > 2").join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
-    split = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = member.join(split, "key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    rest = rest.withColumn("blk", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rest = rest.select("key", "rep", "comp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
-    # The same members meet in many bands: each distinct meeting is compared once.
-    met = rest.groupBy("key", "i", "j").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("w")).groupBy("c", "w").agg(F.min(F.struct("key", "i", "j")).alias("m")).select("m.*")
-    more = compare_blocks(rest.join(met, ["key", "i", "j"]).join(sets, "rep"), percent)
+    member = shared.where("members > 2").select("key", node().alias("node")).join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    more = compare_blocks(meetings(materialize(member)).join(sets, "node"), percent)
     comp = components(links.union(more))
-    whole = rowwise.join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left").join(comp, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "rep", "doc_id"))
-    return whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = classes.select("s1", "s2", node().alias("node")).join(comp, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("group"))
+    whole = rowwise.join(named, ["s1", "s2"], "left")
+    return whole.select("doc_id", "h", "n", F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 20, rows: int = 4) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, one row for each row of docs."""
+    found = groups(docs, width, percent, bands, rows)
+    component = F.coalesce("group.rep", "doc_id")  # a component's smallest class has its smallest doc_id
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -67,25 +67,54 @@ def test_hot_keys_of_repeats(spark, monkeypatch):
         check_repeats(spark.createDataFrame(rows, "doc_id long, text string"), many)
 
 
-def test_near_duplicates(docs, none):
-    sets = {}
-    for i, t in local(docs):
-        w = re.findall("[^\x20\x09-\x0d]+", t.lower())
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
-    ids = sorted(i for i in sets if i is not None)
-    top = {i: i for i in ids}
-    for i in ids:
-        for j in ids:
-            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
-                a, b = top[i], top[j]
-                top = {k: min(a, b) if v in (a, b) else v for k, v in top.items()}
-    for r in minhash.near_duplicates(docs, 3, 85).collect():
-        i = r["doc_id"]
-        assert r["n_shingles"] == len(sets[i])
-        assert (r["component_id"], r["kept"]) == ((top[i], top[i] == i) if i is not None else (None, True))
+def near_groups(rows, width, percent):
+    """Row to (set size, smallest doc_id reachable): all pairs of rows with an id compared."""
+    sets = []
+    for _, t in rows:
+        w = [x for x in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in t)) if x]
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    top = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if top[i] != top[j] and x and None not in (rows[i][0], rows[j][0]) and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
+                old, new = top[i], top[j]
+                top = [new if t == old else t for t in top]
+    least = {}
+    for (i, _), t in zip(rows, top, strict=True):
+        least[t] = i if i is None else min(i, least.get(t, i))
+    return [(i, len(s), least[t]) for (i, _), s, t in zip(rows, sets, top, strict=True)]
+
+
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+def test_near_duplicates(docs, none, width, percent):
+    got = minhash.near_duplicates(docs, width, percent).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted(near_groups(local(docs), width, percent), key=str)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_shared_ids_and_large_buckets(spark, monkeypatch):
+    """A chain of near copies whose ends differ, other families of the same template, and ids with two texts."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(120)]
+    rows = []
+    for k in range(40):
+        base[r.randrange(120)] = word()
+        rows.append((k + 10, " ".join(base)))
+    template = [word() for _ in range(90)]
+    for k in range(30):
+        rows.append((100 + k, " ".join(template + [word() for _ in range(r.choice([4, 12]))])))
+    a, b = [word() for _ in range(100)], [word() for _ in range(100)]
+    rows += [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "x"])), (3, " ".join([*b[:-1], "y"]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = near_groups(rows, 5, 80)
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == sorted(want) and {w[2] for w in want if w[0] in (2, 3)} == {1}
+
+
 def test_contamination(spark, docs, none, texts):
     items = [(1, " ".join((texts[7] or "").split()[:30])), (2, "one"), (3, ""), (4, None), (10, texts[8])]
     bench = spark.createDataFrame(items, "item_id long, text string")
