@@ -127,7 +127,22 @@ def smeared(bits: int, width: int) -> int:
     return out if width else 0
 
 
-def fillings(count: np.ndarray, room: int, waste: int) -> Iterator[list[int]]:
+class Effort:
+    """Steps that a search may still take."""
+
+    class Spent(Exception):
+        pass
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def take(self, steps: int) -> None:
+        self.left -= steps
+        if self.left < 0:
+            raise self.Spent
+
+
+def fillings(count: np.ndarray, room: int, waste: int, effort: Effort) -> Iterator[list[int]]:
     """The undominated fillings of room that leave at most `waste` open, the least open first, each found as it is asked for.
 
     A filling is dominated if a piece that it leaves out could take the place of some of its pieces
@@ -136,23 +151,22 @@ def fillings(count: np.ndarray, room: int, waste: int) -> Iterator[list[int]]:
     every choice can still be completed.
     """
     lengths, sums = reachable(count, room)
+    effort.take(len(lengths))
+    have = sum(1 << x for x in lengths)
     for open_ in range(min(waste, room) + 1):
         if not sums[-1] >> (room - open_) & 1:
             continue
-        # A level: next index to try below, sum still to fill, copies used of the last length, sums of chosen pieces (all, two or more).
         chosen: list[int] = []
-        stack = [[len(lengths) - 1, room - open_, 1, 0]]
+        # A level: index to try next, sum still to fill, copies of the last piece, sums of chosen pieces (any, two or more), lengths not used up.
+        stack = [[len(lengths) - 1, room - open_, 0, 1, 0, have]]
         while stack:
+            effort.take(1)
             level = stack[-1]
-            i, need, some, two = level
-            if need == 0:
-                stack.pop()
-                left = sum(1 << x for x in lengths[: bisect_right(lengths, open_)] if count[x] > chosen.count(x)) if open_ else 0
-                if not left:
+            i, need, copies, some, two, left = level
+            if not need:
+                if not left & ((2 << open_) - 2):
                     yield list(chosen)
-                if chosen:
-                    chosen.pop()
-                continue
+                i = -1
             while i >= 0 and not (lengths[i] <= need and sums[i + 1] >> need & 1):
                 i -= 1
             if i < 0:
@@ -162,29 +176,27 @@ def fillings(count: np.ndarray, room: int, waste: int) -> Iterator[list[int]]:
                 continue
             x = lengths[i]
             level[0] = i - 1  # the next try at this level is a smaller piece
-            used = chosen.count(x) + 1
-            if used > count[x]:
+            copies = copies + 1 if chosen and chosen[-1] == x else 1
+            if copies > count[x]:
                 continue
+            if copies == count[x]:
+                left &= ~(1 << x)
             both, more = some | some << x, two | (some & ~1) << x | two << x
-            spare = 0
-            for y in lengths[bisect_right(lengths, x) - (used < count[x]) :]:
-                if used < count[x] if y == x else count[y] > chosen.count(y):
-                    spare |= 1 << y
-            if spare & (more | smeared(both & ~1, open_)):
+            if left >> x << x & (more | smeared(both & ~1, open_)):
                 continue
             chosen.append(x)
-            stack.append([i, need - x, both, more])
+            stack.append([i, need - x, copies, both, more, left])
 
 
-def pack(counts: dict[int, int], capacity: int, nodes: int = 2_000) -> list[tuple[tuple[int, ...], int]]:
+def pack(counts: dict[int, int], capacity: int, steps: int = 500_000) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in a sequence, how many such sequences), in all as few sequences as the search finds.
 
     Bin completion: the largest piece left is completed by the undominated fillings, each as often as
     its pieces last (less often in later branches). A branch ends when the sequences that what is left
     needs at least rule out beating the incumbent; the best-fit packing is the first incumbent. The
     search ends when the incumbent meets the lower bound, when no branch is left (both prove it best) or,
-    the problem being NP-hard, after `nodes` fillings beyond those of the first dive: all pieces are
-    packed at any value, and the search is the same whatever the number of lengths.
+    the problem being NP-hard, after `steps` steps (some seconds): all pieces are packed at any value,
+    and the search is the same whatever the number of lengths.
     """
     count = np.zeros(capacity + 1, np.int64)
     for k, v in counts.items():
@@ -202,7 +214,7 @@ def pack(counts: dict[int, int], capacity: int, nodes: int = 2_000) -> list[tupl
         left = count.copy()
         use((top,), -1)
         seen = []
-        for fill in fillings(left, capacity - top, waste):
+        for fill in fillings(left, capacity - top, waste, effort):
             items = (top, *fill)
             seen.append((items, min((int(left[x]) + (x == top)) // items.count(x) for x in set(items))))
             yield seen[-1]
@@ -212,35 +224,35 @@ def pack(counts: dict[int, int], capacity: int, nodes: int = 2_000) -> list[tupl
 
     best = best_fit_plan(count)
     plan: list[tuple[tuple[int, ...], int]] = []
-    used, spent, first = 0, 0, True
-    stack: list[Iterator] = []
-    if size(best) > least:
-        stack.append(branches((size(best) - 1) * capacity - total))
-    while stack and size(best) > least and (first or spent < nodes):
-        step = next(stack[-1], None)
-        if step is None:
-            stack.pop()
-            if plan:
-                items, n = plan.pop()
-                use(items, -n)
-                used -= n
-            continue
-        use(*step)
-        plan.append(step)
-        used += step[1]
-        spent += not first
-        if used + least_bins(count) < size(best):
-            if not count.any():
-                best, first = list(plan), False
-            else:
-                left = int((count * np.arange(capacity + 1)).sum())
-                stack.append(branches((size(best) - 1 - used) * capacity - left))
+    effort, used = Effort(steps), 0
+    stack = [branches((size(best) - 1) * capacity - total)] if size(best) > least else []
+    try:
+        while stack and size(best) > least:
+            effort.take(50)
+            step = next(stack[-1], None)
+            if step is None:
+                stack.pop()
+                if plan:
+                    items, n = plan.pop()
+                    use(items, -n)
+                    used -= n
                 continue
-        else:
-            first = False
-        plan.pop()
-        use(step[0], -step[1])
-        used -= step[1]
+            use(*step)
+            plan.append(step)
+            used += step[1]
+            if used + least_bins(count) < size(best):
+                if count.any():
+                    left = int((count * np.arange(capacity + 1)).sum())
+                    stack.append(branches((size(best) - 1 - used) * capacity - left))
+                    continue
+                best = list(plan)
+            plan.pop()
+            use(step[0], -step[1])
+            used -= step[1]
+    except Effort.Spent:
+        rest = best_fit_plan(count)  # the branch that was open, with best fit for what it had not packed yet
+        if used + size(rest) < size(best):
+            best = plan + rest
     return best
 
 

@@ -1,6 +1,7 @@
 """Token ids against the library as it is opened, files read back, packing against an exact solver."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -133,7 +134,7 @@ def test_search_equals_an_exact_solver():
         for _ in range(r.randint(1, 10)):
             x = r.randint(1, capacity) if r.random() < 0.3 else r.randint(max(1, capacity // 6), capacity // 2)
             counts[x] = counts.get(x, 0) + 1
-        plan = packing.pack(counts, capacity, 100_000)
+        plan = packing.pack(counts, capacity, 10_000_000)
         packed = {}
         for items, n in plan:
             assert sum(items) <= capacity
@@ -150,12 +151,16 @@ def test_search_beats_best_fit_on_many_lengths():
     count[lengths] = n
     size = lambda plan: sum(k for _, k in plan)
     assert len(lengths) > 800 and packing.least_bins(count) <= size(packing.pack(counts, 2048)) < size(packing.best_fit_plan(count))
+    start = time.time()
+    for counts in ({x: 1 + x % 3 for x in range(1, 700)}, {**{x: 2 for x in range(1, 60)}, **{1999 - x: 3 for x in range(50)}}, dict.fromkeys(range(2, 2048, 7), 3)):
+        packing.pack(counts, 2048)
+    assert time.time() - start < 60
     assert packing.pack({}, 2048) == [] and packing.pack({1: 10**9}, 2048) == [((1,) * 2048, 10**9 // 2048), ((1,) * (10**9 % 2048), 1)]
 
 
 def test_fillings_are_undominated_and_ordered():
     count = np.zeros(21, np.int64)
     count[[2, 3, 5, 9, 10]] = [2, 3, 2, 1, 1]
-    found = list(packing.fillings(count, 12, 2))
+    found = list(packing.fillings(count, 12, 2, packing.Effort(10_000)))
     assert found[0] == [10, 2] and [12 - sum(f) for f in found] == sorted(12 - sum(f) for f in found)
     assert [5, 5, 2] not in found  # 10 takes the place of 5 and 5
