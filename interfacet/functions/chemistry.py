@@ -17,6 +17,7 @@ COLORS = {
     "default": "#008080", "salt_bridge": "#FFA500", "cation_pi": "#FF4500", "pi_stack": "#8A2BE2", "hbond": "#0000FF",
     "sulfur_pi": "#FFD700", "hydrophobic": "#808080", "halogen_bond": "#00CED1", "metal_complex": "#A52A2A",
 }
+# Residues of peptide chains.
 PEPTIDES = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL UNK".split()
 
 

@@ -34,9 +34,17 @@ def annotated_types(contacts: DataFrame, a: str = "A", b: str = "B") -> DataFram
 
 
 def diagnostics(contacts: DataFrame, a: str = "A", b: str = "B") -> DataFrame:
-    """structure_id, chain_pairs, raw_types (sorted), mapped: what annotations hold; where mapped is 0, use distances."""
-    pair = F.concat_ws("-", F.array_sort(F.array(F.trim("bgn_chain"), F.trim("end_chain"))))
-    ends = F.array_sort(F.array_distinct(F.array(F.trim("bgn_chain"), F.trim("end_chain"))))
-    wanted = ends == F.array_sort(F.array_distinct(F.array(F.lit(a), F.lit(b))))
-    used = F.coalesce(wanted & canonical(F.col("raw_type")).isNotNull(), F.lit(False))
-    return contacts.groupBy("structure_id").agg(F.sort_array(F.collect_set(pair)).alias("chain_pairs"), F.sort_array(F.collect_set("raw_type")).alias("raw_types"), F.sum(used.cast("long")).alias("mapped"))
+    """structure_id, chain_pairs, raw_types (sorted), mapped: what annotations hold; where mapped is 0, use distances.
+
+    Pairs of named chains are listed whatever they are; raw types and mapped only look at contacts between
+    chains a and b whose residue of chain a has a readable number. mapped counts contacts with any known
+    type: rows that share `contact`, or all rows where there is no such column.
+    """
+    bgn, end = F.trim("bgn_chain"), F.trim("end_chain")
+    pair = F.when((bgn != "") & (end != ""), F.concat_ws("-", F.array_sort(F.array(bgn, end))))
+    wanted = F.array_sort(F.array_distinct(F.array(bgn, end))) == F.array_sort(F.array_distinct(F.array(F.lit(a), F.lit(b))))
+    number = sequence_number(F.when(bgn == a, F.col("bgn_seq")).otherwise(F.col("end_seq")))
+    used = F.coalesce(wanted & number.isNotNull(), F.lit(False))
+    known = used & canonical(F.col("raw_type")).isNotNull()
+    mapped = F.count_distinct(F.when(known, F.col("contact"))) if "contact" in contacts.columns else F.sum(known.cast("long"))
+    return contacts.groupBy("structure_id").agg(F.sort_array(F.collect_set(pair)).alias("chain_pairs"), F.sort_array(F.collect_set(F.when(used, F.col("raw_type")))).alias("raw_types"), mapped.alias("mapped"))

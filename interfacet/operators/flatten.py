@@ -148,7 +148,7 @@ def task_cg(rows, tol: float = 1e-10):
     return pd.DataFrame({"i": names[: n * fine], "x": x[: n * fine]})
 
 
-def spark_cg(a: DataFrame, b: DataFrame, tol: float = 1e-10, rounds: int = 10_000) -> DataFrame:
+def spark_cg(a: DataFrame, b: DataFrame, tol: float = 1e-10) -> DataFrame:
     """key, i, x by the same iteration with joins and sums, for systems of any size; each round is written. Systems that don't converge give no rows."""
     diag = a.where("i = j").select("key", "i", (1 / F.col("w")).alias("m"))
     state = b.join(diag, ["key", "i"]).select("key", "i", F.lit(0.0).alias("x"), F.col("w").alias("r"), "m", (F.col("w") * F.col("m")).alias("p"))
@@ -156,6 +156,7 @@ def spark_cg(a: DataFrame, b: DataFrame, tol: float = 1e-10, rounds: int = 10_00
     dots = materialize(state.groupBy("key").agg(rz.alias("rz")).withColumn("goal", F.col("rz") * tol * tol))
     state = materialize(state)
     done = state.where("false")
+    rounds = 20 * (b.groupBy("key").count().agg(F.max("count")).first()[0] or 0) + 100  # as in one task
     for _ in range(rounds):
         over = dots.where("rz <= goal").select("key")
         if over.limit(1).count():
@@ -214,7 +215,11 @@ def harmonic(faces: DataFrame, vertices: DataFrame, loop: DataFrame, large: int
     known = materialize(ring.select("mesh_id", F.col("vid").alias("i"), "u", "v", axis).select(key, "i", F.when(F.col("axis") == 0, F.col("u")).otherwise(F.col("v")).alias("x")))
     both = solve(*reduced(entries, known), large).unionByName(known)
     one = lambda k: F.max(F.when(F.col("key.axis") == k, F.col("x")))
-    return both.groupBy("key.mesh_id", F.col("i").alias("vid")).agg(one(0).alias("u"), one(1).alias("v"))
+    uv = both.groupBy("key.mesh_id", F.col("i").alias("vid")).agg(one(0).alias("u"), one(1).alias("v"))
+    # A mesh whose system was not solved for both axes has no map.
+    every = mesh.corners(faces).groupBy("mesh_id").agg(F.count_distinct("vid").alias("n"))
+    solved = uv.where("u is not null and v is not null").groupBy("mesh_id").agg(F.count("*").alias("n"))
+    return uv.join(every.join(solved, ["mesh_id", "n"]).select("mesh_id"), "mesh_id", "left_semi")
 
 
 def conformal(faces: DataFrame, vertices: DataFrame, loop: DataFrame, large: int = LARGE) -> DataFrame:

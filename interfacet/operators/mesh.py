@@ -63,6 +63,22 @@ def merged(faces: DataFrame, vertices: DataFrame, step: float = 1e-8) -> tuple[D
     return out.select("mesh_id", "fid", "a", "b", "c"), kept
 
 
+def validated(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A whole mesh made fit for slicing: finite vertices, equal ones merged, no empty or repeated faces, no unused vertices. Both are written."""
+    finite = " and ".join(f"{k} is not null and not isnan({k}) and abs({k}) < double('infinity')" for k in "xyz")
+    faces, vertices = merged(faces, materialize(vertices.where(finite)))
+    faces = materialize(valid_faces(materialize(faces), vertices, 0.0))
+    return faces, materialize(used_vertices(faces, vertices))
+
+
+def sanitised(faces: DataFrame, vertices: DataFrame, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Patches, each a mesh of its own, without faces of no area and equal vertices, then smoothed; a patch that smoothing breaks keeps its vertices."""
+    faces, vertices = merged(valid_faces(faces, vertices, 1e-9), vertices)
+    faces = materialize(faces)
+    vertices = materialize(used_vertices(faces, vertices))
+    return faces, smoothed(faces, vertices, rounds)
+
+
 def used_vertices(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return vertices.join(corners(faces), ["mesh_id", "vid"], "left_semi")
 
@@ -80,7 +96,9 @@ def components(faces: DataFrame) -> DataFrame:
     """
     star = ["mesh_id", "hub"]
     links = materialize(adjacency(faces).select("mesh_id", F.col("f1").alias("lo"), F.col("f2").alias("hi")).distinct())
-    while True:
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("mesh_id", "lo", "hi").cast("decimal(20,0)"))).first()
+    before = state(links)
+    while before[0]:
         both = links.select("mesh_id", F.col("lo").alias("hub"), F.col("hi").alias("n")).union(links.select("mesh_id", F.col("hi"), F.col("lo")))
         least = both.groupBy(*star).agg(F.least(F.min("n"), F.first("hub")).alias("m"))
         large = both.join(least, star).where("n > hub").select("mesh_id", F.col("n").alias("hub"), F.col("m").alias("n")).distinct()
@@ -88,10 +106,11 @@ def components(faces: DataFrame) -> DataFrame:
         small = large.join(least, star)
         pairs = small.select("mesh_id", F.col("m").alias("lo"), F.col("n").alias("hi")).union(small.select("mesh_id", "m", "hub"))
         new = materialize(pairs.where("lo < hi").distinct())
-        changed = new.exceptAll(links).limit(1).count() or links.exceptAll(new).limit(1).count()
+        now = state(new)
         links = new
-        if not changed:
+        if now == before:
             break
+        before = now
     root = links.groupBy("mesh_id", F.col("hi").alias("fid")).agg(F.min("lo").alias("component"))
     return faces.select("mesh_id", "fid").join(root, ["mesh_id", "fid"], "left").withColumn("component", F.coalesce("component", "fid"))
 

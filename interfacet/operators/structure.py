@@ -22,13 +22,16 @@ def chain(atoms: DataFrame, chain_id: str) -> DataFrame:
 
 
 def chain_summary(atoms: DataFrame) -> DataFrame:
-    """structure_id, chain_id, residues (waters and ligands too), first (row of the file)."""
-    return atoms.groupBy("structure_id", "chain_id").agg(F.count_distinct("record", "res_seq").alias("residues"), F.min("serial").alias("first_serial"))
+    """structure_id, chain_id, residues (waters and ligands too; 100 and 100A are two), first (line of the file, or serial where lines aren't known)."""
+    icode = F.col("icode") if "icode" in atoms.columns else F.lit(None).cast("string")
+    residue = F.struct("record", "res_seq", F.trim(F.coalesce(icode, F.lit(""))).alias("icode"))
+    order = "line" if "line" in atoms.columns else "serial"
+    return atoms.groupBy("structure_id", "chain_id").agg(F.count_distinct(residue).alias("residues"), F.min(order).alias("first"))
 
 
 def first_two_chains(atoms: DataFrame) -> DataFrame:
     """Targets of structures with two chains or more, in file order."""
-    w = Window.partitionBy("structure_id").orderBy("first_serial")
+    w = Window.partitionBy("structure_id").orderBy("first")
     ranked = chain_summary(atoms).withColumn("k", F.row_number().over(w))
     two = ranked.where("k <= 2").groupBy("structure_id").agg(F.max(F.when(F.col("k") == 1, F.col("chain_id"))).alias("chain_a"), F.max(F.when(F.col("k") == 2, F.col("chain_id"))).alias("chain_b"))
     return two.where("chain_b IS NOT NULL").withColumn("category", F.lit("Auto_Generated"))
@@ -38,7 +41,7 @@ def normal_chains(atoms: DataFrame) -> DataFrame:
     """structure_id, chain_id, new_id of structures with exactly two chains: {A,B} stays, H and L become A and B, else the longer becomes A."""
     s = chain_summary(atoms)
     n = s.groupBy("structure_id").agg(F.sort_array(F.collect_set("chain_id")).alias("ids")).where(F.size("ids") == 2)
-    longest = F.row_number().over(Window.partitionBy("structure_id").orderBy(F.desc("residues"), "first_serial"))
+    longest = F.row_number().over(Window.partitionBy("structure_id").orderBy(F.desc("residues"), "first"))
     known = F.col("ids") == F.array(F.lit("A"), F.lit("B"))
     light = F.col("ids") == F.array(F.lit("H"), F.lit("L"))
     new = F.when(known, F.col("chain_id")).when(light, F.when(F.col("chain_id") == "H", "A").otherwise("B")).otherwise(F.when(longest == 1, "A").otherwise("B"))

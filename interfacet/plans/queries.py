@@ -91,9 +91,9 @@ def w4_best_types(spark, sf_dir):
     return best.groupBy("structure_id", "type").agg(F.count("*").alias("n_residues"))
 
 
-@query("SELECT structure_id, chain_id, count(DISTINCT (record, res_seq)) AS residues, min(serial) AS first_serial FROM atoms GROUP BY 1, 2", "atoms")
+@query("SELECT structure_id, chain_id, count(DISTINCT (record, res_seq, CASE WHEN serial % 3 = 0 THEN 'A' ELSE '' END)) AS residues, min(200000000 - serial) AS first FROM atoms GROUP BY 1, 2", "atoms")
 def a16_chain_summary(spark, sf_dir):
-    return structure.chain_summary(view(spark, sf_dir, "atoms"))
+    return structure.chain_summary(view(spark, sf_dir, "atoms").withColumns({"icode": F.when(F.col("serial") % 3 == 0, "A"), "line": 200000000 - F.col("serial")}))
 
 
 @query("WITH s AS (SELECT structure_id, chain_id, min(serial) AS f FROM atoms GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY f) AS k FROM s) SELECT x.structure_id, x.chain_id AS chain_a, y.chain_id AS chain_b, 'Auto_Generated' AS category FROM r x JOIN r y ON x.structure_id=y.structure_id AND x.k=1 AND y.k=2", "atoms")
@@ -266,11 +266,11 @@ def a9_a10_distortion(spark, sf_dir):
     return d.select("mesh_id", F.round("area_std", 4).alias("area_std"), F.round("angle_mae", 2).alias("angle_mae"))
 
 
-@query("SELECT structure_id, serial % 100000 AS serial, 1 AS model, record, chain_id, res_seq, res_name, atom_name, element, x, y, z FROM atoms", "atoms")
+@query("SELECT structure_id, serial % 100000 AS serial, 1 AS model, record, chain_id, res_seq, CASE WHEN serial % 3 = 0 THEN 'A' ELSE '' END AS icode, res_name, atom_name, element, x, y, z FROM atoms", "atoms")
 def s1_s8_pdb_files(spark, sf_dir):
     root = shared_dir(spark)
-    structures.write_pdb_text(view(spark, sf_dir, "atoms"), root)
-    return structures.read_atoms(spark, root).select("structure_id", "serial", "model", "record", "chain_id", "res_seq", "res_name", "atom_name", "element", "x", "y", "z")
+    structures.write_pdb_text(view(spark, sf_dir, "atoms").withColumn("icode", F.when(F.col("serial") % 3 == 0, "A")), root)
+    return structures.read_atoms(spark, root).select("structure_id", "serial", "model", "record", "chain_id", "res_seq", "icode", "res_name", "atom_name", "element", "x", "y", "z")
 
 
 @query("SELECT structure_id, serial, model, record, chain_id, res_seq, res_name, atom_name, element, x, y, z FROM atoms", "atoms")
@@ -292,7 +292,7 @@ def s3_contact_json(spark, sf_dir):
     item = F.format_string('{"bgn":{"auth_asym_id":"%s","auth_seq_id":"%s"},"end":{"auth_asym_id":"%s","auth_seq_id":"%s"},"type":%s}', "bgn_chain", "bgn_seq", "end_chain", "end_seq", kind)
     listed = rows.groupBy("structure_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("list"))
     odd = F.substring("structure_id", 2, 9).cast("int") % 2 == 1
-    return structures.parse_contacts(listed.select("structure_id", F.when(odd, F.concat(F.lit('{"interactions":'), F.col("list"), F.lit("}"))).otherwise(F.col("list")).alias("value")))
+    return structures.parse_contacts(listed.select("structure_id", F.when(odd, F.concat(F.lit('{"interactions":'), F.col("list"), F.lit("}"))).otherwise(F.col("list")).alias("value"))).drop("contact")
 
 
 @query("SELECT structure_id, model, chain_id, record, res_seq, atom_name, CASE WHEN serial % 82 = 0 THEN serial + 100000000 ELSE serial END AS serial, round(CASE WHEN serial % 82 = 0 THEN x + 0.3 ELSE x END, 3) AS x FROM atoms", "atoms")
@@ -309,9 +309,11 @@ def f5_catalogue(spark, sf_dir):
     return structure.catalogue(orders.select(F.col("o_orderkey").alias("entry_id"), human.alias("lineage"), (F.col("o_orderkey") % 4).cast("int").alias("protein_entities")))
 
 
-@query("SELECT structure_id, string_agg(DISTINCT least(bgn_chain, end_chain) || '-' || greatest(bgn_chain, end_chain), ',' ORDER BY least(bgn_chain, end_chain) || '-' || greatest(bgn_chain, end_chain)) AS chain_pairs, string_agg(DISTINCT raw_type, ',' ORDER BY raw_type) AS raw_types, CAST(sum(CASE WHEN raw_type <> 'unmapped' AND bgn_chain <> end_chain THEN 1 ELSE 0 END) AS BIGINT) AS mapped FROM contacts GROUP BY 1", "contacts")
+@query("WITH c AS (SELECT structure_id, bgn_seq AS contact, bgn_chain, end_chain, raw_type, CASE WHEN raw_type = 'polar' THEN 'x' || bgn_seq ELSE bgn_seq END AS bgn_seq, end_seq FROM contacts), t AS (SELECT *, least(bgn_chain, end_chain) || '-' || greatest(bgn_chain, end_chain) AS pair, bgn_chain <> end_chain AND regexp_matches(CASE WHEN bgn_chain = 'A' THEN bgn_seq ELSE end_seq END, '^-?[0-9]') AS used FROM c) SELECT structure_id, string_agg(DISTINCT pair, ',' ORDER BY pair) AS chain_pairs, coalesce(string_agg(DISTINCT raw_type, ',' ORDER BY raw_type) FILTER (WHERE used), '') AS raw_types, count(DISTINCT contact) FILTER (WHERE used AND raw_type <> 'unmapped') AS mapped FROM t GROUP BY 1", "contacts")
 def a18_diagnostics(spark, sf_dir):
-    d = contacts.diagnostics(view(spark, sf_dir, "contacts"))
+    rows = view(spark, sf_dir, "contacts").withColumn("contact", F.col("bgn_seq"))  # rows of one number are one contact of several types
+    rows = rows.withColumn("bgn_seq", F.when(F.col("raw_type") == "polar", F.concat(F.lit("x"), "bgn_seq")).otherwise(F.col("bgn_seq")))
+    d = contacts.diagnostics(rows)
     return d.withColumns({"chain_pairs": F.array_join("chain_pairs", ","), "raw_types": F.array_join("raw_types", ",")})
 
 
@@ -381,10 +383,13 @@ def f12_largest_component(spark, sf_dir):
     return flatten.largest_component(view(spark, sf_dir, "mesh_faces"))
 
 
-@query("WITH k AS (SELECT mesh_id, unnest([a, b, c]) AS vid FROM mesh_faces WHERE a < 2 + mesh_id % 2), n AS (SELECT mesh_id, count(DISTINCT vid) AS n_vertices FROM k GROUP BY 1) SELECT * FROM n WHERE n_vertices >= 3", "mesh_faces")
+@query(f"WITH RECURSIVE {ADJ}, k AS (SELECT c.mesh_id, component, unnest([a, b, c.c]) AS vid FROM (SELECT * FROM mesh_faces JOIN comp USING (mesh_id, fid)) c), m AS (SELECT mesh_id, component, count(DISTINCT vid) AS n FROM k GROUP BY 1, 2) SELECT mesh_id, max(n) AS n_vertices FROM m GROUP BY 1 UNION ALL SELECT DISTINCT mesh_id + 1000000, 3 FROM mesh_faces WHERE mesh_id % 2 = 0", "mesh_faces")
 def f11_f13_viable(spark, sf_dir):
+    """All meshes, and beside each one that has one face: of three corners, or of two (not viable)."""
     faces, at = meshes(spark, sf_dir)
-    _, points = flatten.cleaned(faces.where("a < 2 + mesh_id % 2"), at)
+    third = F.when(F.col("mesh_id") % 2 == 0, F.col("t.c")).otherwise(F.col("t.a"))
+    small = faces.groupBy("mesh_id").agg(F.min(F.struct("fid", "a", "b", "c")).alias("t")).select((F.col("mesh_id") + 1000000).alias("mesh_id"), "t.fid", "t.a", "t.b", third.alias("c"))
+    _, points = flatten.cleaned(faces.unionByName(small), at.unionByName(at.withColumn("mesh_id", F.col("mesh_id") + 1000000)))
     return points.groupBy("mesh_id").agg(F.count("*").alias("n_vertices"))
 
 
@@ -405,7 +410,7 @@ def p2_distortion_report(spark, sf_dir):
     a, b = sides(spark, sf_dir)
     faces, at = sweeps.surface(a)
     patches = materialize(sweeps.interface(faces, sweeps.distances(at, points(b), 5.0), 5.0))
-    return reports.distortion_report(patches, at)
+    return reports.distortion_report(patches, at, structure.first_two_chains(view(spark, sf_dir, "atoms")))
 
 
 @unchecked

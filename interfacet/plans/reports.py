@@ -8,26 +8,19 @@ from pyspark.sql import functions as F
 from ..operators import flatten, mapview
 from ..operators.project import METRICS, cylindrical, distortion, planar, principal_frame, spherical
 from ..sources.storage import materialize
+from .sweeps import patch_meshes
 
 METHODS = ("conformal", "planar", "spherical", "cylindrical")
 
 
-def patch_meshes(patches: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(faces, vertices) of patches(structure_id, patch_id, fid, a, b, c), mesh_id being structure_id and patch_id."""
-    faces = materialize(patches.select(F.struct("structure_id", "patch_id").alias("mesh_id"), "fid", "a", "b", "c"))
-    named = faces.select("mesh_id", F.explode(F.array("a", "b", "c")).alias("vid")).distinct()
-    at = vertices.select(F.col("mesh_id").alias("structure_id"), "vid", "x", "y", "z")
-    return faces, materialize(named.withColumn("structure_id", F.col("mesh_id.structure_id")).join(at, ["structure_id", "vid"]).select("mesh_id", "vid", "x", "y", "z"))
-
-
-def distortion_report(patches: DataFrame, vertices: DataFrame, skip_failed: bool = False) -> DataFrame:
-    """structure_id, patch_id, vertices, the metrics of four methods and status: a row for each patch, `weighted_avg` and `largest`.
+def distortion_report(patches: DataFrame, vertices: DataFrame, categories: DataFrame | None = None, skip_failed: bool = False) -> DataFrame:
+    """structure_id, category, patch_id, vertices, the metrics of four methods and status: a row for each patch, `weighted_avg` and `largest`.
 
     All methods see the cleaned patch, and its vertices are counted. The average weighs patches by their
     vertices. Metrics that aren't defined are 0.0 and count in the average, unless skip_failed leaves
-    patches without a conformal map out of it; status names what has none.
+    patches without a conformal map out of it; status names what has none. categories(structure_id, category) names the structures, others are Uncategorized.
     """
-    raw_faces, raw_points = patch_meshes(patches, vertices)
+    raw_faces, raw_points = patch_meshes(patches, vertices, "structure_id", "patch_id")
     faces, points = flatten.cleaned(raw_faces, raw_points)
     count = lambda df, name: df.groupBy("mesh_id").agg(F.count("*").alias(name))
     out = count(raw_points, "raw").join(count(points, "clean"), "mesh_id", "left").select("mesh_id", F.coalesce("clean", "raw").alias("vertices"))
@@ -45,12 +38,17 @@ def distortion_report(patches: DataFrame, vertices: DataFrame, skip_failed: bool
     top = rows.groupBy("structure_id").agg(F.max_by(F.struct("vertices", *values, "status"), F.struct("vertices", -F.col("patch"))).alias("t")).select("structure_id", F.lit("largest").alias("patch_id"), "t.*")
     each = rows.withColumn("patch_id", F.col("patch").cast("string")).drop("patch")
     every = each.unionByName(mean).unionByName(top)
-    return every.select("structure_id", "patch_id", "vertices", *[F.round(v, 4 if v.endswith("std") else 2).alias(v) for v in values], "status")
+    if categories is None:
+        every = every.withColumn("category", F.lit(None).cast("string"))
+    else:
+        every = every.join(categories.select("structure_id", "category").dropDuplicates(["structure_id"]), "structure_id", "left")
+    category = F.coalesce("category", F.lit("Uncategorized")).alias("category")
+    return every.select("structure_id", category, "patch_id", "vertices", *[F.round(v, 4 if v.endswith("std") else 2).alias(v) for v in values], "status")
 
 
 def maps_of(patches: DataFrame, vertices: DataFrame, a: DataFrame, b: DataFrame, annotated: DataFrame | None = None, **style) -> mapview.InterfaceMap:
     """The interface map of every structure whose patches can be flattened; the others have no rows."""
-    faces, points = flatten.cleaned(*patch_meshes(patches, vertices))
+    faces, points = flatten.cleaned(*patch_meshes(patches, vertices, "structure_id", "patch_id"))
     uv = materialize(flatten.flattened(faces, points))
     split = lambda df, *cols: df.select("mesh_id.structure_id", "mesh_id.patch_id", *cols)
     kept = points.join(uv.select("mesh_id").distinct(), "mesh_id", "left_semi")

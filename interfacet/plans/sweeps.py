@@ -23,7 +23,7 @@ def surface_of(cells: DataFrame, grid: DataFrame, a: DataFrame, res: float = 1.0
     level = materialize(isosurface.levels(edges, cells, a))
     points = materialize(isosurface.vertices(edges, level, res))
     faces = materialize(isosurface.faces(cells, grid, level))
-    return faces, mesh.smoothed(faces, points, rounds)
+    return mesh.validated(faces, mesh.smoothed(faces, points, rounds))
 
 
 def distances(points: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
@@ -33,11 +33,19 @@ def distances(points: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
 
 
 def interface(faces: DataFrame, near: DataFrame, cutoff: float, least_vertices: int = 50) -> DataFrame:
-    """Patches of the surface with a vertex closer than cutoff: structure_id, patch_id, fid, a, b, c."""
+    """Patches of the surface with a vertex closer than cutoff: structure_id, patch_id, fid, a, b, c; see `patch_meshes`."""
     part = materialize(mesh.touched_faces(faces, near.where(F.col("dist") < cutoff)))
     return mesh.patches(part, least_vertices).withColumnRenamed("mesh_id", "structure_id")
 
 
+def patch_meshes(patches: DataFrame, points: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(faces, vertices) of patches(keys, fid, a, b, c), sanitised; mesh_id is the struct of keys, the first of which is that of points."""
+    faces = materialize(patches.select(F.struct(*keys).alias("mesh_id"), "fid", "a", "b", "c"))
+    named = mesh.corners(faces).distinct().withColumn("base", F.col(f"mesh_id.{keys[0]}"))
+    at = points.select(F.col("mesh_id").alias("base"), "vid", "x", "y", "z")
+    return mesh.sanitised(faces, materialize(named.join(at, ["base", "vid"]).select("mesh_id", "vid", "x", "y", "z")))
+
+
 def sweep_cutoff(a: DataFrame, b: DataFrame, values=tuple(3 + i / 2 for i in range(11)), least_vertices: int = 10) -> DataFrame:
     """Interface area for each cutoff; distances are joined once, at the largest, and all cutoffs share one component search."""
     faces, points = surface(a)
@@ -47,9 +55,8 @@ def sweep_cutoff(a: DataFrame, b: DataFrame, values=tuple(3 + i / 2 for i in ran
     part = faces.join(hits, ["mesh_id", "fid"]).withColumn("value", steps).where("dist < value")
     part = materialize(part.select(F.struct(F.col("mesh_id").alias("structure_id"), "value").alias("mesh_id"), "fid", "a", "b", "c"))
     kept = mesh.patches(part, least_vertices)
-    back = kept.select(F.col("mesh_id.structure_id").alias("mesh_id"), F.col("mesh_id.value").alias("value"), "fid")
-    sizes = mesh.measured(faces, points).select("mesh_id", "fid", "area")
-    total = back.join(sizes, ["mesh_id", "fid"]).groupBy(F.col("mesh_id").alias("structure_id"), "value").agg(F.sum("area").alias("area"))
+    clean = patch_meshes(kept.select("mesh_id.structure_id", "mesh_id.value", "patch_id", "fid", "a", "b", "c"), points, "structure_id", "value", "patch_id")
+    total = mesh.measured(*clean).groupBy("mesh_id.structure_id", "mesh_id.value").agg(F.sum("area").alias("area"))
     every = faces.select(F.col("mesh_id").alias("structure_id")).distinct().withColumn("value", steps)
     return every.join(total, ["structure_id", "value"], "left").select("structure_id", F.lit("cutoff").alias("param"), "value", F.coalesce("area", F.lit(0.0)).alias("area"))
 
@@ -69,7 +76,12 @@ def sweep_sigma(a: DataFrame, b: DataFrame, values=(0.5, 1.0, 1.5, 2.0, 2.5, 3.0
     faces, points = surface_of(materialize(cells), grids, atoms)
     at = points.select(F.col("mesh_id.structure_id").alias("structure_id"), F.struct("mesh_id", "vid").alias("id"), "x", "y", "z")
     near = spatial.nearest(at, b, ["structure_id"], "id", cutoff, "b_serial").select("id.mesh_id", "id.vid", "dist")
-    patches = interface(faces, materialize(near), cutoff, least_vertices).withColumnRenamed("structure_id", "mesh_id")
-    total = mesh.measured(patches, points).groupBy("mesh_id.structure_id", "mesh_id.value").agg(F.sum("area").alias("area"))
+    patches = interface(faces, materialize(near), cutoff, least_vertices).withColumnRenamed("structure_id", "surface")
+    total = mesh.measured(*patch_meshes(patches, points, "surface", "patch_id")).groupBy("mesh_id.surface.structure_id", "mesh_id.surface.value").agg(F.sum("area").alias("area"))
     every = a.select("structure_id").distinct().withColumn("value", steps)
     return every.join(total, ["structure_id", "value"], "left").select("structure_id", F.lit("sigma").alias("param"), "value", F.coalesce("area", F.lit(0.0)).alias("area"))
+
+
+def sensitivity(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Both sweeps in one table: structure_id, param, value, area, in that order."""
+    return sweep_cutoff(a, b).unionByName(sweep_sigma(a, b)).orderBy("structure_id", "param", "value")

@@ -57,7 +57,8 @@ def read_atoms(spark: SparkSession, path: str) -> DataFrame:
 def pdb_lines(atoms: DataFrame) -> DataFrame:
     """structure_id, serial, value: an 80-column line for each atom; serials start anew after 99,999."""
     name = F.when(F.length("atom_name") < 4, F.concat(F.lit(" "), F.col("atom_name"))).otherwise(F.col("atom_name"))
-    line = F.format_string("%-6s%5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s  ", "record", F.col("serial") % 100000, name, "res_name", "chain_id", "res_seq", "x", "y", "z", F.lit(1.0), F.lit(0.0), "element")
+    icode = F.coalesce(F.rpad(F.col("icode"), 1, " "), F.lit(" ")) if "icode" in atoms.columns else F.lit(" ")
+    line = F.format_string("%-6s%5d %-4s %3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s  ", "record", F.col("serial") % 100000, name, "res_name", "chain_id", "res_seq", icode, "x", "y", "z", F.lit(1.0), F.lit(0.0), "element")
     return atoms.select("structure_id", "serial", line.alias("value"))
 
 
@@ -68,7 +69,7 @@ def write_pdb_text(atoms: DataFrame, root: str) -> None:
 
 
 def parse_contacts(whole: DataFrame) -> DataFrame:
-    """structure_id, bgn_chain, bgn_seq, end_chain, end_seq, raw_type: a row for each contact and type.
+    """structure_id, contact (its number in the text), bgn_chain, bgn_seq, end_chain, end_seq, raw_type: a row for each contact and type.
 
     The text is an array of contacts or an object with one under `interactions`; type is a string or an
     array of strings; a missing end is null; what isn't JSON gives no rows.
@@ -77,10 +78,10 @@ def parse_contacts(whole: DataFrame) -> DataFrame:
     item = f"struct<bgn:{end},end:{end},type:string>"
     listed = F.ltrim("value").startswith("[")
     items = F.when(listed, F.from_json("value", f"array<{item}>")).otherwise(F.from_json("value", f"struct<interactions:array<{item}>>")["interactions"])
-    one = whole.select("structure_id", F.explode(items).alias("c"))
+    one = whole.select("structure_id", F.posexplode(items).alias("contact", "c"))
     types = F.when(F.ltrim("c.type").startswith("["), F.from_json("c.type", "array<string>")).otherwise(F.array("c.type"))
     cols = [F.col(f"c.{e}.auth_{k}_id").alias(f"{e}_{n}") for e in ("bgn", "end") for k, n in (("asym", "chain"), ("seq", "seq"))]
-    return one.select("structure_id", *cols, F.explode(types).alias("raw_type"))
+    return one.select("structure_id", "contact", *cols, F.explode(types).alias("raw_type"))
 
 
 def read_contacts(spark: SparkSession, path: str) -> DataFrame:
