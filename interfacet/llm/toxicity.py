@@ -45,7 +45,7 @@ def is_training(doc_id):
 @cache
 def separators() -> np.ndarray:
     """Class of every code point: a letter or digit of no term, or what stands between words."""
-    return np.fromiter((OTHER if chr(c).isalnum() else SEP for c in range(0x110000)), np.int32, 0x110000)
+    return np.fromiter((OTHER if chr(c).isalnum() else SEP for c in range(0x110000)), np.int16, 0x110000)
 
 
 class Automaton:
@@ -203,13 +203,13 @@ def count_edits(sample: DataFrame, terms: list[str]) -> dict[str, int]:
     def by_term(batches):
         import pyarrow as pa
 
-        each = [(t, a, a.classes()) for t in terms for a in [Automaton([t], first=True)]]
-        n: Counter = Counter()
+        found: dict[str, int] = {}
         for batch in batches:
-            found = dict(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            text = " ".join(found)
-            for t, auto, classes in each:
-                n[t] += sum(found[w] for w in edited(auto, classes, text))
+            found.update(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        text, n = " ".join(found), {}
+        for t in terms if found else []:  # one at a time: a table of classes takes 2 MB
+            auto = Automaton([t], first=True)
+            n[t] = sum(found[w] for w in edited(auto, auto.classes(), text))
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
     counted = sample.select("text").mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
