@@ -1,4 +1,8 @@
-"""Mesh operators: edges, areas, centroids."""
+"""Mesh operators: edges, areas, centroids.
+
+Components and smoothing are iterative: meshes of up to LARGE rows go through all rounds in one task each,
+partitioned once by mesh; larger ones go round by round as joins over all executors, with equal results.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,16 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import materialize
 
+LARGE = 200_000  # rows of one mesh that a single task may hold (some 50 MB)
+
+
+def numbered(*tables: DataFrame) -> DataFrame:
+    """mesh_id, size (rows of all tables), no (a number, as a cheap key for grouping); written."""
+    rows = tables[0].select("mesh_id")
+    for t in tables[1:]:
+        rows = rows.unionAll(t.select("mesh_id"))
+    return materialize(rows.groupBy("mesh_id").agg(F.count("*").alias("size")).withColumn("no", F.monotonically_increasing_id()))
+
 
 def adjacency(faces: DataFrame) -> DataFrame:
     """mesh_id, u, v (edge), f1, f2: pairs of faces at edges that have exactly two."""
@@ -89,11 +103,32 @@ def touched_faces(faces: DataFrame, chosen: DataFrame) -> DataFrame:
     return faces.join(hit, ["mesh_id", "fid"], "left_semi")
 
 
-def components(faces: DataFrame) -> DataFrame:
-    """mesh_id, fid, component (lowest fid reached over shared edges), by alternating large and small stars.
-
-    Each round is written to the shared folder; the loop ends when a round changes nothing.
-    """
+def task_components(faces):
+    """component of each face of one mesh: the lowest label hooked over edges of two faces until nothing changes."""
+    import numpy as np
+
+    faces = faces.sort_values("fid")
+    corner = faces[["a", "b", "c"]].to_numpy()
+    ends = np.sort(np.concatenate([corner[:, [0, 1]], corner[:, [1, 2]], corner[:, [2, 0]]]), axis=1)
+    order = np.lexsort((ends[:, 1], ends[:, 0]))
+    new = np.r_[True, (np.diff(ends[order], axis=0) != 0).any(axis=1)]
+    start = np.flatnonzero(new)
+    start = start[np.diff(np.r_[start, len(order)]) == 2]
+    p, q = order[start] % len(corner), order[start + 1] % len(corner)
+    label = np.arange(len(corner))
+    while True:
+        now, low = label.copy(), np.minimum(label[p], label[q])
+        np.minimum.at(now, label[p], low)
+        np.minimum.at(now, label[q], low)
+        while (now[now] != now).any():
+            now = now[now]
+        if (now == label).all():
+            return faces.assign(component=faces["fid"].to_numpy()[label])[["no", "fid", "component"]]
+        label = now
+
+
+def star_components(faces: DataFrame) -> DataFrame:
+    """mesh_id, fid, component by alternating large and small stars; each round is written, and one that changes nothing ends the loop."""
     star = ["mesh_id", "hub"]
     links = materialize(adjacency(faces).select("mesh_id", F.col("f1").alias("lo"), F.col("f2").alias("hi")).distinct())
     state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("mesh_id", "lo", "hi").cast("decimal(20,0)"))).first()
@@ -115,6 +150,16 @@ def components(faces: DataFrame) -> DataFrame:
     return faces.select("mesh_id", "fid").join(root, ["mesh_id", "fid"], "left").withColumn("component", F.coalesce("component", "fid"))
 
 
+def components(faces: DataFrame, large: int = LARGE) -> DataFrame:
+    """mesh_id, fid, component (lowest fid reached over edges of exactly two faces). Faces should be a written table, as it is read more than once."""
+    names = numbered(faces)
+    small = faces.join(names.where(F.col("size") <= large), "mesh_id").select("no", "fid", "a", "b", "c")
+    found = small.groupBy("no").applyInPandas(task_components, "no long, fid long, component long")
+    out = found.join(names, "no").select("mesh_id", "fid", "component")
+    big = names.where(F.col("size") > large)
+    return out.unionByName(star_components(faces.join(big, "mesh_id", "left_semi"))) if big.limit(1).count() else out
+
+
 def patches(faces: DataFrame, least_vertices: int = 50) -> DataFrame:
     """Faces with patch_id and original_index: components of enough vertices, numbered by their lowest vid; the index counts dropped ones."""
     part = faces.join(components(faces), ["mesh_id", "fid"])
@@ -142,13 +187,56 @@ def relaxed(faces: DataFrame, vertices: DataFrame, weight: float = 0.5) -> DataF
     return vertices.join(mean, ["mesh_id", "vid"], "left").select("mesh_id", "vid", *[F.coalesce(F.col(k) + weight * (F.col(f"n{k}") - F.col(k)), F.col(k)).alias(k) for k in "xyz"])
 
 
-def smoothed(faces: DataFrame, vertices: DataFrame, rounds: int = 3) -> DataFrame:
-    """rounds of `relaxed`, each scaled about the origin to the volume before; a mesh with a value that isn't finite keeps its vertices."""
+def task_smoothed(faces, vertices, rounds: int):
+    """The vertices of one mesh after rounds of `relaxed` and scaling; as they were if that gives a value that isn't finite."""
+    import numpy as np
+
+    vertices = vertices.sort_values("vid")
+    names, at = vertices["vid"].to_numpy(), vertices[["x", "y", "z"]].to_numpy()
+    n, corner = len(names), faces[["a", "b", "c"]].to_numpy()
+    if not n or not len(corner):
+        return vertices
+    t = np.minimum(np.searchsorted(names, corner), n - 1)
+    known = names[t] == corner
+    pairs = [(p, q) for p in range(3) for q in range(3) if p != q]
+    links = np.unique(np.concatenate([(t[:, p] * n + t[:, q])[known[:, p] & known[:, q]] for p, q in pairs]))
+    i, j = links // n, links % n
+    degree = np.bincount(i, minlength=n)[:, None]
+    whole = t[known.all(axis=1)]
+    size = lambda x: np.einsum("ij,ij->", x[whole[:, 0]], np.cross(x[whole[:, 1]], x[whole[:, 2]]))
+    with np.errstate(all="ignore"):
+        before = size(at)
+        for _ in range(rounds):
+            mean = np.stack([np.bincount(i, at[j, k], n) for k in range(3)], axis=1) / degree
+            at = np.where(degree > 0, at + 0.5 * (mean - at), at)
+            at = at * np.power(before / size(at), 1 / 3)
+    return vertices.assign(x=at[:, 0], y=at[:, 1], z=at[:, 2]) if np.isfinite(at).all() else vertices
+
+
+def joined_smoothed(faces: DataFrame, vertices: DataFrame, rounds: int) -> DataFrame:
+    """`smoothed` by joins; each round is written."""
     out, was = vertices, volume(faces, vertices).withColumnRenamed("volume", "v0")
     for _ in range(rounds):
         moved = relaxed(faces, out)
-        ratio = was.join(volume(faces, moved), "mesh_id").select("mesh_id", F.pow(F.col("v0") / F.col("volume"), F.lit(1.0 / 3)).alias("s"))
+        ratio = was.join(volume(faces, moved), "mesh_id").select("mesh_id", F.pow(F.try_divide("v0", "volume"), F.lit(1.0 / 3)).alias("s"))
         out = materialize(moved.join(ratio, "mesh_id").select("mesh_id", "vid", *[(F.col(k) * F.col("s")).alias(k) for k in "xyz"]))
     bad = out.where("isnan(x) or isnan(y) or isnan(z) or x is null or abs(x) = double('infinity')").select("mesh_id").distinct()
     good = out.join(bad, "mesh_id", "left_anti")
     return good.unionByName(vertices.select("mesh_id", "vid", "x", "y", "z").join(good.select("mesh_id").distinct(), "mesh_id", "left_anti"))
+
+
+def smoothed(faces: DataFrame, vertices: DataFrame, rounds: int = 3, large: int = LARGE) -> DataFrame:
+    """rounds of `relaxed`, each scaled about the origin to the volume before; a mesh with a value that isn't finite keeps its vertices.
+
+    Both tables should be written ones, as they are read more than once.
+    """
+    vertices = vertices.select("mesh_id", "vid", "x", "y", "z")
+    names = numbered(faces, vertices)
+    some = names.where(F.col("size") <= large)
+    parts = [df.join(some, "mesh_id").select(F.col("no").alias(key), *cols).groupBy(key) for key, df, cols in (("face_no", faces, ("a", "b", "c")), ("no", vertices, ("vid", "x", "y", "z")))]
+    moved = parts[0].cogroup(parts[1]).applyInPandas(lambda f, v: task_smoothed(f, v, rounds), "no long, vid long, x double, y double, z double")
+    out = materialize(moved.join(names, "no").select("mesh_id", "vid", "x", "y", "z"))
+    big = names.where(F.col("size") > large)
+    if not big.limit(1).count():
+        return out
+    return out.unionByName(joined_smoothed(*(df.join(big, "mesh_id", "left_semi") for df in (faces, vertices)), rounds))

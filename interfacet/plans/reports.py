@@ -20,7 +20,7 @@ def distortion_report(patches: DataFrame, vertices: DataFrame, categories: DataF
     vertices. Metrics that aren't defined are 0.0 and count in the average, unless skip_failed leaves
     patches without a conformal map out of it; status names what has none. categories(structure_id, category) names the structures, others are Uncategorized.
     """
-    raw_faces, raw_points = patch_meshes(patches, vertices, "structure_id", "patch_id")
+    raw_faces, raw_points, names = patch_meshes(patches, vertices, "structure_id", "patch_id")
     faces, points = flatten.cleaned(raw_faces, raw_points)
     count = lambda df, name: df.groupBy("mesh_id").agg(F.count("*").alias(name))
     out = count(raw_points, "raw").join(count(points, "clean"), "mesh_id", "left").select("mesh_id", F.coalesce("clean", "raw").alias("vertices"))
@@ -32,7 +32,7 @@ def distortion_report(patches: DataFrame, vertices: DataFrame, categories: DataF
         out = out.join(d.select("mesh_id", *[F.col(m).alias(f"{name}_{m}") for m in METRICS], *status), "mesh_id", "left")
     values = [f"{n}_{m}" for n in METHODS for m in METRICS]
     status = F.coalesce("conformal_status", F.lit("undefined")).alias("status")
-    rows = materialize(out.select("mesh_id.structure_id", F.col("mesh_id.patch_id").alias("patch"), "vertices", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values], status))
+    rows = materialize(out.join(names, "mesh_id").select("structure_id", F.col("patch_id").alias("patch"), "vertices", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values], status))
     counted = rows.where("status = 'ok'") if skip_failed else rows
     mean = counted.groupBy("structure_id").agg(F.lit("weighted_avg").alias("patch_id"), F.sum("vertices").alias("vertices"), *[(F.sum(F.col(v) * F.col("vertices")) / F.sum("vertices")).alias(v) for v in values], F.max("status").alias("status"))
     top = rows.groupBy("structure_id").agg(F.max_by(F.struct("vertices", *values, "status"), F.struct("vertices", -F.col("patch"))).alias("t")).select("structure_id", F.lit("largest").alias("patch_id"), "t.*")
@@ -48,8 +48,9 @@ def distortion_report(patches: DataFrame, vertices: DataFrame, categories: DataF
 
 def maps_of(patches: DataFrame, vertices: DataFrame, a: DataFrame, b: DataFrame, annotated: DataFrame | None = None, **style) -> mapview.InterfaceMap:
     """The interface map of every structure whose patches can be flattened; the others have no rows."""
-    faces, points = flatten.cleaned(*patch_meshes(patches, vertices, "structure_id", "patch_id"))
+    *clean, names = patch_meshes(patches, vertices, "structure_id", "patch_id")
+    faces, points = flatten.cleaned(*clean)
     uv = materialize(flatten.flattened(faces, points))
-    split = lambda df, *cols: df.select("mesh_id.structure_id", "mesh_id.patch_id", *cols)
+    split = lambda df, *cols: df.join(names, "mesh_id").select("structure_id", "patch_id", *cols)
     kept = points.join(uv.select("mesh_id").distinct(), "mesh_id", "left_semi")
     return mapview.interface_map(split(faces, "a", "b", "c"), split(kept, "vid", "x", "y", "z"), split(uv, "vid", "u", "v"), a, b, annotated, **style)

@@ -38,12 +38,19 @@ def interface(faces: DataFrame, near: DataFrame, cutoff: float, least_vertices:
     return mesh.patches(part, least_vertices).withColumnRenamed("mesh_id", "structure_id")
 
 
-def patch_meshes(patches: DataFrame, points: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
-    """(faces, vertices) of patches(keys, fid, a, b, c), sanitised; mesh_id is the struct of keys, the first of which is that of points."""
-    faces = materialize(patches.select(F.struct(*keys).alias("mesh_id"), "fid", "a", "b", "c"))
-    named = mesh.corners(faces).distinct().withColumn("base", F.col(f"mesh_id.{keys[0]}"))
+def numbers(keys: DataFrame, name: str) -> DataFrame:
+    """The rows of keys once, each with a number, which is cheaper to join and to group by than several columns; written."""
+    return materialize(keys.distinct().withColumn(name, F.monotonically_increasing_id()))
+
+
+def patch_meshes(patches: DataFrame, points: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(faces, vertices, names) of patches(keys, fid, a, b, c), sanitised; names has the keys of each mesh_id. The first key is the mesh_id of points."""
+    patches = materialize(patches.select(*keys, "fid", "a", "b", "c"))
+    names = numbers(patches.select(*keys), "mesh_id")
+    faces = materialize(patches.join(names, list(keys)).select("mesh_id", "fid", "a", "b", "c"))
+    named = mesh.corners(faces).distinct().join(names.select("mesh_id", F.col(keys[0]).alias("base")), "mesh_id")
     at = points.select(F.col("mesh_id").alias("base"), "vid", "x", "y", "z")
-    return mesh.sanitised(faces, materialize(named.join(at, ["base", "vid"]).select("mesh_id", "vid", "x", "y", "z")))
+    return *mesh.sanitised(faces, materialize(named.join(at, ["base", "vid"]).select("mesh_id", "vid", "x", "y", "z"))), names
 
 
 def sweep_cutoff(a: DataFrame, b: DataFrame, values=tuple(3 + i / 2 for i in range(11)), least_vertices: int = 10) -> DataFrame:
@@ -52,12 +59,13 @@ def sweep_cutoff(a: DataFrame, b: DataFrame, values=tuple(3 + i / 2 for i in ran
     near = materialize(distances(points, b, max(values)))
     steps = F.explode(F.array(*map(F.lit, values)))
     hits = mesh.corners(faces, "fid").join(near, ["mesh_id", "vid"]).groupBy("mesh_id", "fid").agg(F.min("dist").alias("dist"))
-    part = faces.join(hits, ["mesh_id", "fid"]).withColumn("value", steps).where("dist < value")
-    part = materialize(part.select(F.struct(F.col("mesh_id").alias("structure_id"), "value").alias("mesh_id"), "fid", "a", "b", "c"))
-    kept = mesh.patches(part, least_vertices)
-    clean = patch_meshes(kept.select("mesh_id.structure_id", "mesh_id.value", "patch_id", "fid", "a", "b", "c"), points, "structure_id", "value", "patch_id")
-    total = mesh.measured(*clean).groupBy("mesh_id.structure_id", "mesh_id.value").agg(F.sum("area").alias("area"))
     every = faces.select(F.col("mesh_id").alias("structure_id")).distinct().withColumn("value", steps)
+    surfaces = numbers(every, "surface")
+    part = faces.join(hits, ["mesh_id", "fid"]).withColumnRenamed("mesh_id", "structure_id").join(surfaces, "structure_id").where("dist < value")
+    kept = mesh.patches(materialize(part.select(F.col("surface").alias("mesh_id"), "fid", "a", "b", "c")), least_vertices)
+    kept = kept.withColumnRenamed("mesh_id", "surface").join(surfaces, "surface")
+    *clean, names = patch_meshes(kept, points, "structure_id", "value", "patch_id")
+    total = mesh.measured(*clean).join(names, "mesh_id").groupBy("structure_id", "value").agg(F.sum("area").alias("area"))
     return every.join(total, ["structure_id", "value"], "left").select("structure_id", F.lit("cutoff").alias("param"), "value", F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
@@ -66,18 +74,19 @@ def sweep_sigma(a: DataFrame, b: DataFrame, values=(0.5, 1.0, 1.5, 2.0, 2.5, 3.0
 
     Voxels are counted once; the surfaces of all widths go through one plan keyed by structure and width.
     """
-    both = lambda value: F.struct("structure_id", value.cast("double").alias("value")).alias("structure_id")
-    keyed = lambda df, value: df.select(both(value), *[c for c in df.columns if c not in ("structure_id", "value")])
+    steps = F.explode(F.array(*map(F.lit, values)))
     grid = materialize(density.grids(a))
     voxels = materialize(density.voxels(a, grid))
-    cells = reduce(DataFrame.unionByName, [keyed(density.smooth(voxels, grid, sigma), F.lit(sigma)) for sigma in values])
-    steps = F.explode(F.array(*map(F.lit, values)))
-    grids, atoms = (keyed(df.withColumn("value", steps), F.col("value")) for df in (grid, a))
-    faces, points = surface_of(materialize(cells), grids, atoms)
-    at = points.select(F.col("mesh_id.structure_id").alias("structure_id"), F.struct("mesh_id", "vid").alias("id"), "x", "y", "z")
+    surfaces = numbers(grid.select("structure_id", steps.alias("value")), "surface")
+    keyed = lambda df: df.join(surfaces, ["structure_id", "value"]).drop("structure_id", "value").withColumnRenamed("surface", "structure_id")
+    cells = reduce(DataFrame.unionByName, [density.smooth(voxels, grid, sigma).withColumn("value", F.lit(float(sigma))) for sigma in values])
+    grids, atoms = (keyed(df.withColumn("value", steps)) for df in (grid, a))
+    faces, points = surface_of(materialize(keyed(cells)), grids, atoms)
+    at = points.join(surfaces, points["mesh_id"] == surfaces["surface"]).select("structure_id", F.struct("mesh_id", "vid").alias("id"), "x", "y", "z")
     near = spatial.nearest(at, b, ["structure_id"], "id", cutoff, "b_serial").select("id.mesh_id", "id.vid", "dist")
     patches = interface(faces, materialize(near), cutoff, least_vertices).withColumnRenamed("structure_id", "surface")
-    total = mesh.measured(*patch_meshes(patches, points, "surface", "patch_id")).groupBy("mesh_id.surface.structure_id", "mesh_id.surface.value").agg(F.sum("area").alias("area"))
+    *clean, names = patch_meshes(patches, points, "surface", "patch_id")
+    total = mesh.measured(*clean).join(names, "mesh_id").join(surfaces, "surface").groupBy("structure_id", "value").agg(F.sum("area").alias("area"))
     every = a.select("structure_id").distinct().withColumn("value", steps)
     return every.join(total, ["structure_id", "value"], "left").select("structure_id", F.lit("sigma").alias("param"), "value", F.coalesce("area", F.lit(0.0)).alias("area"))
 

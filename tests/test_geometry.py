@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from interfacet.operators import isosurface, mesh, project
 from interfacet.plans import queries as plans
+from interfacet.plans import sweeps
 from interfacet.sources import structures
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +45,20 @@ def test_smoothing_keeps_the_volume(sphere):
     assert abs(was - now) < 1e-6 * abs(was)
 
 
+def test_tasks_equal_joins(spark):
+    """Components and smoothing of small meshes in tasks, and of the same by joins."""
+    faces, points = (plans.view(spark, SF, v).where("mesh_id < 3") for v in ("mesh_faces", "mesh_vertices"))
+    odd = spark.createDataFrame([(9, 5, 0, 1, 2), (9, 3, 1, 0, 3), (9, 4, 0, 1, 4), (9, 8, 5, 6, 7), (9, 7, 6, 5, 7)], faces.schema)  # one edge of three faces, a face twice
+    faces = faces.unionByName(odd).cache()
+    points = points.where("vid <> 44").unionByName(spark.createDataFrame([(9, v, float(v), 0.0, 1.0) for v in range(9)], points.schema)).cache()
+    one, two = (sorted(mesh.components(faces, large).collect()) for large in (1000, 1))
+    assert one == two and {(r["fid"], r["component"]) for r in one if r["mesh_id"] == 9} == {(3, 3), (4, 4), (5, 5), (7, 7), (8, 7)}
+    one, two = ({(r["mesh_id"], r["vid"]): (r["x"], r["y"], r["z"]) for r in mesh.smoothed(faces, points, 2, large).collect()} for large in (1000, 1))
+    assert one.keys() == two.keys() and len(one) == points.count()
+    assert all(abs(x - y) < 1e-9 for v in one for x, y in zip(one[v], two[v], strict=True))
+    assert one[9, 1] == (1.0, 0.0, 1.0)  # no volume: the mesh stays as it was
+
+
 def test_frame_orders_variances_and_keeps_distances(spark, sphere):
     faces, _ = plans.meshes(spark, SF)
     faces, points = faces.where("mesh_id < 3"), plans.view(spark, SF, "mesh_vertices").where("mesh_id < 3")
@@ -64,13 +79,18 @@ def test_flat_patch_has_no_distortion(spark):
     assert [tuple(r) for r in none] == [(0.0, 0.0, "undefined")]
 
 
-def test_reports(spark):
-    rows = plans.QUERIES["p3_sweep_cutoff"](spark, SF).collect()
-    assert len(rows) == 22
+def test_reports(spark, tmp_path):
+    a, b = plans.sides(spark, SF)
+    rows = sweeps.sensitivity(a, plans.points(b)).collect()
+    assert rows == sorted(rows, key=lambda r: r[:3]) and len(rows) == 2 * (11 + 6)
     for s in {r["structure_id"] for r in rows}:
-        areas = [r["area"] for r in sorted(rows, key=lambda r: r["value"]) if r["structure_id"] == s]
+        cutoff, sigma = ({r["value"]: r["area"] for r in rows if r["structure_id"] == s and r["param"] == p} for p in ("cutoff", "sigma"))
+        areas = [cutoff[v] for v in sorted(cutoff)]
         assert areas[-1] > 0 and areas == sorted(areas)
-    report = plans.QUERIES["p2_distortion_report"](spark, SF).collect()
+        assert abs(cutoff[5.0] - sigma[1.5]) < 1e-6 and all(v > 0 for v in sigma.values())
+    structures.write_distortion(plans.QUERIES["p2_distortion_report"](spark, SF), str(tmp_path / "report"))
+    report = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "report")).collect()
+    assert {r["category"] for r in report} == {"Auto_Generated"}
     assert {"weighted_avg", "largest", "1"} <= {r["patch_id"] for r in report}
     assert all(0 <= r["planar_angle_mae"] <= 180 for r in report)
 
