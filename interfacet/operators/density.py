@@ -29,10 +29,16 @@ def kernel(sigma: float) -> list[tuple[int, float]]:
 
 
 def smooth(cells: DataFrame, grid: DataFrame, sigma: float = 1.5) -> DataFrame:
-    """Three one-axis passes; what passes a border is reflected."""
+    """Three one-axis passes; what passes a border is reflected.
+
+    Cells are dealt by planes of equal z, which hold all that the first two passes add up, then by planes
+    of equal x for the third: two shuffles of cells, none of the many terms of the sums.
+    """
     taps = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in kernel(sigma)]))
-    out = cells
+    out = cells.repartition("structure_id", "iz")
     for k in AXES:
+        if k == "z":
+            out = out.repartition("structure_id", "ix")
         i, n = F.col(f"i{k}") + F.col("t.o"), F.col(f"n{k}")
         to = F.when(i < 0, -i - 1).when(i >= n, 2 * n - 1 - i).otherwise(i)
         moved = out.withColumn("t", taps).join(grid.select("structure_id", f"n{k}"), "structure_id").withColumn(f"i{k}", to)

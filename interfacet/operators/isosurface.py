@@ -2,41 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
 CELL = ["structure_id", "ix", "iy", "iz"]
 
 
-def crossing_edges(cells: DataFrame, grid: DataFrame) -> DataFrame:
-    """structure_id, ix, iy, iz, axis, d0, d1: every grid edge with a non-empty end."""
-    ends = []
-    for j, k in enumerate(AXES):
-        low = cells.withColumn("axis", F.lit(j)).withColumn("d0", F.col("d")).withColumn("d1", F.lit(0.0))
-        high = cells.withColumn(f"i{k}", F.col(f"i{k}") - 1).withColumn("axis", F.lit(j)).withColumn("d0", F.lit(0.0)).withColumn("d1", F.col("d"))
-        ends += [low, high]
-    both = ends[0]
-    for e in ends[1:]:
-        both = both.unionByName(e)
-    edges = both.groupBy(*CELL, "axis").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
-    upper = F.element_at(F.array("ix", "iy", "iz"), F.col("axis") + 1) + 1
-    inside = (F.least("ix", "iy", "iz") >= 0) & (upper < F.element_at(F.array("nx", "ny", "nz"), F.col("axis") + 1))
-    return edges.join(grid, "structure_id").where(inside)
+def starts(cells: DataFrame, level: float = 0.1) -> DataFrame:
+    """structure_id, start: the level, or half the largest density where that is not above it."""
+    top = cells.groupBy("structure_id").agg(F.max("d").alias("top")).where("top > 0")
+    return top.select("structure_id", F.when(F.lit(level) >= F.col("top"), F.col("top") * 0.5).otherwise(F.lit(level)).alias("start"))
 
 
 def crosses(level: Column) -> Column:
     return (F.col("d0") > level) != (F.col("d1") > level)
 
 
-def levels(edges: DataFrame, cells: DataFrame, atoms: DataFrame, level: float = 0.1) -> DataFrame:
-    """structure_id, level: the first of L, L/2, L/4, L/8 with enough vertices (the least of 500 and half the atoms), else the last.
+def crossing_edges(cells: DataFrame, grid: DataFrame, start: DataFrame) -> DataFrame:
+    """structure_id, ix, iy, iz, axis, d0, d1, start and the grid: every grid edge that crosses start or its half, quarter or eighth.
 
-    L is `level`, or half the largest density where that is not above it. All four are counted at once.
+    A cell meets its neighbours in windows along the axes, so edges that cross nothing are never made; planes
+    of equal z hold the neighbours along x and y, planes of equal x those along z.
     """
-    top = cells.groupBy("structure_id").agg(F.max("d").alias("top")).where("top > 0")
-    start = F.when(F.lit(level) >= F.col("top"), F.col("top") * 0.5).otherwise(F.lit(level))
-    counts = edges.join(top.withColumn("start", start), "structure_id").groupBy("structure_id", "start").agg(*[F.sum(crosses(F.col("start") / 2**i).cast("long")).alias(f"n{i}") for i in range(4)])
+    above = sum(((F.col("d") > F.col("start") / 2**i).cast("int") for i in range(4)), F.lit(0))
+    at = cells.select(*CELL, "d").join(start, "structure_id").withColumn("above", above).repartition("structure_id", "iz")
+    items = []
+    for j, k in enumerate(AXES):
+        if k == "z":
+            at = at.repartition("structure_id", "ix")
+        line = Window.partitionBy("structure_id", *[f"i{o}" for o in AXES if o != k]).orderBy(f"i{k}")
+        at = at.withColumns({f"next{k}": F.lead(F.struct(f"i{k}", "d", "above")).over(line), f"last{k}": F.lag(f"i{k}").over(line)})
+        follows = F.coalesce(F.col(f"next{k}")[f"i{k}"] == F.col(f"i{k}") + 1, F.lit(False))
+        up = lambda c, k=k, follows=follows: F.when(follows, F.col(f"next{k}")[c]).otherwise(0)
+        first = F.coalesce(F.col(f"last{k}") < F.col(f"i{k}") - 1, F.lit(True))
+        edge = lambda back, d0, d1, k=k, j=j: F.struct(*[(F.col(f"i{o}") - int(back and o == k)).alias(f"i{o}") for o in AXES], F.lit(j).alias("axis"), d0.alias("d0"), d1.alias("d1"))
+        items += [F.when(F.col("above") != up("above"), edge(False, F.col("d"), up("d"))), F.when(first & (F.col("above") > 0), edge(True, F.lit(0.0), F.col("d")))]
+    edges = at.select("structure_id", "start", F.explode(F.array_compact(F.array(*items))).alias("e")).select("structure_id", "start", "e.*")
+    upper = F.element_at(F.array("ix", "iy", "iz"), F.col("axis") + 1) + 1
+    inside = (F.least("ix", "iy", "iz") >= 0) & (upper < F.element_at(F.array("nx", "ny", "nz"), F.col("axis") + 1))
+    return edges.join(grid, "structure_id").where(inside)
+
+
+def levels(edges: DataFrame, start: DataFrame, atoms: DataFrame) -> DataFrame:
+    """structure_id, level: the first of start, its half, quarter and eighth with enough vertices (the least of 500 and half the atoms), else the last.
+
+    All four are counted at once.
+    """
+    counts = edges.groupBy("structure_id").agg(*[F.sum(crosses(F.col("start") / 2**i).cast("long")).alias(f"n{i}") for i in range(4)])
+    counts = start.join(counts, "structure_id", "left").na.fill(0, [f"n{i}" for i in range(4)])
     need = atoms.groupBy("structure_id").agg(F.least(F.lit(500.0), F.count("*") * 0.5).alias("need"))
     pick = F.col("start") / 8
     for i in (2, 1, 0):

@@ -35,15 +35,19 @@ def boundary(faces: DataFrame) -> DataFrame:
     return faces.select("mesh_id", ends.alias("e")).groupBy("mesh_id", "e.u", "e.v").agg(F.count("*").alias("n")).where("n = 1").drop("n")
 
 
-def measured(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Faces with their area and centre (gx, gy, gz)."""
+def cornered(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Faces with the coordinates of their corners (ax .. cz) and their area."""
     out = faces
     for p in ("a", "b", "c"):
         out = out.join(vertices.select("mesh_id", F.col("vid").alias(p), *[F.col(k).alias(f"{p}{k}") for k in "xyz"]), ["mesh_id", p])
     u, v = ([F.col(f"{p}{k}") - F.col(f"a{k}") for k in "xyz"] for p in ("b", "c"))
     cross = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
-    area = F.sqrt(sum(c * c for c in cross)) / 2
-    return out.select("mesh_id", "fid", area.alias("area"), *[((F.col(f"a{k}") + F.col(f"b{k}") + F.col(f"c{k}")) / 3).alias(f"g{k}") for k in "xyz"])
+    return out.withColumn("area", F.sqrt(sum(c * c for c in cross)) / 2)
+
+
+def measured(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Faces with their area and centre (gx, gy, gz)."""
+    return cornered(faces, vertices).select("mesh_id", "fid", "area", *[((F.col(f"a{k}") + F.col(f"b{k}") + F.col(f"c{k}")) / 3).alias(f"g{k}") for k in "xyz"])
 
 
 def surface(faces: DataFrame) -> DataFrame:
@@ -58,9 +62,9 @@ def corners(faces: DataFrame, *keep: str) -> DataFrame:
 
 def valid_faces(faces: DataFrame, vertices: DataFrame, least_area: float = 1e-9) -> DataFrame:
     """Faces of an area above least_area, each set of vertices once (the lowest fid stays)."""
-    large = measured(faces, vertices).where(F.col("area") > least_area).select("mesh_id", "fid")
+    large = cornered(faces, vertices).where(F.col("area") > least_area)
     key = F.array_sort(F.array("a", "b", "c"))
-    once = faces.join(large, ["mesh_id", "fid"]).groupBy("mesh_id", key.alias("k")).agg(F.min_by(F.struct("a", "b", "c"), "fid").alias("t"), F.min("fid").alias("fid"))
+    once = large.groupBy("mesh_id", key.alias("k")).agg(F.min_by(F.struct("a", "b", "c"), "fid").alias("t"), F.min("fid").alias("fid"))
     return once.select("mesh_id", "fid", "t.a", "t.b", "t.c")
 
 

@@ -231,8 +231,9 @@ def a5_g1_isosurface_vertices(spark, sf_dir):
     a, _ = sides(spark, sf_dir)
     cells, grid = chain_a_voxels(spark, sf_dir)
     cells = materialize(density.smooth(cells, grid))
-    edges = isosurface.crossing_edges(cells, grid)
-    points = isosurface.vertices(edges, isosurface.levels(edges, cells, a))
+    start = materialize(isosurface.starts(cells))
+    edges = materialize(isosurface.crossing_edges(cells, grid, start))  # read twice
+    points = isosurface.vertices(edges, isosurface.levels(edges, start, a))
     return points.groupBy(F.col("mesh_id").alias("structure_id")).agg(F.count("*").alias("n_vertices"), *[F.round(F.sum(k), 3).alias(f"s{k}") for k in "xyz"])
 
 

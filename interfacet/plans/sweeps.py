@@ -19,8 +19,9 @@ def surface(a: DataFrame, sigma: float = 1.5, res: float = 1.0, rounds: int = 3)
 
 def surface_of(cells: DataFrame, grid: DataFrame, a: DataFrame, res: float = 1.0, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """(faces, vertices) of smoothed densities, written already; structure_id may be any key that cells, grid and a share."""
-    edges = materialize(isosurface.crossing_edges(cells, grid))  # levels and vertices both read it
-    level = materialize(isosurface.levels(edges, cells, a))
+    start = materialize(isosurface.starts(cells))
+    edges = materialize(isosurface.crossing_edges(cells, grid, start))  # levels and vertices both read it
+    level = materialize(isosurface.levels(edges, start, a))
     points = materialize(isosurface.vertices(edges, level, res))
     faces = materialize(isosurface.faces(cells, grid, level))
     return mesh.validated(faces, mesh.smoothed(faces, points, rounds))

@@ -20,7 +20,7 @@ def sphere(spark):
     cells = spark.createDataFrame([c for c in cells if c[4]], "structure_id string, ix long, iy long, iz long, d double")
     grid = spark.createDataFrame([("S", 0.0, 0.0, 0.0, 21, 21, 21)], "structure_id string, lox double, loy double, loz double, nx long, ny long, nz long")
     level = spark.createDataFrame([("S", 4.0)], "structure_id string, level double")
-    return isosurface.faces(cells, grid, level).cache(), isosurface.vertices(isosurface.crossing_edges(cells, grid), level).cache()
+    return isosurface.faces(cells, grid, level).cache(), isosurface.vertices(isosurface.crossing_edges(cells, grid, level.withColumnRenamed("level", "start")), level).cache()
 
 
 def test_every_case_crosses_the_right_edges():
