@@ -1,6 +1,8 @@
 """Properties of surfaces, projections and files that SQL doesn't state."""
 
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +41,29 @@ def test_sphere_is_closed(sphere):
     assert mesh.components(faces).select("component").distinct().count() == 1
 
 
+def test_edges_equal_brute_force(spark):
+    """Sparse cells with gaps, cells at every border and a density at a level; a structure of one cell, and one without a surface."""
+    size, rng = 5, random.Random(3)
+    dense = {("S", *at): rng.choice([0.0125, 0.02, 0.03, 0.06, 0.1, 0.4]) for at in itertools.product(range(size), repeat=3) if rng.random() < 0.6}
+    cells = dense | {("T", 2, 2, 2): 0.04} | {("U", *at): 1.0 for at in itertools.product(range(size), repeat=3)}
+    start = {"S": 0.1, "T": 0.02, "U": 0.1}
+    want = set()
+    for s, (x, y, z), axis in itertools.product(start, itertools.product(range(size), repeat=3), range(3)):
+        to = tuple(c + (k == axis) for k, c in enumerate((x, y, z)))
+        d0, d1 = cells.get((s, x, y, z), 0.0), cells.get((s, *to), 0.0)
+        if max(to) < size and any((d0 > start[s] / 2**i) != (d1 > start[s] / 2**i) for i in range(4)):
+            want.add((s, x, y, z, axis, d0, d1))
+    rows = spark.createDataFrame([(*k, d) for k, d in cells.items()], "structure_id string, ix long, iy long, iz long, d double")
+    grid = spark.createDataFrame([(s, size, size, size) for s in start], "structure_id string, nx long, ny long, nz long")
+    first = isosurface.starts(rows)
+    assert {r["structure_id"]: r["start"] for r in first.collect()} == start
+    edges = isosurface.crossing_edges(rows, grid, first)
+    got = [tuple(r) for r in edges.select("structure_id", "ix", "iy", "iz", "axis", "d0", "d1").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and "U" not in {r[0] for r in got}
+    atoms = spark.createDataFrame([(s,) for s in start], "structure_id string")
+    assert {(r["structure_id"], r["n0"]) for r in isosurface.levels(edges, first, atoms).collect()} >= {("T", 6), ("U", 0)}
+
+
 def test_smoothing_keeps_the_volume(sphere):
     faces, points = sphere
     was, now = (mesh.volume(faces, p).first()["volume"] for p in (points, mesh.smoothed(faces, points, 2)))
