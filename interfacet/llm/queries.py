@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minhash, packing, quality, rans, secrets, site_tree, suffix_dedup, toxicity
+from . import chat, decontaminate, minhash, packing, quality, rans, secrets, site_tree, suffix_dedup, toxicity, vector_codes
 from .common import table
 
 
@@ -107,9 +107,41 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every part against every entry, round after round."""
+    sql = f"""
+WITH k AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (
+  SELECT r, CAST(floor(i * {parts} / n) AS BIGINT) AS part, i % (n // {parts}) AS pos, x
+  FROM (SELECT r, len(ints) AS n, unnest(range(len(ints))) AS i, unnest(ints) AS x FROM k)),
+f AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT {entries}),
+c0 AS MATERIALIZED (SELECT part, entry, pos, x AS c FROM v JOIN f USING (r))"""
+    for t in range(rounds + 1):
+        sql += f""",
+b{t} AS MATERIALIZED (
+  SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT r, part, entry, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM v JOIN c{t} USING (part, pos) GROUP BY r, part, entry) GROUP BY r, part)"""
+        if t < rounds:
+            sql += f""",
+s{t} AS (SELECT part, entry, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM v JOIN b{t} USING (r, part) GROUP BY part, entry, pos),
+c{t + 1} AS MATERIALIZED (SELECT part, entry, pos, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM c{t} LEFT JOIN s{t} USING (part, entry, pos))"""
+    return f"""{sql},
+o AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM b{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM c{rounds}) AS codebooks_sha256
+FROM o JOIN k USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_secret_scan, op4_suffix_dedup, op5_toxicity, op6_minmax_near_duplicates, op7_winnowed_contamination, op8_site_style_tree, op9_rans_tokens, op10_best_fit_packing, pipeline)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_secret_scan, op4_suffix_dedup, op5_toxicity, op6_minmax_near_duplicates, op7_winnowed_contamination, op8_site_style_tree, op9_rans_tokens, op10_best_fit_packing, op13_orchard_codes, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op7_winnowed_contamination": OP7_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op7_winnowed_contamination": OP7_SQL, "op13_orchard_codes": op13_sql()}
