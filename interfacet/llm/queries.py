@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minhash, packing, quality, rans, secrets, site_tree, suffix_dedup, toxicity, vector_codes
+from . import chat, decontaminate, minhash, packing, periods, quality, rans, secrets, site_tree, suffix_dedup, toxicity, vector_codes
 from .common import table
 
 
@@ -107,6 +107,40 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periods.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periods.find_runs(docs)
+    line = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    top = [F.col(f"strongest.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.expr("1000 * strongest.length div strongest.period")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *top, milli.alias("exponent_milli"), F.sha2(line, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
+def op11_sql() -> str:
+    """Places with equal windows of 8 words, q words apart; stretches of them are runs."""
+    table_ = "SELECT i, i AS c0 FROM range(256) t(i)"
+    for k in range(8):
+        table_ = f"SELECT i, CASE WHEN c{k} % 2 = 1 THEN xor(c{k} // 2, 3988292384) ELSE c{k} // 2 END AS c{k + 1} FROM ({table_})"
+    return f"""
+WITH crc AS (SELECT list(c8 ORDER BY i) AS c FROM ({table_})),
+o AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT r, doc_id, w, len(w) AS n, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda x, y: xor(x // 256, c[CAST(xor(x, y) % 256 AS BIGINT) + 1]))) AS h FROM o, crc),
+a AS (SELECT r, doc_id, w, n, h % 10 = 0 AND n > 0 AS cyclic, CASE WHEN n > 0 THEN (h // 10) % n ELSE 0 END AS a, (h // 10) % 8 AS g FROM k),
+d AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN cyclic THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g)) END]) ELSE w END AS w FROM a),
+win AS (SELECT r, i, array_to_string(w[i + 1:i + 8], ' ') AS win FROM (SELECT r, w, unnest(range(greatest(n - 7, 0))) AS i FROM d)),
+j AS (SELECT x.r, x.i, y.i - x.i AS q FROM win x JOIN win y ON x.r = y.r AND x.win = y.win AND x.i < y.i),
+s AS (SELECT r, q, min(i) AS s, max(i) + 8 + q AS e FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM j) GROUP BY r, q, island),
+runs AS MATERIALIZED (SELECT r, s, e - s AS l, min(q) AS q FROM s WHERE e - s >= greatest(24, 3 * q) GROUP BY r, s, e),
+t AS (SELECT r, count(*) AS n_runs, arg_min(struct_pack(s, l, q), (-CAST(l AS DOUBLE) / q, s, q)) AS top, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY r),
+gone AS (SELECT r, list(DISTINCT i) AS i FROM (SELECT r, unnest(range(s + q, s + l)) AS i FROM runs) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.q AS period, 1000 * top.l // top.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gone.i IS NULL THEN w ELSE list_transform(list_filter(range(n), lambda x: NOT list_contains(gone.i, x)), lambda x: w[x + 1]) END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (r) LEFT JOIN gone USING (r)
+"""
+
+
 def op13_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
@@ -140,8 +174,8 @@ FROM o JOIN k USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_secret_scan, op4_suffix_dedup, op5_toxicity, op6_minmax_near_duplicates, op7_winnowed_contamination, op8_site_style_tree, op9_rans_tokens, op10_best_fit_packing, op13_orchard_codes, pipeline)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_secret_scan, op4_suffix_dedup, op5_toxicity, op6_minmax_near_duplicates, op7_winnowed_contamination, op8_site_style_tree, op9_rans_tokens, op10_best_fit_packing, op11_periodic_runs, op13_orchard_codes, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op7_winnowed_contamination": OP7_SQL, "op13_orchard_codes": op13_sql()}
+    return {"op1_chat_formatting": OP1_SQL, "op7_winnowed_contamination": OP7_SQL, "op11_periodic_runs": op11_sql(), "op13_orchard_codes": op13_sql()}
