@@ -27,7 +27,8 @@ from .components import components
 
 U = np.uint64
 CLASS = "struct<rep:long,s1:long>"  # a class of equal sets: its smallest doc_id and a hash of the set
-BLOCK = 512  # classes of a bucket that one task compares with as many others
+BLOCK = 512  # classes of a bucket that one task compares with as many others,
+BLOCK_BYTES = 1 << 24  # fewer where their sets might be larger than this together
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, width: int, rolling: Rolling):
@@ -102,7 +103,7 @@ def node() -> Column:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, grams (sorted hashes as bytes) of the classes wanted(rep, s1)."""
+    """node, grams (sorted hashes as bytes) of the classes wanted(rep, h, s1); h is the hash of a text of theirs that has the id rep."""
 
     def run(batches):
         import pyarrow as pa
@@ -111,15 +112,26 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for i, offsets, data in byte_slices(batch, "text"):
                 sets = [s.tobytes() for s in shingle_sets(offsets, data, width, rolling)]
-                sums = [int(mix(np.frombuffer(s, U)).sum().astype(np.int64)) for s in sets]
                 cut = [batch.column(batch.schema.get_field_index(c)).slice(i, len(sets)) for c in ("rep", "s1")]
-                yield pa.RecordBatch.from_arrays([*cut, pa.array(sums, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "s1", "found", "grams"])
+                yield pa.RecordBatch.from_arrays([*cut, pa.array(sets, pa.binary())], names=["rep", "s1", "grams"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.hint("shuffle_hash"), "rep")
-    found = texts.mapInArrow(run, "rep long, s1 long, found long, grams binary").where("s1 = found")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("h"), "text").join(wanted.hint("shuffle_hash"), ["rep", "h"])
+    found = texts.select("rep", "s1", "text").mapInArrow(run, "rep long, s1 long, grams binary")
     return found.select(node().alias("node"), "grams").dropDuplicates(["node"])
 
 
+def one_text(some: DataFrame, *keep: str) -> DataFrame:
+    """The classes of equal sets of some(doc_id, h, s1, s2): s1, s2, rep and h (the smallest doc_id and text hash), and the columns of keep; written."""
+    first = F.min(F.struct("doc_id", "h")).alias("first")
+    classes = some.groupBy("s1", "s2").agg(first, *[F.first(c).alias(c) for c in keep])
+    return materialize(classes.select("s1", "s2", F.col("first.doc_id").alias("rep"), "first.h", *keep))
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """`full_sets` of the classes whose rep and s1 are in nodes; written."""
+    return materialize(full_sets(docs, classes.select("rep", "h", "s1").join(nodes.select("rep", "s1").distinct(), ["rep", "s1"]), width))
+
+
 def common(a: bytes, b: bytes) -> tuple[int, int]:
     """Sizes of intersection and union."""
     x, y = np.frombuffer(a, U), np.frombuffer(b, U)
@@ -186,14 +198,14 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
 
 
 def meetings(member: DataFrame) -> DataFrame:
-    """key, i, j, node, comp: blocks of each bucket of member(key, node, comp) that has more than one component.
+    """key, i, j, node, comp: blocks of each bucket of member(key, node, comp, size) that has more than one component.
 
     Blocks i of the classes outside the bucket's largest component meet each other and those inside it.
     """
-    sizes = member.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    bucket = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("size"), F.count("*").alias("comps")).where("comps > 1")
-    count = lambda n: F.ceil(n / BLOCK).cast("long")
-    rest = member.join(bucket.select("key", "largest", count(F.col("size") - F.col("most")).alias("out"), count(F.col("most")).alias("in")), "key")
+    sizes = member.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max("size").alias("top"))
+    bucket = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("comps"), F.max("top").alias("top")).where("comps > 1")
+    count = lambda n: F.ceil(n / F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("top")))))).cast("long")
+    rest = member.join(bucket.select("key", "largest", count(F.col("all") - F.col("most")).alias("out"), count(F.col("most")).alias("in")), "key")
     inside = F.col("comp") == F.col("largest")
     h = F.xxhash64("node")
     rest = rest.withColumn("blk", F.when(inside, F.col("out") + F.pmod(h, F.col("in"))).otherwise(F.pmod(h, F.col("out"))))
@@ -207,21 +219,29 @@ def meetings(member: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, width: int, percent: int, bands: int = 20, rows: int = 4) -> DataFrame:
     """doc_id, h (hash of the text), n (size of the set), group (the smallest class reachable over links; null for rows without a set or an id), one row for each row of docs."""
     rowwise = materialize(signatures(docs, width, bands, rows))
-    some = rowwise.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = materialize(classes)
+    classes = one_text(rowwise.where("n > 0 and doc_id is not null"), "n", "keys")
     buckets = classes.select("rep", "s1", "n", F.explode("keys").alias("key"))
     full = materialize(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "s1", "n")).alias("lead")).where("n > 1"))
     shared = materialize(joined(buckets.withColumnRenamed("n", "size"), full, ["key"]).select("key", "rep", "s1", "size", "lead", F.col("n").alias("members")))
     near = f"100 * least(size, lead.n) >= {percent} * greatest(size, lead.n)"
     pairs = shared.select(F.struct("lead.rep", "lead.s1").alias("a"), node().alias("b"), "size", "lead").where(near).where("a <> b").select("a", "b").distinct()
-    sets = materialize(full_sets(docs, shared.select("rep", "s1").distinct(), width))
+    sets = sets_of(docs, classes, shared, width)
     links = materialize(confirm(pairs, sets, percent))
+    return grouped(rowwise, classes, closed(shared, links, lambda met: compare_blocks(met.join(sets, "node"), percent)))
+
+
+def closed(shared: DataFrame, links: DataFrame, compare) -> DataFrame:
+    """node, component over links and over those that compare(blocks) finds in buckets that links leave in more than one component, of three classes or more.
+
+    shared: key, rep, s1, size, members; links: a, b.
+    """
     comp = components(links)
-    # Buckets that are still in more than one component, of three classes or more.
-    member = shared.where("members > 2").select("key", node().alias("node")).join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    more = compare_blocks(meetings(materialize(member)).join(sets, "node"), percent)
-    comp = components(links.union(more))
+    member = shared.where("members > 2").select("key", node().alias("node"), "size").join(comp, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("comp"))
+    return components(links.union(compare(meetings(materialize(member)))))
+
+
+def grouped(rowwise: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """doc_id, h, n, group for each row of rowwise(doc_id, h, n, s1, s2), from components of classes."""
     named = classes.select("s1", "s2", node().alias("node")).join(comp, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("group"))
     whole = rowwise.join(named, ["s1", "s2"], "left")
     return whole.select("doc_id", "h", "n", F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group"))
@@ -230,5 +250,9 @@ def groups(docs: DataFrame, width: int, percent: int, bands: int = 20, rows: int
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 20, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, one row for each row of docs."""
     found = groups(docs, width, percent, bands, rows)
-    component = F.coalesce("group.rep", "doc_id")  # a component's smallest class has its smallest doc_id
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), reached().alias("component_id"), F.coalesce(F.col("doc_id") == reached(), F.lit(True)).alias("kept"))
+
+
+def reached() -> Column:
+    """The smallest doc_id of a row's group, which its smallest class has; its own where it has none."""
+    return F.coalesce("group.rep", "doc_id")
