@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minhash, packing, periods, quality, rans, secrets, site_tree, suffix_dedup, toxicity, vector_codes
+from . import chat, count_tree, decontaminate, minhash, packing, periods, quality, rans, secrets, site_tree, suffix_dedup, toxicity, vector_codes
 from .common import table
 
 
@@ -141,6 +141,26 @@ FROM d LEFT JOIN t USING (r) LEFT JOIN gone USING (r)
 """
 
 
+def op12_count_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tree.similarity_join(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1:i + 3], ' '))) END AS s FROM d),
+n AS (SELECT doc_id, len(s) AS n FROM g),
+u AS (SELECT doc_id, n, unnest(s) AS x FROM g JOIN n USING (doc_id)),
+l AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT a AS doc_id, a AS reached FROM e UNION SELECT c.doc_id, e.b FROM c JOIN e ON c.reached = e.a)
+SELECT n.doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(min(reached), n.doc_id) AS component_id FROM n LEFT JOIN c ON n.doc_id = c.doc_id GROUP BY n.doc_id, n
+"""
+
+
 def op13_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
@@ -174,8 +194,8 @@ FROM o JOIN k USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_secret_scan, op4_suffix_dedup, op5_toxicity, op6_minmax_near_duplicates, op7_winnowed_contamination, op8_site_style_tree, op9_rans_tokens, op10_best_fit_packing, op11_periodic_runs, op13_orchard_codes, pipeline)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_secret_scan, op4_suffix_dedup, op5_toxicity, op6_minmax_near_duplicates, op7_winnowed_contamination, op8_site_style_tree, op9_rans_tokens, op10_best_fit_packing, op11_periodic_runs, op12_count_tree_join, op13_orchard_codes, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op7_winnowed_contamination": OP7_SQL, "op11_periodic_runs": op11_sql(), "op13_orchard_codes": op13_sql()}
+    return {"op1_chat_formatting": OP1_SQL, "op7_winnowed_contamination": OP7_SQL, "op11_periodic_runs": op11_sql(), "op12_count_tree_join": OP12_SQL, "op13_orchard_codes": op13_sql()}
