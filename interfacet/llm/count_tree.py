@@ -33,6 +33,7 @@ U = np.uint64
 SPARE = 2
 DIMS = 32  # groups whose counts are a point's coordinates
 LEAF = 16  # points of a leaf
+FEW = 4  # components of a bucket whose pairs are listed
 
 
 def edges(groups: int) -> np.ndarray:
@@ -211,6 +212,18 @@ def tree_links(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("key", "i", "j").applyInArrow(run, f"a {CLASS}, b {CLASS}")
 
 
+def by_components(member: DataFrame) -> DataFrame:
+    """The members of buckets of 2 to FEW components once for each pair of these, whatever the number of buckets that such a pair shares; other buckets as they are."""
+    comps = materialize(member.select("key", "comp").distinct())
+    n = materialize(comps.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    few = comps.join(n.where(F.col("n") <= FEW).select("key"), "key")
+    pairs = few.select("key", F.col("comp").alias("a")).join(few.select("key", F.col("comp").alias("b")), "key").where("a < b")
+    of = F.explode(F.array("a", "b")).alias("comp")
+    meet = pairs.select("key", F.xxhash64("a", "b").alias("place"), of)
+    met = member.join(meet, ["key", "comp"]).select(F.col("place").alias("key"), "node", "comp", "size").distinct()
+    return materialize(met.unionByName(member.join(n.where(F.col("n") > FEW).select("key"), "key", "left_semi").select("key", "node", "comp", "size")))
+
+
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, h (hash of the text), n (size of the set), group (the smallest class reachable over links; null for rows without a set or an id), one row for each row of docs."""
     rowwise = materialize(points(docs, width, percent))
@@ -223,7 +236,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     pairs = joined(shared, leads, ["key"]).where(near).select(F.struct("lead.rep", "lead.s1").alias("a"), node().alias("b")).where("a <> b").distinct()
     sets = sets_of(docs, classes, shared, width)
     links = materialize(confirmed(pairs, sets, percent))
-    return grouped(rowwise, classes, closed(shared, links, lambda met: tree_links(met.join(sets, "node"), percent)))
+    return grouped(rowwise, classes, closed(shared, links, lambda met: tree_links(met.join(sets, "node"), percent), by_components))
 
 
 def similarity_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -27,6 +27,7 @@ from .components import components
 
 U = np.uint64
 CLASS = "struct<rep:long,s1:long>"  # a class of equal sets: its smallest doc_id and a hash of the set
+SLOTS = 1 << 20  # hash values that the first choice of texts goes by: a table of at most so many numbers is sent to all executors
 BLOCK = 512  # classes of a bucket that one task compares with as many others,
 BLOCK_BYTES = 1 << 24  # fewer where their sets might be larger than this together
 
@@ -115,7 +116,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 cut = [batch.column(batch.schema.get_field_index(c)).slice(i, len(sets)) for c in ("rep", "s1")]
                 yield pa.RecordBatch.from_arrays([*cut, pa.array(sets, pa.binary())], names=["rep", "s1", "grams"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("h"), "text").join(wanted.hint("shuffle_hash"), ["rep", "h"])
+    slot = F.pmod(F.xxhash64("rep", "h"), F.lit(SLOTS)).alias("slot")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("h"), "text")
+    texts = texts.select("*", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")  # most texts aren't shuffled
+    texts = texts.join(wanted.hint("shuffle_hash"), ["rep", "h"])
     found = texts.select("rep", "s1", "text").mapInArrow(run, "rep long, s1 long, grams binary")
     return found.select(node().alias("node"), "grams").dropDuplicates(["node"])
 
@@ -129,7 +133,8 @@ def one_text(some: DataFrame, *keep: str) -> DataFrame:
 
 def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """`full_sets` of the classes whose rep and s1 are in nodes; written."""
-    return materialize(full_sets(docs, classes.select("rep", "h", "s1").join(nodes.select("rep", "s1").distinct(), ["rep", "s1"]), width))
+    wanted = materialize(classes.select("rep", "h", "s1").join(nodes.select("rep", "s1").distinct(), ["rep", "s1"]))
+    return materialize(full_sets(docs, wanted, width))
 
 
 def common(a: bytes, b: bytes) -> tuple[int, int]:
@@ -230,14 +235,14 @@ def groups(docs: DataFrame, width: int, percent: int, bands: int = 20, rows: int
     return grouped(rowwise, classes, closed(shared, links, lambda met: compare_blocks(met.join(sets, "node"), percent)))
 
 
-def closed(shared: DataFrame, links: DataFrame, compare) -> DataFrame:
+def closed(shared: DataFrame, links: DataFrame, compare, place=lambda member: member) -> DataFrame:
     """node, component over links and over those that compare(blocks) finds in buckets that links leave in more than one component, of three classes or more.
 
-    shared: key, rep, s1, size, members; links: a, b.
+    shared: key, rep, s1, size, members; links: a, b. place may deal the members(key, node, comp, size) of such buckets to other keys.
     """
     comp = components(links)
     member = shared.where("members > 2").select("key", node().alias("node"), "size").join(comp, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("comp"))
-    return components(links.union(compare(meetings(materialize(member)))))
+    return components(links.union(compare(meetings(place(materialize(member))))))
 
 
 def grouped(rowwise: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
