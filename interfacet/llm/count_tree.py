@@ -13,7 +13,7 @@ make up for as many, and the few sets that have more are in the buckets of empty
 in a bucket, and none is left to chance.
 
 In a bucket every class of equal sets is first held against the smallest one; where that leaves more than one
-component, blocks of the bucket's classes are indexed and joined by R-trees inside tasks.
+component, blocks of the bucket's classes, or of all buckets of a cluster, are indexed and joined by R-trees inside tasks.
 
 Null, empty and blank texts have an empty set and are linked with nothing; repeated rows are one document; different texts
 that share a doc_id are each linked on their own; rows without doc_id are linked with nothing (component_id
@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, byte_slices, joined, materialize, mix
+from .components import components
 from .minhash import CLASS, closed, common, grouped, node, one_text, reached, sets_of, shingle_sets
 
 U = np.uint64
 SPARE = 2
 DIMS = 32  # groups whose counts are a point's coordinates
 LEAF = 16  # points of a leaf
-FEW = 4  # components of a bucket whose pairs are listed
+CLUSTER = 4096  # classes of a cluster of buckets that are compared at once, in blocks
 
 
 def edges(groups: int) -> np.ndarray:
@@ -212,16 +213,21 @@ def tree_links(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("key", "i", "j").applyInArrow(run, f"a {CLASS}, b {CLASS}")
 
 
-def by_components(member: DataFrame) -> DataFrame:
-    """The members of buckets of 2 to FEW components once for each pair of these, whatever the number of buckets that such a pair shares; other buckets as they are."""
+def by_clusters(member: DataFrame) -> DataFrame:
+    """The members of buckets of several components dealt by clusters of such buckets: classes that meet in many buckets meet once.
+
+    A cluster is what components and the buckets they share connect; those of more than CLUSTER classes stay in their buckets.
+    """
     comps = materialize(member.select("key", "comp").distinct())
-    n = materialize(comps.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    few = comps.join(n.where(F.col("n") <= FEW).select("key"), "key")
-    pairs = few.select("key", F.col("comp").alias("a")).join(few.select("key", F.col("comp").alias("b")), "key").where("a < b")
-    of = F.explode(F.array("a", "b")).alias("comp")
-    meet = pairs.select("key", F.xxhash64("a", "b").alias("place"), of)
-    met = member.join(meet, ["key", "comp"]).select(F.col("place").alias("key"), "node", "comp", "size").distinct()
-    return materialize(met.unionByName(member.join(n.where(F.col("n") > FEW).select("key"), "key", "left_semi").select("key", "node", "comp", "size")))
+    mixed = materialize(comps.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lead")).where("n > 1"))
+    star = comps.join(mixed, "key").select(F.col("lead").alias("a"), F.col("comp").alias("b")).where("a <> b")
+    cluster = components(star).select(F.col("node").alias("comp"), "component")
+    left = member.join(mixed.select("key"), "key", "left_semi")
+    once = materialize(left.select("node", "comp", "size").distinct().join(cluster, "comp"))
+    large = materialize(once.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > CLUSTER).select("component"))
+    small = once.join(large, "component", "left_anti").select(F.xxhash64("component").alias("key"), "node", "comp", "size")
+    rest = left.join(cluster.join(large, "component", "left_semi").select("comp"), "comp", "left_semi")
+    return materialize(small.unionByName(rest.select("key", "node", "comp", "size")))
 
 
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -236,7 +242,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     pairs = joined(shared, leads, ["key"]).where(near).select(F.struct("lead.rep", "lead.s1").alias("a"), node().alias("b")).where("a <> b").distinct()
     sets = sets_of(docs, classes, shared, width)
     links = materialize(confirmed(pairs, sets, percent))
-    return grouped(rowwise, classes, closed(shared, links, lambda met: tree_links(met.join(sets, "node"), percent), by_components))
+    return grouped(rowwise, classes, closed(shared, links, lambda met: tree_links(met.join(sets, "node"), percent), by_clusters))
 
 
 def similarity_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

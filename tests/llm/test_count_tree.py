@@ -42,7 +42,8 @@ def test_join_of_families(spark, monkeypatch):
     r = random.Random(11)
     texts = families(r, 40) + ["a b c", "a b c d", *[" ".join(f"w{i}" for i in range(k)) for k in (9, 10, 11, 12, 21, 22)]]
     shared = [(i // 2, t) for i, t in enumerate(texts)]  # two texts for each id
-    for block, leaf, hot in ((512, 16, 1000), (4, 2, 3)):
+    for block, leaf, hot, cluster in ((512, 16, 1000, 4096), (4, 2, 3, 6)):
+        monkeypatch.setattr(count_tree, "CLUSTER", cluster)
         monkeypatch.setattr(minhash, "BLOCK", block)
         monkeypatch.setattr(count_tree, "LEAF", leaf)
         monkeypatch.setattr(common, "HOT_ROWS", hot)
@@ -56,7 +57,9 @@ def test_template_family(spark, monkeypatch):
     r = random.Random(2)
     template = [f"t{i}" for i in range(70)]
     texts = [" ".join(template + [f"x{r.randrange(60)}" for _ in range(r.choice([12, 13, 30]))]) for _ in range(120)]
-    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1, 80)
+    for cluster in (4096, 1):
+        monkeypatch.setattr(count_tree, "CLUSTER", cluster)
+        check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1, 80)
 
 
 def test_every_linked_pair_meets():
