@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chemistry import canonical, pair_type, rank, sequence_number
@@ -23,26 +23,31 @@ def best_types(pairs: DataFrame) -> DataFrame:
     return pairs.where("type IS NOT NULL").groupBy("structure_id", "res_seq").agg(F.min_by("type", rank(F.col("type"))).alias("type"))
 
 
-def annotated_types(contacts: DataFrame, a: str = "A", b: str = "B") -> DataFrame:
-    """structure_id, res_seq, types of residues of chain a from annotations between chains a and b."""
+def name(chain: str | Column) -> Column:
+    return F.lit(chain) if isinstance(chain, str) else chain
+
+
+def annotated_types(contacts: DataFrame, a: str | Column = "A", b: str | Column = "B") -> DataFrame:
+    """structure_id, res_seq, types of residues of chain a from annotations between chains a and b, names or columns."""
+    a, b = name(a), name(b)
     ends = F.array_sort(F.array_distinct(F.array(F.trim("bgn_chain"), F.trim("end_chain"))))
-    wanted = F.array_sort(F.array_distinct(F.array(F.lit(a), F.lit(b))))
+    wanted = F.array_sort(F.array_distinct(F.array(a, b)))
     seq = F.when(F.trim("bgn_chain") == a, F.col("bgn_seq")).otherwise(F.col("end_seq"))
     number = sequence_number(seq)
     rows = contacts.where(ends == wanted).select("structure_id", number.alias("res_seq"), canonical(F.col("raw_type")).alias("type"))
     return rows.where("type IS NOT NULL AND res_seq IS NOT NULL").groupBy("structure_id", "res_seq").agg(F.sort_array(F.collect_set("type")).alias("types"))
 
 
-def diagnostics(contacts: DataFrame, a: str = "A", b: str = "B") -> DataFrame:
+def diagnostics(contacts: DataFrame, a: str | Column = "A", b: str | Column = "B") -> DataFrame:
     """structure_id, chain_pairs, raw_types (sorted), mapped: what annotations hold; where mapped is 0, use distances.
 
     Pairs of named chains are listed whatever they are; raw types and mapped only look at contacts between
     chains a and b whose residue of chain a has a readable number. mapped counts contacts with any known
     type: rows that share `contact`, or all rows where there is no such column.
     """
-    bgn, end = F.trim("bgn_chain"), F.trim("end_chain")
+    bgn, end, a, b = F.trim("bgn_chain"), F.trim("end_chain"), name(a), name(b)
     pair = F.when((bgn != "") & (end != ""), F.concat_ws("-", F.array_sort(F.array(bgn, end))))
-    wanted = F.array_sort(F.array_distinct(F.array(bgn, end))) == F.array_sort(F.array_distinct(F.array(F.lit(a), F.lit(b))))
+    wanted = F.array_sort(F.array_distinct(F.array(bgn, end))) == F.array_sort(F.array_distinct(F.array(a, b)))
     number = sequence_number(F.when(bgn == a, F.col("bgn_seq")).otherwise(F.col("end_seq")))
     used = F.coalesce(wanted & number.isNotNull(), F.lit(False))
     known = used & canonical(F.col("raw_type")).isNotNull()

@@ -92,11 +92,7 @@ def largest_component(faces: DataFrame) -> DataFrame:
 
 def cleaned(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Merged vertices, valid faces of the largest component; meshes of fewer than 3 vertices go."""
-    faces, vertices = mesh.merged(faces, vertices)
-    faces = materialize(largest_component(materialize(mesh.valid_faces(faces, vertices, 1e-12))))
-    vertices = mesh.used_vertices(faces, vertices)
-    enough = vertices.groupBy("mesh_id").agg(F.count("*").alias("n")).where("n >= 3").select("mesh_id")
-    return faces.join(enough, "mesh_id", "left_semi"), materialize(vertices.join(enough, "mesh_id", "left_semi"))
+    return largest(*clean(faces, vertices))
 
 
 def conformal_entries(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -242,7 +238,11 @@ def conformal(faces: DataFrame, vertices: DataFrame, loop: DataFrame, large: int
 
 def flattened(faces: DataFrame, vertices: DataFrame, large: int = LARGE) -> DataFrame:
     """mesh_id, vid, u, v in [0, 1], method: conformal, harmonic for meshes where that has no solution. Faces and vertices should be `cleaned`."""
-    loop = materialize(longest_loop(boundary_loops(faces)))
+    return flattened_along(materialize(longest_loop(boundary_loops(faces))), faces, vertices, large)
+
+
+def flattened_along(loop: DataFrame, faces: DataFrame, vertices: DataFrame, large: int = LARGE) -> DataFrame:
+    """`flattened`, the longest loops being known; those should be a written table."""
     faces = faces.join(loop.select("mesh_id").distinct(), "mesh_id", "left_semi")
     first = materialize(conformal(faces, vertices, loop, large))
     done = first.select("mesh_id").distinct()
@@ -253,3 +253,28 @@ def flattened(faces: DataFrame, vertices: DataFrame, large: int = LARGE) -> Data
         method = method.unionByName(harmonic(*left, rest, large).withColumn("method", F.lit("harmonic")))
     names = method.select("mesh_id", "method").distinct()
     return normal_uv(method).join(names, "mesh_id")
+
+
+def flattened_or_not(names: DataFrame, faces: DataFrame, vertices: DataFrame, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
+    """(`flattened`, status): mesh_id and reason of the meshes of names that have no map; the first is written."""
+    loop = materialize(longest_loop(boundary_loops(faces)))
+    uv = materialize(flattened_along(loop, faces, vertices, large))
+    has = lambda df, name: df.select("mesh_id").distinct().withColumn(name, F.lit(True))
+    left = names.select("mesh_id").distinct().join(uv, "mesh_id", "left_anti").join(has(faces, "whole"), "mesh_id", "left").join(has(loop, "open"), "mesh_id", "left")
+    reason = F.when(F.col("whole").isNull(), "no valid faces").when(F.col("open").isNull(), "no boundary").otherwise("no solution")
+    return uv, left.select("mesh_id", reason.alias("reason"))
+
+
+def clean(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merged vertices, valid faces, all components; both are written."""
+    faces, vertices = mesh.merged(faces, vertices)
+    faces = materialize(mesh.valid_faces(faces, vertices, 1e-12))
+    return faces, materialize(mesh.used_vertices(faces, vertices))
+
+
+def largest(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The largest components of `clean` meshes; meshes of fewer than 3 vertices go."""
+    faces = materialize(largest_component(faces))
+    vertices = mesh.used_vertices(faces, vertices)
+    enough = vertices.groupBy("mesh_id").agg(F.count("*").alias("n")).where("n >= 3").select("mesh_id")
+    return faces.join(enough, "mesh_id", "left_semi"), materialize(vertices.join(enough, "mesh_id", "left_semi"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chemistry import COLORS, INTERACTIONS, rank
@@ -14,7 +14,7 @@ from .spatial import near_pairs, nearest
 
 
 class InterfaceMap(NamedTuple):
-    placed: DataFrame  # structure_id, patch_id, res_seq, icode, res_name, u, v, types
+    placed: DataFrame  # structure_id, patch_id, res_seq, icode, res_name, u, v, types; all that restyling needs
     points: DataFrame  # structure_id, patch_id, label, uid, u, v, type, color
     edges: DataFrame  # structure_id, patch_id, u0, v0, u1, v1
     legend: DataFrame  # structure_id, rank, type, color
@@ -76,23 +76,38 @@ def drawn_edges(patches: DataFrame, uv: DataFrame) -> DataFrame:
     return edges.select("structure_id", "patch_id", "u0", "v0", "u1", "v1")
 
 
+def by_source(a: DataFrame, annotated: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(atoms of structures that have a row in annotated, atoms of the others)."""
+    if annotated is None:
+        return a.where("false"), a
+    noted = annotated.select("structure_id").distinct()
+    return a.join(noted, "structure_id", "left_semi"), a.join(noted, "structure_id", "left_anti")
+
+
+def residue_types(near: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """structure_id, patch_id, res_seq, icode, types: the types of all pairs of a residue's atoms on the patch with atoms of b."""
+    pairs = typed_pairs(a.join(near.select("structure_id", "serial").distinct(), ["structure_id", "serial"], "left_semi"), b)
+    found = pairs.where("type is not null").select("structure_id", "serial", "type").distinct()
+    icode = F.col("icode") if "icode" in a.columns else F.lit(None).cast("string")
+    named = a.select("structure_id", "serial", "res_seq", F.coalesce(icode, F.lit("")).alias("icode"))
+    at = near.join(found, ["structure_id", "serial"]).join(named, ["structure_id", "serial"])
+    return at.groupBy("structure_id", "patch_id", "res_seq", "icode").agg(F.sort_array(F.collect_set("type")).alias("types"))
+
+
 def interface_map(patches: DataFrame, vertices: DataFrame, uv: DataFrame, a: DataFrame, b: DataFrame, annotated: DataFrame | None = None, **style) -> InterfaceMap:
     """The map of every structure. patches: structure_id, patch_id, a, b, c; vertices and uv are keyed by structure_id, patch_id, vid.
 
-    Types come from annotated(structure_id, res_seq, types) where it is given; they go by residue number, whatever the
-    insertion code. Otherwise they come from atom pairs within 6.0, of atoms closer than 8.0 to b.
+    Each structure chooses for itself: one that has rows in annotated(structure_id, res_seq, types), as
+    `annotated_types` gives them, takes its types from there, by residue number, whatever the insertion code, and places
+    all residues on the patch. The others take them from atom pairs within 6.0, of atoms closer than 8.0 to b.
     """
-    near = materialize(on_patch(a if annotated is not None else close_atoms(a, b), vertices))
+    noted, plain = by_source(a, annotated)
+    near = materialize(on_patch(noted.unionByName(close_atoms(plain, b)), vertices))
     placed = placed_residues(near, a, uv)
+    placed = placed.join(residue_types(near, plain, b), ["structure_id", "patch_id", "res_seq", "icode"], "left")
     if annotated is not None:
-        placed = placed.join(annotated.select("structure_id", "res_seq", "types"), ["structure_id", "res_seq"], "left")
-    else:
-        pairs = typed_pairs(a.join(near.select("structure_id", "serial").distinct(), ["structure_id", "serial"], "left_semi"), b)
-        found = pairs.where("type is not null").select("structure_id", "serial", "type").distinct()
-        icode = F.col("icode") if "icode" in a.columns else F.lit(None).cast("string")
-        named = a.select("structure_id", "serial", "res_seq", F.coalesce(icode, F.lit("")).alias("icode"))
-        types = near.join(found, ["structure_id", "serial"]).join(named, ["structure_id", "serial"]).groupBy("structure_id", "patch_id", "res_seq", "icode").agg(F.sort_array(F.collect_set("type")).alias("types"))
-        placed = placed.join(types, ["structure_id", "patch_id", "res_seq", "icode"], "left")
+        notes = annotated.select("structure_id", "res_seq", F.col("types").alias("noted"))
+        placed = placed.join(notes, ["structure_id", "res_seq"], "left").withColumn("types", F.coalesce("noted", "types")).drop("noted")
     placed = materialize(placed.withColumn("types", F.coalesce("types", F.array().cast("array<string>"))))
     points = styled(placed, **style)
     return InterfaceMap(placed, points, drawn_edges(patches, uv), legend(points))
@@ -105,6 +120,12 @@ def restyled(drawn: InterfaceMap, **style) -> InterfaceMap:
 
 
 def write_interface_map(drawn: InterfaceMap, root: str) -> None:
-    """points, edges and legend below root, as Parquet."""
-    for name in ("points", "edges", "legend"):
-        getattr(drawn, name).write.parquet(f"{root}/{name}")
+    """placed, points, edges and legend below root, as Parquet; legends in order of rank within each structure."""
+    for name, df in drawn._asdict().items():
+        out = df.repartitionByRange("structure_id", "rank").sortWithinPartitions("structure_id", "rank") if name == "legend" else df
+        out.write.parquet(f"{root}/{name}")
+
+
+def read_interface_map(spark: SparkSession, root: str) -> InterfaceMap:
+    """What `write_interface_map` wrote; `restyled` gives it another style without its structures or meshes."""
+    return InterfaceMap(*[spark.read.parquet(f"{root}/{name}") for name in InterfaceMap._fields])

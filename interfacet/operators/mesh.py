@@ -173,6 +173,74 @@ def patches(faces: DataFrame, least_vertices: int = 50) -> DataFrame:
     return part.join(kept.withColumn("patch_id", F.row_number().over(order)), ["mesh_id", "component"]).select("mesh_id", "patch_id", "original_index", "vertices", "fid", "a", "b", "c")
 
 
+def task_nested(faces, values, least_vertices: int):
+    """step, patch, fid of the patches of one mesh at each of the ascending values, where the faces of a dist below it are present.
+
+    Components are merged from one value to the next as faces appear; only an edge that gets its third face, and so joins
+    no two faces any more, makes them start anew.
+    """
+    import numpy as np
+    import pandas as pd
+
+    faces = faces.sort_values("fid")
+    n, corner, dist = len(faces), faces[["a", "b", "c"]].to_numpy(), faces["dist"].to_numpy()
+    ends = np.sort(np.concatenate([corner[:, [0, 1]], corner[:, [1, 2]], corner[:, [2, 0]]]), axis=1)
+    edge = np.unique(ends, axis=0, return_inverse=True)[1].ravel()
+    order = np.argsort(edge, kind="stable")
+    out, label, shared = [], np.arange(n), np.zeros(edge.max() + 1 if n else 0, bool)
+    for step, value in enumerate(values):
+        present = dist < value
+        here = order[present[order % n]] if n else order
+        count = np.bincount(edge[here], minlength=len(shared))
+        two = count == 2
+        if (shared & ~two).any():
+            label = np.arange(n)
+        shared = two
+        p, q = (here[two[edge[here]]] % n).reshape(-1, 2).T if n else (order, order)
+        while True:
+            now, low = label.copy(), np.minimum(label[p], label[q])
+            np.minimum.at(now, label[p], low)
+            np.minimum.at(now, label[q], low)
+            while (now[now] != now).any():
+                now = now[now]
+            if (now == label).all():
+                break
+            label = now
+        rows = np.flatnonzero(present)
+        pairs = np.unique(np.stack([np.repeat(label[rows], 3), corner[rows].ravel()], 1), axis=0)
+        names, first, size = np.unique(pairs[:, 0], return_index=True, return_counts=True)
+        good = size >= least_vertices
+        rank = np.lexsort((names[good], pairs[first[good], 1]))
+        patch = np.zeros(n, np.int64)
+        patch[names[good][rank]] = np.arange(1, len(rank) + 1)
+        kept = rows[patch[label[rows]] > 0]
+        out.append(np.stack([np.full(len(kept), step), patch[label[kept]], faces["fid"].to_numpy()[kept]], 1))
+    both = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+    return pd.DataFrame({"no": faces["no"].iloc[0] if n else 0, "step": both[:, 0], "patch_id": both[:, 1], "fid": both[:, 2]})
+
+
+def nested_patches(faces: DataFrame, values, least_vertices: int = 50, large: int = LARGE) -> DataFrame:
+    """mesh_id, value, patch_id, fid, a, b, c: for each of values the `patches` of the faces(mesh_id, fid, a, b, c, dist) whose dist is below it.
+
+    A mesh of up to `large` faces goes through all values in one task, which merges components as faces appear; of larger
+    ones each value has its own copy. Faces should be a written table, as it is read more than once.
+    """
+    values = sorted({float(v) for v in values})
+    if not values:
+        return faces.where("false").selectExpr("mesh_id", "dist AS value", "CAST(fid AS int) AS patch_id", "fid", "a", "b", "c")
+    names = numbered(faces)
+    some = faces.join(names.where(F.col("size") <= large), "mesh_id").select("no", "fid", "a", "b", "c", "dist")
+    found = some.groupBy("no").applyInPandas(lambda f: task_nested(f, values, least_vertices), "no long, step int, patch_id int, fid long")
+    at = F.element_at(F.array(*map(F.lit, values)), F.col("step") + 1).alias("value")
+    out = found.join(names, "no").select("mesh_id", at, "patch_id", "fid").join(faces.drop("dist"), ["mesh_id", "fid"]).select("mesh_id", "value", "patch_id", "fid", "a", "b", "c")
+    big = names.where(F.col("size") > large).select("mesh_id")
+    if not big.limit(1).count():
+        return out
+    copies = faces.join(big, "mesh_id", "left_semi").withColumn("value", F.explode(F.array(*map(F.lit, values)))).where("dist < value")
+    copies = materialize(copies.select(F.struct("mesh_id", "value").alias("mesh_id"), "fid", "a", "b", "c"))
+    return out.unionByName(patches(copies, least_vertices).select("mesh_id.mesh_id", "mesh_id.value", "patch_id", "fid", "a", "b", "c"))
+
+
 def volume(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """mesh_id, volume: sum of v0 . (v1 x v2) / 6."""
     out = faces

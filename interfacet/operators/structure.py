@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chemistry import PEPTIDES
@@ -21,12 +21,16 @@ def chain(atoms: DataFrame, chain_id: str) -> DataFrame:
     return atoms.where(F.col("chain_id") == chain_id)
 
 
+def file_order(atoms: DataFrame) -> str:
+    """The column that orders the atoms of a model: lines of the file, or serials where lines aren't known."""
+    return "line" if "line" in atoms.columns else "serial"
+
+
 def chain_summary(atoms: DataFrame) -> DataFrame:
     """structure_id, chain_id, residues (waters and ligands too; 100 and 100A are two), first (line of the file, or serial where lines aren't known)."""
     icode = F.col("icode") if "icode" in atoms.columns else F.lit(None).cast("string")
     residue = F.struct("record", "res_seq", F.trim(F.coalesce(icode, F.lit(""))).alias("icode"))
-    order = "line" if "line" in atoms.columns else "serial"
-    return atoms.groupBy("structure_id", "chain_id").agg(F.count_distinct(residue).alias("residues"), F.min(order).alias("first"))
+    return atoms.groupBy("structure_id", "chain_id").agg(F.count_distinct(residue).alias("residues"), F.min(file_order(atoms)).alias("first"))
 
 
 def first_two_chains(atoms: DataFrame) -> DataFrame:
@@ -54,8 +58,8 @@ def residue_dictionary(atoms: DataFrame) -> DataFrame:
 
 
 def resolved(atoms: DataFrame) -> DataFrame:
-    """One row for each atom name of a residue: the highest occupancy, the lowest serial on ties."""
-    best = Window.partitionBy("structure_id", "model", "chain_id", "record", "res_seq", "icode", "atom_name").orderBy(F.desc_nulls_last("occupancy"), "serial")
+    """One row for each atom name of a residue: the highest occupancy, the first in the file on ties."""
+    best = Window.partitionBy("structure_id", "model", "chain_id", "record", "res_seq", "icode", "atom_name").orderBy(F.desc_nulls_last("occupancy"), file_order(atoms))
     return atoms.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
 
 
@@ -87,11 +91,31 @@ def normalized_dimers(atoms: DataFrame, on_conflict: str = "drop") -> tuple[Data
     return kept, reason(other, "not two chains").unionByName(reason(lost, "name conflict"))
 
 
+def missing(df: DataFrame, stage: str, reason: Column | str, patch: Column | None = None) -> DataFrame:
+    """Rows of a status table for the structures of df."""
+    text = F.lit(reason) if isinstance(reason, str) else reason
+    return df.select("structure_id", (F.lit(None) if patch is None else patch).cast("int").alias("patch_id"), F.lit(stage).alias("stage"), text.alias("reason"))
+
+
 def missing_chains(atoms: DataFrame, targets: DataFrame) -> DataFrame:
     """structure_id, stage, reason for targets(structure_id, chain_a, chain_b) that lack their file or a chain."""
     have = atoms.select("structure_id", "chain_id").distinct()
     want = targets.select("structure_id", F.explode(F.array("chain_a", "chain_b")).alias("chain_id")).distinct()
     files = have.select("structure_id").distinct()
-    no_file = targets.select("structure_id").distinct().join(files, "structure_id", "left_anti").select("structure_id", F.lit("load").alias("stage"), F.lit("no file").alias("reason"))
+    no_file = missing(targets.select("structure_id").distinct().join(files, "structure_id", "left_anti"), "load", "no file")
     lost = want.join(files, "structure_id", "left_semi").join(have, ["structure_id", "chain_id"], "left_anti")
-    return no_file.unionByName(lost.select("structure_id", F.lit("load").alias("stage"), F.concat(F.lit("no chain "), "chain_id").alias("reason")))
+    return no_file.unionByName(missing(lost, "load", F.concat(F.lit("no chain "), "chain_id"))).drop("patch_id")
+
+
+def resolved_targets(targets: DataFrame, files: DataFrame, extension: str = ".pdb") -> tuple[DataFrame, DataFrame]:
+    """(targets, status): targets(structure_id, ..) with the file that they name, of files(name, file), a listing of one folder.
+
+    A target's file is called `<id>.pdb`, or else `<id>` itself (its extension is part of the id); upper and lower case differ.
+    Of several listed files of one name the first by path is taken. Targets without a file are in status.
+    """
+    tries = F.posexplode(F.array(F.concat("structure_id", F.lit(extension)), F.col("structure_id"))).alias("nth", "name")
+    ids = targets.where("structure_id is not null").select("structure_id").distinct()
+    found = ids.select("structure_id", tries).join(files.groupBy("name").agg(F.min("file").alias("file")), "name")
+    best = found.groupBy("structure_id").agg(F.min_by("file", "nth").alias("file"))
+    lost = targets.select("structure_id").distinct().join(best, "structure_id", "left_anti")
+    return targets.join(best, "structure_id"), missing(lost, "load", "no file")

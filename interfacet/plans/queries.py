@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.chemistry import INTERACTIONS, PEPTIDES, RAW_TYPES
@@ -77,7 +77,7 @@ def j1_j2_nearest_atom(spark, sf_dir):
 @query(f"WITH {SIDES} SELECT DISTINCT a.structure_id, a.serial FROM a JOIN b ON a.structure_id=b.structure_id WHERE {DIST} < 8", "atoms")
 def j3_coarse_contacts(spark, sf_dir):
     a, b = sides(spark, sf_dir)
-    return spatial.near_pairs(a, points(b), ["structure_id"], 8.0).where("d < 8").select("structure_id", "serial").distinct()
+    return mapview.close_atoms(a, b, 8.0).select("structure_id", "serial")
 
 
 @query(f"WITH {PAIRS} SELECT structure_id, serial, b_serial, round(d, 6) AS d, type FROM t", "atoms")
@@ -237,6 +237,65 @@ def a5_g1_isosurface_vertices(spark, sf_dir):
     return points.groupBy(F.col("mesh_id").alias("structure_id")).agg(F.count("*").alias("n_vertices"), *[F.round(F.sum(k), 3).alias(f"s{k}") for k in "xyz"])
 
 
+def faces_sql() -> str:
+    """G2 over the smoothed density: the case table as values, a bit for each corner inside."""
+    corner = isosurface.corner
+    spot = lambda e: f"{{'x': {corner(e[0])[0]}, 'y': {corner(e[0])[1]}, 'z': {corner(e[0])[2]}, 'axis': {e[1]}}}"
+    cases = ", ".join(f"({m}, {n}, {', '.join(map(spot, t))})" for m in range(1, 255) for n, t in enumerate(isosurface.triangles(m)))
+    offsets = ", ".join(f"({', '.join(map(str, corner(i)))}, {1 << i})" for i in range(8))
+    vid = lambda k: f"(((ix+{k}.x)*ny+iy+{k}.y)*nz+iz+{k}.z)*3+{k}.axis AS {k}"
+    return f"""WITH {smoothing_sql()}, t AS (SELECT structure_id, CASE WHEN max(d) <= 0.1 THEN max(d)/2 ELSE 0.1 END AS l FROM v3 GROUP BY 1),
+cases(mask, nth, a, b, c) AS (VALUES {cases}), o(ox, oy, oz, bit) AS (VALUES {offsets}),
+cube AS (SELECT structure_id, ix-ox AS ix, iy-oy AS iy, iz-oz AS iz, CAST(sum(bit) AS BIGINT) AS mask FROM v3 JOIN t USING (structure_id), o WHERE d > l GROUP BY 1, 2, 3, 4)
+SELECT structure_id, ((ix*ny+iy)*nz+iz)*8+nth AS fid, {vid('a')}, {vid('b')}, {vid('c')} FROM cube JOIN n USING (structure_id) JOIN cases USING (mask) WHERE least(ix, iy, iz) >= 0 AND ix+1 < nx AND iy+1 < ny AND iz+1 < nz"""
+
+
+@query(faces_sql(), "atoms")
+def g2_j11_isosurface_faces(spark, sf_dir):
+    """All triangles of the surfaces, by the vertex ids of G1."""
+    a, _ = sides(spark, sf_dir)
+    cells, grid = chain_a_voxels(spark, sf_dir)
+    cells = materialize(density.smooth(cells, grid))
+    start = materialize(isosurface.starts(cells))
+    level = isosurface.levels(materialize(isosurface.crossing_edges(cells, grid, start)), start, a)
+    return isosurface.faces(cells, grid, level).withColumnRenamed("mesh_id", "structure_id")
+
+
+@query("SELECT mesh_id, 'face' AS kind, fid AS id, a, b, c FROM mesh_faces WHERE 7 NOT IN (a, b, c) UNION ALL SELECT DISTINCT mesh_id, 'vertex', unnest([a, b, c]), NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM mesh_faces WHERE 7 NOT IN (a, b, c)", "mesh_faces")
+def g13_validated(spark, sf_dir):
+    """Whole meshes in which every vertex stands twice, faces use both copies or stand twice, some have no area or a corner that isn't finite, and vertices are unused."""
+    faces, at = meshes(spark, sf_dir)
+    broken = F.when(F.col("vid") == 7, F.lit(float("nan"))).otherwise(F.col("x")).alias("x")
+    at = at.select("mesh_id", "vid", broken, "y", "z")
+    copies = at.selectExpr("mesh_id", "vid + 1000 AS vid", "x", "y + 1e-10 AS y", "z")
+    unused = at.selectExpr("mesh_id", "vid + 5000 AS vid", "x + 100 AS x", "y", "z")
+    mixed = faces.selectExpr("mesh_id", "fid", "a", "b", "c + 1000 AS c")
+    again = faces.selectExpr("mesh_id", "fid + 1000000 AS fid", "b + 1000 AS a", "c AS b", "a AS c")
+    empty = faces.selectExpr("mesh_id", "fid + 2000000 AS fid", "a", "a + 1000 AS b", "c")
+    faces, at = mesh.validated(mixed.unionByName(again).unionByName(empty), at.unionByName(copies).unionByName(unused))
+    none = [F.lit(None).cast("long").alias(k) for k in "abc"]
+    return faces.select("mesh_id", F.lit("face").alias("kind"), F.col("fid").alias("id"), "a", "b", "c").unionByName(at.select("mesh_id", F.lit("vertex").alias("kind"), F.col("vid").alias("id"), *none))
+
+
+COVARIANCE = f"m AS ({area_sql(', (p.x+q.x+r.x)/3 AS gx, (p.y+q.y+r.y)/3 AS gy, (p.z+q.z+r.z)/3 AS gz')}), o AS (SELECT mesh_id, sum(area*gx)/sum(area) AS cx, sum(area*gy)/sum(area) AS cy, sum(area*gz)/sum(area) AS cz FROM m GROUP BY 1), k AS (SELECT mesh_id, " + ", ".join(
+    f"avg(({p}-c{p})*({q}-c{q})) AS {p}{q}" for p, q in ("xx", "xy", "xz", "yy", "yz", "zz")
+) + " FROM mesh_vertices JOIN o USING (mesh_id) GROUP BY 1)"
+
+
+@query(f"WITH {COVARIANCE} SELECT mesh_id, {', '.join(f'round({c}, 6) AS {c}' for c in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))} FROM k", "mesh_vertices", "mesh_faces")
+def a15_covariance(spark, sf_dir):
+    faces, at = meshes(spark, sf_dir)
+    return project.covariance(faces, at).select("mesh_id", *[F.round(c, 6).alias(c) for c in ("xx", "xy", "xz", "yy", "yz", "zz")])
+
+
+@query(f"WITH {COVARIANCE}, q AS (SELECT *, (xx+yy+zz)/3 AS q FROM k), p AS (SELECT *, sqrt(((xx-q)*(xx-q)+(yy-q)*(yy-q)+(zz-q)*(zz-q)+2*(xy*xy+xz*xz+yz*yz))/6) AS p FROM q), f AS (SELECT *, acos(greatest(-1, least(1, ((xx-q)*((yy-q)*(zz-q)-yz*yz)-xy*(xy*(zz-q)-yz*xz)+xz*(xy*yz-(yy-q)*xz))/(2*p*p*p))))/3 AS f FROM p) SELECT mesh_id, round(q+2*p*cos(f+2*pi()/3), 6) AS x, round(3*q-(q+2*p*cos(f))-(q+2*p*cos(f+2*pi()/3)), 6) AS y, round(q+2*p*cos(f), 6) AS z, 0.0::DOUBLE AS mixed FROM f", "mesh_vertices", "mesh_faces")
+def g9_principal_variances(spark, sf_dir):
+    """In its own frame a mesh has the eigenvalues of its covariance as variances, in ascending order, and no mixed moments."""
+    frame = project.principal_frame(*meshes(spark, sf_dir))
+    mixed = F.round(F.greatest(*[F.abs(F.avg(F.col(p) * F.col(q))) for p, q in ("xy", "xz", "yz")]), 6)
+    return frame.groupBy("mesh_id").agg(*[F.round(F.avg(F.col(k) * F.col(k)), 6).alias(k) for k in "xyz"], mixed.alias("mixed"))
+
+
 @query("WITH b AS (SELECT mesh_id, min(y) AS ly, max(y)-min(y) AS ry, min(z) AS lz, max(z)-min(z) AS rz FROM mesh_vertices GROUP BY 1) SELECT mesh_id, vid, round((y-ly)/ry, 6) AS pu, round((z-lz)/rz, 6) AS pv, round((atan2(y, x)+pi())/(2*pi()), 6) AS su, round(acos(z/CASE WHEN x=0 AND y=0 AND z=0 THEN 1e-9 ELSE sqrt(x*x+y*y+z*z) END)/pi(), 6) AS sv, round((z-lz)/rz, 6) AS cv FROM mesh_vertices JOIN b USING (mesh_id)", "mesh_vertices")
 def g10_g11_g12_projections(spark, sf_dir):
     points = view(spark, sf_dir, "mesh_vertices")
@@ -267,11 +326,14 @@ def a9_a10_distortion(spark, sf_dir):
     return d.select("mesh_id", F.round("area_std", 4).alias("area_std"), F.round("angle_mae", 2).alias("angle_mae"))
 
 
-@query("SELECT structure_id, serial % 100000 AS serial, 1 AS model, record, chain_id, res_seq, CASE WHEN serial % 3 = 0 THEN 'A' ELSE '' END AS icode, res_name, atom_name, element, x, y, z FROM atoms", "atoms")
+@query("SELECT structure_id, row_number() OVER (PARTITION BY structure_id ORDER BY -serial) AS nth, serial % 100000 AS serial, 1 AS model, record, chain_id, res_seq, CASE WHEN serial % 3 = 0 THEN 'A' ELSE '' END AS icode, res_name, atom_name, element, x, y, z FROM atoms", "atoms")
 def s1_s8_pdb_files(spark, sf_dir):
+    """Files keep the order of lines, here that of falling serials, and only the first of two models."""
     root = shared_dir(spark)
-    structures.write_pdb_text(view(spark, sf_dir, "atoms").withColumn("icode", F.when(F.col("serial") % 3 == 0, "A")), root)
-    return structures.read_atoms(spark, root).select("structure_id", "serial", "model", "record", "chain_id", "res_seq", "icode", "res_name", "atom_name", "element", "x", "y", "z")
+    atoms = view(spark, sf_dir, "atoms").withColumns({"icode": F.when(F.col("serial") % 3 == 0, "A"), "line": -F.col("serial")})
+    structures.write_pdb_text(atoms.unionByName(atoms.withColumns({"model": F.lit(2), "x": F.col("x") + 1})), root)
+    nth = F.row_number().over(Window.partitionBy("structure_id").orderBy("line")).alias("nth")
+    return structures.read_atoms(spark, root).select("structure_id", nth, "serial", "model", "record", "chain_id", "res_seq", "icode", "res_name", "atom_name", "element", "x", "y", "z")
 
 
 @query("SELECT structure_id, serial, model, record, chain_id, res_seq, res_name, atom_name, element, x, y, z FROM atoms", "atoms")
@@ -296,11 +358,13 @@ def s3_contact_json(spark, sf_dir):
     return structures.parse_contacts(listed.select("structure_id", F.when(odd, F.concat(F.lit('{"interactions":'), F.col("list"), F.lit("}"))).otherwise(F.col("list")).alias("value"))).drop("contact")
 
 
-@query("SELECT structure_id, model, chain_id, record, res_seq, atom_name, CASE WHEN serial % 82 = 0 THEN serial + 100000000 ELSE serial END AS serial, round(CASE WHEN serial % 82 = 0 THEN x + 0.3 ELSE x END, 3) AS x FROM atoms", "atoms")
+@query("SELECT structure_id, model, chain_id, record, res_seq, atom_name, CASE WHEN serial % 82 = 0 THEN serial + CASE WHEN serial % 3 = 0 THEN 200000000 ELSE 100000000 END ELSE serial END AS serial, round(CASE WHEN serial % 82 = 0 THEN x + 0.3 ELSE x END, 3) AS x FROM atoms", "atoms")
 def f4_resolved(spark, sf_dir):
-    atoms = view(spark, sf_dir, "atoms").withColumns({"icode": F.lit(""), "occupancy": F.when(F.col("serial") % 82 == 0, 0.3).otherwise(1.0)})
-    other = atoms.where("serial % 41 = 0").withColumns({"serial": F.col("serial") + 100000000, "x": F.col("x") + 0.3, "occupancy": F.lit(0.4)})
-    return structure.resolved(atoms.unionByName(other)).select("structure_id", "model", "chain_id", "record", "res_seq", "atom_name", "serial", F.round("x", 3).alias("x"))
+    """Atoms with two or three locations; where two have the highest occupancy, the first line wins, whatever its serial."""
+    atoms = view(spark, sf_dir, "atoms").withColumns({"icode": F.lit(""), "occupancy": F.when(F.col("serial") % 82 == 0, 0.3).otherwise(1.0), "line": 2 * F.col("serial")})
+    other = atoms.where("serial % 41 = 0").withColumns({"serial": F.col("serial") + 100000000, "x": F.col("x") + 0.3, "occupancy": F.lit(0.4), "line": F.col("line") + 1})
+    third = other.where("serial % 3 = 1").withColumns({"serial": F.col("serial") + 100000000, "line": F.col("line") - 2})
+    return structure.resolved(atoms.unionByName(other).unionByName(third)).select("structure_id", "model", "chain_id", "record", "res_seq", "atom_name", "serial", F.round("x", 3).alias("x"))
 
 
 @query("SELECT o_orderkey AS entry_id FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 4 = 2")
@@ -358,6 +422,78 @@ def f17_j7_p7_styled_points(spark, sf_dir):
     return points.select("structure_id", "label", "uid", "type", "color")
 
 
+CHOSEN = f"""{PAIRS}, near AS (SELECT DISTINCT a.structure_id, a.serial FROM a JOIN b ON a.structure_id=b.structure_id AND {DIST} < 8),
+notes AS (SELECT structure_id, res_seq, type FROM (SELECT structure_id, TRY_CAST(nullif(regexp_extract(CASE WHEN bgn_chain='A' THEN bgn_seq ELSE end_seq END, '^\\s*(-?\\d+)', 1), '') AS INT) AS res_seq, {MAPPED} AS type
+  FROM contacts WHERE CAST(substr(structure_id, 2) AS INT) % 2 = 0 AND least(bgn_chain, end_chain)='A' AND greatest(bgn_chain, end_chain)='B') q WHERE type IS NOT NULL AND res_seq IS NOT NULL),
+noted AS (SELECT DISTINCT structure_id FROM notes),
+r AS (SELECT structure_id, res_seq, min(res_name) AS res_name, avg(x/12) AS u, avg(y/12) AS v FROM a WHERE structure_id IN (FROM noted) OR (structure_id, serial) IN (FROM near) GROUP BY 1, 2),
+k AS (SELECT * FROM notes UNION ALL SELECT structure_id, res_seq, type FROM t WHERE type IS NOT NULL AND structure_id NOT IN (FROM noted)),
+best AS (SELECT structure_id, res_seq, arg_min(type, list_position([{quoted(INTERACTIONS)}], type)) AS type FROM k GROUP BY 1, 2)"""
+
+
+@query(f"WITH {CHOSEN} SELECT structure_id, '1_' || res_name || res_seq AS uid, round(u, 9) AS u, round(v, 9) AS v, type FROM r JOIN best USING (structure_id, res_seq)", "atoms", "contacts")
+def a18_f15_j7_chosen_types(spark, sf_dir):
+    """Maps of a batch in which every second structure has contacts of known types; the others have contacts, but of unknown types only, and fall back to distances."""
+    a, b = sides(spark, sf_dir)
+    odd = F.substring("structure_id", 2, 9).cast("int") % 2 == 1
+    rows = view(spark, sf_dir, "contacts").withColumn("raw_type", F.when(odd, "unmapped").otherwise(F.col("raw_type")))
+    patch = a.select("structure_id", F.lit(1).alias("patch_id"), F.col("serial").alias("vid"), "x", "y", "z")
+    uv = patch.select("structure_id", "patch_id", "vid", (F.col("x") / 12).alias("u"), (F.col("y") / 12).alias("v"))
+    none = patch.where("false").selectExpr("structure_id", "patch_id", "vid AS a", "vid AS b", "vid AS c")
+    drawn = mapview.interface_map(none, patch.withColumn("z", F.col("z") + 0.1), uv, a, b, contacts.annotated_types(rows))
+    return drawn.points.select("structure_id", "uid", F.round("u", 9).alias("u"), F.round("v", 9).alias("v"), "type")
+
+
+TARGETS = "t AS (SELECT structure_id, CAST(substr(structure_id, 2) AS INT) % 4 AS kind FROM (SELECT DISTINCT structure_id FROM atoms) q)"
+
+
+@query(f"WITH {TARGETS} SELECT structure_id, 'found' AS stage, CASE kind WHEN 0 THEN structure_id || '.pdb' WHEN 1 THEN structure_id ELSE structure_id || '.pdb' END AS detail FROM t WHERE kind < 3 UNION ALL SELECT structure_id, 'load', 'no file' FROM t WHERE kind = 3", "atoms")
+def j8_resolved_targets(spark, sf_dir):
+    """Targets whose file has the extension, is called as the id itself, both, or neither."""
+    ids = view(spark, sf_dir, "atoms").select("structure_id").distinct().withColumn("kind", F.substring("structure_id", 2, 9).cast("int") % 4)
+    name = F.explode(F.when(F.col("kind") == 0, F.array(F.concat("structure_id", F.lit(".pdb")))).when(F.col("kind") == 1, F.array("structure_id"))
+                     .when(F.col("kind") == 2, F.array("structure_id", F.concat("structure_id", F.lit(".pdb")))).otherwise(F.array(F.concat("structure_id", F.lit(".PDB"))))).alias("name")
+    files = ids.select(name).withColumn("file", F.concat(F.lit("/in/"), "name"))
+    found, status = structure.resolved_targets(ids.select("structure_id", F.lit("A").alias("chain_a")), files)
+    have = found.select("structure_id", F.lit("found").alias("stage"), F.regexp_extract("file", "([^/]+)$", 1).alias("detail"))
+    return have.unionByName(status.select("structure_id", "stage", F.col("reason").alias("detail")))
+
+
+@query("WITH t AS (SELECT structure_id, CAST(substr(structure_id, 2) AS INT) % 5 AS kind FROM (SELECT DISTINCT structure_id FROM atoms) q UNION ALL SELECT DISTINCT structure_id || 'x', 5 FROM atoms) SELECT structure_id, CASE kind WHEN 0 THEN 'drawn' WHEN 1 THEN 'surface' WHEN 2 THEN 'patches' WHEN 3 THEN 'load' WHEN 4 THEN 'patches' ELSE 'load' END AS stage, CASE kind WHEN 0 THEN 'map' WHEN 1 THEN 'no surface' WHEN 2 THEN 'no interface patch' WHEN 3 THEN 'no chain B' WHEN 4 THEN 'no interface patch' ELSE 'no file' END AS reason FROM t", "atoms")
+def p1_f18_status(spark, sf_dir):
+    """What becomes of every target: drawn, or left out at a stage for a reason.
+
+    By structure number: as it is; chain A only of waters and ligands; chain B far away; chain B called C; a chain A of one residue,
+    whose surface is smaller than a patch; and targets without a file.
+    """
+    atoms = view(spark, sf_dir, "atoms").withColumn("kind", F.substring("structure_id", 2, 9).cast("int") % 5)
+    first, kind = F.col("chain_id") == "A", F.col("kind")
+    atoms = atoms.where((kind != 4) | ~first | (F.col("res_seq") == 1))
+    atoms = atoms.withColumns({
+        "record": F.when((kind == 1) & first, "HETATM").otherwise(F.col("record")), "z": F.when((kind == 2) & ~first, F.col("z") + 50).otherwise(F.col("z")),
+        "chain_id": F.when((kind == 3) & ~first, "C").otherwise(F.col("chain_id")),
+    })
+    targets = atoms.select("structure_id", F.lit("A").alias("chain_a"), F.lit("B").alias("chain_b")).distinct()
+    targets = materialize(targets.unionByName(targets.withColumn("structure_id", F.concat("structure_id", F.lit("x")))))
+    drawn, status = reports.interface_maps(atoms.drop("kind"), targets)
+    have = drawn.edges.select("structure_id").distinct().select("structure_id", F.lit("drawn").alias("stage"), F.lit("map").alias("reason"))
+    return have.unionByName(status.where("patch_id is null").select("structure_id", "stage", "reason"))
+
+
+PATCH_ROWS = "rows0 AS (SELECT CONCAT('S', CAST(CAST(FLOOR(k/10) AS BIGINT) AS VARCHAR(20))) AS structure_id, CAST(k%10+1 AS INT) AS patch, 50+(k*7919)%97 AS vertices, " + ", ".join(
+    f"CAST((k*{104729 + 2 * i})%100003 AS DOUBLE)/{'1000003' if v.endswith('std') else '1009'} AS {v}" for i, v in enumerate(reports.VALUES)
+) + ", CASE WHEN k%7=3 THEN 'no boundary' ELSE 'ok' END AS status FROM (SELECT o_orderkey AS k FROM orders) o)"
+ROUNDED = ", ".join(f"round({v}, {reports.digits(v)}) AS {v}" for v in reports.VALUES)
+
+
+@query(f"WITH {PATCH_ROWS}, p AS (SELECT structure_id, patch, vertices, {ROUNDED}, status FROM rows0) SELECT structure_id, CAST(patch AS VARCHAR) AS patch_id, vertices, {', '.join(reports.VALUES)}, status FROM p UNION ALL SELECT structure_id, 'weighted_avg', sum(vertices)::BIGINT, {', '.join(f'round(sum({v}*vertices)/sum(vertices), 4)' for v in reports.VALUES)}, coalesce(max(status) FILTER (WHERE status <> 'ok'), 'ok') FROM p GROUP BY 1 UNION ALL SELECT structure_id, 'largest', vertices, {', '.join(reports.VALUES)}, status FROM (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY vertices DESC, patch) AS nth FROM p) q WHERE nth = 1")
+def a12_a13_u1_totals(spark, sf_dir):
+    """Totals over the patches of structures whose weighted angles need four digits."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    rows = spark.sql(f"WITH {PATCH_ROWS.replace('FROM orders', 'FROM {orders}')} SELECT * FROM rows0", orders=orders)
+    return reports.with_totals(rows)
+
+
 LOOPS = f"{EDGES}, d AS (SELECT mesh_id, a AS p, b AS q FROM mesh_faces UNION ALL SELECT mesh_id, b, c FROM mesh_faces UNION ALL SELECT mesh_id, c, a FROM mesh_faces), o AS (SELECT d.* FROM d LEFT JOIN d r ON d.mesh_id=r.mesh_id AND d.p=r.q AND d.q=r.p WHERE r.p IS NULL), w AS (SELECT mesh_id, p AS root, p AS vid, 0 AS pos FROM o UNION ALL SELECT w.mesh_id, w.root, o.q, w.pos+1 FROM w JOIN o ON o.mesh_id=w.mesh_id AND o.p=w.vid WHERE o.q <> w.root), k AS (SELECT mesh_id, root, min(vid) AS low, count(*) AS n FROM w GROUP BY 1, 2), lp AS (SELECT w.mesh_id, w.root AS loop, CAST(w.pos AS BIGINT) AS pos, n, w.vid FROM w JOIN k ON k.mesh_id=w.mesh_id AND k.root=w.root AND k.low=w.root), best AS (SELECT mesh_id, arg_max(loop, (n, -loop)) AS loop FROM lp GROUP BY 1), l1 AS (SELECT lp.* FROM lp JOIN best USING (mesh_id, loop))"
 
 
@@ -394,18 +530,77 @@ def f11_f13_viable(spark, sf_dir):
     return points.groupBy("mesh_id").agg(F.count("*").alias("n_vertices"))
 
 
+def relaxed_sql(name: str, faces: str, at: str, rounds: int) -> str:
+    """Tables up to `name`: the vertices of meshes m after rounds of smoothing that keep their volume, or as they were where a value isn't finite."""
+    pairs = " UNION ".join(f"SELECT m, {p} AS i, {q} AS j FROM {faces}" for p in "abc" for q in "abc" if p != q)
+    det = "p.x*(q.y*r.z-q.z*r.y)+p.y*(q.z*r.x-q.x*r.z)+p.z*(q.x*r.y-q.y*r.x)"
+    size = lambda v: f"SELECT f.m, sum({det}) AS size FROM {faces} f JOIN {v} p ON f.m=p.m AND f.a=p.vid JOIN {v} q ON f.m=q.m AND f.b=q.vid JOIN {v} r ON f.m=r.m AND f.c=r.vid GROUP BY 1"
+    sql, last = f"{name}n AS MATERIALIZED ({pairs}), {name}s AS MATERIALIZED ({size(at)})", at
+    for k in range(rounds):
+        sql += f""", {name}m{k} AS MATERIALIZED (SELECT v.m, v.vid, v.x+0.5*(coalesce(w.x, v.x)-v.x) AS x, v.y+0.5*(coalesce(w.y, v.y)-v.y) AS y, v.z+0.5*(coalesce(w.z, v.z)-v.z) AS z
+  FROM {last} v LEFT JOIN (SELECT e.m, e.i, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM {name}n e JOIN {last} v ON e.m=v.m AND e.j=v.vid GROUP BY 1, 2) w ON v.m=w.m AND v.vid=w.i),
+{name}k{k} AS (SELECT m, CASE WHEN s.size/t.size > 0 THEN pow(s.size/t.size, 1.0::DOUBLE/3) ELSE 'nan'::DOUBLE END AS k FROM {name}s s JOIN ({size(f"{name}m{k}")}) t USING (m)),
+{name}v{k} AS MATERIALIZED (SELECT m, vid, x*k AS x, y*k AS y, z*k AS z FROM {name}m{k} JOIN {name}k{k} USING (m))"""
+        last = f"{name}v{k}"
+    return f"{sql}, {name} AS MATERIALIZED (SELECT o.m, o.vid, {', '.join(f'CASE WHEN fine THEN w.{k} ELSE o.{k} END AS {k}' for k in 'xyz')} FROM {at} o JOIN {last} w USING (m, vid) JOIN (SELECT m, bool_and(isfinite(x) AND isfinite(y) AND isfinite(z)) AS fine FROM {last} GROUP BY 1) g USING (m))"
+
+
+def sweep_sql(param: str, sigmas: list[float], cutoffs: list[float], least_vertices: int = 10) -> str:
+    """P3 and P4 from atoms to areas: densities, levels, vertices and triangles, smoothing, distances, components, patches smoothed, areas."""
+    head = faces_sql()
+    cases = head[head.index("cases(mask") : head.index("cube AS")]
+    taps = ", ".join(f"({s}::DOUBLE, {o}, {w!r}::DOUBLE)" for s in sigmas for o, w in density.kernel(s))
+    cut = ", ".join(f"({c}::DOUBLE)" for c in cutoffs)
+    sql = f"{SIDES}, {VOXELS}, k(sigma, o, w) AS (VALUES {taps}), u0 AS (SELECT structure_id, sigma, ix, iy, iz, d FROM v0, (SELECT DISTINCT sigma FROM k) q)"
+    for j, x in enumerate("xyz"):
+        to = f"CASE WHEN i{x}+o<0 THEN -(i{x}+o)-1 WHEN i{x}+o>=n{x} THEN 2*n{x}-1-(i{x}+o) ELSE i{x}+o END"
+        at = ", ".join(f"{to} AS i{c}" if c == x else f"i{c}" for c in "xyz")
+        sql += f", u{j + 1} AS MATERIALIZED (SELECT structure_id, sigma, ix, iy, iz, sum(m) AS d FROM (SELECT structure_id, sigma, {at}, d*w AS m FROM u{j} JOIN n USING (structure_id) JOIN k USING (sigma)) q GROUP BY 1, 2, 3, 4, 5)"
+    counts = ", ".join(f"sum(CASE WHEN (d0 > s/{2**i}) <> (d1 > s/{2**i}) THEN 1 ELSE 0 END) AS n{i}" for i in range(4))
+    sql += f""", st AS (SELECT structure_id, sigma, CASE WHEN max(d) <= 0.1 THEN max(d)/2 ELSE 0.1::DOUBLE END AS s FROM u3 GROUP BY 1, 2), ax(axis, dx, dy, dz) AS (VALUES (0, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0, 1)),
+g1 AS (SELECT structure_id, sigma, ix, iy, iz, axis, sum(d0) AS d0, sum(d1) AS d1 FROM (SELECT structure_id, sigma, ix, iy, iz, axis, d AS d0, 0.0::DOUBLE AS d1 FROM u3, ax UNION ALL SELECT structure_id, sigma, ix-dx, iy-dy, iz-dz, axis, 0.0::DOUBLE, d FROM u3, ax) q GROUP BY 1, 2, 3, 4, 5, 6),
+ed AS MATERIALIZED (SELECT g1.* FROM g1 JOIN n USING (structure_id) JOIN ax USING (axis) WHERE least(ix, iy, iz) >= 0 AND ix+dx < nx AND iy+dy < ny AND iz+dz < nz),
+ct AS (SELECT structure_id, sigma, s, {counts} FROM ed JOIN st USING (structure_id, sigma) GROUP BY 1, 2, 3), need AS (SELECT structure_id, least(500.0, count(*)*0.5) AS need FROM a GROUP BY 1),
+lv AS (SELECT structure_id, sigma, structure_id || '/' || sigma AS m, CASE WHEN n0 >= need THEN s WHEN n1 >= need THEN s/2 WHEN n2 >= need THEN s/4 ELSE s/8 END AS l FROM ct JOIN need USING (structure_id)),
+at0 AS MATERIALIZED (SELECT m, ((ix*ny+iy)*nz+iz)*3+axis AS vid, lox+ix+CASE WHEN axis=0 THEN (l-d0)/(d1-d0) ELSE 0 END AS x, loy+iy+CASE WHEN axis=1 THEN (l-d0)/(d1-d0) ELSE 0 END AS y, loz+iz+CASE WHEN axis=2 THEN (l-d0)/(d1-d0) ELSE 0 END AS z
+  FROM ed JOIN lv USING (structure_id, sigma) JOIN n USING (structure_id) WHERE (d0 > l) <> (d1 > l)),
+{cases}cube AS (SELECT structure_id, sigma, ix-ox AS ix, iy-oy AS iy, iz-oz AS iz, CAST(sum(bit) AS BIGINT) AS mask FROM u3 JOIN lv USING (structure_id, sigma), o WHERE d > l GROUP BY 1, 2, 3, 4, 5),
+fc AS MATERIALIZED (SELECT m, ((ix*ny+iy)*nz+iz)*8+nth AS fid, {", ".join(f"(((ix+{k}.x)*ny+iy+{k}.y)*nz+iz+{k}.z)*3+{k}.axis AS {k}" for k in "abc")} FROM cube JOIN lv USING (structure_id, sigma) JOIN n USING (structure_id) JOIN cases USING (mask) WHERE least(ix, iy, iz) >= 0 AND ix+1 < nx AND iy+1 < ny AND iz+1 < nz),
+{relaxed_sql("sm", "fc", "at0", 3)}, cuts(cutoff) AS (VALUES {cut}),
+near AS MATERIALIZED (SELECT m, vid, min({DIST}) AS dist FROM sm a JOIN lv USING (m) JOIN b USING (structure_id) WHERE {DIST} < {max(cutoffs)} GROUP BY 1, 2),
+hit AS (SELECT m, fid, min(dist) AS dist FROM (SELECT m, fid, unnest([a, b, c]) AS vid FROM fc) q JOIN near USING (m, vid) GROUP BY 1, 2),
+pf AS MATERIALIZED (SELECT m, cutoff, fid, a, b, c FROM fc JOIN hit USING (m, fid), cuts WHERE dist < cutoff),
+ad AS (SELECT m, cutoff, min(fid) AS f, max(fid) AS g FROM (SELECT m, cutoff, fid, unnest([{{'u': least(a,b), 'v': greatest(a,b)}}, {{'u': least(b,c), 'v': greatest(b,c)}}, {{'u': least(c,a), 'v': greatest(c,a)}}]) AS e FROM pf) q GROUP BY m, cutoff, e HAVING count(*)=2),
+ad2 AS MATERIALIZED (SELECT m, cutoff, f, g FROM ad UNION ALL SELECT m, cutoff, g, f FROM ad), c0 AS (SELECT m, cutoff, fid, fid AS label FROM pf)"""
+    for k in range(14):  # the least label of neighbours, then the label of the label
+        sql += f""", h{k} AS MATERIALIZED (SELECT c.m, c.cutoff, c.fid, least(c.label, coalesce(q.label, c.label)) AS label FROM c{k} c LEFT JOIN (SELECT m, cutoff, f, min(label) AS label FROM ad2 JOIN c{k} x USING (m, cutoff) WHERE x.fid=g GROUP BY 1, 2, 3) q ON c.m=q.m AND c.cutoff=q.cutoff AND c.fid=q.f),
+c{k + 1} AS MATERIALIZED (SELECT h.m, h.cutoff, h.fid, j.label FROM h{k} h JOIN h{k} j ON h.m=j.m AND h.cutoff=j.cutoff AND h.label=j.fid)"""
+    sql += f""", big AS (SELECT m, cutoff, label FROM (SELECT m, cutoff, label, unnest([a, b, c]) AS vid FROM pf JOIN c14 USING (m, cutoff, fid)) q GROUP BY 1, 2, 3 HAVING count(DISTINCT vid) >= {least_vertices}),
+rf0 AS MATERIALIZED (SELECT pf.m AS mesh, cutoff, pf.m || '/' || cutoff || '/' || label AS m, fid, a, b, c FROM pf JOIN c14 USING (m, cutoff, fid) JOIN big USING (m, cutoff, label)),
+rv AS MATERIALIZED (SELECT DISTINCT q.m, q.vid, x, y, z FROM (SELECT mesh, m, unnest([a, b, c]) AS vid FROM rf0) q JOIN sm ON sm.m=q.mesh AND sm.vid=q.vid), {relaxed_sql("rs", "rf0", "rv", 5)},
+total AS (SELECT f.mesh AS m, f.cutoff, sum({CROSS}) AS area FROM rf0 f JOIN rs p ON f.m=p.m AND f.a=p.vid JOIN rs q ON f.m=q.m AND f.b=q.vid JOIN rs r ON f.m=r.m AND f.c=r.vid GROUP BY 1, 2)
+SELECT structure_id, '{param}' AS param, {param} AS value, round(coalesce(area, 0), 4) AS area FROM lv CROSS JOIN cuts LEFT JOIN total USING (m, cutoff)"""
+    return f"WITH {sql}"
+
+
+@query(sweep_sql("cutoff", [1.5], [3 + i / 2 for i in range(11)]), "atoms")
+def p3_sweep_cutoff(spark, sf_dir):
+    a, b = sides(spark, sf_dir)
+    return sweeps.sweep_cutoff(a, points(b)).withColumn("area", F.round("area", 4))
+
+
+@query(sweep_sql("sigma", [0.5, 1.0, 1.5, 2.0, 2.5, 3.0], [5.0]), "atoms")
+def p4_sweep_sigma(spark, sf_dir):
+    a, b = sides(spark, sf_dir)
+    return sweeps.sweep_sigma(a, points(b)).withColumn("area", F.round("area", 4))
+
+
 def unchecked(f: Query) -> Query:
     """Registers a query that SQL can't state; tests hold it against properties."""
     QUERIES[f.__name__] = f
     return f
 
 
-@unchecked
-def p3_sweep_cutoff(spark, sf_dir):
-    a, b = sides(spark, sf_dir)
-    return sweeps.sweep_cutoff(a, points(b))
-
-
 @unchecked
 def p2_distortion_report(spark, sf_dir):
     a, b = sides(spark, sf_dir)
@@ -414,12 +609,6 @@ def p2_distortion_report(spark, sf_dir):
     return reports.distortion_report(patches, at, structure.first_two_chains(view(spark, sf_dir, "atoms")))
 
 
-@unchecked
-def p4_sweep_sigma(spark, sf_dir):
-    a, b = sides(spark, sf_dir)
-    return sweeps.sweep_sigma(a, points(b))
-
-
 @unchecked
 def g6_harmonic(spark, sf_dir):
     faces, at = flatten.cleaned(*meshes(spark, sf_dir))
@@ -436,4 +625,4 @@ def p1_interface_map(spark, sf_dir):
     a, b = sides(spark, sf_dir)
     faces, at = sweeps.surface(a)
     patches = materialize(sweeps.interface(faces, sweeps.distances(at, points(b), 5.0), 5.0))
-    return reports.maps_of(patches, at, a, b).points
+    return reports.maps_of(patches, at, a, b)[0].points

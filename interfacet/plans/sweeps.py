@@ -55,18 +55,16 @@ def patch_meshes(patches: DataFrame, points: DataFrame, *keys: str) -> tuple[Dat
 
 
 def sweep_cutoff(a: DataFrame, b: DataFrame, values=tuple(3 + i / 2 for i in range(11)), least_vertices: int = 10) -> DataFrame:
-    """Interface area for each cutoff; distances are joined once, at the largest, and all cutoffs share one component search."""
+    """Interface area for each cutoff; distances are joined once, at the largest, and each mesh goes through all cutoffs at once (`mesh.nested_patches`)."""
     faces, points = surface(a)
-    near = materialize(distances(points, b, max(values)))
+    near = distances(points, b, max(values))
     steps = F.explode(F.array(*map(F.lit, values)))
     hits = mesh.corners(faces, "fid").join(near, ["mesh_id", "vid"]).groupBy("mesh_id", "fid").agg(F.min("dist").alias("dist"))
-    every = faces.select(F.col("mesh_id").alias("structure_id")).distinct().withColumn("value", steps)
-    surfaces = numbers(every, "surface")
-    part = faces.join(hits, ["mesh_id", "fid"]).withColumnRenamed("mesh_id", "structure_id").join(surfaces, "structure_id").where("dist < value")
-    kept = mesh.patches(materialize(part.select(F.col("surface").alias("mesh_id"), "fid", "a", "b", "c")), least_vertices)
-    kept = kept.withColumnRenamed("mesh_id", "surface").join(surfaces, "surface")
+    part = materialize(faces.join(hits, ["mesh_id", "fid"]).select("mesh_id", "fid", "a", "b", "c", "dist"))
+    kept = mesh.nested_patches(part, values, least_vertices).withColumnRenamed("mesh_id", "structure_id")
     *clean, names = patch_meshes(kept, points, "structure_id", "value", "patch_id")
     total = mesh.measured(*clean).join(names, "mesh_id").groupBy("structure_id", "value").agg(F.sum("area").alias("area"))
+    every = faces.select(F.col("mesh_id").alias("structure_id")).distinct().withColumn("value", steps)
     return every.join(total, ["structure_id", "value"], "left").select("structure_id", F.lit("cutoff").alias("param"), "value", F.coalesce("area", F.lit(0.0)).alias("area"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from interfacet.operators import flatten, mapview, project, structure
 from interfacet.plans import queries as plans
+from interfacet.plans import reports
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,7 +64,54 @@ def test_map_restyles_and_round_trips(spark, tmp_path):
     plain = mapview.restyled(drawn, color_by_type=False, color="red").points
     assert sorted(r["label"] for r in plain.collect()) == ["6", "ALA5"] and plain.where("type is not null").count() == 0
     mapview.write_interface_map(drawn, str(tmp_path / "map"))
-    assert spark.read.parquet(str(tmp_path / "map" / "points")).count() == 1
+    back = mapview.read_interface_map(spark, str(tmp_path / "map"))
+    for name in mapview.InterfaceMap._fields:
+        assert sorted(map(str, getattr(back, name).collect())) == sorted(map(str, getattr(drawn, name).select(*getattr(back, name).columns).collect()))
+    again = mapview.restyled(back, active=["hbond"])  # from what was saved alone
+    for name in ("points", "legend"):
+        assert sorted(map(str, getattr(again, name).collect())) == sorted(map(str, getattr(other, name).collect()))
+
+
+def test_each_structure_chooses_its_types(spark):
+    """Structures with annotated residues take types from them and place all residues on the patch, others go by distance."""
+    a = [(s, k, k, "ALA", "CB", "C", 4.0 * k, 0.0, 0.0) for s in ("D", "N") for k in range(5)]
+    a = spark.createDataFrame(a, "structure_id string, serial long, res_seq int, res_name string, atom_name string, element string, x double, y double, z double")
+    b = a.where("serial < 2").withColumns({"z": F.col("z") + 4})
+    patch = a.select("structure_id", F.lit(1).alias("patch_id"), F.col("serial").alias("vid"), "x", "y", "z")
+    uv = patch.select("structure_id", "patch_id", "vid", (F.col("x") / 16).alias("u"), F.lit(0.0).alias("v"))
+    none = patch.where("false").selectExpr("structure_id", "patch_id", "vid AS a", "vid AS b", "vid AS c")
+    noted = spark.createDataFrame([("N", 3, ["hbond", "pi_stack"]), ("N", 9, ["hbond"])], "structure_id string, res_seq int, types array<string>")
+    shown = lambda **k: {(r["structure_id"], r["uid"], r["type"]) for r in mapview.interface_map(none, patch, uv, a, b, noted, **k).points.collect()}
+    assert shown() == {("N", "1_ALA3", "pi_stack"), *[("D", f"1_ALA{k}", "hydrophobic") for k in (0, 1)]}
+    assert shown(color_by_type=False) == {*[("N", f"1_ALA{k}", None) for k in range(5)], *[("D", f"1_ALA{k}", None) for k in range(3)]}
+    plain = mapview.interface_map(none, patch, uv, a, b).points
+    assert {(r["structure_id"], r["label"]) for r in plain.collect()} == {(s, f"ALA{k}") for s in "DN" for k in (0, 1)}
+
+
+def test_reasons_of_meshes_without_a_map(spark):
+    sheet = [("flat", 0, 0, 1, 2), ("flat", 1, 1, 3, 2), ("ball", 0, 0, 1, 2), ("ball", 1, 0, 2, 3), ("ball", 2, 0, 3, 1), ("ball", 3, 1, 3, 2), ("line", 0, 0, 1, 4)]
+    faces = spark.createDataFrame(sheet, "mesh_id string, fid long, a long, b long, c long")
+    spot = [(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0), (3, 1.0, 1.0, 0.5), (4, 2.0, 0.0, 0.0)]
+    at = spark.createDataFrame([(m, *p) for m in ("flat", "ball", "line") for p in spot], "mesh_id string, vid long, x double, y double, z double")
+    names = at.select("mesh_id").distinct().unionByName(spark.createDataFrame([("gone",)], "mesh_id string"))
+    uv, lost = flatten.flattened_or_not(names, *flatten.cleaned(faces, at))
+    assert {r["mesh_id"] for r in uv.collect()} == {"flat"}
+    assert {tuple(r) for r in lost.collect()} == {("ball", "no boundary"), ("line", "no valid faces"), ("gone", "no valid faces")}
+
+
+def test_patch_that_splits_has_no_conformal_metrics(spark):
+    """Two parts in one patch: all vertices count, projections see all of it, the conformal metrics are 0.0 and the status says why."""
+    faces, at = (df.where("mesh_id < 2").drop("status") for df in plans.meshes(spark, SF))
+    patches = faces.selectExpr("'S' AS structure_id", "mesh_id + 1 AS patch_id", "mesh_id * 1000 + fid AS fid", *[f"mesh_id * 1000 + {c} AS {c}" for c in "abc"])
+    vertices = at.selectExpr("'S' AS mesh_id", "mesh_id * 1000 + vid AS vid", "x", "y", "z")
+    rows = {r["patch_id"]: r for r in reports.distortion_report(patches, vertices, raw=True).collect()}  # mesh 0 has two parts
+    assert rows["1"]["status"] == "component dropped" and rows["2"]["status"] == "ok" and rows["weighted_avg"]["status"] == "component dropped"
+    assert rows["1"]["vertices"] == rows["2"]["vertices"] == 100 and rows["weighted_avg"]["vertices"] == 200
+    assert rows["1"]["conformal_angle_mae"] == rows["1"]["conformal_area_std"] == 0.0 and rows["1"]["planar_angle_mae"] > 0 and rows["2"]["conformal_angle_mae"] > 0
+    assert rows["weighted_avg"]["conformal_angle_mae"] == round(rows["2"]["conformal_angle_mae"] / 2, 4)
+    assert rows["largest"]["planar_angle_mae"] == rows["1"]["planar_angle_mae"] == round(rows["1"]["raw_planar_angle_mae"], 2)
+    kept = {r["patch_id"]: r for r in reports.distortion_report(patches, vertices, skip_failed=True).collect()}
+    assert kept["weighted_avg"]["vertices"] == 100 and kept["weighted_avg"]["conformal_angle_mae"] == kept["2"]["conformal_angle_mae"]
 
 
 def test_dimers(spark):

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from interfacet.operators import isosurface, mesh, project
+from interfacet.operators import isosurface, mesh, project, structure
 from interfacet.plans import queries as plans
 from interfacet.plans import sweeps
 from interfacet.sources import structures
@@ -128,9 +128,56 @@ def test_files(spark, tmp_path):
     got = {(r["structure_id"], r["model"], r["atom_name"], r["chain_id"], r["res_seq"], r["icode"], r["x"]) for r in structures.read_atoms(spark, str(tmp_path)).collect()}
     assert got == {("one", 1, "CA", "A", 5, "A", 1.0), ("one", 2, "CA", "A", 5, "A", 1.0), ("two", None, "O'", "B", None, None, 1.5)}
     assert {r["structure_id"] for r in structures.list_structures(spark, str(tmp_path)).collect()} == {"one", "three"}
+    (tmp_path / "one").write_text("END\n")
+    wanted = spark.createDataFrame([("one", "A"), ("two.cif", "A"), ("three", "A"), ("empty", "B"), (None, "A")], "structure_id string, chain_a string")
+    found, status = structure.resolved_targets(wanted, structures.list_files(spark, str(tmp_path)))
+    assert {(r["structure_id"], r["file"].rsplit("/", 1)[1]) for r in found.collect()} == {("one", "one.pdb"), ("two.cif", "two.cif")}
+    assert {(r["structure_id"], r["stage"], r["reason"]) for r in status.collect()} == {(i, "load", "no file") for i in ("three", "empty", None)}
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "targets.csv").write_text("PDB,Chain_A,Chain_B,Category\n1abc,A,B,\n2abc,H,L,x\n")
     assert [r["Category"] for r in structures.read_targets(spark, str(tmp_path / "t")).orderBy("PDB").collect()] == ["Uncategorized", "x"]
     sweep = spark.createDataFrame([("S0", "cutoff", 3.0, 1.5)], "structure_id string, param string, value double, area double")
     structures.write_sweep(sweep, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).first()["area"] == "1.5"
+
+
+def test_nested_patches_equal_copies(spark):
+    """Patches at every cutoff: of each mesh in one task, by joins over copies, and each cutoff on its own."""
+    faces, points = (plans.view(spark, SF, v).where("mesh_id < 4") for v in ("mesh_faces", "mesh_vertices"))
+    odd = spark.createDataFrame([(9, 5, 0, 1, 2), (9, 3, 1, 0, 3), (9, 4, 0, 1, 4), (9, 8, 5, 6, 7), (9, 7, 6, 5, 7)], faces.schema)  # an edge that gets a third face, a face twice
+    dist = F.when(F.col("mesh_id") == 9, F.col("fid") - 2.5).otherwise((F.col("fid") * 37 % 100) / 20)
+    faces = faces.unionByName(odd).withColumn("dist", dist).cache()
+    values = [0.5, 1.0, 1.0, 2.0, 3.0, 4.5, 5.0, 9.0]
+    row = lambda r: (r["mesh_id"], r["value"], r["patch_id"], r["fid"], r["a"], r["b"], r["c"])
+    for least in (1, 3, 20):
+        one, two = (sorted(row(r) for r in mesh.nested_patches(faces, values, least, large).collect()) for large in (10000, 1))
+        each = [(r["mesh_id"], v, r["patch_id"], r["fid"], r["a"], r["b"], r["c"]) for v in set(values) for r in mesh.patches(faces.where(F.col("dist") < v).drop("dist").cache(), least).collect()]
+        assert one == two == sorted(each)
+    assert mesh.nested_patches(faces.where("false"), values).count() == 0 and mesh.nested_patches(faces, []).count() == 0
+
+
+def test_large_files_are_read_in_blocks(spark, tmp_path):
+    """Files cut into blocks of a few lines give the atoms that whole texts give: numbers of lines, models and columns are carried on."""
+    atom = "ATOM  {:>5d}  CA  ALA A{:>4d}    {:>8.3f}{:>8.3f}{:>8.3f}  1.00  0.00           C  \n"
+    body = ["HEADER\n", "\n"]
+    for model in range(3):
+        body += [f"MODEL {model + 1:>8d}\n", *[atom.format(i, i, i / 2, model, -1.0) for i in range(40)], "ENDMDL\n"]
+    (tmp_path / "many.pdb").write_text("".join(body))
+    (tmp_path / "bare.pdb").write_text("".join(atom.format(i, i, 0.5, 1.5, 2.5) for i in range(30)))
+    loop = "data_x\nloop_\n_atom_site.group_PDB\n_atom_site.id\n_atom_site.label_atom_id\n_atom_site.auth_asym_id\n_atom_site.Cartn_x\n"
+    (tmp_path / "wide.cif").write_text(loop + "".join(f"ATOM {i} \"O'\" B {i}.5\n" for i in range(60)) + "#\n")
+    whole = structures.texts(spark, str(tmp_path))
+    cif = F.col("file").endswith(".cif")
+    want = sorted(map(str, structures.parse_pdb(whole.where(~cif)).unionByName(structures.parse_mmcif(whole.where(cif))).collect()))
+    assert len(want) == 120 + 30 + 60
+    for size in ("128m", "300b", "90b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            got = structures.read_atoms(spark, str(tmp_path))
+            blocks = structures.file_lines(spark, str(tmp_path)).select("file", "block").distinct().count()
+            assert (blocks > 20) == (size != "128m")
+            assert sorted(map(str, got.collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
