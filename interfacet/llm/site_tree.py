@@ -63,12 +63,37 @@ def named(tag: str, attributes: str) -> tuple[str, set[str]]:
     return tag + "".join(f".{v}" for k, v in found if k == "class"), words
 
 
+class Stack:
+    """Open elements, with the places of each tag at hand, so that no search walks the whole stack."""
+
+    def __init__(self):
+        self.items: list[tuple[str, int]] = [("", 0)]  # tag, element (of the nearest one that can hold blocks)
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of tags, 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, tag: str, element: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.items))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.items))
+        self.items.append((tag, element))
+
+    def cut(self, upto: int) -> None:
+        while len(self.items) > upto:
+            self.places[self.items.pop()[0]].pop()
+        while self.blocks and self.blocks[-1] >= upto:
+            self.blocks.pop()
+
+
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The elements of a page, parents first, and its blocks of text (element, text) in page order."""
+    """The elements of a page, parents first, and its blocks of text (element, text) in page order, in time that grows with the page."""
     import xxhash
 
     nodes = [Node(-1, 0, "", False, 0)]
-    stack: list[tuple[str, int]] = [("", 0)]  # tag, element (of the nearest one that can hold blocks)
+    stack = Stack()
     out: list[tuple[int, str]] = []
     held: list[str] = []
 
@@ -76,29 +101,36 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         text = " ".join(references.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((stack[-1][1], text))
+            out.append((stack.items[-1][1], text))
 
     def close(upto: int):
         flush()
-        del stack[upto:]
+        stack.cut(upto)
 
     at, end = 0, len(html)
+    tags = html.rfind(">") + 1  # no tag ends behind it, so none is looked for
     while at < end:
-        m = TAG.search(html, at)
+        m = TAG.search(html, at, tags) if at < tags else None
+        comment = html.find("<!--", at, m.start() if m else end) if m is None or m.start() > at else -1
+        if comment >= 0:  # one that is never closed
+            held.append(html[at:comment])
+            break
         if m is None:
             held.append(html[at:])
             break
         held.append(html[at : m.start()])
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<!--") and not (m[0].endswith("-->") and len(m[0]) > 6):
+                break
             continue
         tag = m[2].lower()
         if m[1]:
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            i = stack.last((tag,))
             if i and tag in BLOCKS:
                 close(i)
-            elif i and not any(s[0] in BLOCKS for s in stack[i:]):
-                del stack[i:]
+            elif i and not (stack.blocks and stack.blocks[-1] >= i):
+                stack.cut(i)
             continue
         if tag in BLOCKS:
             flush()
@@ -107,24 +139,20 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in VOID:
             continue
         for names, scope in ((SAME.get(tag), SCOPE.get(tag)), ({"p"} if tag in CLOSES_P else None, SCOPE["p"])):
-            i = len(stack) - 1
-            while names and i > 0 and stack[i][0] not in (scope or ()):
-                if stack[i][0] in names:
-                    close(i)
-                    break
-                i -= 1
-        element = stack[-1][1]
+            if names and (i := stack.last(names)) > stack.last(scope or ()):
+                close(i)
+        element = stack.items[-1][1]
         if tag in BLOCKS:
             name, words = named(tag, m[3])
             above = nodes[element]
             bad = 2 if tag in NEVER else 1 if tag == "form" or words & BOILERPLATE or (not above.content and (tag == "header" or "header" in words)) else 0
             nodes.append(Node(element, xxhash.xxh3_64_intdigest(f"{above.key:x}/{name}"), tag, above.content or tag in CONTENT or "main" in words, bad))
             element = len(nodes) - 1
-        stack.append((tag, element))
+        stack.push(tag, element)
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
             at = stop.end() if stop else end
-            stack.pop()
+            stack.cut(len(stack.items) - 1)
     flush()
     return nodes, out
 

@@ -107,3 +107,16 @@ def test_odd_pages(spark):
     assert len(got) == 6 and got.count((1, "deep")) == 2 and (None, "a <b> A c") in got and (6, "") in got
     assert dict(got)[5] == " ".join(["word"] * 200_000)
     assert site_tree.extract(wide.where("false")).count() == 0
+
+
+def test_hostile_pages_take_linear_time():
+    """Open tags, closing tags without an opening one, and marks that never end: twice the page, about twice the time."""
+    import time
+
+    for part in ("<ul>", "<!-", '<a "', "<p>", "<b>"):
+        html = part * 40000 + "</i>" * 40000
+        start = time.time()
+        site_tree.parse(html)
+        assert time.time() - start < 10  # a search of the whole stack or page at each tag takes minutes
+    assert site_tree.parse("a<p>b<!-- c > d")[1] == [(0, "a"), (1, "b")]
+    assert site_tree.parse("a<!-- > --> b <!-->c")[1] == [(0, "a b")]
