@@ -26,14 +26,50 @@ def directed_boundary(faces: DataFrame) -> DataFrame:
     return edges.agg(F.count("*").alias("n"), F.max("e").alias("e")).where("n = 1").select("mesh_id", "e.u", "e.v")
 
 
-def boundary_loops(faces: DataFrame) -> DataFrame:
+def task_loops(edges):
+    """loop, pos, n, vid of the closed loops of the directed edges of one mesh."""
+    import pandas as pd
+
+    rows = sorted(zip(edges["u"].tolist(), edges["v"].tolist(), strict=True))
+    out, into = {}, {}
+    for u, v in rows:
+        out.setdefault(u, []).append((u, v))  # in order of v
+        into.setdefault(v, []).append((u, v))  # in order of u
+    step = {e: (out[v][k] if k < len(out.get(v, ())) else None) for v, es in into.items() for k, e in enumerate(es)}
+    found, seen = [], set()
+    for first in rows:
+        if first in seen:
+            continue
+        loop, at = [], first
+        while at is not None and at not in seen:
+            seen.add(at)
+            loop.append(at)
+            at = step[at]
+        if at == first:  # else an open end
+            found += [(first[0], k, len(loop), e[0]) for k, e in enumerate(loop)]
+    loop, pos, n, vid = zip(*found, strict=True) if found else ((), (), (), ())
+    no = edges["no"].iloc[0] if len(edges) else 0
+    return pd.DataFrame({"no": no, "loop": pd.Series(loop, dtype="int64"), "pos": pd.Series(pos, dtype="int64"), "n": pd.Series(n, dtype="int64"), "vid": pd.Series(vid, dtype="int64")})
+
+
+def boundary_loops(faces: DataFrame, large: int = LARGE) -> DataFrame:
     """mesh_id, loop, pos, n, vid: the vertices of every closed boundary, in the direction of its faces.
 
     A loop starts at, and is named by, its lowest vid. Where loops touch in a vertex, its incoming and
-    outgoing edges are paired in order of vid; a vertex passed twice has two rows. Order comes from
-    pointer doubling: each round doubles the stretch of edges whose lowest edge is known.
+    outgoing edges are paired in order of vid; a vertex passed twice has two rows. The edges of a mesh that has up to `large` of
+    them are followed in one task, those of larger ones by joins.
     """
     edges = materialize(directed_boundary(faces))
+    names = mesh.numbered(edges)
+    some = edges.join(names.where(F.col("size") <= large), "mesh_id").select("no", "u", "v")
+    found = some.groupBy("no").applyInPandas(task_loops, "no long, loop long, pos long, n long, vid long")
+    out = found.join(names, "no").select("mesh_id", "loop", "pos", "n", "vid")
+    big = names.where(F.col("size") > large)
+    return out.unionByName(joined_loops(edges.join(big, "mesh_id", "left_semi"))) if big.limit(1).count() else out
+
+
+def joined_loops(edges: DataFrame) -> DataFrame:
+    """`boundary_loops` by pointer doubling: each round doubles the stretch of edges whose lowest edge is known."""
     into = edges.withColumn("k", F.row_number().over(Window.partitionBy("mesh_id", "v").orderBy("u")))
     out = edges.withColumn("k", F.row_number().over(Window.partitionBy("mesh_id", "u").orderBy("v")))
     node = F.struct("u", "v")

@@ -459,12 +459,15 @@ def j8_resolved_targets(spark, sf_dir):
     return have.unionByName(status.select("structure_id", "stage", F.col("reason").alias("detail")))
 
 
-@query("WITH t AS (SELECT structure_id, CAST(substr(structure_id, 2) AS INT) % 5 AS kind FROM (SELECT DISTINCT structure_id FROM atoms) q UNION ALL SELECT DISTINCT structure_id || 'x', 5 FROM atoms) SELECT structure_id, CASE kind WHEN 0 THEN 'drawn' WHEN 1 THEN 'surface' WHEN 2 THEN 'patches' WHEN 3 THEN 'load' WHEN 4 THEN 'patches' ELSE 'load' END AS stage, CASE kind WHEN 0 THEN 'map' WHEN 1 THEN 'no surface' WHEN 2 THEN 'no interface patch' WHEN 3 THEN 'no chain B' WHEN 4 THEN 'no interface patch' ELSE 'no file' END AS reason FROM t", "atoms")
+FATES = {0: ("drawn", "map"), 1: ("surface", "no surface"), 2: ("patches", "no interface patch"), 3: ("load", "no chain B"), 4: ("flatten", "no patch could be flattened"), 5: ("load", "no file")}
+
+
+@query("WITH t AS (SELECT structure_id, CAST(substr(structure_id, 2) AS INT) % 5 AS kind FROM (SELECT DISTINCT structure_id FROM atoms) q UNION ALL SELECT DISTINCT structure_id || 'x', 5 FROM atoms), f(kind, stage, reason) AS (VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in FATES.items()) + ") SELECT structure_id, NULL::INT AS patch_id, stage, reason FROM t JOIN f USING (kind) UNION ALL SELECT structure_id, 1, 'flatten', 'no boundary' FROM t WHERE kind = 4", "atoms")
 def p1_f18_status(spark, sf_dir):
-    """What becomes of every target: drawn, or left out at a stage for a reason.
+    """What becomes of every target: drawn, or left out at a stage for a reason; and which patches were left out.
 
-    By structure number: as it is; chain A only of waters and ligands; chain B far away; chain B called C; a chain A of one residue,
-    whose surface is smaller than a patch; and targets without a file.
+    By structure number: as it is; chain A only of waters and ligands; chain B far away; chain B called C; a chain A of one residue
+    beside chain B, all of whose closed surface is the one patch; and targets without a file.
     """
     atoms = view(spark, sf_dir, "atoms").withColumn("kind", F.substring("structure_id", 2, 9).cast("int") % 5)
     first, kind = F.col("chain_id") == "A", F.col("kind")
@@ -476,11 +479,11 @@ def p1_f18_status(spark, sf_dir):
     targets = atoms.select("structure_id", F.lit("A").alias("chain_a"), F.lit("B").alias("chain_b")).distinct()
     targets = materialize(targets.unionByName(targets.withColumn("structure_id", F.concat("structure_id", F.lit("x")))))
     drawn, status = reports.interface_maps(atoms.drop("kind"), targets)
-    have = drawn.edges.select("structure_id").distinct().select("structure_id", F.lit("drawn").alias("stage"), F.lit("map").alias("reason"))
-    return have.unionByName(status.where("patch_id is null").select("structure_id", "stage", "reason"))
+    have = structure.missing(drawn.edges.select("structure_id").distinct(), "drawn", "map")
+    return have.unionByName(status)
 
 
-PATCH_ROWS = "rows0 AS (SELECT CONCAT('S', CAST(CAST(FLOOR(k/10) AS BIGINT) AS VARCHAR(20))) AS structure_id, CAST(k%10+1 AS INT) AS patch, 50+(k*7919)%97 AS vertices, " + ", ".join(
+PATCH_ROWS = "rows0 AS (SELECT CONCAT('S', CAST(CAST(FLOOR(k/10) AS BIGINT) AS VARCHAR(20))) AS structure_id, CAST(k%10+1 AS INT) AS patch, 50+2*((k*7919)%97)+CASE WHEN k%10=0 THEN 1 ELSE 0 END AS vertices, " + ", ".join(
     f"CAST((k*{104729 + 2 * i})%100003 AS DOUBLE)/{'1000003' if v.endswith('std') else '1009'} AS {v}" for i, v in enumerate(reports.VALUES)
 ) + ", CASE WHEN k%7=3 THEN 'no boundary' ELSE 'ok' END AS status FROM (SELECT o_orderkey AS k FROM orders) o)"
 ROUNDED = ", ".join(f"round({v}, {reports.digits(v)}) AS {v}" for v in reports.VALUES)
@@ -488,7 +491,7 @@ ROUNDED = ", ".join(f"round({v}, {reports.digits(v)}) AS {v}" for v in reports.V
 
 @query(f"WITH {PATCH_ROWS}, p AS (SELECT structure_id, patch, vertices, {ROUNDED}, status FROM rows0) SELECT structure_id, CAST(patch AS VARCHAR) AS patch_id, vertices, {', '.join(reports.VALUES)}, status FROM p UNION ALL SELECT structure_id, 'weighted_avg', sum(vertices)::BIGINT, {', '.join(f'round(sum({v}*vertices)/sum(vertices), 4)' for v in reports.VALUES)}, coalesce(max(status) FILTER (WHERE status <> 'ok'), 'ok') FROM p GROUP BY 1 UNION ALL SELECT structure_id, 'largest', vertices, {', '.join(reports.VALUES)}, status FROM (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY vertices DESC, patch) AS nth FROM p) q WHERE nth = 1")
 def a12_a13_u1_totals(spark, sf_dir):
-    """Totals over the patches of structures whose weighted angles need four digits."""
+    """Totals over the patches of structures whose weighted angles need four digits; odd totals of vertices, as even ones give averages halfway between two roundings."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
     rows = spark.sql(f"WITH {PATCH_ROWS.replace('FROM orders', 'FROM {orders}')} SELECT * FROM rows0", orders=orders)
     return reports.with_totals(rows)

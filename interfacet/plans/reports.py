@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +35,15 @@ def patch_distortion(patches: DataFrame, vertices: DataFrame) -> DataFrame:
     uv, lost = flatten.flattened_or_not(names, part, corners)
     frame = materialize(principal_frame(faces, points))
     maps = {"conformal": uv.join(whole, "mesh_id", "left_semi"), "planar": planar(frame), "spherical": spherical(frame), "cylindrical": cylindrical(frame)}
-    out = names.select("mesh_id", "structure_id", F.col("patch_id").alias("patch")).join(count(points, "vertices"), "mesh_id", "left")
-    for name in METHODS:
-        d = materialize(distortion(faces, points, maps[name]))
-        status = [F.col("status").alias("conformal_status")] if name == "conformal" else []
-        out = out.join(d.select("mesh_id", *[F.col(m).alias(f"{name}_{m}") for m in METRICS], *status), "mesh_id", "left")
+    # One long table: a mesh stands once for each method, under a number of its own.
+    m = len(METHODS)
+    number = lambda i: F.col("mesh_id") * m + i
+    often = lambda df: df.withColumn("mesh_id", F.explode(F.array(*[number(i) for i in range(m)])))
+    long = reduce(DataFrame.unionByName, [maps[name].select(number(i).alias("mesh_id"), "vid", "u", "v") for i, name in enumerate(METHODS)])
+    d = distortion(often(faces), often(points), long).withColumn("method", F.pmod("mesh_id", F.lit(m))).withColumn("mesh_id", F.expr(f"mesh_id div {m}"))
+    of = lambda i, c: F.max(F.when(F.col("method") == i, F.col(c)))
+    wide = d.groupBy("mesh_id").agg(*[of(i, metric).alias(f"{name}_{metric}") for i, name in enumerate(METHODS) for metric in METRICS], of(0, "status").alias("conformal_status"))
+    out = names.select("mesh_id", "structure_id", F.col("patch_id").alias("patch")).join(count(points, "vertices"), "mesh_id", "left").join(wide, "mesh_id", "left")
     out = out.join(lost, "mesh_id", "left").join(whole.withColumn("whole", F.lit(True)), "mesh_id", "left")
     status = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("whole").isNull(), "component dropped").otherwise(F.coalesce("conformal_status", F.lit("undefined")))
     return out.select("structure_id", "patch", F.coalesce("vertices", F.lit(0)).alias("vertices"), *[F.coalesce(v, F.lit(0.0)).alias(v) for v in VALUES], status.alias("status"))

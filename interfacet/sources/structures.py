@@ -166,3 +166,13 @@ def write_distortion(df: DataFrame, root: str) -> None:
 
 def write_sweep(df: DataFrame, root: str) -> None:
     write_by(df, root, "param", "structure_id")
+
+
+def write_in_order(df: DataFrame, root: str, *keys: str) -> None:
+    """CSV files with a header, by ranges of keys: in the order of the files' names, rows are in order of keys. Nulls come first."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("header", True).csv(root)
+
+
+def write_dictionary(df: DataFrame, root: str) -> None:
+    """`structure.residue_dictionary` in order of names, structure by structure."""
+    write_in_order(df, root, "structure_id", "res_name")

@@ -1,5 +1,6 @@
 """Properties of flattened patches and interface maps."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,61 @@ def test_touching_loops_and_closed_surfaces(spark):
     assert flatten.boundary_loops(ball).count() == 0 and flatten.flattened(ball, at).count() == 0
 
 
+def test_loops_in_tasks_equal_loops_by_joins(spark):
+    bow = [("bow", i, *f) for i, f in enumerate([(0, 1, 2), (2, 3, 4), (9, 5, 6), (9, 7, 8)])]
+    ring = [("ring", i, *f) for i, f in enumerate([(0, 1, 4), (4, 1, 5), (1, 2, 5), (5, 2, 6), (2, 3, 6), (6, 3, 7), (3, 0, 7), (7, 0, 4)])]
+    odd = [("odd", 0, 0, 1, 2), ("odd", 1, 0, 1, 3), ("odd", 2, 0, 1, 4), ("ball", 0, 0, 1, 2), ("ball", 1, 0, 2, 1)]  # an edge of three faces, and no boundary
+    small = spark.createDataFrame(bow + ring + odd, "mesh_id string, fid long, a long, b long, c long")
+    sheets = plans.meshes(spark, SF)[0].where("mesh_id < 4").withColumn("mesh_id", F.col("mesh_id").cast("string"))
+    faces = sheets.unionByName(small).cache()
+    one, two = (sorted(map(str, flatten.boundary_loops(faces, large).collect())) for large in (1000, 1))
+    assert one == two and len(one) > 100
+
+
+def dense_entries(faces, at):
+    """The Hermitian matrix of conformal energy: for opposite edges e, conj(e_i) e_j / (2 area) in the plane of each face."""
+    n = len(at)
+    m = np.zeros((n, n), complex)
+    for t in faces:
+        p = at[list(t)]
+        x = (p[1] - p[0]) / np.linalg.norm(p[1] - p[0])
+        normal = np.cross(p[1] - p[0], p[2] - p[0])
+        y = np.cross(normal / np.linalg.norm(normal), x)
+        z = (p - p[0]) @ x + 1j * ((p - p[0]) @ y)
+        e = np.array([z[2] - z[1], z[0] - z[2], z[1] - z[0]])
+        for i in range(3):
+            for j in range(3):
+                m[t[i], t[j]] += np.conj(e[i]) * e[j] / np.linalg.norm(normal)
+    return m
+
+
+def test_curved_patch_equals_dense_solve(patch):
+    """Both maps of a curved patch, against one dense linear system each."""
+    faces, at, loop = patch
+    points = {r["vid"]: np.array([r["x"], r["y"], r["z"]]) for r in at.collect()}
+    names = sorted(points)
+    place = {v: i for i, v in enumerate(names)}
+    xyz = np.array([points[v] for v in names])
+    m = dense_entries([[place[r[k]] for k in "abc"] for r in faces.collect()], xyz)
+    ring = [place[r["vid"]] for r in loop.orderBy("pos").collect()]
+    first = ring[0]
+    far = max(ring, key=lambda i: (np.linalg.norm(xyz[i] - xyz[first]), -i))
+    for known, got in (({first: 0, far: 1}, flatten.conformal), (None, flatten.harmonic)):
+        if known is None:
+            step = [np.linalg.norm(xyz[q] - xyz[p]) for p, q in zip(ring, ring[1:] + ring[:1], strict=True)]
+            known = {v: np.exp(2j * np.pi * sum(step[:k]) / sum(step)) for k, v in enumerate(ring)}
+        a = m if got is flatten.conformal else m.real
+        fixed = sorted(known)
+        free = [i for i in range(len(names)) if i not in known]
+        want = np.zeros(len(names), complex)
+        want[fixed] = [known[i] for i in fixed]
+        want[free] = np.linalg.solve(a[np.ix_(free, free)], -a[np.ix_(free, fixed)] @ want[fixed])
+        uv = {r["vid"]: complex(r["u"], r["v"]) for r in got(faces, at, loop).collect()}
+        if got is flatten.conformal:  # the other sense of rotation is as good
+            want = min((want, want.conj()), key=lambda w: abs(uv[names[free[0]]] - w[free[0]]))
+        assert max(abs(uv[v] - want[place[v]]) for v in names) < 1e-6
+
+
 def test_map_restyles_and_round_trips(spark, tmp_path):
     rows = [("S", 1, 5, "", "ALA", 0.1, 0.2, ["default", "hbond"]), ("S", 1, 6, "A", None, 0.3, 0.4, [])]
     placed = spark.createDataFrame(rows, "structure_id string, patch_id int, res_seq int, icode string, res_name string, u double, v double, types array<string>")

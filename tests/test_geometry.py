@@ -156,6 +156,14 @@ def test_nested_patches_equal_copies(spark):
     assert mesh.nested_patches(faces.where("false"), values).count() == 0 and mesh.nested_patches(faces, []).count() == 0
 
 
+def test_sinks_keep_order(spark, tmp_path):
+    """The files of a sink, one after the other by name, hold the rows in order."""
+    names = structure.residue_dictionary(plans.view(spark, SF, "atoms")).repartition(7)
+    structures.write_dictionary(names, str(tmp_path / "names"))
+    lines = [line for f in sorted((tmp_path / "names").glob("part-*.csv")) for line in f.read_text().splitlines()[1:]]
+    assert lines == sorted(lines) and len(lines) == names.count()
+
+
 def test_large_files_are_read_in_blocks(spark, tmp_path):
     """Files cut into blocks of a few lines give the atoms that whole texts give: numbers of lines, models and columns are carried on."""
     atom = "ATOM  {:>5d}  CA  ALA A{:>4d}    {:>8.3f}{:>8.3f}{:>8.3f}  1.00  0.00           C  \n"
