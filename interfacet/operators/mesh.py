@@ -81,20 +81,127 @@ def merged(faces: DataFrame, vertices: DataFrame, step: float = 1e-8) -> tuple[D
     return out.select("mesh_id", "fid", "a", "b", "c"), kept
 
 
-def validated(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+FINITE = " and ".join(f"{k} is not null and not isnan({k}) and abs({k}) < double('infinity')" for k in "xyz")
+
+
+def validated(faces: DataFrame, vertices: DataFrame, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """A whole mesh made fit for slicing: finite vertices, equal ones merged, no empty or repeated faces, no unused vertices. Both are written."""
-    finite = " and ".join(f"{k} is not null and not isnan({k}) and abs({k}) < double('infinity')" for k in "xyz")
-    faces, vertices = merged(faces, materialize(vertices.where(finite)))
-    faces = materialize(valid_faces(materialize(faces), vertices, 0.0))
-    return faces, materialize(used_vertices(faces, vertices))
+    return finished(faces, vertices, 0, large)
+
+
+def finished(faces: DataFrame, vertices: DataFrame, rounds: int, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
+    """A whole mesh `smoothed`, then `validated`; both are written. The tables should be written ones, as they are read more than once."""
+
+    def joined(f, v):
+        v = joined_smoothed(f, v, rounds) if rounds else v
+        f, v = merged(f, materialize(v.where(FINITE)))
+        f = materialize(valid_faces(materialize(f), v, 0.0))
+        return f, used_vertices(f, v)
 
+    def task(m):
+        return m.smoothed(rounds).finite().merged().valid(0.0).used()
 
-def sanitised(faces: DataFrame, vertices: DataFrame, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
+    return by_mesh(faces, vertices, task, joined, large)
+
+
+def sanitised(faces: DataFrame, vertices: DataFrame, rounds: int = 5, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """Patches, each a mesh of its own, without faces of no area and equal vertices, then smoothed; a patch that smoothing breaks keeps its vertices."""
-    faces, vertices = merged(valid_faces(faces, vertices, 1e-9), vertices)
-    faces = materialize(faces)
-    vertices = materialize(used_vertices(faces, vertices))
-    return faces, smoothed(faces, vertices, rounds)
+
+    def joined(f, v):
+        f, v = merged(valid_faces(f, v, 1e-9), v)
+        f = materialize(f)
+        return f, joined_smoothed(f, materialize(used_vertices(f, v)), rounds)
+
+    def task(m):
+        return m.valid(1e-9).merged().used().smoothed(rounds)
+
+    return by_mesh(faces, vertices, task, joined, large)
+
+
+class Mesh:
+    """One mesh inside a task; every step gives a new one, as the function of its name does for tables."""
+
+    def __init__(self, fid, corner, vid, at):
+        self.fid, self.corner, self.vid, self.at = fid, corner, vid, at  # in order of fid and vid; corners are vids
+
+    def placed(self):
+        """(place of each corner among the vertices, whether it is one)."""
+        import numpy as np
+
+        place = np.minimum(np.searchsorted(self.vid, self.corner), max(len(self.vid) - 1, 0))
+        return place, self.vid[place] == self.corner if len(self.vid) else np.zeros(self.corner.shape, bool)
+
+    def chosen(self, faces, vertices) -> Mesh:
+        return Mesh(self.fid[faces], self.corner[faces], self.vid[vertices], self.at[vertices])
+
+    def finite(self) -> Mesh:
+        import numpy as np
+
+        return self.chosen(slice(None), np.isfinite(self.at).all(axis=1))
+
+    def merged(self, step: float = 1e-8) -> Mesh:
+        import numpy as np
+
+        if not len(self.vid):
+            return self.chosen(slice(0), slice(0))
+        spot = np.sign(self.at) * np.floor(np.abs(self.at / step) + 0.5)
+        _, first, back = np.unique(spot, axis=0, return_index=True, return_inverse=True)
+        to = self.vid[first[back.ravel()]]
+        place, known = self.placed()
+        whole = known.all(axis=1)
+        return Mesh(self.fid[whole], to[place[whole]], self.vid[to == self.vid], self.at[to == self.vid])
+
+    def valid(self, least_area: float) -> Mesh:
+        import numpy as np
+
+        place, known = self.placed()
+        whole = np.flatnonzero(known.all(axis=1))
+        p, q, r = (self.at[place[whole, k]] for k in range(3))
+        whole = whole[np.sqrt((np.cross(q - p, r - p) ** 2).sum(axis=1)) / 2 > least_area]
+        first = np.unique(np.sort(self.corner[whole], axis=1), axis=0, return_index=True)[1]
+        return self.chosen(whole[np.sort(first)], slice(None))
+
+    def used(self) -> Mesh:
+        import numpy as np
+
+        return self.chosen(slice(None), np.isin(self.vid, self.corner))
+
+    def smoothed(self, rounds: int) -> Mesh:
+        import pandas as pd
+
+        if not rounds:
+            return self
+        x, y, z = self.at.T
+        out = task_smoothed(pd.DataFrame(self.corner, columns=list("abc")), pd.DataFrame({"vid": self.vid, "x": x, "y": y, "z": z}), rounds)
+        return Mesh(self.fid, self.corner, self.vid, out[["x", "y", "z"]].to_numpy())
+
+
+def by_mesh(faces: DataFrame, vertices: DataFrame, task, joined, large: int) -> tuple[DataFrame, DataFrame]:
+    """(faces, vertices) of the meshes after task(Mesh), for each mesh of up to `large` rows, and after joined(faces, vertices) for larger ones; written."""
+    faces, vertices = faces.select("mesh_id", "fid", "a", "b", "c"), vertices.select("mesh_id", "vid", "x", "y", "z")
+    names = numbered(faces, vertices)
+    some = names.where(F.col("size") <= large)
+
+    def run(f, v):
+        import numpy as np
+        import pandas as pd
+
+        no = (f["face_no"] if len(f) else v["no"]).iloc[0]
+        f, v = f.sort_values("fid"), v.sort_values("vid")
+        m = task(Mesh(f["fid"].to_numpy(), f[["a", "b", "c"]].to_numpy(), v["vid"].to_numpy(), v[["x", "y", "z"]].to_numpy(dtype=float, na_value=np.nan)))
+        one = pd.DataFrame({"no": no, "id": m.fid, **{k: m.corner[:, i] for i, k in enumerate("abc")}})
+        two = pd.DataFrame({"no": no, "id": m.vid, **{k: m.at[:, i] for i, k in enumerate("xyz")}})
+        out = pd.concat([one, two], ignore_index=True).reindex(columns=["no", "id", *"abcxyz"])
+        return out.astype({k: "Int64" for k in "abc"})
+
+    parts = [df.join(some, "mesh_id").select(F.col("no").alias(key), *cols).groupBy(key) for key, df, cols in (("face_no", faces, ("fid", *"abc")), ("no", vertices, ("vid", *"xyz")))]
+    both = materialize(parts[0].cogroup(parts[1]).applyInPandas(run, "no long, id long, a long, b long, c long, x double, y double, z double").join(names.select("mesh_id", "no"), "no"))
+    out = [both.where("a is not null").select("mesh_id", F.col("id").alias("fid"), "a", "b", "c"), both.where("a is null").select("mesh_id", F.col("id").alias("vid"), "x", "y", "z")]
+    big = names.where(F.col("size") > large)
+    if not big.limit(1).count():
+        return out[0], out[1]
+    rest = joined(*(df.join(big, "mesh_id", "left_semi") for df in (faces, vertices)))
+    return tuple(materialize(x.unionByName(y)) for x, y in zip(out, rest, strict=True))
 
 
 def used_vertices(faces: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def surface_of(cells: DataFrame, grid: DataFrame, a: DataFrame, res: float = 1.0
     level = materialize(isosurface.levels(edges, start, a))
     points = materialize(isosurface.vertices(edges, level, res))
     faces = materialize(isosurface.faces(cells, grid, level))
-    return mesh.validated(faces, mesh.smoothed(faces, points, rounds))
+    return mesh.finished(faces, points, rounds)
 
 
 def distances(points: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:

@@ -84,6 +84,21 @@ def test_tasks_equal_joins(spark):
     assert one[9, 1] == (1.0, 0.0, 1.0)  # no volume: the mesh stays as it was
 
 
+def test_cleaning_in_tasks_equals_cleaning_by_joins(spark):
+    """Meshes with copies of vertices, repeated and empty faces, unknown corners and values that aren't finite."""
+    faces, points = (plans.view(spark, SF, v).where("mesh_id < 3") for v in ("mesh_faces", "mesh_vertices"))
+    at = points.withColumn("x", F.when((F.col("mesh_id") == 1) & (F.col("vid") == 7), F.lit(float("nan"))).otherwise(F.col("x")))
+    at = at.unionByName(at.selectExpr("mesh_id", "vid + 1000 AS vid", "x", "y + 1e-10 AS y", "z")).unionByName(at.selectExpr("mesh_id", "vid + 5000 AS vid", "-x AS x", "y", "z"))
+    more = faces.selectExpr("mesh_id", "fid + 1000 AS fid", "b + 1000 AS a", "c AS b", "a AS c").unionByName(faces.selectExpr("mesh_id", "fid + 2000 AS fid", "a", "a + 1000 AS b", "c")).unionByName(faces.selectExpr("mesh_id", "fid + 3000 AS fid", "a", "b", "c + 9000 AS c"))
+    faces = faces.selectExpr("mesh_id", "fid", "a", "b", "c + 1000 AS c").unionByName(more).unionByName(spark.createDataFrame([(8, 1, 0, 1, 2)], faces.schema)).cache()
+    at = at.unionByName(spark.createDataFrame([(9, 1, 0.0, 0.0, 0.0)], points.schema)).cache()  # faces alone, vertices alone
+    for clean in (mesh.validated, lambda f, v, large: mesh.finished(f, v, 2, large), lambda f, v, large: mesh.sanitised(f, v.where("not isnan(x)"), 2, large)):
+        (f1, v1), (f2, v2) = (clean(faces, at, large) for large in (100000, 1))
+        assert sorted(map(str, f1.collect())) == sorted(map(str, f2.collect())) and f1.count() > 100
+        one, two = ({(r["mesh_id"], r["vid"]): (r["x"], r["y"], r["z"]) for r in v.collect()} for v in (v1, v2))
+        assert one.keys() == two.keys() and all(abs(x - y) < 1e-9 or x != x and y != y for k in one for x, y in zip(one[k], two[k], strict=True))
+
+
 def test_frame_orders_variances_and_keeps_distances(spark, sphere):
     faces, _ = plans.meshes(spark, SF)
     faces, points = faces.where("mesh_id < 3"), plans.view(spark, SF, "mesh_vertices").where("mesh_id < 3")
