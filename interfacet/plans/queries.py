@@ -261,7 +261,7 @@ def g2_j11_isosurface_faces(spark, sf_dir):
     return isosurface.faces(cells, grid, level).withColumnRenamed("mesh_id", "structure_id")
 
 
-@query("SELECT mesh_id, 'face' AS kind, fid AS id, a, b, c FROM mesh_faces WHERE 7 NOT IN (a, b, c) UNION ALL SELECT DISTINCT mesh_id, 'vertex', unnest([a, b, c]), NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM mesh_faces WHERE 7 NOT IN (a, b, c)", "mesh_faces")
+@query("SELECT mesh_id, 'face' AS kind, fid AS id, a, b, c FROM mesh_faces WHERE 7 NOT IN (a, b, c) UNION ALL SELECT DISTINCT mesh_id, 'vertex', unnest([a, b, c]), 0, 0, 0 FROM mesh_faces WHERE 7 NOT IN (a, b, c)", "mesh_faces")
 def g13_validated(spark, sf_dir):
     """Whole meshes in which every vertex stands twice, faces use both copies or stand twice, some have no area or a corner that isn't finite, and vertices are unused."""
     faces, at = meshes(spark, sf_dir)
@@ -273,7 +273,7 @@ def g13_validated(spark, sf_dir):
     again = faces.selectExpr("mesh_id", "fid + 1000000 AS fid", "b + 1000 AS a", "c AS b", "a AS c")
     empty = faces.selectExpr("mesh_id", "fid + 2000000 AS fid", "a", "a + 1000 AS b", "c")
     faces, at = mesh.validated(mixed.unionByName(again).unionByName(empty), at.unionByName(copies).unionByName(unused))
-    none = [F.lit(None).cast("long").alias(k) for k in "abc"]
+    none = [F.lit(0).cast("long").alias(k) for k in "abc"]
     return faces.select("mesh_id", F.lit("face").alias("kind"), F.col("fid").alias("id"), "a", "b", "c").unionByName(at.select("mesh_id", F.lit("vertex").alias("kind"), F.col("vid").alias("id"), *none))
 
 
@@ -462,7 +462,7 @@ def j8_resolved_targets(spark, sf_dir):
 FATES = {0: ("drawn", "map"), 1: ("surface", "no surface"), 2: ("patches", "no interface patch"), 3: ("load", "no chain B"), 4: ("flatten", "no patch could be flattened"), 5: ("load", "no file")}
 
 
-@query("WITH t AS (SELECT structure_id, CAST(substr(structure_id, 2) AS INT) % 5 AS kind FROM (SELECT DISTINCT structure_id FROM atoms) q UNION ALL SELECT DISTINCT structure_id || 'x', 5 FROM atoms), f(kind, stage, reason) AS (VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in FATES.items()) + ") SELECT structure_id, NULL::INT AS patch_id, stage, reason FROM t JOIN f USING (kind) UNION ALL SELECT structure_id, 1, 'flatten', 'no boundary' FROM t WHERE kind = 4", "atoms")
+@query("WITH t AS (SELECT structure_id, CAST(substr(structure_id, 2) AS INT) % 5 AS kind FROM (SELECT DISTINCT structure_id FROM atoms) q UNION ALL SELECT DISTINCT structure_id || 'x', 5 FROM atoms), f(kind, stage, reason) AS (VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in FATES.items()) + ") SELECT structure_id, 0 AS patch_id, stage, reason FROM t JOIN f USING (kind) UNION ALL SELECT structure_id, 1, 'flatten', 'no boundary' FROM t WHERE kind = 4", "atoms")
 def p1_f18_status(spark, sf_dir):
     """What becomes of every target: drawn, or left out at a stage for a reason; and which patches were left out.
 
@@ -480,7 +480,7 @@ def p1_f18_status(spark, sf_dir):
     targets = materialize(targets.unionByName(targets.withColumn("structure_id", F.concat("structure_id", F.lit("x")))))
     drawn, status = reports.interface_maps(atoms.drop("kind"), targets)
     have = structure.missing(drawn.edges.select("structure_id").distinct(), "drawn", "map")
-    return have.unionByName(status)
+    return have.unionByName(status).withColumn("patch_id", F.coalesce("patch_id", F.lit(0)))  # 0: the whole structure
 
 
 PATCH_ROWS = "rows0 AS (SELECT CONCAT('S', CAST(CAST(FLOOR(k/10) AS BIGINT) AS VARCHAR(20))) AS structure_id, CAST(k%10+1 AS INT) AS patch, 50+2*((k*7919)%97)+CASE WHEN k%10=0 THEN 1 ELSE 0 END AS vertices, " + ", ".join(
