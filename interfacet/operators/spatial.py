@@ -5,23 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+AXES = ("x", "y", "z")
+
 
 def cell(c: str, radius: float) -> Column:
     return F.floor(F.col(c) / radius)
 
 
+def box(df: DataFrame, keys: list[str], radius: float, prefix: str = "") -> DataFrame:
+    """keys, and on each axis the first and last cell (fx, tx ..) that rows of df are in; coordinates that aren't finite are in none."""
+    at = {k: F.when(F.abs(f"{prefix}{k}") < float("inf"), cell(f"{prefix}{k}", radius)) for k in AXES}
+    return df.groupBy(*keys).agg(*[e for k, c in at.items() for e in (F.min(c).alias(f"f{k}"), F.max(c).alias(f"t{k}"))])
+
+
 def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """All pairs within `radius` (inclusive) of left(keys, x, y, z, ..) and right(keys, bx, by, bz, ..), with d.
 
-    right is copied to the neighbouring cells, so pass the smaller side there.
+    Rows of either side beyond the box of the other are dropped first. right is then copied to the neighbouring cells
+    within the box of left, so pass the smaller side there. The planner doesn't see how often rows are copied, so a
+    broadcast of the copies is ruled out.
     """
-    axes = ("x", "y", "z")
-    a = left.withColumns({f"c{k}": cell(k, radius) for k in axes})
-    b = right
-    for k in axes:
-        b = b.withColumn(f"c{k}", F.explode(F.sequence(cell(f"b{k}", radius) - 1, cell(f"b{k}", radius) + 1)))
-    d2 = sum((F.col(k) - F.col(f"b{k}")) * (F.col(k) - F.col(f"b{k}")) for k in axes)
-    return a.join(b, [*keys, "cx", "cy", "cz"]).withColumn("d", F.sqrt(d2)).where(F.col("d") <= radius).drop("cx", "cy", "cz")
+    ends = [f"{e}{k}" for k in AXES for e in "ft"]
+    a = left.withColumns({f"c{k}": cell(k, radius) for k in AXES}).join(box(right, keys, radius, "b"), keys)
+    a = a.where(" and ".join(f"c{k} between f{k} - 1 and t{k} + 1" for k in AXES)).drop(*ends)
+    b = right.join(box(left, keys, radius), keys)
+    b = b.withColumns({f"f{k}": F.greatest(cell(f"b{k}", radius) - 1, f"f{k}") for k in AXES} | {f"t{k}": F.least(cell(f"b{k}", radius) + 1, f"t{k}") for k in AXES})
+    b = b.where(" and ".join(f"f{k} <= t{k}" for k in AXES))
+    for k in AXES:
+        b = b.withColumn(f"c{k}", F.explode(F.sequence(f"f{k}", f"t{k}")))
+    d2 = sum((F.col(k) - F.col(f"b{k}")) * (F.col(k) - F.col(f"b{k}")) for k in AXES)
+    return a.join(b.drop(*ends).hint("merge"), [*keys, "cx", "cy", "cz"]).withColumn("d", F.sqrt(d2)).where(F.col("d") <= radius).drop("cx", "cy", "cz")
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], id_: str, cutoff: float, arg: str) -> DataFrame:

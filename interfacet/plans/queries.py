@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.chemistry import INTERACTIONS, PEPTIDES, RAW_TYPES
 from ..operators import contacts, density, flatten, isosurface, mapview, mesh, project, spatial, structure
 from ..sources import structures
-from ..sources.storage import materialize, shared_dir
+from ..sources.storage import honest, materialize, shared_dir
 from . import reports, sweeps
 from .fixtures import VIEWS, with_views
 
@@ -20,7 +20,8 @@ SQL: dict[str, str] = {}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    path = f"{sf_dir}/orders.parquet"
+    orders = honest(spark.read.parquet(path).select("o_orderkey"), path)
     return spark.sql(VIEWS[name].replace("FROM orders", "FROM {orders}"), orders=orders)
 
 

@@ -17,8 +17,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+SENT = 10 << 20  # bytes; the planner's default limit for broadcasts
+
+
+def honest(df: DataFrame, path: str) -> DataFrame:
+    """df, the Parquet table at path, such that joins don't broadcast it by the size of its files where its rows are far larger.
+
+    Columns of numbers take some bits a row in a file and eight bytes or more in memory, so that a table of millions of rows
+    may look small enough to go through the driver. Files beyond several times the limit stay beyond it whatever columns are read.
+    """
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(place).getLength()
+    if not SENT // 100 < size < 8 * SENT:
+        return df
+    return df.hint("merge") if df.count() * 16 * (1 + len(df.columns)) > SENT else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, so that loops keep no lineage."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return honest(df.sparkSession.read.schema(df.schema).parquet(path), path)
