@@ -28,19 +28,29 @@ def kernel(sigma: float) -> list[tuple[int, float]]:
     return [(i - r, x / sum(w)) for i, x in enumerate(w)]
 
 
+BLOCK = 32  # cells along an edge of a block
+
+
 def smooth(cells: DataFrame, grid: DataFrame, sigma: float = 1.5) -> DataFrame:
     """Three one-axis passes; what passes a border is reflected.
 
-    Cells are dealt by planes of equal z, which hold all that the first two passes add up, then by planes
-    of equal x for the third: two shuffles of cells, none of the many terms of the sums.
+    Space is cut into blocks. The counted cells, far fewer than the smoothed ones, are dealt to every block that they
+    reach, and each block makes its own cells by all three passes: one shuffle of counts, none of the sums or their terms.
     """
-    taps = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in kernel(sigma)]))
-    out = cells.repartition("structure_id", "iz")
+    taps = kernel(sigma)
+    reach = taps[-1][0]
+    spread = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in taps]))
+    blocks, at = [f"b{k}" for k in AXES], [f"i{k}" for k in AXES]
+    out = cells.join(grid.select("structure_id", *[f"n{k}" for k in AXES]), "structure_id")
+    for k in AXES:
+        i, n = F.col(f"i{k}"), F.col(f"n{k}")
+        first = F.least(F.greatest(i - reach, F.lit(0)), 2 * n - 1 - i - reach)  # the second is less only where a grid is smaller than the kernel
+        last = F.greatest(F.least(i + reach, n - 1), reach - 1 - i)
+        out = out.withColumn(f"b{k}", F.explode(F.sequence(F.floor(first / BLOCK), F.floor(last / BLOCK))))
+    out = out.repartition("structure_id", *blocks)
     for k in AXES:
-        if k == "z":
-            out = out.repartition("structure_id", "ix")
         i, n = F.col(f"i{k}") + F.col("t.o"), F.col(f"n{k}")
         to = F.when(i < 0, -i - 1).when(i >= n, 2 * n - 1 - i).otherwise(i)
-        moved = out.withColumn("t", taps).join(grid.select("structure_id", f"n{k}"), "structure_id").withColumn(f"i{k}", to)
-        out = moved.groupBy("structure_id", "ix", "iy", "iz").agg(F.sum(F.col("d") * F.col("t.w")).alias("d"))
-    return out
+        moved = out.withColumn("t", spread).withColumn(f"i{k}", to).where(F.floor(F.col(f"i{k}") / BLOCK) == F.col(f"b{k}"))
+        out = moved.groupBy("structure_id", *blocks, *at, *[f"n{o}" for o in AXES if o > k]).agg(F.sum(F.col("d") * F.col("t.w")).alias("d"))
+    return out.select("structure_id", *at, "d")

@@ -1,8 +1,9 @@
 """What lets the geometry grow: plans and tables that stay bounded, with the results of plainer ways."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from interfacet.operators import spatial
+from interfacet.operators import density, spatial
 from interfacet.sources.storage import materialize
 
 
@@ -29,3 +30,27 @@ def test_small_files_of_many_rows_are_not_broadcast(spark):
     assert "Broadcast" not in plan
     few = materialize(spark.range(100).selectExpr("id", "id AS a"))
     assert "Broadcast" in spark.range(5_000_000).join(few, "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_smoothing_by_blocks_equals_dense_arrays(spark):
+    """Grids of several blocks, counts at their borders; and one that is smaller than the kernel."""
+    rng = np.random.default_rng(2)
+    for shape, sigma in (((70, 40, 33), 1.5), ((40, 21, 65), 3.0)):
+        at = np.unique(np.r_[rng.integers(0, shape, (40, 3)), [[0, 0, 0], [31, 31, 32], [32, 0, 31], [s - 1 for s in shape]]] % np.array(shape), axis=0)
+        dense = np.zeros(shape)
+        dense[tuple(at.T)] = 1 + np.arange(len(at)) % 3
+        cells = spark.createDataFrame([("S", *map(int, p), float(dense[tuple(p)])) for p in at], "structure_id string, ix long, iy long, iz long, d double")
+        grid = spark.createDataFrame([("S", *shape)], "structure_id string, nx long, ny long, nz long")
+        got = np.zeros(shape)
+        out = density.smooth(cells, grid, sigma)
+        for r in out.collect():
+            assert not got[r["ix"], r["iy"], r["iz"]]
+            got[r["ix"], r["iy"], r["iz"]] = r["d"]
+        for axis in range(3):
+            pad = [(density.kernel(sigma)[-1][0],) * 2 if k == axis else (0, 0) for k in range(3)]
+            dense = np.apply_along_axis(np.convolve, axis, np.pad(dense, pad, mode="symmetric"), [w for _, w in density.kernel(sigma)], "valid")
+        assert np.allclose(got, dense, atol=1e-12)
+    plan = density.smooth(cells, grid, sigma)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3  # two of the join of counts with their grid, one of counts
+    tiny = density.smooth(spark.createDataFrame([("S", 0, 0, 0, 1.0)], "structure_id string, ix long, iy long, iz long, d double"), spark.createDataFrame([("S", 5, 50, 50)], "structure_id string, nx long, ny long, nz long"))
+    assert abs(tiny.agg(F.sum("d")).first()[0] - 1) < 1e-9 and tiny.where("ix = 5").count()  # as SQL has it
