@@ -15,7 +15,7 @@ from ..sources.storage import materialize
 from . import mesh
 from .project import normal_uv
 
-SOLVE = "i long, x double"
+SOLVE = "no long, i long, x double"
 LARGE = 200_000  # unknowns of one system that a single task may hold (some 50 MB); see solve()
 
 
@@ -27,10 +27,12 @@ def directed_boundary(faces: DataFrame) -> DataFrame:
 
 
 def task_loops(edges):
-    """loop, pos, n, vid of the closed loops of the directed edges of one mesh."""
+    """no, loop, pos, n, vid of the closed loops of the directed edges of the meshes in a task."""
+    import numpy as np
     import pandas as pd
 
-    rows = sorted(zip(edges["u"].tolist(), edges["v"].tolist(), strict=True))
+    keys = mesh.Keys(edges["no"], edges[["u", "v"]])
+    rows = sorted(map(tuple, keys.of(edges["no"].to_numpy(), edges[["u", "v"]].to_numpy()).tolist()))
     out, into = {}, {}
     for u, v in rows:
         out.setdefault(u, []).append((u, v))  # in order of v
@@ -47,9 +49,8 @@ def task_loops(edges):
             at = step[at]
         if at == first:  # else an open end
             found += [(first[0], k, len(loop), e[0]) for k, e in enumerate(loop)]
-    loop, pos, n, vid = zip(*found, strict=True) if found else ((), (), (), ())
-    no = edges["no"].iloc[0] if len(edges) else 0
-    return pd.DataFrame({"no": no, "loop": pd.Series(loop, dtype="int64"), "pos": pd.Series(pos, dtype="int64"), "n": pd.Series(n, dtype="int64"), "vid": pd.Series(vid, dtype="int64")})
+    found = np.array(found, np.int64).reshape(-1, 4)
+    return pd.DataFrame({"no": keys.no(found[:, 0]), "loop": keys.id(found[:, 0]), "pos": found[:, 1], "n": found[:, 2], "vid": keys.id(found[:, 3])})
 
 
 def boundary_loops(faces: DataFrame, large: int = LARGE) -> DataFrame:
@@ -61,8 +62,8 @@ def boundary_loops(faces: DataFrame, large: int = LARGE) -> DataFrame:
     """
     edges = materialize(directed_boundary(faces))
     names = mesh.numbered(edges)
-    some = edges.join(names.where(F.col("size") <= large), "mesh_id").select("no", "u", "v")
-    found = some.groupBy("no").applyInPandas(task_loops, "no long, loop long, pos long, n long, vid long")
+    some = edges.join(names.where(F.col("size") <= large), "mesh_id").select("task", "no", "u", "v")
+    found = some.groupBy("task").applyInPandas(task_loops, "no long, loop long, pos long, n long, vid long")
     out = found.join(names, "no").select("mesh_id", "loop", "pos", "n", "vid")
     big = names.where(F.col("size") > large)
     return out.unionByName(joined_loops(edges.join(big, "mesh_id", "left_semi"))) if big.limit(1).count() else out
@@ -151,33 +152,43 @@ def conformal_entries(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def task_cg(rows, tol: float = 1e-10):
-    """i, x of one system from its rows i, j, w; j is null on the right-hand side. No rows if it doesn't converge."""
+    """no, i, x of the systems in a task from their rows no, i, j, w; j is null on the right-hand side. Systems that don't converge have no rows.
+
+    All systems take their rounds side by side, each with numbers of its own, until the last one ends.
+    """
     import numpy as np
     import pandas as pd
 
-    names, at = np.unique(rows["i"].to_numpy(), return_inverse=True)
-    right = rows["j"].isna().to_numpy()
-    w = rows["w"].to_numpy()
-    n = len(names)
+    no, right, w = rows["no"].to_numpy(), rows["j"].isna().to_numpy(), rows["w"].to_numpy()
+    keys = mesh.Keys(no, rows["i"])
+    names, at = np.unique(keys.of(no, rows["i"].to_numpy()), return_inverse=True)
+    n, part = len(names), np.unique(names // keys.span, return_inverse=True)[1]
+    count = np.bincount(part)
+    dot = lambda p, q: np.bincount(part, p * q, len(count))
     b = np.bincount(at[right], w[right], n)
-    i, j, w = at[~right], np.searchsorted(names, rows["j"].to_numpy()[~right].astype(np.int64)), w[~right]
+    i, j, w = at[~right], np.searchsorted(names, keys.of(no[~right], rows["j"].to_numpy()[~right].astype(np.int64))), w[~right]
     diag = np.bincount(i[i == j], w[i == j], n)
     inverse = 1 / np.where(diag > 0, diag, 1.0)
     x, r = np.zeros(n), b.copy()
-    z = inverse * r
-    p, rz = z.copy(), float(r @ z)
-    goal, left = tol * tol * rz, 20 * n + 100
-    while rz > goal and left:
-        ap = np.bincount(i, w * p[j], n)
-        curve = float(p @ ap)
-        if not curve > 0:
-            break
-        x, r = x + rz / curve * p, r - rz / curve * ap
-        z = inverse * r
-        rz, old, left = float(r @ z), rz, left - 1
-        p = z + rz / old * p
-    fine = rz <= goal and np.isfinite(x).all()
-    return pd.DataFrame({"i": names[: n * fine], "x": x[: n * fine]})
+    p = inverse * r
+    rz = dot(r, p)
+    goal, left = tol * tol * rz, 20 * count + 100
+    going = rz > goal
+    with np.errstate(all="ignore"):
+        while going.any():
+            ap = np.bincount(i, w * p[j], n)
+            curve = dot(p, ap)
+            going = going & (curve > 0)
+            step = np.where(going, rz / curve, 0.0)[part]
+            x, r = np.where(step != 0, x + step * p, x), np.where(step != 0, r - step * ap, r)
+            z = inverse * r
+            new = dot(r, z)
+            p = np.where(going[part], z + (new / rz)[part] * p, p)
+            rz, left = np.where(going, new, rz), left - going
+            going = going & (rz > goal) & (left > 0)
+        fine = (rz <= goal) & (np.bincount(part, ~np.isfinite(x)) == 0)
+    kept = fine[part]
+    return pd.DataFrame({"no": keys.no(names[kept]), "i": keys.id(names[kept]), "x": x[kept]})
 
 
 def spark_cg(a: DataFrame, b: DataFrame, tol: float = 1e-10) -> DataFrame:
@@ -211,19 +222,14 @@ def spark_cg(a: DataFrame, b: DataFrame, tol: float = 1e-10) -> DataFrame:
 def solve(a: DataFrame, b: DataFrame, large: int = LARGE) -> DataFrame:
     """key, i, x with A x = b for the sparse positive definite systems a(key, i, j, w), b(key, i, w): conjugate gradients.
 
-    Systems of up to `large` unknowns run in one task each, larger ones as joins over all executors.
+    Systems of up to `large` unknowns run in one task, small ones many at a time, larger ones as joins over all executors.
     """
     a, b = materialize(a), materialize(b)
-    big = materialize(b.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large).select("key"))
-    rows = a.unionByName(b.withColumn("j", F.lit(None).cast("long"))).join(big, "key", "left_anti")
-    key = b.schema["key"]
-    rows = rows.select(F.to_json(F.struct("key")).alias("name"), "i", "j", "w")
-
-    def run(names, group):
-        return task_cg(group).assign(name=names[0])[["name", "i", "x"]]
-
-    small = rows.groupBy("name").applyInPandas(run, f"name string, {SOLVE}")
-    out = small.select(F.from_json("name", f"struct<key:{key.dataType.simpleString()}>")["key"].alias("key"), "i", "x")
+    names = mesh.bundled(b.groupBy("key").agg(F.count("*").alias("size")))
+    rows = a.unionByName(b.withColumn("j", F.lit(None).cast("long"))).join(names.where(F.col("size") <= large), "key")
+    small = rows.select("task", "no", "i", "j", "w").groupBy("task").applyInPandas(lambda rows: task_cg(rows), SOLVE)
+    out = small.join(names.select("key", "no"), "no").select("key", "i", "x")
+    big = names.where(F.col("size") > large).select("key")
     if big.limit(1).count():
         out = out.unionByName(spark_cg(a.join(big, "key", "left_semi"), b.join(big, "key", "left_semi")))
     return out

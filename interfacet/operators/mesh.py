@@ -1,7 +1,7 @@
 """Mesh operators: edges, areas, centroids.
 
-Components and smoothing are iterative: meshes of up to LARGE rows go through all rounds in one task each,
-partitioned once by mesh; larger ones go round by round as joins over all executors, with equal results.
+Components and smoothing are iterative: meshes of up to LARGE rows go through all rounds in one task, partitioned
+once by mesh, small ones many at a time; larger ones go round by round as joins over all executors, with equal results.
 """
 
 from __future__ import annotations
@@ -12,14 +12,47 @@ from pyspark.sql import functions as F
 from ..sources.storage import materialize
 
 LARGE = 200_000  # rows of one mesh that a single task may hold (some 50 MB)
+BUNDLE = 50_000  # rows of small meshes that go through a task together; a call for each would cost more than its work
+
+
+def bundled(sizes: DataFrame) -> DataFrame:
+    """sizes(.., size) with no (a number for each row, as a cheap key) and task (the bundle it goes with: some BUNDLE rows of small ones, a larger one alone); written."""
+    names = materialize(sizes.withColumn("no", F.monotonically_increasing_id()))
+    alone = F.col("size") > BUNDLE
+    total = names.where(~alone).agg(F.sum("size")).first()[0] or 0
+    return names.withColumn("task", F.when(alone, -1 - F.col("no")).otherwise(F.pmod(F.hash("no"), F.lit(total // BUNDLE + 32)).cast("long")))
 
 
 def numbered(*tables: DataFrame) -> DataFrame:
-    """mesh_id, size (rows of all tables), no (a number, as a cheap key for grouping); written."""
+    """mesh_id, size (rows of all tables), no, task: see `bundled`."""
     rows = tables[0].select("mesh_id")
     for t in tables[1:]:
         rows = rows.unionAll(t.select("mesh_id"))
-    return materialize(rows.groupBy("mesh_id").agg(F.count("*").alias("size")).withColumn("no", F.monotonically_increasing_id()))
+    return bundled(rows.groupBy("mesh_id").agg(F.count("*").alias("size")))
+
+
+class Keys:
+    """Ids of several meshes as one range of numbers inside a task, in order of mesh and id."""
+
+    def __init__(self, nos, *ids):
+        import numpy as np
+
+        self.nos = np.unique(nos)
+        self.ids = np.unique(np.concatenate([np.asarray(x, np.int64).ravel() for x in ids]))
+        self.span = max(len(self.ids), 1)
+
+    def of(self, no, ids):
+        """The key of each id; a row of ids belongs to the mesh of that row."""
+        import numpy as np
+
+        mesh = np.searchsorted(self.nos, no)
+        return (mesh[:, None] if ids.ndim > 1 else mesh) * self.span + np.searchsorted(self.ids, ids)
+
+    def no(self, keys):
+        return self.nos[keys // self.span]
+
+    def id(self, keys):
+        return self.ids[keys % self.span] if len(self.ids) else keys
 
 
 def adjacency(faces: DataFrame) -> DataFrame:
@@ -119,10 +152,11 @@ def sanitised(faces: DataFrame, vertices: DataFrame, rounds: int = 5, large: int
 
 
 class Mesh:
-    """One mesh inside a task; every step gives a new one, as the function of its name does for tables."""
+    """Meshes inside a task; every step gives new ones, as the function of its name does for tables."""
 
-    def __init__(self, fid, corner, vid, at):
-        self.fid, self.corner, self.vid, self.at = fid, corner, vid, at  # in order of fid and vid; corners are vids
+    def __init__(self, fid, corner, vid, at, span):
+        self.fid, self.corner, self.vid, self.at = fid, corner, vid, at  # keys, in order; corners are vids
+        self.span = span  # of the keys of vertices: see Keys
 
     def placed(self):
         """(place of each corner among the vertices, whether it is one)."""
@@ -132,7 +166,7 @@ class Mesh:
         return place, self.vid[place] == self.corner if len(self.vid) else np.zeros(self.corner.shape, bool)
 
     def chosen(self, faces, vertices) -> Mesh:
-        return Mesh(self.fid[faces], self.corner[faces], self.vid[vertices], self.at[vertices])
+        return Mesh(self.fid[faces], self.corner[faces], self.vid[vertices], self.at[vertices], self.span)
 
     def finite(self) -> Mesh:
         import numpy as np
@@ -145,11 +179,11 @@ class Mesh:
         if not len(self.vid):
             return self.chosen(slice(0), slice(0))
         spot = np.sign(self.at) * np.floor(np.abs(self.at / step) + 0.5)
-        _, first, back = np.unique(spot, axis=0, return_index=True, return_inverse=True)
+        _, first, back = np.unique(np.column_stack([self.vid // self.span, spot]), axis=0, return_index=True, return_inverse=True)
         to = self.vid[first[back.ravel()]]
         place, known = self.placed()
         whole = known.all(axis=1)
-        return Mesh(self.fid[whole], to[place[whole]], self.vid[to == self.vid], self.at[to == self.vid])
+        return Mesh(self.fid[whole], to[place[whole]], self.vid[to == self.vid], self.at[to == self.vid], self.span)
 
     def valid(self, least_area: float) -> Mesh:
         import numpy as np
@@ -167,13 +201,7 @@ class Mesh:
         return self.chosen(slice(None), np.isin(self.vid, self.corner))
 
     def smoothed(self, rounds: int) -> Mesh:
-        import pandas as pd
-
-        if not rounds:
-            return self
-        x, y, z = self.at.T
-        out = task_smoothed(pd.DataFrame(self.corner, columns=list("abc")), pd.DataFrame({"vid": self.vid, "x": x, "y": y, "z": z}), rounds)
-        return Mesh(self.fid, self.corner, self.vid, out[["x", "y", "z"]].to_numpy())
+        return Mesh(self.fid, self.corner, self.vid, smoothed_at(self, rounds), self.span) if rounds else self
 
 
 def by_mesh(faces: DataFrame, vertices: DataFrame, task, joined, large: int) -> tuple[DataFrame, DataFrame]:
@@ -186,15 +214,20 @@ def by_mesh(faces: DataFrame, vertices: DataFrame, task, joined, large: int) ->
         import numpy as np
         import pandas as pd
 
-        no = (f["face_no"] if len(f) else v["no"]).iloc[0]
-        f, v = f.sort_values("fid"), v.sort_values("vid")
-        m = task(Mesh(f["fid"].to_numpy(), f[["a", "b", "c"]].to_numpy(), v["vid"].to_numpy(), v[["x", "y", "z"]].to_numpy(dtype=float, na_value=np.nan)))
-        one = pd.DataFrame({"no": no, "id": m.fid, **{k: m.corner[:, i] for i, k in enumerate("abc")}})
-        two = pd.DataFrame({"no": no, "id": m.vid, **{k: m.at[:, i] for i, k in enumerate("xyz")}})
+        f, v = f.rename(columns={"face_task_no": "no"}), v.rename(columns={"task_no": "no"})
+        nos = np.concatenate([f["no"], v["no"]])
+        named, fids = Keys(nos, v["vid"], f[["a", "b", "c"]]), Keys(nos, f["fid"])
+        f = f.assign(key=fids.of(f["no"].to_numpy(), f["fid"].to_numpy())).sort_values("key")
+        v = v.assign(key=named.of(v["no"].to_numpy(), v["vid"].to_numpy())).sort_values("key")
+        corner = named.of(f["no"].to_numpy(), f[["a", "b", "c"]].to_numpy())
+        m = task(Mesh(f["key"].to_numpy(), corner, v["key"].to_numpy(), v[["x", "y", "z"]].to_numpy(dtype=float, na_value=np.nan), named.span))
+        corner = named.id(m.corner)
+        one = pd.DataFrame({"no": fids.no(m.fid), "id": fids.id(m.fid), **{k: corner[:, i] for i, k in enumerate("abc")}})
+        two = pd.DataFrame({"no": named.no(m.vid), "id": named.id(m.vid), **{k: m.at[:, i] for i, k in enumerate("xyz")}})
         out = pd.concat([one, two], ignore_index=True).reindex(columns=["no", "id", *"abcxyz"])
         return out.astype({k: "Int64" for k in "abc"})
 
-    parts = [df.join(some, "mesh_id").select(F.col("no").alias(key), *cols).groupBy(key) for key, df, cols in (("face_no", faces, ("fid", *"abc")), ("no", vertices, ("vid", *"xyz")))]
+    parts = [df.join(some, "mesh_id").select(F.col("task").alias(key), F.col("no").alias(f"{key}_no"), *cols).groupBy(key) for key, df, cols in (("face_task", faces, ("fid", *"abc")), ("task", vertices, ("vid", *"xyz")))]
     both = materialize(parts[0].cogroup(parts[1]).applyInPandas(run, "no long, id long, a long, b long, c long, x double, y double, z double").join(names.select("mesh_id", "no"), "no"))
     out = [both.where("a is not null").select("mesh_id", F.col("id").alias("fid"), "a", "b", "c"), both.where("a is null").select("mesh_id", F.col("id").alias("vid"), "x", "y", "z")]
     big = names.where(F.col("size") > large)
@@ -215,11 +248,11 @@ def touched_faces(faces: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def task_components(faces):
-    """component of each face of one mesh: the lowest label hooked over edges of two faces until nothing changes."""
+    """component of each face of the meshes in a task: the lowest label hooked over edges of two faces until nothing changes."""
     import numpy as np
 
-    faces = faces.sort_values("fid")
-    corner = faces[["a", "b", "c"]].to_numpy()
+    faces = faces.sort_values(["no", "fid"])
+    corner = Keys(faces["no"], faces[["a", "b", "c"]]).of(faces["no"].to_numpy(), faces[["a", "b", "c"]].to_numpy())
     ends = np.sort(np.concatenate([corner[:, [0, 1]], corner[:, [1, 2]], corner[:, [2, 0]]]), axis=1)
     order = np.lexsort((ends[:, 1], ends[:, 0]))
     new = np.r_[True, (np.diff(ends[order], axis=0) != 0).any(axis=1)]
@@ -264,8 +297,8 @@ def star_components(faces: DataFrame) -> DataFrame:
 def components(faces: DataFrame, large: int = LARGE) -> DataFrame:
     """mesh_id, fid, component (lowest fid reached over edges of exactly two faces). Faces should be a written table, as it is read more than once."""
     names = numbered(faces)
-    small = faces.join(names.where(F.col("size") <= large), "mesh_id").select("no", "fid", "a", "b", "c")
-    found = small.groupBy("no").applyInPandas(task_components, "no long, fid long, component long")
+    small = faces.join(names.where(F.col("size") <= large), "mesh_id").select("task", "no", "fid", "a", "b", "c")
+    found = small.groupBy("task").applyInPandas(task_components, "no long, fid long, component long")
     out = found.join(names, "no").select("mesh_id", "fid", "component")
     big = names.where(F.col("size") > large)
     return out.unionByName(star_components(faces.join(big, "mesh_id", "left_semi"))) if big.limit(1).count() else out
@@ -366,30 +399,29 @@ def relaxed(faces: DataFrame, vertices: DataFrame, weight: float = 0.5) -> DataF
     return vertices.join(mean, ["mesh_id", "vid"], "left").select("mesh_id", "vid", *[F.coalesce(F.col(k) + weight * (F.col(f"n{k}") - F.col(k)), F.col(k)).alias(k) for k in "xyz"])
 
 
-def task_smoothed(faces, vertices, rounds: int):
-    """The vertices of one mesh after rounds of `relaxed` and scaling; as they were if that gives a value that isn't finite."""
+def smoothed_at(m: Mesh, rounds: int):
+    """The places of the vertices after rounds of `relaxed` and scaling; as they were for meshes where that gives a value that isn't finite."""
     import numpy as np
 
-    vertices = vertices.sort_values("vid")
-    names, at = vertices["vid"].to_numpy(), vertices[["x", "y", "z"]].to_numpy()
-    n, corner = len(names), faces[["a", "b", "c"]].to_numpy()
-    if not n or not len(corner):
-        return vertices
-    t = np.minimum(np.searchsorted(names, corner), n - 1)
-    known = names[t] == corner
+    n, at = len(m.vid), m.at
+    if not n or not len(m.corner):
+        return at
+    t, known = m.placed()
     pairs = [(p, q) for p in range(3) for q in range(3) if p != q]
     links = np.unique(np.concatenate([(t[:, p] * n + t[:, q])[known[:, p] & known[:, q]] for p, q in pairs]))
     i, j = links // n, links % n
     degree = np.bincount(i, minlength=n)[:, None]
     whole = t[known.all(axis=1)]
-    size = lambda x: np.einsum("ij,ij->", x[whole[:, 0]], np.cross(x[whole[:, 1]], x[whole[:, 2]]))
+    mesh = np.unique(m.vid // m.span, return_inverse=True)[1]
+    size = lambda x: np.bincount(mesh[whole[:, 0]], np.einsum("ij,ij->i", x[whole[:, 0]], np.cross(x[whole[:, 1]], x[whole[:, 2]])), mesh[-1] + 1)
     with np.errstate(all="ignore"):
         before = size(at)
         for _ in range(rounds):
             mean = np.stack([np.bincount(i, at[j, k], n) for k in range(3)], axis=1) / degree
             at = np.where(degree > 0, at + 0.5 * (mean - at), at)
-            at = at * np.power(before / size(at), 1 / 3)
-    return vertices.assign(x=at[:, 0], y=at[:, 1], z=at[:, 2]) if np.isfinite(at).all() else vertices
+            at = at * np.power(before / size(at), 1 / 3)[mesh, None]
+    fine = np.bincount(mesh, ~np.isfinite(at).all(axis=1)) == 0
+    return np.where(fine[mesh, None], at, m.at)
 
 
 def joined_smoothed(faces: DataFrame, vertices: DataFrame, rounds: int) -> DataFrame:
@@ -412,8 +444,20 @@ def smoothed(faces: DataFrame, vertices: DataFrame, rounds: int = 3, large: int
     vertices = vertices.select("mesh_id", "vid", "x", "y", "z")
     names = numbered(faces, vertices)
     some = names.where(F.col("size") <= large)
-    parts = [df.join(some, "mesh_id").select(F.col("no").alias(key), *cols).groupBy(key) for key, df, cols in (("face_no", faces, ("a", "b", "c")), ("no", vertices, ("vid", "x", "y", "z")))]
-    moved = parts[0].cogroup(parts[1]).applyInPandas(lambda f, v: task_smoothed(f, v, rounds), "no long, vid long, x double, y double, z double")
+
+    def run(f, v):
+        import numpy as np
+        import pandas as pd
+
+        f, v = f.rename(columns={"face_task_no": "no"}), v.rename(columns={"task_no": "no"})
+        keys = Keys(np.concatenate([f["no"], v["no"]]), v["vid"], f[["a", "b", "c"]])
+        v = v.assign(key=keys.of(v["no"].to_numpy(), v["vid"].to_numpy())).sort_values("key")
+        corner = keys.of(f["no"].to_numpy(), f[["a", "b", "c"]].to_numpy())
+        at = smoothed_at(Mesh(np.arange(len(f)), corner, v["key"].to_numpy(), v[["x", "y", "z"]].to_numpy(), keys.span), rounds)
+        return pd.DataFrame({"no": v["no"].to_numpy(), "vid": v["vid"].to_numpy(), **{k: at[:, i] for i, k in enumerate("xyz")}})
+
+    parts = [df.join(some, "mesh_id").select(F.col("task").alias(key), F.col("no").alias(f"{key}_no"), *cols).groupBy(key) for key, df, cols in (("face_task", faces, ("a", "b", "c")), ("task", vertices, ("vid", "x", "y", "z")))]
+    moved = parts[0].cogroup(parts[1]).applyInPandas(run, "no long, vid long, x double, y double, z double")
     out = materialize(moved.join(names, "no").select("mesh_id", "vid", "x", "y", "z"))
     big = names.where(F.col("size") > large)
     if not big.limit(1).count():

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from interfacet.operators import density, spatial
+from interfacet.operators import density, flatten, mesh, spatial
 from interfacet.sources.storage import materialize
 
 
@@ -54,3 +54,26 @@ def test_smoothing_by_blocks_equals_dense_arrays(spark):
     assert plan.count("Exchange hashpartitioning") <= 3  # two of the join of counts with their grid, one of counts
     tiny = density.smooth(spark.createDataFrame([("S", 0, 0, 0, 1.0)], "structure_id string, ix long, iy long, iz long, d double"), spark.createDataFrame([("S", 5, 50, 50)], "structure_id string, nx long, ny long, nz long"))
     assert abs(tiny.agg(F.sum("d")).first()[0] - 1) < 1e-9 and tiny.where("ix = 5").count()  # as SQL has it
+
+
+def test_small_meshes_share_tasks_but_nothing_else(spark):
+    """Hundreds of meshes of equal ids and places: few tasks, each mesh on its own, one without faces and one alone in its task."""
+    faces = spark.range(400).selectExpr("id - 200 AS mesh_id", "explode(array(struct(5L AS fid, 1L AS a, 2L AS b, 3L AS c), struct(9L AS fid, 2L AS a, 4L AS b, 3L AS c), struct(-3L AS fid, 7L AS a, 8L AS b, 9L AS c))) AS t").select("mesh_id", "t.*")
+    at = spark.range(401).selectExpr("id - 200 AS mesh_id", "explode(sequence(1L, 9L)) AS vid").selectExpr("mesh_id", "vid", "CAST(vid % 2 AS double) AS x", "CAST(vid % 3 AS double) AS y", "CAST(vid AS double) AS z")
+    faces, at = materialize(faces), materialize(at)
+    names = mesh.numbered(faces, at)
+    assert names.select("task").distinct().count() <= 32 and names.count() == 401
+    big = spark.range(mesh.BUNDLE + 1).selectExpr("1L AS mesh_id").unionAll(spark.range(5).selectExpr("id + 2 AS mesh_id"))
+    tasks = {r["mesh_id"]: r["task"] for r in mesh.numbered(big).collect()}
+    assert list(tasks.values()).count(tasks[1]) == 1
+    parts = mesh.components(faces).groupBy("mesh_id").agg(F.sort_array(F.collect_set(F.struct("fid", "component"))).alias("p"))
+    assert {tuple(map(tuple, r["p"])) for r in parts.collect()} == {((-3, -3), (5, 5), (9, 5))} and parts.count() == 400
+    f, v = mesh.validated(faces, at)
+    assert f.count() == 1200 and v.count() == 400 * 7
+    moved, alone = mesh.smoothed(faces, at), mesh.smoothed(faces.where("mesh_id = 3"), at.where("mesh_id = 3"))
+    want = {r["vid"]: (r["x"], r["y"], r["z"]) for r in alone.collect()}
+    got = [r for r in moved.collect() if r["mesh_id"] != 200]
+    assert len(got) == 3600 and all(np.allclose((r["x"], r["y"], r["z"]), want[r["vid"]]) for r in got)
+    ones = spark.range(100).selectExpr("id AS key", "explode(array(struct(0L AS i, 0L AS j, 2D + id AS w), struct(4L AS i, 4L AS j, 1D AS w))) AS t").select("key", "t.*")
+    x = flatten.solve(ones, ones.selectExpr("key", "i", "w * (key + i) AS w"))
+    assert x.count() == 200 and not x.where("abs(x - key - i) > 1e-9").count()
