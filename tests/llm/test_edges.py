@@ -108,3 +108,17 @@ def test_toxicity_of_very_long_texts(spark):
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, labels).where(F.col("doc_id") >= 1000).collect()}
     assert got == {1000: 0, 1001: 1}
     assert "op5_toxicity" in queries.queries()
+
+
+def test_extensions_are_verified_in_parts(monkeypatch):
+    import numpy as np
+
+    from interfacet.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "SLICE", 10)
+    data = np.frombuffer(b"abcdefghij" * 20, np.uint8).copy()
+    a, b, size = np.arange(12) * 10, np.arange(12) * 10 + 20, np.array([7, 0, 30, 1, 0, 5, 10, 3, 9, 0, 2, 4])
+    assert suffix_dedup.verified(data, a, b, size)
+    assert suffix_dedup.verified(data, a[:0], b[:0], size[:0])
+    data[b[11] + 3] ^= 1
+    assert not suffix_dedup.verified(data, a, b, size)
