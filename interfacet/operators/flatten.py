@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialize
+from ..sources.storage import materialize, shuffled
 from . import mesh
 from .project import normal_uv
 
@@ -94,21 +94,21 @@ def longest_loop(loops: DataFrame) -> DataFrame:
     """The loop of most vertices of each mesh (the lowest vid on ties), if it has 3 or more."""
     sizes = loops.groupBy("mesh_id", "loop").agg(F.count("*").alias("size"))
     best = sizes.groupBy("mesh_id").agg(F.max_by("loop", F.struct("size", -F.col("loop"))).alias("loop"), F.max("size").alias("size")).where("size >= 3")
-    return loops.join(best.select("mesh_id", "loop"), ["mesh_id", "loop"], "left_semi")
+    return loops.join(shuffled(best.select("mesh_id", "loop")), ["mesh_id", "loop"], "left_semi")
 
 
 def farthest(loop: DataFrame, vertices: DataFrame) -> DataFrame:
     """mesh_id, first, far: the first vertex of a loop and the one at the largest distance from it (the lowest vid on ties)."""
-    at = loop.select("mesh_id", "pos", "vid").join(vertices, ["mesh_id", "vid"])
+    at = shuffled(loop.select("mesh_id", "pos", "vid")).join(vertices, ["mesh_id", "vid"])
     first = at.where("pos = 0").select("mesh_id", F.col("vid").alias("first"), *[F.col(k).alias(f"f{k}") for k in "xyz"])
     d2 = sum(((F.col(k) - F.col(f"f{k}")) * (F.col(k) - F.col(f"f{k}")) for k in "xyz"), F.lit(0.0))
-    return at.join(first, "mesh_id").groupBy("mesh_id", "first").agg(F.max_by("vid", F.struct(d2, -F.col("vid"))).alias("far"))
+    return at.join(shuffled(first), "mesh_id").groupBy("mesh_id", "first").agg(F.max_by("vid", F.struct(d2, -F.col("vid"))).alias("far"))
 
 
 def circle(loop: DataFrame, vertices: DataFrame) -> DataFrame:
     """mesh_id, vid, arc, u, v: the loop on the unit circle, by the length of its chords."""
     ring = Window.partitionBy("mesh_id").orderBy("pos")
-    at = loop.select("mesh_id", "pos", "vid").join(vertices, ["mesh_id", "vid"])
+    at = shuffled(loop.select("mesh_id", "pos", "vid")).join(vertices, ["mesh_id", "vid"])
     back = [F.lag(k).over(ring).alias(f"p{k}") for k in "xyz"]
     ends = [F.last(k).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"e{k}") for k in "xyz"]
     gap = lambda p: F.sqrt(sum(((F.col(k) - F.col(f"{p}{k}")) * (F.col(k) - F.col(f"{p}{k}")) for k in "xyz"), F.lit(0.0)))
@@ -121,10 +121,10 @@ def circle(loop: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def largest_component(faces: DataFrame) -> DataFrame:
     """The faces of the component with most vertices (the lowest vid on ties)."""
-    part = faces.join(mesh.components(faces), ["mesh_id", "fid"])
+    part = faces.join(shuffled(mesh.components(faces)), ["mesh_id", "fid"])
     sizes = mesh.corners(part, "component").groupBy("mesh_id", "component").agg(F.count_distinct("vid").alias("n"), F.min("vid").alias("low"))
     best = sizes.groupBy("mesh_id").agg(F.max_by("component", F.struct("n", -F.col("low"), -F.col("component"))).alias("component"))
-    return part.join(best, ["mesh_id", "component"], "left_semi").select("mesh_id", "fid", "a", "b", "c")
+    return part.join(shuffled(best), ["mesh_id", "component"], "left_semi").select("mesh_id", "fid", "a", "b", "c")
 
 
 def cleaned(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +140,7 @@ def conformal_entries(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """
     out = faces.select("mesh_id", "a", "b", "c")
     for p in "abc":
-        out = out.join(vertices.select("mesh_id", F.col("vid").alias(p), F.array("x", "y", "z").alias(f"p{p}")), ["mesh_id", p])
+        out = out.join(shuffled(vertices.select("mesh_id", F.col("vid").alias(p), F.array("x", "y", "z").alias(f"p{p}"))), ["mesh_id", p])
     minus = lambda s, t: F.zip_with(s, t, lambda x, y: x - y)
     dot = lambda s, t: F.aggregate(F.zip_with(s, t, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
     out = out.withColumns({"ea": minus("pc", "pb"), "eb": minus("pa", "pc"), "ec": minus("pb", "pa")})
@@ -237,9 +237,9 @@ def solve(a: DataFrame, b: DataFrame, large: int = LARGE) -> DataFrame:
 
 def reduced(entries: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b) of the unknowns that known(key, i, x) leaves."""
-    free = entries.join(known.select("key", "i"), ["key", "i"], "left_anti")
+    free = entries.join(shuffled(known.select("key", "i")), ["key", "i"], "left_anti")
     at = known.select("key", F.col("i").alias("j"), "x")
-    split = materialize(free.join(at, ["key", "j"], "left"))
+    split = materialize(free.join(shuffled(at), ["key", "j"], "left"))
     a = split.where("x is null").select("key", "i", "j", "w")
     return a, split.groupBy("key", "i").agg(F.sum(F.when(F.col("x").isNull(), 0.0).otherwise(-F.col("w") * F.col("x"))).alias("w"))
 
@@ -257,7 +257,7 @@ def harmonic(faces: DataFrame, vertices: DataFrame, loop: DataFrame, large: int
     # A mesh whose system was not solved for both axes has no map.
     every = mesh.corners(faces).groupBy("mesh_id").agg(F.count_distinct("vid").alias("n"))
     solved = uv.where("u is not null and v is not null").groupBy("mesh_id").agg(F.count("*").alias("n"))
-    return uv.join(every.join(solved, ["mesh_id", "n"]).select("mesh_id"), "mesh_id", "left_semi")
+    return uv.join(shuffled(every.join(shuffled(solved), ["mesh_id", "n"]).select("mesh_id")), "mesh_id", "left_semi")
 
 
 def conformal(faces: DataFrame, vertices: DataFrame, loop: DataFrame, large: int = LARGE) -> DataFrame:
@@ -270,12 +270,12 @@ def conformal(faces: DataFrame, vertices: DataFrame, loop: DataFrame, large: int
     entries = conformal_entries(faces, vertices).select(F.col("mesh_id").alias("key"), parts.alias("t")).select("key", "t.*").where("w <> 0 or i = j")
     pins = F.explode(F.array(*[F.struct((F.col(p) * 2 + c).alias("i"), F.lit(x).alias("x")) for p, c, x in (("first", 0, 0.0), ("first", 1, 0.0), ("far", 0, 1.0), ("far", 1, 0.0))]))
     known = materialize(farthest(loop, vertices).where("first <> far").select(F.col("mesh_id").alias("key"), pins.alias("t")).select("key", "t.*"))
-    entries = entries.join(known.select("key").distinct(), "key", "left_semi")
+    entries = entries.join(shuffled(known.select("key").distinct()), "key", "left_semi")
     both = solve(*reduced(entries, known), large).unionByName(known)
     one = lambda c: F.max(F.when(F.col("i") % 2 == c, F.col("x")))
     uv = both.groupBy(F.col("key").alias("mesh_id"), F.floor(F.col("i") / 2).alias("vid")).agg(one(0).alias("u"), one(1).alias("v"))
     solved = uv.groupBy("mesh_id").agg(F.count("*").alias("n")).where("n > 2").select("mesh_id")  # the pins alone are no map
-    return uv.join(solved, "mesh_id", "left_semi")
+    return uv.join(shuffled(solved), "mesh_id", "left_semi")
 
 
 def flattened(faces: DataFrame, vertices: DataFrame, large: int = LARGE) -> DataFrame:
@@ -319,4 +319,4 @@ def largest(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame
     faces = materialize(largest_component(faces))
     vertices = mesh.used_vertices(faces, vertices)
     enough = vertices.groupBy("mesh_id").agg(F.count("*").alias("n")).where("n >= 3").select("mesh_id")
-    return faces.join(enough, "mesh_id", "left_semi"), materialize(vertices.join(enough, "mesh_id", "left_semi"))
+    return faces.join(shuffled(enough), "mesh_id", "left_semi"), materialize(vertices.join(shuffled(enough), "mesh_id", "left_semi"))

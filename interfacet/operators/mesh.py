@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialize
+from ..sources.storage import materialize, shuffled
 
 LARGE = 200_000  # rows of one mesh that a single task may hold (some 50 MB)
 BUNDLE = 50_000  # rows of small meshes that go through a task together; a call for each would cost more than its work
@@ -72,7 +72,7 @@ def cornered(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Faces with the coordinates of their corners (ax .. cz) and their area."""
     out = faces
     for p in ("a", "b", "c"):
-        out = out.join(vertices.select("mesh_id", F.col("vid").alias(p), *[F.col(k).alias(f"{p}{k}") for k in "xyz"]), ["mesh_id", p])
+        out = out.join(shuffled(vertices.select("mesh_id", F.col("vid").alias(p), *[F.col(k).alias(f"{p}{k}") for k in "xyz"])), ["mesh_id", p])
     u, v = ([F.col(f"{p}{k}") - F.col(f"a{k}") for k in "xyz"] for p in ("b", "c"))
     cross = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
     return out.withColumn("area", F.sqrt(sum(c * c for c in cross)) / 2)
@@ -106,11 +106,11 @@ def merged(faces: DataFrame, vertices: DataFrame, step: float = 1e-8) -> tuple[D
     at = [F.round(F.col(k) / step).alias(f"r{k}") for k in "xyz"]
     same = vertices.select("mesh_id", "vid", *at)
     first = same.groupBy("mesh_id", "rx", "ry", "rz").agg(F.min("vid").alias("to"))
-    names = same.join(first, ["mesh_id", "rx", "ry", "rz"]).select("mesh_id", "vid", "to")
+    names = same.join(shuffled(first), ["mesh_id", "rx", "ry", "rz"]).select("mesh_id", "vid", "to")
     out = faces
     for p in ("a", "b", "c"):
-        out = out.join(names.withColumnRenamed("vid", p).withColumnRenamed("to", f"{p}1"), ["mesh_id", p]).drop(p).withColumnRenamed(f"{p}1", p)
-    kept = vertices.join(names.where("vid = to").select("mesh_id", "vid"), ["mesh_id", "vid"], "left_semi")
+        out = out.join(shuffled(names.withColumnRenamed("vid", p).withColumnRenamed("to", f"{p}1")), ["mesh_id", p]).drop(p).withColumnRenamed(f"{p}1", p)
+    kept = vertices.join(shuffled(names.where("vid = to").select("mesh_id", "vid")), ["mesh_id", "vid"], "left_semi")
     return out.select("mesh_id", "fid", "a", "b", "c"), kept
 
 
@@ -238,7 +238,7 @@ def by_mesh(faces: DataFrame, vertices: DataFrame, task, joined, large: int) ->
 
 
 def used_vertices(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    return vertices.join(corners(faces), ["mesh_id", "vid"], "left_semi")
+    return vertices.join(shuffled(corners(faces)), ["mesh_id", "vid"], "left_semi")
 
 
 def touched_faces(faces: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -24,14 +24,22 @@ def honest(df: DataFrame, path: str) -> DataFrame:
     """df, the Parquet table at path, such that joins don't broadcast it by the size of its files where its rows are far larger.
 
     Columns of numbers take some bits a row in a file and eight bytes or more in memory, so that a table of millions of rows
-    may look small enough to go through the driver. Files beyond several times the limit stay beyond it whatever columns are read.
+    may look small enough to go through the driver; a row of a table that is sent takes some 64 bytes beside its columns.
     """
     spark = df.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(place).getLength()
-    if not SENT // 100 < size < 8 * SENT:
+    if size <= SENT // 100:
         return df
-    return df.hint("merge") if df.count() * 16 * (1 + len(df.columns)) > SENT else df
+    return shuffled(df) if df.count() * (64 + 16 * len(df.columns)) > SENT else df
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, whose rows grow with the input, so that a join shuffles it whatever the planner makes of its size.
+
+    A hint on a written table ends at the next join or grouping; after these the planner goes by the bytes of files or of a shuffle again.
+    """
+    return df.hint("merge")
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -77,3 +77,15 @@ def test_small_meshes_share_tasks_but_nothing_else(spark):
     ones = spark.range(100).selectExpr("id AS key", "explode(array(struct(0L AS i, 0L AS j, 2D + id AS w), struct(4L AS i, 4L AS j, 1D AS w))) AS t").select("key", "t.*")
     x = flatten.solve(ones, ones.selectExpr("key", "i", "w * (key + i) AS w"))
     assert x.count() == 200 and not x.where("abs(x - key - i) > 1e-9").count()
+
+
+def test_meshes_are_shuffled_not_sent(spark):
+    """Small files of vertices and of meshes, whose rows grow with the input: no join of these sends either through the driver."""
+    at = materialize(spark.range(2500).selectExpr("id div 25 AS mesh_id", "id % 25 AS vid", "id % 5 + 0D AS x", "id % 25 div 5 + 0D AS y", "0D AS z"))
+    spots = spark.range(1600).selectExpr("id div 16 AS mesh_id", "id % 16 div 4 * 5 + id % 4 AS v")
+    faces = materialize(spots.selectExpr("mesh_id", "explode(array(struct(2 * v AS fid, v AS a, v + 1 AS b, v + 6 AS c), struct(2 * v + 1 AS fid, v AS a, v + 6 AS b, v + 5 AS c))) AS f").select("mesh_id", "f.*"))
+    loop = materialize(flatten.longest_loop(flatten.boundary_loops(faces)))
+    for df in (mesh.valid_faces(*mesh.merged(faces, at), 1e-12), mesh.used_vertices(faces, at), flatten.conformal_entries(faces, at), flatten.farthest(loop, at)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count()
+    assert flatten.harmonic(faces, at, loop).count() == 2500
