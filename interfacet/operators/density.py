@@ -31,6 +31,17 @@ def kernel(sigma: float) -> list[tuple[int, float]]:
 BLOCK = 32  # cells along an edge of a block
 
 
+def dealt(cells: DataFrame, grid: DataFrame, reach: int, more: int = 0) -> DataFrame:
+    """The counted cells, with the columns of grid, once for every block (bx, by, bz) that has a cell within reach of them, or with `more` = 1 ends just below such a cell."""
+    out = cells.join(grid, "structure_id")
+    for k in AXES:
+        i, n = F.col(f"i{k}"), F.col(f"n{k}")
+        first = F.least(F.greatest(i - reach, F.lit(0)), 2 * n - 1 - i - reach)  # the second is less only where a grid is smaller than the kernel
+        last = F.greatest(F.least(i + reach, n - 1), reach - 1 - i)
+        out = out.withColumn(f"b{k}", F.explode(F.sequence(F.floor((first - more) / BLOCK), F.floor(last / BLOCK))))
+    return out
+
+
 def smooth(cells: DataFrame, grid: DataFrame, sigma: float = 1.5) -> DataFrame:
     """Three one-axis passes; what passes a border is reflected.
 
@@ -41,12 +52,7 @@ def smooth(cells: DataFrame, grid: DataFrame, sigma: float = 1.5) -> DataFrame:
     reach = taps[-1][0]
     spread = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in taps]))
     blocks, at = [f"b{k}" for k in AXES], [f"i{k}" for k in AXES]
-    out = cells.join(grid.select("structure_id", *[f"n{k}" for k in AXES]), "structure_id")
-    for k in AXES:
-        i, n = F.col(f"i{k}"), F.col(f"n{k}")
-        first = F.least(F.greatest(i - reach, F.lit(0)), 2 * n - 1 - i - reach)  # the second is less only where a grid is smaller than the kernel
-        last = F.greatest(F.least(i + reach, n - 1), reach - 1 - i)
-        out = out.withColumn(f"b{k}", F.explode(F.sequence(F.floor(first / BLOCK), F.floor(last / BLOCK))))
+    out = dealt(cells, grid.select("structure_id", *[f"n{k}" for k in AXES]), reach)
     out = out.repartition("structure_id", *blocks)
     for k in AXES:
         i, n = F.col(f"i{k}") + F.col("t.o"), F.col(f"n{k}")

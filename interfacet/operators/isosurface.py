@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialize
+from . import density
+
 AXES = ("x", "y", "z")
 CELL = ["structure_id", "ix", "iy", "iz"]
 
@@ -44,6 +47,101 @@ def crossing_edges(cells: DataFrame, grid: DataFrame, start: DataFrame) -> DataF
     return edges.join(grid, "structure_id").where(inside)
 
 
+def block_cubes(rows, at: tuple[int, int, int], taps: list[tuple[int, float]]):
+    """ix, iy, iz, masks, d0, dx, dy, dz of the cubes whose lowest corner is in the block at `at`, from the counted cells that reach it: see `cubes`.
+
+    The three passes of `density.smooth` are products with one small matrix for each axis.
+    """
+    import numpy as np
+    import pandas as pd
+
+    size, start, place = density.BLOCK, float(rows["start"].iloc[0]), rows[["ix", "iy", "iz"]].to_numpy()
+    low, n = place.min(axis=0), rows[["nx", "ny", "nz"]].iloc[0].to_numpy()
+    d = np.zeros(place.max(axis=0) - low + 1)
+    d[tuple((place - low).T)] = rows["d"].to_numpy()
+    for k in range(3):
+        here, first = np.arange(d.shape[k]) + low[k], at[k] * size
+        weight = np.zeros((size + 1, len(here)))
+        for o, w in taps:
+            to = here + o
+            to = np.where(to < 0, -to - 1, np.where(to >= n[k], 2 * n[k] - 1 - to, to))
+            fits = (to >= max(first, 0)) & (to < min(first + size + 1, n[k]))
+            np.add.at(weight, (to[fits] - first, np.flatnonzero(fits)), w)
+        d = np.moveaxis(np.tensordot(weight, d, (1, k)), 0, k)
+    part = lambda x, o: x[tuple(slice(c, c + size) for c in o)]
+    masks, crossed = np.zeros((size,) * 3, np.int64), np.zeros((size,) * 3, bool)
+    for i in range(4):
+        above = (d > start / 2**i).astype(np.int64)
+        mask = sum(part(above, corner(c)) << c for c in range(8))
+        masks |= mask << 8 * i
+        crossed |= (mask > 0) & (mask < 255)
+    found = np.argwhere(crossed)
+    found = found[((found + np.array(at) * size >= 0) & (found + np.array(at) * size < n)).all(axis=1)]
+    of = lambda o: d[tuple((found + np.array(o)).T)]
+    place = found + np.array(at) * size
+    return pd.DataFrame({"ix": place[:, 0], "iy": place[:, 1], "iz": place[:, 2], "masks": masks[tuple(found.T)], "d0": of((0, 0, 0)), "dx": of((1, 0, 0)), "dy": of((0, 1, 0)), "dz": of((0, 0, 1))})
+
+
+def cubes_from(cells: DataFrame, grid: DataFrame, start: DataFrame, sigma: float) -> DataFrame:
+    """`cubes` of structures whose start is known."""
+    taps = density.kernel(sigma)
+    kind = cells.schema["structure_id"].dataType.simpleString()
+
+    def run(key, rows):
+        out = block_cubes(rows, tuple(int(b) for b in key[1:]), taps)
+        out.insert(0, "structure_id", key[0])
+        out.insert(1, "start", rows["start"].iloc[0])
+        return out
+
+    known = grid.select("structure_id", *[f"n{k}" for k in AXES]).join(start, "structure_id")
+    blocks = density.dealt(cells, known, taps[-1][0], 1).groupBy("structure_id", *[f"b{k}" for k in AXES])
+    return blocks.applyInPandas(run, f"structure_id {kind}, start double, ix long, iy long, iz long, masks long, d0 double, dx double, dy double, dz double")
+
+
+def cubes(cells: DataFrame, grid: DataFrame, sigma: float = 1.5, level: float = 0.1) -> DataFrame:
+    """structure_id, start, ix, iy, iz, masks, d0, dx, dy, dz: the cubes of the counted cells' smoothed density that cross start, its half, quarter or eighth; written.
+
+    masks has 8 bits for each of the four levels, one for each corner above it; d0 is the density at the lowest corner, dx .. dz
+    those next to it. The lowest corner is in the grid, others may not be. Each block smooths its cells and those just above it,
+    so that counts are shuffled and no smoothed cells are, nor written. A structure with a cell above the level starts
+    there; only for others their largest density is looked for first.
+    """
+    first = materialize(cubes_from(cells, grid, grid.select("structure_id", F.lit(level).alias("start")), sigma))
+    high = first.where(F.greatest("d0", "dx", "dy", "dz") > F.col("start")).select("structure_id").distinct()
+    low = materialize(grid.select("structure_id").join(high, "structure_id", "left_anti"))
+    if not low.limit(1).count():
+        return first
+    rest = cells.join(low, "structure_id", "left_semi")
+    again = cubes_from(rest, grid, starts(density.smooth(rest, grid, sigma), level), sigma)
+    return materialize(first.join(low, "structure_id", "left_anti").unionByName(again))
+
+
+def cube_starts(cubes: DataFrame) -> DataFrame:
+    """structure_id, start of the structures that have `cubes`."""
+    return cubes.groupBy("structure_id").agg(F.first("start").alias("start"))
+
+
+def cube_edges(cubes: DataFrame, grid: DataFrame) -> DataFrame:
+    """`crossing_edges`, as the edges at the lowest corners of `cubes`."""
+    items = []
+    for j, k in enumerate(AXES):
+        crosses_any = F.lit(False)
+        for i in range(4):
+            crosses_any = crosses_any | ((F.col("d0") > F.col("start") / 2**i) != (F.col(f"d{k}") > F.col("start") / 2**i))
+        items.append(F.when(crosses_any & (F.col(f"i{k}") + 1 < F.col(f"n{k}")), F.struct(F.lit(j).alias("axis"), F.col(f"d{k}").alias("d1"))))
+    edges = cubes.join(grid, "structure_id").withColumn("e", F.explode(F.array_compact(F.array(*items))))
+    return edges.select("structure_id", "start", "ix", "iy", "iz", "e.axis", "d0", "e.d1", *[c for c in grid.columns if c != "structure_id"])
+
+
+def cube_faces_at(cubes: DataFrame, grid: DataFrame, level: DataFrame) -> DataFrame:
+    """`faces`, from `cubes`; level must be their start, its half, quarter or eighth."""
+    mask = F.lit(0)
+    for i in range(4):
+        mask = F.when(F.col("level") == F.col("start") / 2**i, F.shiftright("masks", 8 * i).bitwiseAND(F.lit(255))).otherwise(mask)
+    at = cubes.join(level.select("structure_id", "level"), "structure_id").select(*CELL, mask.cast("int").alias("mask"))
+    return masked_faces(at, grid)
+
+
 def levels(edges: DataFrame, start: DataFrame, atoms: DataFrame) -> DataFrame:
     """structure_id, level: the first of start, its half, quarter and eighth with enough vertices (the least of 500 and half the atoms), else the last.
 
@@ -116,12 +214,16 @@ def triangles(mask: int) -> list[tuple[tuple[int, int], ...]]:
 
 def faces(cells: DataFrame, grid: DataFrame, level: DataFrame) -> DataFrame:
     """mesh_id, fid, a, b, c: triangles over the vertex ids of `vertices`."""
-    spark = cells.sparkSession
-    table = [(m, n, [(*corner(e[0]), e[1]) for e in t]) for m in range(1, 255) for n, t in enumerate(triangles(m))]
-    cases = spark.createDataFrame(table, "mask int, nth int, t array<struct<x:int,y:int,z:int,axis:int>>")  # at most 5 rows for each of 254 masks
     near = F.explode(F.array(*[F.struct(*[F.lit(o).alias(k) for k, o in zip(AXES, corner(i), strict=True)], F.lit(1 << i).alias("bit")) for i in range(8)]))
     solid = cells.join(level.select("structure_id", "level"), "structure_id").where("d > level").withColumn("o", near)
-    cubes = solid.select("structure_id", *[(F.col(f"i{k}") - F.col(f"o.{k}")).alias(f"i{k}") for k in AXES], F.col("o.bit").alias("bit")).groupBy(*CELL).agg(F.sum("bit").cast("int").alias("mask"))
+    return masked_faces(solid.select("structure_id", *[(F.col(f"i{k}") - F.col(f"o.{k}")).alias(f"i{k}") for k in AXES], F.col("o.bit").alias("bit")).groupBy(*CELL).agg(F.sum("bit").cast("int").alias("mask")), grid)
+
+
+def masked_faces(cubes: DataFrame, grid: DataFrame) -> DataFrame:
+    """The triangles of cubes(structure_id, ix, iy, iz, mask) that are in the grid."""
+    spark = cubes.sparkSession
+    table = [(m, n, [(*corner(e[0]), e[1]) for e in t]) for m in range(1, 255) for n, t in enumerate(triangles(m))]
+    cases = spark.createDataFrame(table, "mask int, nth int, t array<struct<x:int,y:int,z:int,axis:int>>")  # at most 5 rows for each of 254 masks
     cubes = cubes.join(grid, "structure_id").where("least(ix, iy, iz) >= 0 and ix + 1 < nx and iy + 1 < ny and iz + 1 < nz")
     vid = lambda i: cell_id(*[F.col(f"i{k}") + F.col("t")[i][k] for k in AXES]) * 3 + F.col("t")[i]["axis"]
     found = cubes.join(F.broadcast(cases), "mask")

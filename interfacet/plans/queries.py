@@ -231,10 +231,9 @@ def g3_relaxed_once(spark, sf_dir):
 def a5_g1_isosurface_vertices(spark, sf_dir):
     a, _ = sides(spark, sf_dir)
     cells, grid = chain_a_voxels(spark, sf_dir)
-    cells = materialize(density.smooth(cells, grid))
-    start = materialize(isosurface.starts(cells))
-    edges = materialize(isosurface.crossing_edges(cells, grid, start))  # read twice
-    points = isosurface.vertices(edges, isosurface.levels(edges, start, a))
+    cubes = isosurface.cubes(cells, grid)
+    edges = isosurface.cube_edges(cubes, grid)
+    points = isosurface.vertices(edges, isosurface.levels(edges, isosurface.cube_starts(cubes), a))
     return points.groupBy(F.col("mesh_id").alias("structure_id")).agg(F.count("*").alias("n_vertices"), *[F.round(F.sum(k), 3).alias(f"s{k}") for k in "xyz"])
 
 
@@ -256,10 +255,9 @@ def g2_j11_isosurface_faces(spark, sf_dir):
     """All triangles of the surfaces, by the vertex ids of G1."""
     a, _ = sides(spark, sf_dir)
     cells, grid = chain_a_voxels(spark, sf_dir)
-    cells = materialize(density.smooth(cells, grid))
-    start = materialize(isosurface.starts(cells))
-    level = isosurface.levels(materialize(isosurface.crossing_edges(cells, grid, start)), start, a)
-    return isosurface.faces(cells, grid, level).withColumnRenamed("mesh_id", "structure_id")
+    cubes = isosurface.cubes(cells, grid)
+    level = isosurface.levels(isosurface.cube_edges(cubes, grid), isosurface.cube_starts(cubes), a)
+    return isosurface.cube_faces_at(cubes, grid, level).withColumnRenamed("mesh_id", "structure_id")
 
 
 @query("SELECT mesh_id, 'face' AS kind, fid AS id, a, b, c FROM mesh_faces WHERE 7 NOT IN (a, b, c) UNION ALL SELECT DISTINCT mesh_id, 'vertex', unnest([a, b, c]), 0, 0, 0 FROM mesh_faces WHERE 7 NOT IN (a, b, c)", "mesh_faces")

@@ -14,16 +14,15 @@ from ..sources.storage import materialize
 def surface(a: DataFrame, sigma: float = 1.5, res: float = 1.0, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """(faces, vertices) of the smoothed isosurface of each structure, both written to the shared folder."""
     grid = density.grids(a, res)
-    return surface_of(materialize(density.smooth(density.voxels(a, grid), grid, sigma)), grid, a, res, rounds)
+    return surface_of(isosurface.cubes(density.voxels(a, grid), grid, sigma), grid, a, res, rounds)
 
 
-def surface_of(cells: DataFrame, grid: DataFrame, a: DataFrame, res: float = 1.0, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(faces, vertices) of smoothed densities, written already; structure_id may be any key that cells, grid and a share."""
-    start = materialize(isosurface.starts(cells))
-    edges = materialize(isosurface.crossing_edges(cells, grid, start))  # levels and vertices both read it
-    level = materialize(isosurface.levels(edges, start, a))
+def surface_of(cubes: DataFrame, grid: DataFrame, a: DataFrame, res: float = 1.0, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(faces, vertices) of the cubes of smoothed densities, written already; structure_id may be any key that cubes, grid and a share."""
+    edges = isosurface.cube_edges(cubes, grid)
+    level = materialize(isosurface.levels(edges, isosurface.cube_starts(cubes), a))
     points = materialize(isosurface.vertices(edges, level, res))
-    faces = materialize(isosurface.faces(cells, grid, level))
+    faces = materialize(isosurface.cube_faces_at(cubes, grid, level))
     return mesh.finished(faces, points, rounds)
 
 
@@ -78,9 +77,9 @@ def sweep_sigma(a: DataFrame, b: DataFrame, values=(0.5, 1.0, 1.5, 2.0, 2.5, 3.0
     voxels = materialize(density.voxels(a, grid))
     surfaces = numbers(grid.select("structure_id", steps.alias("value")), "surface")
     keyed = lambda df: df.join(surfaces, ["structure_id", "value"]).drop("structure_id", "value").withColumnRenamed("surface", "structure_id")
-    cells = reduce(DataFrame.unionByName, [density.smooth(voxels, grid, sigma).withColumn("value", F.lit(float(sigma))) for sigma in values])
+    cubes = reduce(DataFrame.unionByName, [isosurface.cubes(voxels, grid, sigma).withColumn("value", F.lit(float(sigma))) for sigma in values])
     grids, atoms = (keyed(df.withColumn("value", steps)) for df in (grid, a))
-    faces, points = surface_of(materialize(keyed(cells)), grids, atoms)
+    faces, points = surface_of(materialize(keyed(cubes)), grids, atoms)
     at = points.join(surfaces, points["mesh_id"] == surfaces["surface"]).select("structure_id", F.struct("mesh_id", "vid").alias("id"), "x", "y", "z")
     near = spatial.nearest(at, b, ["structure_id"], "id", cutoff, "b_serial").select("id.mesh_id", "id.vid", "dist")
     patches = interface(faces, materialize(near), cutoff, least_vertices).withColumnRenamed("structure_id", "surface")

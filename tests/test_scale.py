@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from interfacet.operators import density, flatten, mesh, spatial
+from interfacet.operators import density, flatten, isosurface, mesh, spatial
 from interfacet.sources.storage import materialize
 
 
@@ -89,3 +89,27 @@ def test_meshes_are_shuffled_not_sent(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
         assert df.count()
     assert flatten.harmonic(faces, at, loop).count() == 2500
+
+
+def test_cubes_by_blocks_equal_smoothed_cells(spark):
+    """Edges, levels and faces from blocks of counts and from all smoothed cells: several blocks, counts at their borders and at those of the grid, a structure below the level."""
+    rng = np.random.default_rng(4)
+    shape = {"S": (70, 40, 33), "T": (22, 24, 34), "U": (31, 32, 65)}
+    rows = {(s, *map(int, p)) for s, n in shape.items() for p in [[0, 0, 0], [31, 31, 32], [c - 1 for c in n], *rng.integers(0, n, (30, 3))] if s != "T" and all(c < m for c, m in zip(p, n, strict=True))} | {("T", 9, 9, 31)}
+    cells = spark.createDataFrame([(*k, 20.0 if k[0] == "S" else 1.0) for k in rows], "structure_id string, ix long, iy long, iz long, d double")
+    grid = spark.createDataFrame([(s, 0.0, 0.0, 0.0, *n) for s, n in shape.items()], "structure_id string, lox double, loy double, loz double, nx long, ny long, nz long")
+    atoms = spark.createDataFrame([(s,) for s in shape for _ in range(200)], "structure_id string")
+    all_cells = materialize(density.smooth(cells, grid))
+    start = isosurface.starts(all_cells)
+    edges = materialize(isosurface.crossing_edges(all_cells, grid, start))
+    level = materialize(isosurface.levels(edges, start, atoms))
+    cubes = isosurface.cubes(cells, grid)
+    got_edges = materialize(isosurface.cube_edges(cubes, grid))
+    got_level = materialize(isosurface.levels(got_edges, isosurface.cube_starts(cubes), atoms))
+    number = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    cols = ["structure_id", "ix", "iy", "iz", "axis", "d0", "d1", "start"]
+    assert number(got_edges.select(cols)) == number(edges.select(cols)) and edges.count() > 1000
+    assert number(got_level) == number(level) and level.where("structure_id = 'T' and level < 0.05").count()
+    assert number(isosurface.cube_faces_at(cubes, grid, got_level)) == number(isosurface.faces(all_cells, grid, level))
+    plan = isosurface.cube_edges(cubes, grid)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(structure_id" not in plan
