@@ -1,4 +1,4 @@
-"""Distance joins as equi-joins on grid cells: the cell is as wide as the radius, so only 27 cells can match."""
+"""Distance joins as equi-joins on grid cells of half the radius: a row meets those cells only that its sphere touches."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
+REACH = 2  # cells along a radius: of the pairs that meet fewer are too far apart than with wider cells, rows have more copies
 
 
 def cell(c: str, radius: float) -> Column:
@@ -21,18 +22,23 @@ def box(df: DataFrame, keys: list[str], radius: float, prefix: str = "") -> Data
 def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """All pairs within `radius` (inclusive) of left(keys, x, y, z, ..) and right(keys, bx, by, bz, ..), with d.
 
-    Rows of either side beyond the box of the other are dropped first. right is then copied to the neighbouring cells
-    within the box of left, so pass the smaller side there. The planner doesn't see how often rows are copied, so a
+    Rows of either side beyond the box of the other are dropped first. right is then copied to the cells within the box of
+    left that its sphere touches, so pass the smaller side there. The planner doesn't see how often rows are copied, so a
     broadcast of the copies is ruled out.
     """
     ends = [f"{e}{k}" for k in AXES for e in "ft"]
-    a = left.withColumns({f"c{k}": cell(k, radius) for k in AXES}).join(box(right, keys, radius, "b"), keys)
-    a = a.where(" and ".join(f"c{k} between f{k} - 1 and t{k} + 1" for k in AXES)).drop(*ends)
-    b = right.join(box(left, keys, radius), keys)
-    b = b.withColumns({f"f{k}": F.greatest(cell(f"b{k}", radius) - 1, f"f{k}") for k in AXES} | {f"t{k}": F.least(cell(f"b{k}", radius) + 1, f"t{k}") for k in AXES})
+    width = radius / REACH
+    a = left.withColumns({f"c{k}": cell(k, width) for k in AXES}).join(box(right, keys, width, "b"), keys)
+    a = a.where(" and ".join(f"c{k} between f{k} - {REACH} and t{k} + {REACH}" for k in AXES)).drop(*ends)
+    b = right.join(box(left, keys, width), keys)
+    b = b.withColumns({f"f{k}": F.greatest(cell(f"b{k}", width) - REACH, f"f{k}") for k in AXES} | {f"t{k}": F.least(cell(f"b{k}", width) + REACH, f"t{k}") for k in AXES})
     b = b.where(" and ".join(f"f{k} <= t{k}" for k in AXES))
+    apart = F.lit(0.0)
     for k in AXES:
         b = b.withColumn(f"c{k}", F.explode(F.sequence(f"f{k}", f"t{k}")))
+        gap = F.greatest(F.col(f"c{k}") * width - F.col(f"b{k}"), F.col(f"b{k}") - (F.col(f"c{k}") + 1) * width, F.lit(0.0))
+        apart = apart + gap * gap
+        b = b.where(apart <= radius * radius * (1 + 1e-9) + 1e-9)
     d2 = sum((F.col(k) - F.col(f"b{k}")) * (F.col(k) - F.col(f"b{k}")) for k in AXES)
     return a.join(b.drop(*ends).hint("merge"), [*keys, "cx", "cy", "cz"]).withColumn("d", F.sqrt(d2)).where(F.col("d") <= radius).drop("cx", "cy", "cz")
 

@@ -1,6 +1,7 @@
 """What lets the geometry grow: plans and tables that stay bounded, with the results of plainer ways."""
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from interfacet.operators import density, flatten, isosurface, mesh, spatial
@@ -113,3 +114,19 @@ def test_cubes_by_blocks_equal_smoothed_cells(spark):
     assert number(isosurface.cube_faces_at(cubes, grid, got_level)) == number(isosurface.faces(all_cells, grid, level))
     plan = isosurface.cube_edges(cubes, grid)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "hashpartitioning(structure_id" not in plan
+
+
+def test_few_pairs_that_meet_are_too_far_apart(spark):
+    """Evenly spread points, some of them just a radius from others: no pair is lost, and of those that meet a third or more are near enough."""
+    grid = spark.range(12**3).selectExpr("1 AS s", "id", "id % 12 + 0D AS x", "id div 12 % 12 + 0D AS y", "id div 144 + 0D AS z")
+    left, right = (grid.select("s", "id", "x", "y", "z"), grid.selectExpr("s", "id AS b", "x AS bx", "y AS by", "z AS bz"))
+    found = spatial.near_pairs(left, right, ["s"], 3.0)
+    at = np.stack(np.unravel_index(np.arange(12**3), (12, 12, 12)), 1)
+    want = sum(int((((at - p) ** 2).sum(1) <= 9).sum()) for p in at)
+    assert found.count() == want and found.select("id", "b").distinct().count() == want
+    plan = found._jdf.queryExecution().optimizedPlan()
+    while "Join" not in plan.nodeName():
+        plan = plan.children().apply(0)
+    sides = [spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, c) for c in (plan.left(), plan.right())]
+    count = [{tuple(r[k] for k in ("cx", "cy", "cz")): r["count"] for r in DataFrame(d, spark).groupBy("cx", "cy", "cz").count().collect()} for d in sides]
+    assert sum(n * count[1].get(c, 0) for c, n in count[0].items()) < 3.2 * want
