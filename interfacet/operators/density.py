@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
@@ -31,14 +31,15 @@ def kernel(sigma: float) -> list[tuple[int, float]]:
 BLOCK = 32  # cells along an edge of a block
 
 
-def dealt(cells: DataFrame, grid: DataFrame, reach: int, more: int = 0) -> DataFrame:
-    """The counted cells, with the columns of grid, once for every block (bx, by, bz) that has a cell within reach of them, or with `more` = 1 ends just below such a cell."""
+def dealt(cells: DataFrame, grid: DataFrame, reach: int | Column, more: int = 0) -> DataFrame:
+    """The counted cells, with the columns of grid, once for every block (bx, by, bz) that has a cell within reach of them, or with `more` = 1 ends just below such a cell and isn't below the grid."""
     out = cells.join(grid, "structure_id")
     for k in AXES:
         i, n = F.col(f"i{k}"), F.col(f"n{k}")
         first = F.least(F.greatest(i - reach, F.lit(0)), 2 * n - 1 - i - reach)  # the second is less only where a grid is smaller than the kernel
         last = F.greatest(F.least(i + reach, n - 1), reach - 1 - i)
-        out = out.withColumn(f"b{k}", F.explode(F.sequence(F.floor((first - more) / BLOCK), F.floor(last / BLOCK))))
+        low = F.greatest(F.floor((first - more) / BLOCK), F.lit(0)) if more else F.floor(first / BLOCK)
+        out = out.withColumn(f"b{k}", F.explode(F.sequence(low, F.greatest(low, F.floor(last / BLOCK)))))
     return out
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialize, shuffled
+from ..sources.storage import materialize, shuffled, tidy
 
 LARGE = 200_000  # rows of one mesh that a single task may hold (some 50 MB)
 BUNDLE = 50_000  # rows of small meshes that go through a task together; a call for each would cost more than its work
@@ -145,10 +145,33 @@ def sanitised(faces: DataFrame, vertices: DataFrame, rounds: int = 5, large: int
         f = materialize(f)
         return f, joined_smoothed(f, materialize(used_vertices(f, v)), rounds)
 
-    def task(m):
-        return m.valid(1e-9).merged().used().smoothed(rounds)
+    return by_mesh(faces, vertices, lambda m: m.sanitised(rounds), joined, large)
 
-    return by_mesh(faces, vertices, task, joined, large)
+
+@tidy
+def sanitised_areas(faces: DataFrame, vertices: DataFrame, rounds: int = 5, large: int = LARGE) -> DataFrame:
+    """mesh_id, area of patches after `sanitised`, of which the meshes themselves are neither written nor shuffled; written. A mesh that keeps no face has no row."""
+    faces, vertices = faces.select("mesh_id", "fid", "a", "b", "c"), vertices.select("mesh_id", "vid", "x", "y", "z")
+    kind = faces.schema["mesh_id"].dataType.simpleString()
+    parts, sizes, most = mesh_parts(faces, vertices, large)
+
+    def run(f, v):
+        import numpy as np
+        import pandas as pd
+
+        names, _, fids, m = task_mesh(f, v)
+        m = m.sanitised(rounds)
+        p, q, r = (m.at[m.placed()[0][:, k]] for k in range(3))
+        area = np.sqrt((np.cross(q - p, r - p) ** 2).sum(axis=1)) / 2
+        no = fids.no(m.fid)
+        here = np.unique(no)
+        return pd.DataFrame({"mesh_id": names.ids[here], "area": np.bincount(no, area, len(names.ids))[here]})
+
+    out = materialize(parts[0].cogroup(parts[1]).applyInPandas(run, f"mesh_id {kind}, area double"))
+    if most <= large:
+        return out
+    rest = sanitised(*(df.join(sizes.where(F.col("size") > large), "mesh_id", "left_semi") for df in (faces, vertices)), rounds, large)
+    return materialize(out.unionByName(measured(*rest).groupBy("mesh_id").agg(F.sum("area").alias("area"))))
 
 
 class Mesh:
@@ -200,39 +223,91 @@ class Mesh:
 
         return self.chosen(slice(None), np.isin(self.vid, self.corner))
 
+    def sanitised(self, rounds: int) -> Mesh:
+        return self.valid(1e-9).merged().used().smoothed(rounds)
+
     def smoothed(self, rounds: int) -> Mesh:
         return Mesh(self.fid, self.corner, self.vid, smoothed_at(self, rounds), self.span) if rounds else self
 
 
+def task_numbers(*tables: DataFrame) -> tuple[list[DataFrame], DataFrame, int]:
+    """(the tables with a column task, the sizes of meshes in all tables together, the largest of them): see `bundled`.
+
+    Small meshes are dealt by a hash of their id, which takes no join and no shuffle of their own; only meshes that
+    go alone, of which there are at most as many as BUNDLE goes into all rows, are joined to the tables.
+    """
+    rows = tables[0].select("mesh_id")
+    for t in tables[1:]:
+        rows = rows.unionAll(t.select("mesh_id"))
+    sizes = materialize(rows.where("mesh_id is not null").groupBy("mesh_id").agg(F.count("*").alias("size")))
+    total, most = (x or 0 for x in sizes.agg(F.sum(F.when(F.col("size") <= BUNDLE, F.col("size"))), F.max("size")).first())
+    task = F.pmod(F.xxhash64("mesh_id"), F.lit(total // BUNDLE + 32))
+    tables = [t.where("mesh_id is not null") for t in tables]
+    if most <= BUNDLE:
+        return [t.withColumn("task", task) for t in tables], sizes, most
+    alone = materialize(sizes.where(F.col("size") > BUNDLE).select("mesh_id", F.monotonically_increasing_id().alias("no")))
+    return [t.join(alone, "mesh_id", "left").withColumn("task", F.when(F.col("no").isNull(), task).otherwise(-1 - F.col("no"))).drop("no") for t in tables], sizes, most
+
+
+class Names:
+    """Meshes inside a task by numbers, from the mesh_id of its rows."""
+
+    def __init__(self, *ids):
+        import pandas as pd
+
+        nos, self.ids = pd.factorize(pd.concat(ids, ignore_index=True))
+        self.nos, at = [], 0
+        for x in ids:
+            self.nos.append(nos[at : at + len(x)])
+            at += len(x)
+
+
+def task_mesh(f, v):
+    """(names of the meshes, keys of vertices, keys of faces, Mesh) of the rows of a task."""
+    import numpy as np
+
+    names = Names(f["mesh_id"], v["mesh_id"])
+    fno, vno = names.nos
+    nos, corner = np.concatenate([fno, vno]), f[["a", "b", "c"]].to_numpy()
+    named, fids = Keys(nos, v["vid"], corner), Keys(nos, f["fid"])
+    fkey, vkey = fids.of(fno, f["fid"].to_numpy()), named.of(vno, v["vid"].to_numpy())
+    frow, vrow = np.argsort(fkey, kind="stable"), np.argsort(vkey, kind="stable")
+    at = v[["x", "y", "z"]].to_numpy(dtype=float, na_value=np.nan)
+    return names, named, fids, Mesh(fkey[frow], named.of(fno[frow], corner[frow]), vkey[vrow], at[vrow], named.span)
+
+
+def mesh_parts(first: DataFrame, second: DataFrame, large: int) -> tuple[list, DataFrame, int]:
+    """(both tables grouped by task, without meshes of over `large` rows in both together; the sizes of meshes; the largest of them): see `task_numbers`."""
+    tables, sizes, most = task_numbers(first, second)
+    if most > large:
+        big = sizes.where(F.col("size") > large)
+        tables = [t.join(big, "mesh_id", "left_anti") for t in tables]
+    return [t.withColumnRenamed("task", key).groupBy(key) for key, t in zip(("face_task", "task"), tables, strict=True)], sizes, most
+
+
+@tidy
 def by_mesh(faces: DataFrame, vertices: DataFrame, task, joined, large: int) -> tuple[DataFrame, DataFrame]:
     """(faces, vertices) of the meshes after task(Mesh), for each mesh of up to `large` rows, and after joined(faces, vertices) for larger ones; written."""
     faces, vertices = faces.select("mesh_id", "fid", "a", "b", "c"), vertices.select("mesh_id", "vid", "x", "y", "z")
-    names = numbered(faces, vertices)
-    some = names.where(F.col("size") <= large)
+    kind = faces.schema["mesh_id"].dataType.simpleString()
+    parts, sizes, most = mesh_parts(faces, vertices, large)
 
     def run(f, v):
-        import numpy as np
         import pandas as pd
 
-        f, v = f.rename(columns={"face_task_no": "no"}), v.rename(columns={"task_no": "no"})
-        nos = np.concatenate([f["no"], v["no"]])
-        named, fids = Keys(nos, v["vid"], f[["a", "b", "c"]]), Keys(nos, f["fid"])
-        f = f.assign(key=fids.of(f["no"].to_numpy(), f["fid"].to_numpy())).sort_values("key")
-        v = v.assign(key=named.of(v["no"].to_numpy(), v["vid"].to_numpy())).sort_values("key")
-        corner = named.of(f["no"].to_numpy(), f[["a", "b", "c"]].to_numpy())
-        m = task(Mesh(f["key"].to_numpy(), corner, v["key"].to_numpy(), v[["x", "y", "z"]].to_numpy(dtype=float, na_value=np.nan), named.span))
+        names, named, fids, m = task_mesh(f, v)
+        m = task(m)
         corner = named.id(m.corner)
-        one = pd.DataFrame({"no": fids.no(m.fid), "id": fids.id(m.fid), **{k: corner[:, i] for i, k in enumerate("abc")}})
-        two = pd.DataFrame({"no": named.no(m.vid), "id": named.id(m.vid), **{k: m.at[:, i] for i, k in enumerate("xyz")}})
-        out = pd.concat([one, two], ignore_index=True).reindex(columns=["no", "id", *"abcxyz"])
+        one = pd.DataFrame({"mesh_id": names.ids[fids.no(m.fid)], "id": fids.id(m.fid), **{k: corner[:, i] for i, k in enumerate("abc")}})
+        two = pd.DataFrame({"mesh_id": names.ids[named.no(m.vid)], "id": named.id(m.vid), **{k: m.at[:, i] for i, k in enumerate("xyz")}})
+        out = pd.concat([one, two], ignore_index=True).reindex(columns=["mesh_id", "id", *"abcxyz"])
         return out.astype({k: "Int64" for k in "abc"})
 
-    parts = [df.join(some, "mesh_id").select(F.col("task").alias(key), F.col("no").alias(f"{key}_no"), *cols).groupBy(key) for key, df, cols in (("face_task", faces, ("fid", *"abc")), ("task", vertices, ("vid", *"xyz")))]
-    both = materialize(parts[0].cogroup(parts[1]).applyInPandas(run, "no long, id long, a long, b long, c long, x double, y double, z double").join(names.select("mesh_id", "no"), "no"))
+    both = materialize(parts[0].cogroup(parts[1]).applyInPandas(run, f"mesh_id {kind}, id long, a long, b long, c long, x double, y double, z double"))
     out = [both.where("a is not null").select("mesh_id", F.col("id").alias("fid"), "a", "b", "c"), both.where("a is null").select("mesh_id", F.col("id").alias("vid"), "x", "y", "z")]
-    big = names.where(F.col("size") > large)
-    if not big.limit(1).count():
+    if most <= large:
         return out[0], out[1]
+    big = sizes.where(F.col("size") > large)
     rest = joined(*(df.join(big, "mesh_id", "left_semi") for df in (faces, vertices)))
     return tuple(materialize(x.unionByName(y)) for x, y in zip(out, rest, strict=True))
 
@@ -314,7 +389,7 @@ def patches(faces: DataFrame, least_vertices: int = 50) -> DataFrame:
 
 
 def task_nested(faces, values, least_vertices: int):
-    """step, patch, fid of the patches of one mesh at each of the ascending values, where the faces of a dist below it are present.
+    """no, step, patch_id, fid, a, b, c of the patches of the meshes in a task at each of the ascending values, where the faces of a dist below it are present.
 
     Components are merged from one value to the next as faces appear; only an edge that gets its third face, and so joins
     no two faces any more, makes them start anew.
@@ -322,11 +397,14 @@ def task_nested(faces, values, least_vertices: int):
     import numpy as np
     import pandas as pd
 
-    faces = faces.sort_values("fid")
-    n, corner, dist = len(faces), faces[["a", "b", "c"]].to_numpy(), faces["dist"].to_numpy()
+    faces = faces.sort_values(["no", "fid"])
+    n, ids, dist = len(faces), faces[["a", "b", "c"]].to_numpy(), faces["dist"].to_numpy()
+    keys = Keys(faces["no"], ids)
+    corner = keys.of(faces["no"].to_numpy(), ids)
     ends = np.sort(np.concatenate([corner[:, [0, 1]], corner[:, [1, 2]], corner[:, [2, 0]]]), axis=1)
-    edge = np.unique(ends, axis=0, return_inverse=True)[1].ravel()
-    order = np.argsort(edge, kind="stable")
+    order = np.lexsort((ends[:, 1], ends[:, 0]))
+    edge = np.empty(3 * n, np.int64)
+    edge[order] = np.cumsum(np.r_[True, (np.diff(ends[order], axis=0) != 0).any(axis=1)][: 3 * n]) - 1
     out, label, shared = [], np.arange(n), np.zeros(edge.max() + 1 if n else 0, bool)
     for step, value in enumerate(values):
         present = dist < value
@@ -347,16 +425,56 @@ def task_nested(faces, values, least_vertices: int):
                 break
             label = now
         rows = np.flatnonzero(present)
-        pairs = np.unique(np.stack([np.repeat(label[rows], 3), corner[rows].ravel()], 1), axis=0)
-        names, first, size = np.unique(pairs[:, 0], return_index=True, return_counts=True)
+        pairs = np.unique(np.repeat(label[rows], 3) * (corner.max() + 1 if n else 1) + corner[rows].ravel())
+        part, vid = np.divmod(pairs, corner.max() + 1 if n else 1)
+        names, first, size = np.unique(part, return_index=True, return_counts=True)
         good = size >= least_vertices
-        rank = np.lexsort((names[good], pairs[first[good], 1]))
+        names, low = names[good], vid[first[good]]
+        rank = np.lexsort((names, low))  # by mesh, since keys are
+        mesh = low[rank] // keys.span
         patch = np.zeros(n, np.int64)
-        patch[names[good][rank]] = np.arange(1, len(rank) + 1)
+        patch[names[rank]] = np.arange(len(rank)) - np.searchsorted(mesh, mesh) + 1
         kept = rows[patch[label[rows]] > 0]
-        out.append(np.stack([np.full(len(kept), step), patch[label[kept]], faces["fid"].to_numpy()[kept]], 1))
-    both = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-    return pd.DataFrame({"no": faces["no"].iloc[0] if n else 0, "step": both[:, 0], "patch_id": both[:, 1], "fid": both[:, 2]})
+        out.append(faces.iloc[kept][["no", "fid", "a", "b", "c"]].assign(step=step, patch_id=patch[label[kept]]))
+    return pd.concat(out)[["no", "step", "patch_id", "fid", "a", "b", "c"]]
+
+
+@tidy
+def near_patches(faces: DataFrame, near: DataFrame, values, least_vertices: int = 50, large: int = LARGE) -> DataFrame:
+    """mesh_id, value, patch_id, fid, a, b, c: for each of values the `patches` of the faces that have a vertex of near(mesh_id, vid, dist) with a dist below it; written.
+
+    A mesh of up to `large` rows in both tables finds its faces in the task that splits them, so that corners are neither joined
+    nor shuffled; larger ones go by joins and `nested_patches`.
+    """
+    values = sorted({float(v) for v in values})
+    faces, near = faces.select("mesh_id", "fid", "a", "b", "c"), near.select("mesh_id", "vid", "dist")
+    kind = faces.schema["mesh_id"].dataType.simpleString()
+    if not values:
+        return faces.where("false").selectExpr("mesh_id", "CAST(NULL AS double) AS value", "CAST(fid AS int) AS patch_id", "fid", "a", "b", "c")
+    parts, sizes, most = mesh_parts(faces, near, large)
+
+    def run(f, v):
+        import numpy as np
+
+        names = Names(f["mesh_id"], v["mesh_id"])
+        fno, vno = names.nos
+        keys = Keys(np.concatenate([fno, vno]), v["vid"], f[["a", "b", "c"]])
+        vkey, corner = keys.of(vno, v["vid"].to_numpy()), keys.of(fno, f[["a", "b", "c"]].to_numpy())
+        row = np.argsort(vkey, kind="stable")
+        vkey, dist = np.r_[vkey[row], -1], np.r_[v["dist"].to_numpy()[row], np.inf]
+        place = np.searchsorted(vkey[:-1], corner)
+        of_face = np.where(vkey[place] == corner, dist[place], np.inf).min(axis=1)
+        hit = of_face < np.inf
+        out = task_nested(f.loc[hit, ["fid", "a", "b", "c"]].assign(no=fno[hit], dist=of_face[hit]), values, least_vertices)
+        return out.assign(mesh_id=names.ids[out["no"].to_numpy()], value=np.array(values)[out["step"].to_numpy()])[["mesh_id", "value", "patch_id", "fid", "a", "b", "c"]]
+
+    out = materialize(parts[0].cogroup(parts[1]).applyInPandas(run, f"mesh_id {kind}, value double, patch_id int, fid long, a long, b long, c long"))
+    if most <= large:
+        return out
+    faces, near = (t.join(sizes.where(F.col("size") > large), "mesh_id", "left_semi") for t in (faces, near))
+    hits = corners(faces, "fid").join(near, ["mesh_id", "vid"]).groupBy("mesh_id", "fid").agg(F.min("dist").alias("dist"))
+    part = materialize(faces.join(hits, ["mesh_id", "fid"]).select("mesh_id", "fid", "a", "b", "c", "dist"))
+    return materialize(out.unionByName(nested_patches(part, values, least_vertices, large)))
 
 
 def nested_patches(faces: DataFrame, values, least_vertices: int = 50, large: int = LARGE) -> DataFrame:
@@ -370,7 +488,7 @@ def nested_patches(faces: DataFrame, values, least_vertices: int = 50, large: in
         return faces.where("false").selectExpr("mesh_id", "dist AS value", "CAST(fid AS int) AS patch_id", "fid", "a", "b", "c")
     names = numbered(faces)
     some = faces.join(names.where(F.col("size") <= large), "mesh_id").select("no", "fid", "a", "b", "c", "dist")
-    found = some.groupBy("no").applyInPandas(lambda f: task_nested(f, values, least_vertices), "no long, step int, patch_id int, fid long")
+    found = some.groupBy("no").applyInPandas(lambda f: task_nested(f, values, least_vertices)[["no", "step", "patch_id", "fid"]], "no long, step int, patch_id int, fid long")
     at = F.element_at(F.array(*map(F.lit, values)), F.col("step") + 1).alias("value")
     out = found.join(names, "no").select("mesh_id", at, "patch_id", "fid").join(faces.drop("dist"), ["mesh_id", "fid"]).select("mesh_id", "value", "patch_id", "fid", "a", "b", "c")
     big = names.where(F.col("size") > large).select("mesh_id")

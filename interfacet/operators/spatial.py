@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialize
+
 AXES = ("x", "y", "z")
 REACH = 2  # cells along a radius: of the pairs that meet fewer are too far apart than with wider cells, rows have more copies
 
@@ -28,7 +30,8 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], radius: float
     """
     ends = [f"{e}{k}" for k in AXES for e in "ft"]
     width = radius / REACH
-    a = left.withColumns({f"c{k}": cell(k, width) for k in AXES}).join(box(right, keys, width, "b"), keys)
+    boxes = materialize(box(right, keys, width, "b"))  # written, so that left isn't shuffled to meet the boxes if these are few
+    a = left.withColumns({f"c{k}": cell(k, width) for k in AXES}).join(boxes, keys)
     a = a.where(" and ".join(f"c{k} between f{k} - {REACH} and t{k} + {REACH}" for k in AXES)).drop(*ends)
     b = right.join(box(left, keys, width), keys)
     b = b.withColumns({f"f{k}": F.greatest(cell(f"b{k}", width) - REACH, f"f{k}") for k in AXES} | {f"t{k}": F.least(cell(f"b{k}", width) + REACH, f"t{k}") for k in AXES})

@@ -121,7 +121,7 @@ def interface_maps(atoms: DataFrame, targets: DataFrame, contact_rows: DataFrame
     meshed = faces.select(F.col("mesh_id").alias("structure_id")).distinct()
     status = status.unionByName(structure.missing(ready.join(meshed, "structure_id", "left_anti"), "surface", "no surface"))
     b_points = b.select("structure_id", F.col("serial").alias("b_serial"), *[F.col(k).alias(f"b{k}") for k in "xyz"])
-    patches = materialize(interface(faces, distances(at, b_points, cutoff), cutoff, least_vertices))
+    patches = interface(faces, materialize(distances(at, b_points, cutoff)), cutoff, least_vertices)
     touching = patches.select("structure_id").distinct()
     status = status.unionByName(structure.missing(meshed.join(touching, "structure_id", "left_anti"), "patches", "no interface patch"))
     annotated = None if contact_rows is None else materialize(contacts.annotated_types(contact_rows.join(one, "structure_id"), F.col("chain_a"), F.col("chain_b")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,5 +48,44 @@ def shuffled(df: DataFrame) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, so that loops keep no lineage."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    if (tables := WRITTEN.get()) is not None:
+        tables.append(path)
+    df.write.parquet(path, compression="zstd")
     return honest(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+WRITTEN: ContextVar[list[str] | None] = ContextVar("WRITTEN", default=None)  # tables of the innermost `tidy` function that runs
+
+
+def tidy(f: Callable) -> Callable:
+    """f, a function that returns tables, such that tables which it writes and which none of the returned ones reads are deleted when it ends.
+
+    What f returns must come from tables that are written by then, or from what it was given: a table that is deleted can't be read later.
+    Spark deletes the files of a shuffle once the driver has collected its plan as garbage, which a driver of much free memory puts off, so that is asked for here.
+    """
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        token = WRITTEN.set([])
+        try:
+            out = f(*args, **kwargs)
+            tables = WRITTEN.get()
+        finally:
+            WRITTEN.reset(token)
+        results = [df for df in (out if isinstance(out, tuple) else (out,)) if isinstance(df, DataFrame)]
+        read = {file.rsplit("/", 2)[-2] for df in results for file in df.inputFiles()}
+        left = [path for path in tables if path.rsplit("/", 1)[1] in read]
+        for path in set(tables) - set(left):
+            delete(results[0].sparkSession, path)
+        if (outer := WRITTEN.get()) is not None:
+            outer += left
+        if results:
+            results[0].sparkSession._jvm.java.lang.System.gc()
+        return out
+
+    return run
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
