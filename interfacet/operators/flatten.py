@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialize, shuffled
+from ..sources.storage import materialize, shuffled, tidy
 from . import mesh
 from .project import normal_uv
 
@@ -53,20 +53,42 @@ def task_loops(edges):
     return pd.DataFrame({"no": keys.no(found[:, 0]), "loop": keys.id(found[:, 0]), "pos": found[:, 1], "n": found[:, 2], "vid": keys.id(found[:, 3])})
 
 
+def task_boundary(no, corner):
+    """no, u, v of `directed_boundary` of the faces in a task, by the mesh and the keys of the corners of each face."""
+    import numpy as np
+    import pandas as pd
+
+    ends = np.concatenate([corner[:, [0, 1]], corner[:, [1, 2]], corner[:, [2, 0]]])
+    edge = np.sort(ends, axis=1)
+    order = np.lexsort((edge[:, 1], edge[:, 0]))
+    start = np.flatnonzero(np.r_[True, (np.diff(edge[order], axis=0) != 0).any(axis=1)][: len(order)])
+    one = order[start[np.diff(np.r_[start, len(order)]) == 1]]
+    return pd.DataFrame({"no": np.tile(no, 3)[one], "u": ends[one, 0], "v": ends[one, 1]})
+
+
+@tidy
 def boundary_loops(faces: DataFrame, large: int = LARGE) -> DataFrame:
-    """mesh_id, loop, pos, n, vid: the vertices of every closed boundary, in the direction of its faces.
+    """mesh_id, loop, pos, n, vid: the vertices of every closed boundary, in the direction of its faces; written.
 
     A loop starts at, and is named by, its lowest vid. Where loops touch in a vertex, its incoming and
-    outgoing edges are paired in order of vid; a vertex passed twice has two rows. The edges of a mesh that has up to `large` of
-    them are followed in one task, those of larger ones by joins.
+    outgoing edges are paired in order of vid; a vertex passed twice has two rows. The edges of a mesh that has up to `large`
+    faces are found and followed in one task, those of larger ones by joins.
     """
-    edges = materialize(directed_boundary(faces))
-    names = mesh.numbered(edges)
-    some = edges.join(names.where(F.col("size") <= large), "mesh_id").select("task", "no", "u", "v")
-    found = some.groupBy("task").applyInPandas(task_loops, "no long, loop long, pos long, n long, vid long")
-    out = found.join(names, "no").select("mesh_id", "loop", "pos", "n", "vid")
-    big = names.where(F.col("size") > large)
-    return out.unionByName(joined_loops(edges.join(big, "mesh_id", "left_semi"))) if big.limit(1).count() else out
+    faces = faces.select("mesh_id", "a", "b", "c")
+    kind = faces.schema["mesh_id"].dataType.simpleString()
+    (dealt,), sizes, most = mesh.task_numbers(faces)
+    big = sizes.where(F.col("size") > large).select("mesh_id")
+
+    def run(f):
+        names = mesh.Names(f["mesh_id"])
+        keys = mesh.Keys(names.nos[0], f[["a", "b", "c"]])
+        edges = task_boundary(names.nos[0], keys.of(names.nos[0], f[["a", "b", "c"]].to_numpy()))
+        out = task_loops(edges.assign(u=keys.id(edges["u"].to_numpy()), v=keys.id(edges["v"].to_numpy())))
+        return out.assign(mesh_id=names.ids[out["no"].to_numpy()])[["mesh_id", "loop", "pos", "n", "vid"]]
+
+    some = dealt.join(big, "mesh_id", "left_anti") if most > large else dealt
+    out = materialize(some.groupBy("task").applyInPandas(lambda f: run(f), f"mesh_id {kind}, loop long, pos long, n long, vid long"))
+    return materialize(out.unionByName(joined_loops(materialize(directed_boundary(faces.join(big, "mesh_id", "left_semi")))))) if most > large else out
 
 
 def joined_loops(edges: DataFrame) -> DataFrame:
@@ -127,9 +149,20 @@ def largest_component(faces: DataFrame) -> DataFrame:
     return part.join(shuffled(best), ["mesh_id", "component"], "left_semi").select("mesh_id", "fid", "a", "b", "c")
 
 
-def cleaned(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merged vertices, valid faces of the largest component; meshes of fewer than 3 vertices go."""
-    return largest(*clean(faces, vertices))
+def cleaned(faces: DataFrame, vertices: DataFrame, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
+    """Merged vertices, valid faces of the largest component; meshes of fewer than 3 vertices go; both are written."""
+    return mended(faces, vertices, lambda m: m.merged().valid(1e-12).used().largest(), lambda f, v: joined_largest(*joined_clean(f, v)), large)
+
+
+@tidy
+def mended(faces: DataFrame, vertices: DataFrame, task, joined, large: int) -> tuple[DataFrame, DataFrame]:
+    """`mesh.by_mesh`; meshes with a vertex that isn't finite go by joins too, since comparisons of such values differ in tasks."""
+    odd = materialize(vertices.where(f"not coalesce({mesh.FINITE}, false)").select("mesh_id").distinct())
+    if not odd.limit(1).count():
+        return mesh.by_mesh(faces, vertices, task, joined, large)
+    plain = mesh.by_mesh(*(df.join(odd, "mesh_id", "left_anti") for df in (faces, vertices)), task, joined, large)
+    rest = joined(*(materialize(df.join(odd, "mesh_id", "left_semi")) for df in (faces, vertices)))
+    return tuple(materialize(x.unionByName(y.select(x.columns))) for x, y in zip(plain, rest, strict=True))
 
 
 def conformal_entries(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -278,44 +311,126 @@ def conformal(faces: DataFrame, vertices: DataFrame, loop: DataFrame, large: int
     return uv.join(shuffled(solved), "mesh_id", "left_semi")
 
 
+def task_systems(m: mesh.Mesh):
+    """(rows no, i, j, w of the reduced systems of `conformal` of the meshes in a task, the pinned vertices); i and j are 2 * place of the vertex + axis."""
+    import numpy as np
+    import pandas as pd
+
+    (t, _), n = m.placed(), len(m.vid)
+    no = m.vid // m.span
+    loops = task_loops(task_boundary(no[t[:, 0]], t))
+    sizes = loops.groupby(["no", "loop"]).size().reset_index(name="size")
+    best = sizes[sizes["size"] >= 3].sort_values(["no", "size", "loop"], ascending=[True, False, True]).drop_duplicates("no")
+    ring = loops.merge(best[["no", "loop"]], on=["no", "loop"])
+    first, at = ring["loop"].to_numpy(), ring["vid"].to_numpy()
+    d2 = ((m.at[at] - m.at[first]) ** 2).sum(axis=1)
+    far = ring.assign(d2=d2).sort_values(["no", "d2", "vid"], ascending=[True, False, True]).drop_duplicates("no")
+    far = far[far["loop"] != far["vid"]]
+    pins = np.stack([far["loop"].to_numpy(), far["vid"].to_numpy()], 1).astype(np.int64)
+    t = t[np.isin(no[t[:, 0]], far["no"].to_numpy())]
+    p, q, r = (m.at[t[:, k]] for k in range(3))
+    e = [r - q, p - r, q - p]
+    dot = lambda x, y: (x * y).sum(axis=1)
+    area2 = np.sqrt(np.maximum(dot(e[0], e[0]) * dot(e[1], e[1]) - dot(e[0], e[1]) ** 2, 0.0))
+    fine = ~(area2 <= 0)
+    t, e, area2 = t[fine], [x[fine] for x in e], area2[fine]
+    pairs = [(x, y) for x in range(3) for y in range(3)]
+    place = np.concatenate([t[:, x] * n + t[:, y] for x, y in pairs])
+    re = np.concatenate([dot(e[x], e[y]) / area2 for x, y in pairs])
+    im = np.concatenate([np.full(len(t), {0: 0.0, 1: 1.0, 2: -1.0}[(y - x) % 3]) for x, y in pairs])
+    names, back = np.unique(place, return_inverse=True)
+    re, im = (np.bincount(back.ravel(), w, len(names)) for w in (re, im))
+    i, j = names // max(n, 1) * 2, names % max(n, 1) * 2
+    i, j, w = np.r_[i, i, i + 1, i + 1], np.r_[j, j + 1, j, j + 1], np.r_[re, -im, im, re]
+    x = np.full(2 * n, np.nan)
+    x[2 * pins[:, 0]], x[2 * pins[:, 0] + 1], x[2 * pins[:, 1]], x[2 * pins[:, 1] + 1] = 0.0, 0.0, 1.0, 0.0
+    free = ((w != 0) | (i == j)) & np.isnan(x[i])
+    i, j, w = i[free], j[free], w[free]
+    known = ~np.isnan(x[j])
+    right = np.bincount(i, np.where(known, -w * np.where(known, x[j], 0.0), 0.0), 2 * n)
+    at = np.unique(i)
+    rows = pd.DataFrame({"i": np.r_[i[~known], at], "j": np.r_[j[~known].astype(float), np.full(len(at), np.nan)], "w": np.r_[w[~known], right[at]]})
+    return rows.assign(no=no[rows["i"].to_numpy() // 2])[["no", "i", "j", "w"]], pins
+
+
+@tidy
+def conformal_maps(faces: DataFrame, vertices: DataFrame, large: int = LARGE) -> DataFrame:
+    """`conformal` along the longest boundary of each mesh; written. The system of a mesh of up to `large` rows is made and solved in one task, so that it is neither written nor shuffled."""
+    faces, vertices = faces.select("mesh_id", F.lit(0).cast("long").alias("fid"), "a", "b", "c"), vertices.select("mesh_id", "vid", "x", "y", "z")
+    kind = faces.schema["mesh_id"].dataType.simpleString()
+    parts, sizes, most = mesh.mesh_parts(faces, vertices, large)
+
+    def run(f, v):
+        import numpy as np
+        import pandas as pd
+
+        names, named, _, m = mesh.task_mesh(f, v)
+        m = m.chosen(m.placed()[1].all(axis=1), slice(None))
+        rows, pins = task_systems(m)
+        x = np.full(2 * len(m.vid), np.nan)
+        if len(rows):
+            got = task_cg(rows)
+            x[got["i"].to_numpy()] = got["x"].to_numpy()
+        solved = np.isin(m.vid // m.span, (m.vid // m.span)[np.flatnonzero(~np.isnan(x)) // 2])  # the pins alone are no map
+        x[2 * pins[:, 0]], x[2 * pins[:, 0] + 1], x[2 * pins[:, 1]], x[2 * pins[:, 1] + 1] = 0.0, 0.0, 1.0, 0.0
+        u, v = x[::2], x[1::2]
+        kept = solved & ~np.isnan(u)
+        return pd.DataFrame({"mesh_id": names.ids[named.no(m.vid[kept])], "vid": named.id(m.vid[kept]), "u": u[kept], "v": v[kept]})
+
+    out = materialize(parts[0].cogroup(parts[1]).applyInPandas(run, f"mesh_id {kind}, vid long, u double, v double"))
+    if most <= large:
+        return out
+    faces, vertices = (df.join(sizes.where(F.col("size") > large), "mesh_id", "left_semi") for df in (faces, vertices))
+    loop = materialize(longest_loop(boundary_loops(faces)))
+    return materialize(out.unionByName(conformal(faces.join(loop.select("mesh_id").distinct(), "mesh_id", "left_semi"), vertices, loop, large)))
+
+
 def flattened(faces: DataFrame, vertices: DataFrame, large: int = LARGE) -> DataFrame:
-    """mesh_id, vid, u, v in [0, 1], method: conformal, harmonic for meshes where that has no solution. Faces and vertices should be `cleaned`."""
-    return flattened_along(materialize(longest_loop(boundary_loops(faces))), faces, vertices, large)
+    """mesh_id, vid, u, v in [0, 1], method: conformal, harmonic for meshes where that has no solution; written. Faces and vertices should be `cleaned`."""
+    return maps_and_loops(faces, vertices, large)[0]
 
 
-def flattened_along(loop: DataFrame, faces: DataFrame, vertices: DataFrame, large: int = LARGE) -> DataFrame:
-    """`flattened`, the longest loops being known; those should be a written table."""
-    faces = faces.join(loop.select("mesh_id").distinct(), "mesh_id", "left_semi")
-    first = materialize(conformal(faces, vertices, loop, large))
+@tidy
+def maps_and_loops(faces: DataFrame, vertices: DataFrame, large: int) -> tuple[DataFrame, DataFrame]:
+    """(`flattened`, the longest loops of meshes that have no conformal map), both written."""
+    first = conformal_maps(faces, vertices, large)
     done = first.select("mesh_id").distinct()
-    rest = loop.join(done, "mesh_id", "left_anti")
-    method = first.withColumn("method", F.lit("conformal"))
-    if rest.limit(1).count():
-        left = [df.join(rest.select("mesh_id").distinct(), "mesh_id", "left_semi") for df in (faces, vertices)]
-        method = method.unionByName(harmonic(*left, rest, large).withColumn("method", F.lit("harmonic")))
-    names = method.select("mesh_id", "method").distinct()
-    return normal_uv(method).join(names, "mesh_id")
+    rest = faces.join(done, "mesh_id", "left_anti")
+    loop = materialize(longest_loop(boundary_loops(rest)))
+    uv = normal_uv(first).withColumn("method", F.lit("conformal"))
+    if loop.limit(1).count():
+        names = loop.select("mesh_id").distinct()
+        second = harmonic(*(df.join(names, "mesh_id", "left_semi") for df in (faces, vertices)), loop, large)
+        uv = uv.unionByName(normal_uv(second).withColumn("method", F.lit("harmonic")))
+    return materialize(uv), loop
 
 
 def flattened_or_not(names: DataFrame, faces: DataFrame, vertices: DataFrame, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """(`flattened`, status): mesh_id and reason of the meshes of names that have no map; the first is written."""
-    loop = materialize(longest_loop(boundary_loops(faces)))
-    uv = materialize(flattened_along(loop, faces, vertices, large))
+    uv, loop = maps_and_loops(faces, vertices, large)
     has = lambda df, name: df.select("mesh_id").distinct().withColumn(name, F.lit(True))
     left = names.select("mesh_id").distinct().join(uv, "mesh_id", "left_anti").join(has(faces, "whole"), "mesh_id", "left").join(has(loop, "open"), "mesh_id", "left")
     reason = F.when(F.col("whole").isNull(), "no valid faces").when(F.col("open").isNull(), "no boundary").otherwise("no solution")
     return uv, left.select("mesh_id", reason.alias("reason"))
 
 
-def clean(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+def clean(faces: DataFrame, vertices: DataFrame, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """Merged vertices, valid faces, all components; both are written."""
+    return mended(faces, vertices, lambda m: m.merged().valid(1e-12).used(), joined_clean, large)
+
+
+def joined_clean(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
     faces, vertices = mesh.merged(faces, vertices)
     faces = materialize(mesh.valid_faces(faces, vertices, 1e-12))
     return faces, materialize(mesh.used_vertices(faces, vertices))
 
 
-def largest(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The largest components of `clean` meshes; meshes of fewer than 3 vertices go."""
+def largest(faces: DataFrame, vertices: DataFrame, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
+    """The largest components of `clean` meshes; meshes of fewer than 3 vertices go; both are written."""
+    return mesh.by_mesh(faces, vertices, lambda m: m.largest(), joined_largest, large)
+
+
+def joined_largest(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
     faces = materialize(largest_component(faces))
     vertices = mesh.used_vertices(faces, vertices)
     enough = vertices.groupBy("mesh_id").agg(F.count("*").alias("n")).where("n >= 3").select("mesh_id")

@@ -218,6 +218,19 @@ class Mesh:
         first = np.unique(np.sort(self.corner[whole], axis=1), axis=0, return_index=True)[1]
         return self.chosen(whole[np.sort(first)], slice(None))
 
+    def largest(self, least_vertices: int = 3) -> Mesh:
+        """The component with most vertices of each mesh (the lowest vertex, then the lowest face on ties) and its vertices, if it has least_vertices."""
+        import numpy as np
+
+        label = face_labels(self.corner)
+        pairs = np.unique(np.stack([np.repeat(label, 3), self.corner.ravel()], 1), axis=0)
+        names, first, size = np.unique(pairs[:, 0], return_index=True, return_counts=True)
+        low = pairs[first, 1]
+        order = np.lexsort((names, low, -size, low // self.span))
+        best = order[np.unique((low // self.span)[order], return_index=True)[1]]
+        best = names[best][size[best] >= least_vertices]
+        return self.chosen(np.isin(label, best), slice(None)).used()
+
     def used(self) -> Mesh:
         import numpy as np
 
@@ -322,18 +335,15 @@ def touched_faces(faces: DataFrame, chosen: DataFrame) -> DataFrame:
     return faces.join(hit, ["mesh_id", "fid"], "left_semi")
 
 
-def task_components(faces):
-    """component of each face of the meshes in a task: the lowest label hooked over edges of two faces until nothing changes."""
+def face_labels(corner):
+    """For each face the lowest face that it reaches over edges of two faces: the lowest label hooked until nothing changes."""
     import numpy as np
 
-    faces = faces.sort_values(["no", "fid"])
-    corner = Keys(faces["no"], faces[["a", "b", "c"]]).of(faces["no"].to_numpy(), faces[["a", "b", "c"]].to_numpy())
     ends = np.sort(np.concatenate([corner[:, [0, 1]], corner[:, [1, 2]], corner[:, [2, 0]]]), axis=1)
     order = np.lexsort((ends[:, 1], ends[:, 0]))
-    new = np.r_[True, (np.diff(ends[order], axis=0) != 0).any(axis=1)]
-    start = np.flatnonzero(new)
+    start = np.flatnonzero(np.r_[True, (np.diff(ends[order], axis=0) != 0).any(axis=1)][: len(order)])
     start = start[np.diff(np.r_[start, len(order)]) == 2]
-    p, q = order[start] % len(corner), order[start + 1] % len(corner)
+    p, q = order[start] % max(len(corner), 1), order[start + 1] % max(len(corner), 1)
     label = np.arange(len(corner))
     while True:
         now, low = label.copy(), np.minimum(label[p], label[q])
@@ -342,10 +352,17 @@ def task_components(faces):
         while (now[now] != now).any():
             now = now[now]
         if (now == label).all():
-            return faces.assign(component=faces["fid"].to_numpy()[label])[["no", "fid", "component"]]
+            return label
         label = now
 
 
+def task_components(faces):
+    """component of each face of the meshes in a task."""
+    faces = faces.sort_values(["no", "fid"])
+    corner = Keys(faces["no"], faces[["a", "b", "c"]]).of(faces["no"].to_numpy(), faces[["a", "b", "c"]].to_numpy())
+    return faces.assign(component=faces["fid"].to_numpy()[face_labels(corner)])[["no", "fid", "component"]]
+
+
 def star_components(faces: DataFrame) -> DataFrame:
     """mesh_id, fid, component by alternating large and small stars; each round is written, and one that changes nothing ends the loop."""
     star = ["mesh_id", "hub"]

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from interfacet.operators import density, isosurface, mesh
+from interfacet.operators import density, flatten, isosurface, mesh, project
 from interfacet.plans import queries as plans
 from interfacet.plans import sweeps
 from interfacet.sources.storage import materialize, tidy
@@ -99,3 +99,24 @@ def test_areas_equal_those_of_sanitised_patches(spark):
     for large in (mesh.LARGE, 10):
         got = {r["mesh_id"]: r["area"] for r in mesh.sanitised_areas(faces, at, large=large).collect()}
         assert set(got) == set(want) == set(range(9)) and all(abs(got[m] - want[m]) < 1e-9 for m in want)
+
+
+def test_maps_from_tasks_equal_those_by_joins(spark):
+    """Meshes of equal ids in shared tasks: one of two parts, a closed one, one with a vertex that isn't finite, one with equal vertices; no matrix is left on disk."""
+    grid = [(2 * v + s, v, v + 1 if s == 0 else v + 6, v + 6 if s == 0 else v + 5) for v in range(20) if v % 5 < 4 for s in (0, 1)]
+    faces = [(m, *f) for m in range(12) for f in grid if m != 1 or f[0] // 10 != 1] + [(20, 0, 0, 1, 2), (20, 1, 0, 2, 3), (20, 2, 0, 3, 1), (20, 3, 1, 3, 2)]
+    spot = lambda m, v: (float(v % 5), float(v // 5) + 0.2 * (v % 5), float((v * 7919 + m * 31) % 100) / 90)
+    at = [(m, v, *(spot(m, v) if (m, v) != (2, 7) else (float("nan"), 0.0, 0.0))) for m in range(12) for v in range(25)]
+    at = [(m, v, *(spot(m, 12) if (m, v) == (3, 13) else p)) for m, v, *p in at] + [(20, 0, 0.0, 0.0, 0.0), (20, 1, 1.0, 0.0, 0.0), (20, 2, 0.0, 1.0, 0.0), (20, 3, 0.0, 0.0, 1.0)]
+    faces, at = materialize(spark.createDataFrame(faces, "mesh_id long, fid long, a long, b long, c long")), materialize(spark.createDataFrame(at, "mesh_id long, vid long, x double, y double, z double"))
+    before = folders(spark)
+    f, v = flatten.cleaned(faces, at)
+    uv = flatten.flattened(f, v)
+    assert len(folders(spark) - before) <= 4
+    joined = flatten.cleaned(faces, at, 20)
+    assert all(set(map(str, number(x))) == set(map(str, number(y))) for x, y in zip((f, v), joined, strict=True))
+    assert number(flatten.boundary_loops(faces)) == number(flatten.boundary_loops(faces, 20))
+    want = project.normal_uv(flatten.conformal(f, v, materialize(flatten.longest_loop(flatten.boundary_loops(f)))))
+    got, want = ({(r["mesh_id"], r["vid"]): (r["u"], r["v"]) for r in df.collect()} for df in (uv, want))
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-8) for k in got)
+    assert {m for m, _ in got} == set(range(12)) - {2} and not uv.where("method <> 'conformal'").count()
