@@ -21,22 +21,26 @@ COLORS = {
 PEPTIDES = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL UNK".split()
 
 
-def pair_type(d: Column, a: str, b: str) -> Column:
-    """Interaction of two atoms at distance d by the first rule that holds, null if none; a and b are column prefixes."""
-
-    def of(p: str) -> dict[str, Column]:
-        res, atom, el = F.col(f"{p}_res_name"), F.col(f"{p}_atom_name"), F.col(f"{p}_element")
-        return {
-            "cation": res.isin("ARG", "LYS", "HIS") & atom.isin("NZ", "NH1", "NH2", "ND1", "NE2"),
-            "anion": (res.isin("ASP", "GLU") & atom.isin("OD1", "OD2", "OE1", "OE2")) | (atom == "OXT"),
-            "ring": res.isin("PHE", "TYR", "TRP", "HIS") & ~atom.isin("CA", "C", "O", "N"),
-            "polar": el.isin("N", "O", "S", "F"), "sulfur": atom.isin("SG", "SD"), "carbon": el == "C", "side": (el == "C") & ~atom.isin("CA", "C"),
-        }
-
-    x, y = of(a), of(b)
+KINDS = ("cation", "anion", "ring", "polar", "sulfur", "carbon", "plain")  # a bit each in `atom_kind`
+
+
+def atom_kind(res: Column, atom: Column, el: Column) -> Column:
+    """What the rules of `pair_type` ask of an atom, as bits, so that texts are compared once an atom and not once a pair; what isn't known does not hold."""
+    ring = res.isin("PHE", "TYR", "TRP", "HIS") & ~atom.isin("CA", "C", "O", "N")
+    holds = {
+        "cation": res.isin("ARG", "LYS", "HIS") & atom.isin("NZ", "NH1", "NH2", "ND1", "NE2"),
+        "anion": (res.isin("ASP", "GLU") & atom.isin("OD1", "OD2", "OE1", "OE2")) | (atom == "OXT"),
+        "ring": ring, "polar": el.isin("N", "O", "S", "F"), "sulfur": atom.isin("SG", "SD"), "carbon": el == "C",
+        "plain": (el == "C") & ~atom.isin("CA", "C") & ~ring,
+    }
+    return sum((F.when(holds[k], 1 << i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
+
+
+def pair_type(d: Column, a: Column, b: Column) -> Column:
+    """Interaction of two atoms at distance d by the first rule that holds, null if none; a and b are each one's `atom_kind`."""
+    x, y = ({k: c.bitwiseAND(F.lit(1 << i)) != 0 for i, k in enumerate(KINDS)} for c in (a, b))
     both = lambda p, q: (x[p] & y[q]) | (x[q] & y[p])
-    plain = {"x": x["side"] & ~x["ring"], "y": y["side"] & ~y["ring"]}
-    greasy = (x["ring"] & plain["y"]) | (y["ring"] & plain["x"]) | (plain["x"] & plain["y"])
+    greasy = both("ring", "plain") | (x["plain"] & y["plain"])
     return (
         F.when(d > 6, None).when((d < 4) & both("cation", "anion"), "salt_bridge").when((d < 5) & both("ring", "cation"), "cation_pi")
         .when((d < 5) & both("cation", "anion"), "salt_bridge").when((d < 3.8) & ((x["polar"] & y["polar"]) | both("carbon", "polar")), "hbond")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chemistry import canonical, pair_type, rank, sequence_number
+from ..functions.chemistry import atom_kind, canonical, pair_type, rank, sequence_number
 from .spatial import near_pairs
 
 ATTRIBUTES = ("res_name", "atom_name", "element")
@@ -13,9 +13,10 @@ ATTRIBUTES = ("res_name", "atom_name", "element")
 
 def typed_pairs(a: DataFrame, b: DataFrame, radius: float = 6.0) -> DataFrame:
     """Atom pairs of two chains of a structure within `radius`, with d and type."""
-    left = a.select("structure_id", "serial", "res_seq", "x", "y", "z", *[F.col(c).alias(f"a_{c}") for c in ATTRIBUTES])
-    right = b.select("structure_id", F.col("serial").alias("b_serial"), *[F.col(k).alias(f"b{k}") for k in "xyz"], *[F.col(c).alias(f"b_{c}") for c in ATTRIBUTES])
-    return near_pairs(left, right, ["structure_id"], radius).withColumn("type", pair_type(F.col("d"), "a", "b"))
+    kind = atom_kind(*map(F.col, ATTRIBUTES))
+    left = a.select("structure_id", "serial", "res_seq", "x", "y", "z", kind.alias("a_kind"))
+    right = b.select("structure_id", F.col("serial").alias("b_serial"), *[F.col(k).alias(f"b{k}") for k in "xyz"], kind.alias("b_kind"))
+    return near_pairs(left, right, ["structure_id"], radius).withColumn("type", pair_type(F.col("d"), F.col("a_kind"), F.col("b_kind")))
 
 
 def best_types(pairs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.chemistry import COLORS, INTERACTIONS, rank
 from ..sources.storage import materialize
 from .contacts import typed_pairs
-from .spatial import near_pairs, nearest
+from .spatial import near_pairs
 
 
 class InterfaceMap(NamedTuple):
@@ -32,8 +32,8 @@ def on_patch(atoms: DataFrame, vertices: DataFrame, radius: float = 3.0) -> Data
 
 def close_atoms(a: DataFrame, b: DataFrame, radius: float = 8.0) -> DataFrame:
     """Rows of a with an atom of b closer than radius."""
-    points = b.select("structure_id", F.col("serial").alias("b_serial"), *[F.col(k).alias(f"b{k}") for k in "xyz"])
-    hit = nearest(a, points, ["structure_id"], "serial", radius, "b_serial").select("structure_id", "serial")
+    points = b.select("structure_id", *[F.col(k).alias(f"b{k}") for k in "xyz"])
+    hit = near_pairs(a.select("structure_id", "serial", "x", "y", "z"), points, ["structure_id"], radius).where(F.col("d") < radius).select("structure_id", "serial").distinct()
     return a.join(hit, ["structure_id", "serial"], "left_semi")
 
 
@@ -87,7 +87,8 @@ def by_source(a: DataFrame, annotated: DataFrame | None) -> tuple[DataFrame, Dat
 def residue_types(near: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """structure_id, patch_id, res_seq, icode, types: the types of all pairs of a residue's atoms on the patch with atoms of b."""
     pairs = typed_pairs(a.join(near.select("structure_id", "serial").distinct(), ["structure_id", "serial"], "left_semi"), b)
-    found = pairs.where("type is not null").select("structure_id", "serial", "type").distinct()
+    kind = F.explode(F.array_compact(F.array("type"))).alias("type")  # not a filter, which the planner would make part of the join and work out several times a pair
+    found = pairs.select("structure_id", "serial", kind).distinct()
     icode = F.col("icode") if "icode" in a.columns else F.lit(None).cast("string")
     named = a.select("structure_id", "serial", "res_seq", F.coalesce(icode, F.lit("")).alias("icode"))
     at = near.join(found, ["structure_id", "serial"]).join(named, ["structure_id", "serial"])
@@ -102,7 +103,7 @@ def interface_map(patches: DataFrame, vertices: DataFrame, uv: DataFrame, a: Dat
     all residues on the patch. The others take them from atom pairs within 6.0, of atoms closer than 8.0 to b.
     """
     noted, plain = by_source(a, annotated)
-    near = materialize(on_patch(noted.unionByName(close_atoms(plain, b)), vertices))
+    near = materialize(on_patch(materialize(noted.unionByName(close_atoms(plain, b))), vertices))
     placed = placed_residues(near, a, uv)
     placed = placed.join(residue_types(near, plain, b), ["structure_id", "patch_id", "res_seq", "icode"], "left")
     if annotated is not None:

@@ -46,7 +46,7 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], radius: float
     return a.join(b.drop(*ends).hint("merge"), [*keys, "cx", "cy", "cz"]).withColumn("d", F.sqrt(d2)).where(F.col("d") <= radius).drop("cx", "cy", "cz")
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], id_: str, cutoff: float, arg: str) -> DataFrame:
-    """keys, id_, dist and the smallest `arg` at that distance, for rows of left closer than `cutoff` to right."""
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], id_: str, cutoff: float, arg: str | None = None) -> DataFrame:
+    """keys, id_, dist and the smallest `arg` at that distance, for rows of left closer than `cutoff` to right; without arg pairs need no sorting."""
     pairs = near_pairs(left, right, keys, cutoff).where(F.col("d") < cutoff)
-    return pairs.groupBy(*keys, id_).agg(F.min("d").alias("dist"), F.min_by(arg, F.struct("d", arg)).alias(arg))
+    return pairs.groupBy(*keys, id_).agg(F.min("d").alias("dist"), *([] if arg is None else [F.min_by(arg, F.struct("d", arg)).alias(arg)]))

@@ -605,7 +605,7 @@ def unchecked(f: Query) -> Query:
 
 @unchecked
 def p2_distortion_report(spark, sf_dir):
-    a, b = sides(spark, sf_dir)
+    a, b = map(materialize, sides(spark, sf_dir))
     faces, at = sweeps.surface(a)
     patches = sweeps.interface(faces, materialize(sweeps.distances(at, points(b), 5.0)), 5.0)
     return reports.distortion_report(patches, at, structure.first_two_chains(view(spark, sf_dir, "atoms")))
@@ -624,7 +624,7 @@ def g7_conformal(spark, sf_dir):
 
 @unchecked
 def p1_interface_map(spark, sf_dir):
-    a, b = sides(spark, sf_dir)
+    a, b = map(materialize, sides(spark, sf_dir))
     faces, at = sweeps.surface(a)
     patches = sweeps.interface(faces, materialize(sweeps.distances(at, points(b), 5.0)), 5.0)
     return reports.maps_of(patches, at, a, b)[0].points

@@ -92,7 +92,7 @@ def maps_of(patches: DataFrame, vertices: DataFrame, a: DataFrame, b: DataFrame,
     uv, lost = flatten.flattened_or_not(names, faces, points)
     split = lambda df, *cols: df.join(names, "mesh_id").select("structure_id", "patch_id", *cols)
     kept = points.join(uv.select("mesh_id").distinct(), "mesh_id", "left_semi")
-    drawn = mapview.interface_map(split(faces, "a", "b", "c"), split(kept, "vid", "x", "y", "z"), split(uv, "vid", "u", "v"), a, b, annotated, **style)
+    drawn = mapview.interface_map(split(faces, "a", "b", "c"), materialize(split(kept, "vid", "x", "y", "z")), split(uv, "vid", "u", "v"), a, b, annotated, **style)
     flat = split(uv).distinct()
     none = names.select("structure_id").distinct().join(flat, "structure_id", "left_anti")
     status = structure.missing(lost.join(names, "mesh_id"), "flatten", F.col("reason"), F.col("patch_id"))

@@ -27,7 +27,7 @@ def surface_of(cubes: DataFrame, res: float = 1.0, rounds: int = 3) -> tuple[Dat
 def distances(points: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
     """mesh_id, vid, dist of vertices closer than cutoff to b(structure_id, b_serial, bx, by, bz)."""
     left = points.withColumnRenamed("mesh_id", "structure_id")
-    return spatial.nearest(left, b, ["structure_id"], "vid", cutoff, "b_serial").select(F.col("structure_id").alias("mesh_id"), "vid", "dist")
+    return spatial.nearest(left, b.select("structure_id", "bx", "by", "bz"), ["structure_id"], "vid", cutoff).select(F.col("structure_id").alias("mesh_id"), "vid", "dist")
 
 
 def interface(faces: DataFrame, near: DataFrame, cutoff: float, least_vertices: int = 50) -> DataFrame:
@@ -108,7 +108,7 @@ def sweep_sigma(a: DataFrame, b: DataFrame, values=(0.5, 1.0, 1.5, 2.0, 2.5, 3.0
         surfaces = names.select("structure_id", "no", of).select("structure_id", (F.col("no") * len(values) + F.col("nth")).alias("surface"), "value")
         faces, points = sigma_surfaces(a, grid, surfaces)
         at = points.select(F.expr(f"mesh_id div {len(values)}").alias("no"), F.struct("mesh_id", "vid").alias("id"), "x", "y", "z")
-        near = spatial.nearest(at, b.join(names, "structure_id").drop("structure_id"), ["no"], "id", cutoff, "b_serial").select("id.mesh_id", "id.vid", "dist")
+        near = spatial.nearest(at, b.join(names, "structure_id").select("no", "bx", "by", "bz"), ["no"], "id", cutoff).select("id.mesh_id", "id.vid", "dist")
         patches = interface(faces, materialize(near), cutoff, least_vertices).withColumnRenamed("structure_id", "surface")
         total = patch_areas(patches, points, "surface", "patch_id").groupBy("surface").agg(F.sum("area").alias("area"))
         return surfaces.join(total, "surface", "left").select("structure_id", F.lit("sigma").alias("param"), "value", F.coalesce("area", F.lit(0.0)).alias("area"))

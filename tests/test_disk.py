@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from interfacet.operators import density, flatten, isosurface, mesh, project
+from interfacet.operators import contacts, density, flatten, isosurface, mapview, mesh, project
 from interfacet.plans import queries as plans
 from interfacet.plans import sweeps
 from interfacet.sources.storage import materialize, tidy
@@ -120,3 +120,17 @@ def test_maps_from_tasks_equal_those_by_joins(spark):
     got, want = ({(r["mesh_id"], r["vid"]): (r["u"], r["v"]) for r in df.collect()} for df in (uv, want))
     assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-8) for k in got)
     assert {m for m, _ in got} == set(range(12)) - {2} and not uv.where("method <> 'conformal'").count()
+
+
+def test_pairs_of_atoms_are_neither_sorted_nor_compared_by_text(spark):
+    a, b = plans.sides(spark, SF)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan(mapview.close_atoms(a, b)) and "SortAggregate" not in plan(sweeps.distances(a.withColumnsRenamed({"structure_id": "mesh_id", "serial": "vid"}), plans.points(b), 5.0))
+    pairs = contacts.typed_pairs(a, b)
+    assert not {"a_res_name", "b_element"} & set(pairs.columns)
+    atom = "res_name string, atom_name string, element string, serial long, structure_id string, res_seq int, x double, y double, z double"
+    kinds = [("ARG", "NZ", "N"), ("ASP", "OD1", "O"), (None, "OXT", "O"), (None, "CB", "C"), ("ALA", None, "C"), ("HIS", None, "C"), ("PHE", "CZ", "C"), ("CYS", "SG", "S"), ("ALA", "CB", None)]
+    one, two = (spark.createDataFrame([(*k, i, "S", 1, 0.0, 0.0, z) for i, k in enumerate(kinds)], atom) for z in (0.0, 3.9))
+    got = {(r["serial"], r["b_serial"]): r["type"] for r in contacts.typed_pairs(one, two).collect()}
+    assert len(got) == 81 and got[0, 1] == got[0, 2] == "salt_bridge" and got[0, 6] == "cation_pi" and got[6, 7] == "sulfur_pi" and got[6, 6] == "pi_stack"
+    assert got[3, 3] is None and got[4, 4] is None and got[5, 5] is None and got[8, 8] is None and got[1, 1] is None
