@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contacts, flatten, mapview, structure
 from ..operators.project import METRICS, cylindrical, distortion, planar, principal_frame, spherical
-from ..sources.storage import materialize
+from ..sources.storage import materialize, tidy
 from .sweeps import distances, interface, patch_meshes, surface
 
 METHODS = ("conformal", "planar", "spherical", "cylindrical")
@@ -65,6 +65,7 @@ def with_totals(rows: DataFrame, skip_failed: bool = False) -> DataFrame:
     return rows.withColumn("patch_id", F.col("patch").cast("string")).drop("patch").unionByName(total).unionByName(top)
 
 
+@tidy
 def distortion_report(patches: DataFrame, vertices: DataFrame, categories: DataFrame | None = None, skip_failed: bool = False, raw: bool = False) -> DataFrame:
     """structure_id, category, patch_id, vertices, the metrics of four methods and status: a row for each patch, `weighted_avg` and `largest`; see `with_totals`.
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from interfacet.operators import contacts, density, flatten, isosurface, mapview, mesh, project
 from interfacet.plans import queries as plans
-from interfacet.plans import sweeps
+from interfacet.plans import reports, sweeps
 from interfacet.sources.storage import materialize, tidy
 
 SF = "/root/testdata/sf0.001"
@@ -134,3 +134,13 @@ def test_pairs_of_atoms_are_neither_sorted_nor_compared_by_text(spark):
     got = {(r["serial"], r["b_serial"]): r["type"] for r in contacts.typed_pairs(one, two).collect()}
     assert len(got) == 81 and got[0, 1] == got[0, 2] == "salt_bridge" and got[0, 6] == "cation_pi" and got[6, 7] == "sulfur_pi" and got[6, 6] == "pi_stack"
     assert got[3, 3] is None and got[4, 4] is None and got[5, 5] is None and got[8, 8] is None and got[1, 1] is None
+
+
+def test_reports_leave_their_rows_only(spark):
+    spots = [(2 * v + s, v, v + 1 if s == 0 else v + 6, v + 6 if s == 0 else v + 5) for v in range(20) if v % 5 < 4 for s in (0, 1)]
+    patches = materialize(spark.createDataFrame([("S", 1, *f) for f in spots], "structure_id string, patch_id int, fid long, a long, b long, c long"))
+    at = materialize(spark.range(25).selectExpr("'S' AS mesh_id", "id AS vid", "id % 5 + 0D AS x", "id div 5 + 0D AS y", "CAST(id * 7919 % 100 AS double) / 90 AS z"))
+    before = folders(spark)
+    rows = reports.distortion_report(patches, at)
+    assert len(folders(spark) - before) == 1
+    assert {r["patch_id"] for r in rows.collect()} == {"1", "weighted_avg", "largest"} and not rows.where("status <> 'ok'").count()
